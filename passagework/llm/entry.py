@@ -6,20 +6,39 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import mpeg_audio, quality_rules
 from .common import table
 from .token_counts import count_tokens
 
 
+def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = mpeg_audio.read_media(mpeg_audio.store_texts(table(spark, sf_dir, "documents")))
+    at = F.concat_ws(",", F.slice("offsets", 1, 8).cast("array<string>"))
+    return read.select(
+        "doc_id", F.col("tags")["n_bytes"].cast("long").alias("n_bytes"), F.octet_length("ancillary").cast("long").alias("payload_bytes"),
+        F.sha2("ancillary", 256).alias("payload_sha256"), F.crc32(F.substring("ancillary", -16, 16)).alias("tail_crc32"), "media_bytes", "media_sha256",
+        F.format_string("layer %d kbit/s %s frames %d of %d samples %d seconds %d/%d crc %d+%d- resyncs %d seek %s", "layer", F.concat_ws(",", F.col("kbits").cast("array<string>")), "frames", "table_frames", "samples", "duration_num", "duration_den", "crc_ok", "crc_bad", "resyncs", at).alias("feature"),
+        "frames", "samples", "duration_num", "duration_den",
+    )
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_mpeg_audio": op2_mpeg_audio,
         "op4_token_counts": op4_token_counts,
+        "op9_quality_rules": op9_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_quality_rules": quality_rules.ORACLE_SQL}
