@@ -100,8 +100,9 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def order_rules(counts: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejection per cost, both measured on at most ``sample_rows`` rows."""
-    sample = counts.filter(~F.col("base_failed")).limit(sample_rows).persist()
+    kept = counts.limit(sample_rows).persist()  # filtered only afterwards: a filter below would count everything twice
     try:
+        sample = kept.filter(~F.col("base_failed"))
         total = max(1, sample.count())
         rated = []
         for rule in rules:
@@ -109,7 +110,7 @@ def order_rules(counts: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
             rejected = sample.agg(F.count_if(rule.rejects())).first()[0]
             rated.append((-(rejected / total) / (time.perf_counter() - began), rule.name, rule))
     finally:
-        sample.unpersist()
+        kept.unpersist()
     return [rule for *_, rule in sorted(rated, key=lambda r: r[:2])]
 
 
