@@ -26,6 +26,10 @@ WINDOW = 5
 SAMPLE_ROWS = 1_000
 
 
+#: A word that the next one repeats.
+STUTTER = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)(?=[\x20\x09-\x0D]+\1(?![^\x20\x09-\x0D]))"
+
+
 @dataclass(frozen=True)
 class Rule:
     """A named condition that rejects a text; it may use the text and the base counts."""
@@ -42,10 +46,11 @@ def _share_of(pattern: str, whole: Column, percent: int) -> Column:
 RULES = (
     Rule("symbols", lambda: F.col("n_symbols") * 10 > F.col("n_words")),
     Rule("word_length", lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 16 * F.col("n_words"))),
-    Rule("duplicate_lines", lambda: 10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
+    Rule("duplicate_lines", lambda: 10 * F.col("n_dup_lines") > 5 * F.col("n_lines")),
     Rule("exclamations", lambda: 10 * F.expr("length(text) - length(replace(text, '!', ''))") > 3 * F.col("n_words")),
     Rule("shouting", lambda: _share_of("[^A-ZÀ-ÖØ-Þ]", F.col("word_chars"), 40)),
-    Rule("few_letters", lambda: 100 * F.length(F.regexp_replace("text", r"[^\p{L}]", "")) < 60 * F.col("word_chars")),
+    Rule("few_letters", lambda: 100 * F.length(F.regexp_replace("text", r"[^\p{L}]", "")) < 40 * F.col("word_chars")),
+    Rule("stutter", lambda: 100 * F.regexp_count("text", F.lit(STUTTER)) > 30 * F.col("n_words")),
     Rule("bullets", lambda: 100 * F.regexp_count("text", F.lit(r"(?m)^[ \t]*[-*•]")) > 90 * F.col("n_lines")),
     Rule("ellipses", lambda: 100 * F.regexp_count("text", F.lit(r"(?m)(?:\.\.\.|…)[ \t]*$")) > 30 * F.col("n_lines")),
 )
@@ -135,20 +140,24 @@ WITH d AS (
          list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
   FROM documents),
-pos AS (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM d WHERE len(words) > 5),
-win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(words[i:i+4], ' ')) AS n FROM pos),
+pos AS (SELECT doc_id, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS i FROM d),
+run AS (SELECT doc_id, i, w = lead(w) OVER o AS again, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS five
+        FROM pos WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+stu AS (SELECT doc_id, count(*) AS n FROM run WHERE again GROUP BY doc_id),
+win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS n FROM run WHERE five IS NOT NULL),
 rep AS (SELECT doc_id, count(DISTINCT w) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS w FROM win WHERE n > 1) GROUP BY doc_id),
 c AS (
   SELECT d.doc_id, t, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
-         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines
-  FROM d LEFT JOIN rep ON rep.doc_id = d.doc_id),
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines, coalesce(stu.n, 0) AS n_stutter
+  FROM d LEFT JOIN rep ON rep.doc_id = d.doc_id LEFT JOIN stu ON stu.doc_id = d.doc_id),
 v AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR n_symbols * 10 > n_words OR word_chars < 2 * n_words OR word_chars > 16 * n_words OR 10 * n_dup_lines > 3 * n_lines
+       NOT (base_failed OR n_symbols * 10 > n_words OR word_chars < 2 * n_words OR word_chars > 16 * n_words OR 10 * n_dup_lines > 5 * n_lines
             OR 10 * (length(t) - length(replace(t, '!', ''))) > 3 * n_words
             OR 100 * length(regexp_replace(t, '[^A-ZÀ-ÖØ-Þ]', '', 'g')) > 40 * word_chars
-            OR 100 * length(regexp_replace(t, '[^\p{L}]', '', 'g')) < 60 * word_chars
+            OR 100 * length(regexp_replace(t, '[^\p{L}]', '', 'g')) < 40 * word_chars
+            OR 100 * n_stutter > 30 * n_words
             OR 100 * len(regexp_extract_all(t, '(?m)^[ \t]*[-*•]')) > 90 * n_lines
             OR 100 * len(regexp_extract_all(t, '(?m)(?:\.\.\.|…)[ \t]*$')) > 30 * n_lines) AS kept
 FROM v
