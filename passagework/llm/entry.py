@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mpeg_audio, quality_rules
+from . import chat_format, html_consensus, mpeg_audio, quality_rules
 from .common import table
 from .token_counts import count_tokens
 
@@ -28,17 +28,34 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(chat_format.PROBE).alias("text"))
+    messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    formatted = chat_format.format_chat(messages.withColumn("parts", chat_format.text_parts(F.col("text"))))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return chat_format.read_chat(formatted).select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_consensus.extract_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mpeg_audio": op2_mpeg_audio,
         "op4_token_counts": op4_token_counts,
+        "op8_chat_format": op8_chat_format,
         "op9_quality_rules": op9_quality_rules,
+        "op10_html_consensus": op10_html_consensus,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op8_chat_format": chat_format.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL}
