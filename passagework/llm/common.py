@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,9 +62,10 @@ def sliced(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = CHUN
         if sizes <= limit:
             yield batch
             continue
+        x = batch.column(column)
+        sizes = pc.multiply(pc.list_value_length(x), 8) if pa.types.is_list(x.type) else pc.binary_length(x)
         start = taken = 0
-        for i, value in enumerate(batch.column(column)):
-            n = len(value.as_buffer()) if value.is_valid else 0
+        for i, n in enumerate(pc.fill_null(sizes, 0).to_pylist()):
             if i > start and taken + n > limit:
                 yield batch.slice(start, i - start)
                 start, taken = i, 0

@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 
 from . import chat_format, html_consensus, mpeg_audio, quality_rules
 from .common import table
+from .near_dedup import near_duplicates
 from .token_counts import count_tokens
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = mpeg_audio.read_media(mpeg_audio.store_texts(table(spark, sf_dir, "documents")))
     at = F.concat_ws(",", F.slice("offsets", 1, 8).cast("array<string>"))
@@ -49,6 +54,7 @@ def op10_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_near_dedup": op1_near_dedup,
         "op2_mpeg_audio": op2_mpeg_audio,
         "op4_token_counts": op4_token_counts,
         "op8_chat_format": op8_chat_format,
