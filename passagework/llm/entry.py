@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import chat_format, html_consensus, mpeg_audio, quality_rules
 from .common import table
 from .near_dedup import near_duplicates
+from .packing import pack
 from .token_counts import count_tokens
 
 
@@ -29,6 +30,10 @@ def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -56,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": op1_near_dedup,
         "op2_mpeg_audio": op2_mpeg_audio,
+        "op3_packing": op3_packing,
         "op4_token_counts": op4_token_counts,
         "op8_chat_format": op8_chat_format,
         "op9_quality_rules": op9_quality_rules,

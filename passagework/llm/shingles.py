@@ -28,9 +28,9 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words, A-Z in lower case, and where each text's words begin
-    (one entry more than there are texts)."""
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of all words, A-Z in lower case, where each text's words begin (one
+    entry more than there are texts), the bytes, and where words start and end there."""
     coded = [t.encode() for t in texts]
     data = np.frombuffer(b"\n".join([*coded, b""]).translate(LOWER), np.uint8)
     space = SPACE[data]
@@ -40,7 +40,12 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     total = np.concatenate([[np.uint64(0)], np.cumsum((data + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
     hashes = mix((total[ends] - total[starts]) * down[starts])
     texts_at = np.cumsum([0, *(len(c) + 1 for c in coded)])
-    return hashes, np.searchsorted(starts, texts_at)
+    return hashes, np.searchsorted(starts, texts_at), data, starts, ends
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The first two of ``words_of``."""
+    return words_of(texts)[:2]
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
