@@ -12,6 +12,7 @@ from . import chat_format, html_consensus, mpeg_audio, quality_rules
 from .common import table
 from .near_dedup import near_duplicates
 from .packing import pack
+from .quality_mil import score_quality
 from .token_counts import count_tokens
 
 
@@ -38,6 +39,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(chat_format.PROBE).alias("text"))
     messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
@@ -63,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mpeg_audio": op2_mpeg_audio,
         "op3_packing": op3_packing,
         "op4_token_counts": op4_token_counts,
+        "op5_quality_mil": op5_quality_mil,
         "op8_chat_format": op8_chat_format,
         "op9_quality_rules": op9_quality_rules,
         "op10_html_consensus": op10_html_consensus,
