@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_consensus, mpeg_audio, quality_rules
+from . import chat_format, html_consensus, mpeg_audio, piece_transducer, quality_rules
 from .common import table
 from .near_dedup import near_duplicates
 from .packing import pack
@@ -43,6 +43,14 @@ def op5_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's ids, and what they decode to."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = piece_transducer.encode_texts(docs, model)
+    return piece_transducer.digest(ids, model)
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(chat_format.PROBE).alias("text"))
     messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
@@ -69,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": op3_packing,
         "op4_token_counts": op4_token_counts,
         "op5_quality_mil": op5_quality_mil,
+        "op7_piece_transducer": op7_piece_transducer,
         "op8_chat_format": op8_chat_format,
         "op9_quality_rules": op9_quality_rules,
         "op10_html_consensus": op10_html_consensus,
