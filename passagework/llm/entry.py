@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, html_consensus, mpeg_audio, piece_transducer, quality_rules
 from .common import table
+from .lm_scoring import score_documents
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality_mil import score_quality
@@ -43,6 +45,11 @@ def op5_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target are the documents that are labelled good."""
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter("quality = 1"))
+
+
 def op7_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's ids, and what they decode to."""
     model = public_tokenizers.path("piece_bpe_32k.model")
@@ -77,10 +84,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": op3_packing,
         "op4_token_counts": op4_token_counts,
         "op5_quality_mil": op5_quality_mil,
+        "op6_lm_scoring": op6_lm_scoring,
         "op7_piece_transducer": op7_piece_transducer,
         "op8_chat_format": op8_chat_format,
         "op9_quality_rules": op9_quality_rules,
         "op10_html_consensus": op10_html_consensus,
+        "pipeline": corpus_pipeline.run,
     }
 
 
