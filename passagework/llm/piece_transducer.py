@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import id_text, sliced
 
 SPACE = "▁"
-CACHE_SIZE = 600_000
+CACHE_SIZE = 1_200_000
 LONGEST_CACHED = 48
 
 
@@ -54,7 +54,7 @@ class Transducer:
                     node = node.setdefault(c, {})
                 node[""] = p
         self.fits: dict[tuple[str, str], bool] = {}
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Segments(self)
 
     def merge(self, text: str, last: dict | None = None) -> list[str]:
         """BPE of a short text: the best pair first, the leftmost of equal ones. ``last``
@@ -126,30 +126,41 @@ class Transducer:
             _, at, last = reached[at][last]
         return out[::-1]
 
-    def segment(self, text: str) -> bytes:
-        """The ids of one segment, from the cache if it is there."""
-        if (found := self.cache.get(text)) is None:
-            ids: list[int] = []
-            for p in self.path(text):
-                ids += [self.ids[p]] if p in self.ids else [self.bytes[b] for b in p.encode()]
-            found = np.array(ids, "<u4").tobytes()
-            if len(text) <= LONGEST_CACHED:
-                if len(self.cache) >= CACHE_SIZE:
-                    self.cache.clear()
-                self.cache[text] = found
-        return found
+    def compose(self, segment: str) -> bytes:
+        """The ids of one segment."""
+        ids: list[int] = []
+        for p in self.path(segment):
+            ids += [self.ids[p]] if p in self.ids else [self.bytes[b] for b in p.encode()]
+        return np.array(ids, "<u4").tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        segments = _segments(SPACE + text.replace(" ", SPACE))
-        return np.frombuffer(b"".join(map(self.segment, segments)), "<u4")
+        words = text.split(" ")
+        if SPACE in text or "" in words:  # segments with several spaces
+            return np.frombuffer(b"".join(map(self.compose, _segments(SPACE + text.replace(" ", SPACE)))), "<u4")
+        return np.frombuffer(b"".join(map(self.cache.__getitem__, words)), "<u4")
 
     def decode(self, ids) -> str:
-        data = b"".join([self.raw[i] for i in ids])
+        data = b"".join(map(self.raw.__getitem__, ids))
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
+class _Segments(dict):
+    """The ids of words behind one space, kept up to ``CACHE_SIZE``."""
+
+    def __init__(self, transducer: Transducer):
+        self.compose = transducer.compose
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.compose(SPACE + word)
+        if len(word) <= LONGEST_CACHED:
+            if len(self) >= CACHE_SIZE:
+                self.clear()
+            self[word] = found
+        return found
+
+
 _segments = re.compile(f"{SPACE}+[^{SPACE}]*").findall
 
 
