@@ -84,7 +84,8 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     trimmed = F.btrim("text", F.lit(SPACE))
     df = id_text(docs, id_col, text_col).withColumn("words", F.when(trimmed != "", F.split(trimmed, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>")))
     df = df.withColumn("n_words", F.size("words"))
-    windows = F.transform(F.sequence(F.lit(1), F.col("n_words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("words"), i, WINDOW)))
+    # Single items, as slice() would copy the whole array for each window.
+    windows = F.transform(F.sequence(F.lit(0), F.col("n_words") - WINDOW), lambda i: F.xxhash64(*(F.get(F.col("words"), i + k) for k in range(WINDOW))))
     repeated = _let(windows, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), _repeated(h)).otherwise(0))
     without = "text"
     for c in SYMBOLS:
