@@ -56,6 +56,12 @@ RULES = (
 )
 
 
+def _held(value: Column) -> Column:
+    """The same value, as one that the optimiser may not compute again elsewhere: it would
+    move a filter on the verdict below the counts, and split a text for each of its words."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -82,7 +88,7 @@ def _repeated(hashes: Column) -> Column:
 def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, the counts and ``base_failed`` of every row."""
     trimmed = F.btrim("text", F.lit(SPACE))
-    df = id_text(docs, id_col, text_col).withColumn("words", F.when(trimmed != "", F.split(trimmed, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>")))
+    df = id_text(docs, id_col, text_col).withColumn("words", _held(F.when(trimmed != "", F.split(trimmed, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>"))))
     df = df.withColumn("n_words", F.size("words"))
     # Single items, as slice() would copy the whole array for each window.
     windows = F.transform(F.sequence(F.lit(0), F.col("n_words") - WINDOW), lambda i: F.xxhash64(*(F.get(F.col("words"), i + k) for k in range(WINDOW))))
@@ -96,7 +102,7 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.expr(f"length(text) - length({without})").cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
-        F.when(F.col("n_words") > WINDOW, repeated).otherwise(0).cast("long").alias("n_repeat_words"),
+        _held(F.when(F.col("n_words") > WINDOW, repeated).otherwise(0).cast("long")).alias("n_repeat_words"),
     )
     return df.select(
         "doc_id", "text", "n_words", "word_chars", "n_symbols", F.col("lines.dup").alias("n_dup_lines"), "n_repeat_words", F.col("lines.n").alias("n_lines"),
