@@ -6,12 +6,15 @@ stand side by side. A document's candidates are those of the ``NEIGHBOURS`` rows
 that share at least ``LEAST_DEPTH`` values. Where fewer do, that is everything down to the
 least depth; where all of them do, the region is dense, and only the row that shares the
 longest prefix is one. So the depth follows the density, and no group is paired with
-itself.
+itself. This links most of what belongs together, but not all: the last step compares the
+rest of every region (the rows that share ``LEAST_DEPTH`` values), whatever its size, in
+blocks of ``BLOCK`` rows. Only pairs of one component are left out there, as their links
+can't change anything.
 
 Documents with equal sets are one from the start (a 128-bit fingerprint and the size).
 Candidates are confirmed on full sets: first along the order of ``ORDERS`` trees, where
 sets travel once and links that join what is joined already are skipped, then the pairs
-that are left between different components. Two sets of similarity s >= 0.85 share a
+that are left between different components, and then the regions' rest. Two sets of similarity s >= 0.85 share a
 prefix of 3 in none of 12 trees with a chance of (1 - s^3)^12, 1e-5 at most.
 """
 
@@ -31,6 +34,8 @@ TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS, ORDERS = 12, 8, 3, 8, 2
 #: 0.85 agree in 118 of 128 on average, with a deviation of 3.
 BITS, LEAST_BITS = 128, 102
 PERCENT = 85
+#: Rows of a region that are compared with as many at a time.
+BLOCK = 2048
 #: Ids of documents that need a second look are broadcast up to this many (8 bytes each).
 BROADCAST_IDS = 1_000_000
 
@@ -38,7 +43,7 @@ _rng = np.random.default_rng(20_250_101)
 _N = TREES * DEPTH + BITS
 FACTORS = _rng.integers(1 << 31, size=_N, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 OFFSETS = _rng.integers(1 << 32, size=_N, dtype=np.uint32)
-LABEL = DEPTH * 4
+LABEL, REGION = DEPTH * 4, LEAST_DEPTH * 4
 
 
 def _signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -157,11 +162,139 @@ def _confirm(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
 
 
+def _cross(batches):
+    """Pairs of each key's left rows with its right ones that are in different components."""
+    key, left = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, right, loose = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        ids, group, size = (batch.column(k).to_numpy() for k in range(3, 6))
+        sketch = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        a, b, held = [], [], 0
+        ends = np.flatnonzero((keys[1:] != keys[:-1]) | (right[1:] != right[:-1])) + 1
+        for x, y in zip([0, *ends.tolist()], [*ends.tolist(), len(keys)], strict=True):
+            if keys[x] != key:
+                key, left = keys[x], []
+            if not right[x]:
+                left.append((ids[x:y], group[x:y], size[x:y], sketch[x:y]))
+                continue
+            for own, own_group, own_size, own_sketch in left:
+                for k in range(0, len(own), 256):
+                    cut = slice(k, k + 256)
+                    i, j = np.nonzero(
+                        (own_group[cut, None] != group[None, x:y]) & ((own[cut, None] < ids[None, x:y]) | ~loose[None, x:y])
+                        & (100 * np.minimum(own_size[cut, None], size[None, x:y]) >= PERCENT * np.maximum(own_size[cut, None], size[None, x:y]))
+                    )
+                    near = np.bitwise_count(own_sketch[cut][i] ^ sketch[x:y][j]).sum(1) <= BITS - LEAST_BITS
+                    a.append(own[cut][i[near]])
+                    b.append(ids[x:y][j[near]])
+                    held += len(a[-1])
+                    if held > 1_000_000:
+                        yield _pairs(a, b)
+                        a, b, held = [], [], 0
+        if held:
+            yield _pairs(a, b)
+
+
+def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    a, b = np.concatenate(a), np.concatenate(b)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _meet(sets: dict[int, list[np.ndarray]], asked: dict[int, list[int]]):
+    """Each id with those of its partners that are similar, by counts of common elements."""
+    at = {}
+    flat, sizes = [], []
+    for doc, own in sets.items():
+        at[doc] = [len(flat) + k for k in range(len(own))]
+        flat += own
+        sizes += map(len, own)
+    sizes = np.array(sizes)
+    start = np.cumsum(sizes) - sizes
+    _, number = np.unique(np.concatenate(flat), return_inverse=True)
+    mark = np.zeros(len(number), bool)
+    for x, partners in asked.items():
+        found: set[int] = set()
+        rows = [(k, y) for y in partners for k in at.get(y, ())]
+        k = np.array([k for k, _ in rows], np.int64)
+        for own in at.get(x, ()) if rows else ():
+            mark[number[start[own] : start[own] + sizes[own]]] = True
+            first = np.cumsum(sizes[k]) - sizes[k]
+            both = np.add.reduceat(mark[number[np.repeat(start[k] - first, sizes[k]) + np.arange(first[-1] + sizes[k[-1]])]].astype(np.int64), first)
+            mark[number[start[own] : start[own] + sizes[own]]] = False
+            found.update(rows[j][1] for j in np.flatnonzero(100 * both >= PERCENT * (sizes[own] + sizes[k] - both)))
+        yield x, found
+
+
+def _confirm_blocks(batches):
+    """Links among each key's pairs, whose sets come before them and travel once for a key."""
+    key, sets, asked = None, {}, {}
+
+    def out():
+        a, b = [], []
+        for x, found in _meet(sets, asked) if sets else ():
+            a += [x] * len(found)
+            b += found
+        sets.clear()
+        asked.clear()
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    for batch in sliced(batches, 4):
+        shingles = batch.column(4)
+        for row, (k, is_pair, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+            if k != key:
+                yield out()
+                key = k
+            if is_pair:
+                asked.setdefault(x, []).append(y)
+            elif len(own := shingles[row].values):
+                sets.setdefault(x, []).append(own.to_numpy().view(np.uint64).copy())
+    yield out()
+
+
+def _rest(df: DataFrame, reps: DataFrame, final: DataFrame, block: int) -> DataFrame:
+    """The links that are still missing between rows of one region: a, b.
+
+    In each region with several components, all rows but those of the largest (the loose
+    ones) meet all rows, in a task for every two blocks. So a group that is joined already
+    costs little, and no region meets in one task.
+    """
+    placed = materialise(reps.join(final, "doc_id", "left").select("doc_id", "labels", "sketch", "n", F.coalesce("component_id", "doc_id").alias("group")), "placed")
+    rows = placed.select(
+        F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring(F.col("labels"), t * LABEL + 1, F.lit(REGION)))).alias("tree", "prefix"), "sketch", "n", "doc_id", "group",
+    )
+    key = ["tree", "prefix"]
+    regions = rows.groupBy(*key, "group").agg(F.count("*").alias("k")).groupBy(*key).agg(F.sum("k").alias("total"), F.max(F.struct("k", "group")).alias("top"), F.count("*").alias("groups"))
+    regions = regions.filter("groups > 1").select(*key, F.ceil((F.col("total") - F.col("top.k")) / block).alias("n_left"), F.ceil(F.col("total") / block).alias("n_right"), F.col("top.group").alias("most"))
+    regions = materialise(regions, "regions")
+    large = rows.join(F.broadcast(regions.filter("n_right > 1")), key, "left")
+    small = large.filter("most IS NULL").select(*rows.columns).join(regions.filter("n_right = 1"), key)
+    dealt = large.filter("most IS NOT NULL").select(*small.columns).unionByName(small).withColumn("loose", F.col("group") != F.col("most"))
+    out = ["loose", "doc_id", "group", "n", "sketch"]
+    lefts = dealt.filter("loose").withColumn("i", F.pmod(F.xxhash64("doc_id"), "n_left")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_right") - 1))).withColumn("right", F.lit(False))
+    rights = dealt.withColumn("j", F.pmod(F.xxhash64("doc_id"), "n_right")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_left") - 1))).withColumn("right", F.lit(True))
+    met = lefts.unionByName(rights.select(*lefts.columns)).select(F.xxhash64(*key, "i", "j").alias("key"), "right", *out)
+    pairs = materialise(met.repartition("key").sortWithinPartitions("key", "right").mapInArrow(_cross, "a long, b long").distinct(), "rest")
+    need = materialise(_ends(pairs), "rest_ids")
+    n = need.count()
+    # Pairs are dealt by blocks of their ends, so that a set travels once for many pairs of it.
+    parts = max(1, n // 256)
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
+    pairs = pairs.withColumn("key", part("a") * parts + part("b"))
+    sets = df.join(F.broadcast(need) if n <= BROADCAST_IDS else need, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>")
+    ends = pairs.select("key", F.col("a").alias("doc_id")).unionByName(pairs.select("key", F.col("b").alias("doc_id"))).distinct()
+    travel = ends.join(sets, "doc_id").select("key", F.lit(False).alias("is_pair"), F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
+    asked = pairs.select("key", F.lit(True).alias("is_pair"), "a", "b", F.lit(None).cast("array<long>").alias("shingles"))
+    both = travel.unionByName(asked).repartition("key").sortWithinPartitions("key", "is_pair")
+    return materialise(both.mapInArrow(_confirm_blocks, "a long, b long"), "rest_links")
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
     A null or empty text, or one without words, has no shingles and is alone. Repeated
@@ -203,7 +336,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .join(again.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
         .select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long")
     )
-    final = components(links.unionByName(checked))
+    checked = materialise(links.unionByName(checked), "checked")
+    final = materialise(components(checked), "final")
+    final = components(checked.unionByName(_rest(df, reps, final, block)))
     whole = materialise(classes.join(final.withColumnRenamed("doc_id", "rep"), "rep", "left").select(*key, "copies", F.coalesce("component_id", "rep").alias("component_id")), "whole")
     # The classes with a thousandth of all rows or more, 1000 at most, are broadcast, so that no large one meets in a task.
     hot = whole.filter(F.col("copies") * 1000 >= signed.count()).select(*key, F.col("component_id").alias("hot_id"))

@@ -98,6 +98,39 @@ def test_near_duplicates_on_documents(spark):
     assert {r.doc_id: r.component_id for r in entry.queries()["op1_near_dedup"](spark, SF).collect()} == want
 
 
+@pytest.mark.parametrize("block", [near_dedup.BLOCK, 300])
+def test_near_duplicates_in_a_dense_region(spark, block):
+    """Hundreds of rows share most of a text; few of them reach 0.85, and only with one or two others."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for k in range(660):
+        if k % 11 == 10:  # a copy of an earlier row, just above or below the limit
+            own = rows[rng.randrange(len(rows))][1].split()
+            first = rng.randrange(20, 150)
+            for j in range(first, first + rng.randint(8, 16)):
+                own[j] = f"y{k}.{j}"
+        else:
+            own = list(base)
+            first = rng.randrange(20, 150)
+            for j in range(first, first + 13):
+                own[j] = f"x{k}.{j}"
+        rows.append((k, " ".join(own)))
+    sets = [shingle_set(t) for _, t in rows]
+    column: dict = {}
+    has = np.zeros((len(rows), len(frozenset().union(*sets))), np.float32)
+    for k, own in enumerate(sets):
+        has[k, [column.setdefault(x, len(column)) for x in own]] = 1
+    both, n = has @ has.T, has.sum(1)
+    want = list(range(len(rows)))
+    for i, j in zip(*np.nonzero(np.triu(100 * both >= 85 * (n[:, None] + n - both), 1))):
+        x, y = want[i], want[j]
+        want = [min(x, y) if w in (x, y) else w for w in want]
+    assert 600 < len(set(want)) < 650
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
+    assert got == dict(enumerate(want))
+
+
 @pytest.mark.parametrize("limit", [1_000_000, 0])
 def test_near_duplicates_edges(spark, odd, none, limit):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(odd, broadcast_ids=limit).collect()), key=repr)
