@@ -8,14 +8,15 @@ representation, and a logistic layer scores it. All parts are learned together,
 documents' labels alone.
 
 It is fitted on at most ``MAX_LABELLED`` labelled documents, taken by a hash of the id
-where there are more; every document is scored whole.
+where there are more, and on no more than have ``MAX_PASSAGES`` passages together. All
+passages of those are used, and every document is scored whole.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_text, materialise, sliced
@@ -24,9 +25,9 @@ from .shingles import words_of
 PASSAGE = 1024
 HIDDEN, ATTENTION = 24, 12
 MAX_LABELLED = 6_000
-#: Labelled documents have at most so many passages sent to the driver: evenly spaced ones
-#: of what is longer. This bounds the fit only.
-MAX_PASSAGES = 24
+#: Passages that are sent to the driver, 852 bytes each and twice that in the fit. Beyond
+#: that fewer documents are taken, and at least one.
+MAX_PASSAGES = 100_000
 THRESHOLD = 0.7
 
 
@@ -129,12 +130,11 @@ def _encode(batches):
         x, at = passages(batch.column(1).to_pylist())
         rows = []
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            kept = x[a:b] if b - a <= MAX_PASSAGES else x[np.linspace(a, b - 1, MAX_PASSAGES).astype(int)]
-            rows.append(kept.astype(np.float16).tobytes())
+            rows.append(x[a:b].astype(np.float16).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["doc_id", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> dict:
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_passages: int = MAX_PASSAGES) -> dict:
     """Fit on rows of ``labels`` (doc_id, quality) that aren't held out and have a document.
 
     Labels that are null or whose id is null are left out; of several for one id the
@@ -143,7 +143,11 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(~held_out(F.col("doc_id")))
     chosen = own.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     chosen = materialise(chosen, "labelled")  # at most max_labelled ids, so they may be broadcast
-    encoded = docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]).mapInArrow(_encode, "doc_id long, x binary")
+    texts = materialise(docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]), "labelled_texts")
+    before = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # over max_labelled rows at most, without their texts
+    sized = texts.select("doc_id", F.greatest(F.lit(1), F.ceil(F.octet_length("text") / PASSAGE)).alias("n")).withColumn("total", F.sum("n").over(before))
+    fits = sized.filter((F.col("total") <= max_passages) | (F.col("total") == F.col("n"))).select("doc_id")
+    encoded = texts.join(F.broadcast(fits), "doc_id", "left_semi").mapInArrow(_encode, "doc_id long, x binary")
     rows = encoded.join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toArrow().to_pydict()
     parts = [np.frombuffer(x, np.float16).reshape(-1, WIDTH).astype(np.float32) for x in rows["x"]]
     x = np.concatenate(parts) if parts else np.zeros((0, WIDTH), np.float32)
@@ -159,7 +163,7 @@ def _score(shared):
     return run
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED, max_passages: int = MAX_PASSAGES) -> DataFrame:
     """doc_id, held_out, score, predicted for every row.
 
     A null or empty text is one empty passage and has a score as any other; repeated rows
@@ -167,6 +171,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     are inputs of a score; other columns are ignored.
     """
     df = id_text(docs, id_col, text_col)
-    model = docs.sparkSession.sparkContext.broadcast(train(df, labels, max_labelled))
+    model = docs.sparkSession.sparkContext.broadcast(train(df, labels, max_labelled, max_passages))
     out = df.mapInArrow(_score(model), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

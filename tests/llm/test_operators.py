@@ -264,6 +264,19 @@ def test_classifier_on_held_out(spark, odd, none):
     assert quality_mil.score_quality(odd, labels.limit(0)).count() == len(TEXTS) + 2
 
 
+def test_fit_takes_whole_texts(spark, monkeypatch):
+    """All passages of a labelled text are fitted, and a bound leaves out rows, not passages."""
+    got = []
+    monkeypatch.setattr(quality_mil, "fit", lambda x, at, y: got.append(np.diff(at).tolist()))
+    ids = [k for k in range(20) if zlib.crc32(str(k).encode()) % 4 != 2][:4]
+    docs = spark.createDataFrame([(k, "junk " * (1024 * 20)) for k in ids], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "1 AS quality")
+    quality_mil.train(docs, labels)
+    quality_mil.train(docs, labels, max_passages=250)
+    quality_mil.train(docs, labels, max_passages=5)
+    assert got == [[100] * 4, [100] * 2, [100]]
+
+
 def test_passages_and_gradient():
     texts = ["ab c" * 700, "", "É" * 600]
     x, at = quality_mil.passages(texts)
