@@ -100,7 +100,9 @@ def test_near_duplicates_on_documents(spark):
 
 @pytest.mark.parametrize("block", [near_dedup.BLOCK, 300])
 def test_near_duplicates_in_a_dense_region(spark, block):
-    """Hundreds of rows share most of a text; few of them reach 0.85, and only with one or two others."""
+    """Hundreds of rows share most of a text; few of them reach 0.85, and only with one or two others.
+
+    So few rows were joined before regions were compared whole, too; a case of thousands that wasn't is missing."""
     rng = random.Random(11)
     base = [f"w{k}" for k in range(200)]
     rows = []
