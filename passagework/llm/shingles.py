@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 WORDS = 5
-BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses modulo 2**64
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
-POSITION = np.array([pow(BASE, 2 * k + 3, 1 << 64) for k in range(WORDS)], np.uint64)
-
-_powers: list[np.ndarray] = []
+#: Longer words are hashed one by one.
+LONG = 64
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_POSITION = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 3, 1 << 64) for k in range(WORDS)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -21,24 +23,28 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(32)
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)]), dtype=np.uint64) for b in (BASE, pow(BASE, -1, 1 << 64))]
-    return _powers[0], _powers[1]
-
-
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The hashes of all words, A-Z in lower case, where each text's words begin (one
-    entry more than there are texts), the bytes, and where words start and end there."""
+    entry more than there are texts), the bytes, and where words start and end there.
+
+    Eight bytes of every word are taken at a time and mixed into its hash, which starts
+    with the length; of words over ``LONG`` bytes it is a part of their BLAKE2 digest. No
+    step is linear in the bytes, so words don't collide by their structure.
+    """
     coded = [t.encode() for t in texts]
-    data = np.frombuffer(b"\n".join([*coded, b""]).translate(LOWER), np.uint8)
-    space = SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).view(np.int8)))
+    raw = b"\n".join([*coded, b""]).translate(LOWER)
+    data = np.frombuffer(raw, np.uint8)
+    edge = np.flatnonzero(np.diff(SPACE[data].view(np.int8), prepend=np.int8(1)))
     starts, ends = edge[::2], edge[1::2]
-    up, down = _power(len(data) + 1)
-    total = np.concatenate([[np.uint64(0)], np.cumsum((data + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
-    hashes = mix((total[ends] - total[starts]) * down[starts])
+    wide = np.ndarray(len(data), "<u8", raw + bytes(8), strides=(1,))
+    left = ends - starts
+    hashes = mix((wide[starts] & _MASK[np.minimum(left, 8)]) ^ left.astype(np.uint64) * _POSITION[0])
+    rest = np.flatnonzero((left > 8) & (left <= LONG))
+    for k in range(8, LONG, 8):
+        rest = rest[left[rest] > k]
+        hashes[rest] = mix(hashes[rest] * _POSITION[1] ^ (wide[starts[rest] + k] & _MASK[np.minimum(left[rest] - k, 8)]))
+    for k in np.flatnonzero(left > LONG).tolist():
+        hashes[k] = int.from_bytes(hashlib.blake2b(raw[starts[k] : ends[k]], digest_size=8).digest(), "little")
     texts_at = np.cumsum([0, *(len(c) + 1 for c in coded)])
     return hashes, np.searchsorted(starts, texts_at), data, starts, ends
 
@@ -54,7 +60,7 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     words, at = word_hashes(texts)
     runs = np.zeros(max(0, len(words) - WORDS + 1), np.uint64)
     for k in range(WORDS):
-        runs += words[k : k + len(runs)] * POSITION[k]
+        runs += mix(words[k : k + len(runs)] + _POSITION[k])
     runs = mix(runs)
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -62,7 +68,7 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
         if n >= WORDS:
             out.append(np.unique(runs[a : b - WORDS + 1]))
         elif n:
-            out.append(mix(np.array([np.sum(words[a:b] * POSITION[:n], dtype=np.uint64) + np.uint64(n)], np.uint64)))
+            out.append(mix(np.array([np.sum(mix(words[a:b] + _POSITION[:n]), dtype=np.uint64) + np.uint64(n)], np.uint64)))
         else:
             out.append(words[:0])
     return out
