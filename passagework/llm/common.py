@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,14 +17,16 @@ CHUNK_BYTES = 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Taken from ``spark.checkpoint.dir``; only a session without it (tests) gets a
-    local temporary folder.
+    A local session without it gets a temporary folder. On a cluster that is an error, as
+    executors wouldn't see it.
     """
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc._conf.get("spark.checkpoint.dir")
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='passagework-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -40,16 +43,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialise`` wrote, once nothing reads it any more."""
+    for df in tables:
+        jvm, files = df.sparkSession._jvm, df.inputFiles()
+        if files:
+            path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the id and the text, a null text as the empty one.
+def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """Only the id and the text, a null text as the empty one, and with ``carry`` the whole
+    row as the struct ``row``.
 
-    Extra columns are pruned here, so none can clash with an operator's own.
+    Extra columns are pruned or inside the struct, so none can clash with an operator's own.
     """
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    row = [F.struct("*").alias("row")] if carry else []
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *row)
 
 
 def sliced(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -71,7 +85,3 @@ def sliced(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = CHUN
                 start, taken = i, 0
             taken += n
         yield batch.slice(start)
-
-
-def map_texts(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)

@@ -1,38 +1,42 @@
 """MinHash near-duplicates by an LSH forest.
 
-Each document's set of word shingles gives ``TREES`` labels of ``DEPTH`` minimum hashes.
+Each document's set of word shingles gives ``trees`` labels of ``DEPTH`` minimum hashes.
 For each tree Spark sorts all labels; documents whose labels share a long prefix then
-stand side by side. A document's candidates are those of the ``NEIGHBOURS`` rows before it
-that share at least ``LEAST_DEPTH`` values. Where fewer do, that is everything down to the
-least depth; where all of them do, the region is dense, and only the row that shares the
-longest prefix is one. So the depth follows the density, and no group is paired with
-itself. This links most of what belongs together, but not all: the last step compares the
-rest of every region (the rows that share ``LEAST_DEPTH`` values), whatever its size, in
-blocks of ``BLOCK`` rows. Only pairs of one component are left out there, as their links
-can't change anything.
+stand side by side. A document's candidates are the ``NEIGHBOURS`` rows on each side that
+share its longest prefixes, of ``LEAST_DEPTH`` values at least: where few rows do, that is
+all down to the least depth, and in a dense region the depth descends until no more than
+these are left. This links most of what belongs together, but not all: the last step
+compares the rest of every region (the rows that share ``LEAST_DEPTH`` values), whatever
+its size, in blocks of ``BLOCK`` rows. Only pairs of one component are left out there, as
+their links can't change anything.
 
 Documents with equal sets are one from the start (a 128-bit fingerprint and the size).
 Candidates are confirmed on full sets: first along the order of ``ORDERS`` trees, where
 sets travel once and links that join what is joined already are skipped, then the pairs
-that are left between different components, and then the regions' rest. Two sets of similarity s >= 0.85 share a
-prefix of 3 in none of 12 trees with a chance of (1 - s^3)^12, 1e-5 at most.
+that are left between different components, and then the regions' rest. There are as
+many trees as it takes for two sets of the least similarity to share a prefix in none of
+them with a chance of 2e-5: 12 for 0.85, 16 for 0.8. A sketch rules a pair out if it is
+4.8 deviations below what the least similarity gives.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialise, sliced
+from .common import discard, id_text, materialise, sliced
 from .components import components
 from .shingles import mix, shingle_sets
 
-TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS, ORDERS = 12, 8, 3, 8, 2
+MAX_TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS, ORDERS = 48, 8, 3, 8, 2
+MISSED = 2e-5
 #: Sketch bits: one of each of so many further minimum hashes. Two sets of similarity
 #: 0.85 agree in 118 of 128 on average, with a deviation of 3.
-BITS, LEAST_BITS = 128, 102
+BITS = 128
 PERCENT = 85
 #: Rows of a region that are compared with as many at a time.
 BLOCK = 2048
@@ -40,78 +44,99 @@ BLOCK = 2048
 BROADCAST_IDS = 1_000_000
 
 _rng = np.random.default_rng(20_250_101)
-_N = TREES * DEPTH + BITS
+_N = BITS + MAX_TREES * DEPTH
 FACTORS = _rng.integers(1 << 31, size=_N, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 OFFSETS = _rng.integers(1 << 32, size=_N, dtype=np.uint32)
 LABEL, REGION = DEPTH * 4, LEAST_DEPTH * 4
 
 
-def _signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of minimum hashes for each set; none may be empty."""
+def trees_for(percent: int) -> int:
+    return min(MAX_TREES, math.ceil(math.log(MISSED) / math.log(1 - min(0.99, percent / 100) ** LEAST_DEPTH)))
+
+
+def apart_bits(percent: int) -> int:
+    """Sketch bits in which two sets that may be linked differ at most."""
+    share = (1 - percent / 100) / 2
+    return math.ceil(BITS * share + 4.8 * math.sqrt(BITS * share * (1 - share)))
+
+
+def _signatures(sets: list[np.ndarray], count: int) -> np.ndarray:
+    """A row of ``count`` minimum hashes for each set; none may be empty."""
     every = np.concatenate(sets)
     low, high = every.astype(np.uint32), (every >> np.uint64(32)).astype(np.uint32)
     at = np.cumsum([0, *map(len, sets[:-1])])
-    out = np.empty((_N, len(sets)), np.uint32)
-    for k in range(_N):
+    out = np.empty((count, len(sets)), np.uint32)
+    for k in range(count):
         out[k] = np.minimum.reduceat((low ^ OFFSETS[k]) * FACTORS[k] ^ high, at)
     return out.T
 
 
-def _sign(batches):
-    for batch in sliced(batches, limit=1_000_000):
-        sets = shingle_sets(batch.column(1).to_pylist())
-        full = [s for s in sets if len(s)]
-        sums, xors, labels, sketches, k = [], [], [], [], 0
-        rows = _signatures(full) if full else None
-        if full:
-            forest = rows[:, : TREES * DEPTH].astype(">u4")
-            bits = np.packbits((rows[:, TREES * DEPTH :] >> np.uint32(7) & np.uint32(1)).astype(np.uint8), axis=1)
-        for s in sets:
-            if len(s):
-                sums.append(int(np.sum(s, dtype=np.uint64).view(np.int64)))
-                xors.append(int(np.bitwise_xor.reduce(mix(s)).view(np.int64)))
-                labels.append(forest[k].tobytes())
-                sketches.append(bits[k].tobytes())
-                k += 1
-            else:
-                for x in (sums, xors, labels, sketches):
-                    x.append(None)
-        sizes = pa.array(list(map(len, sets)), pa.int64())
-        columns = [pa.array(sums, pa.int64()), pa.array(xors, pa.int64()), pa.array(labels, pa.binary()), pa.array(sketches, pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), sizes, *columns], ["doc_id", "n", "f1", "f2", "labels", "sketch"])
-
-
-def _neighbours(batches):
-    """Pairs of rows that share a prefix, among each row and the ``NEIGHBOURS`` before it."""
-    kept = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        n = batch.num_rows
-        label = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u4").reshape(n, DEPTH)[:, :LEAST_DEPTH].astype(np.uint32)
-        sketch = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(n, BITS // 8)
-        now = [batch.column(0).to_numpy(), label, sketch, batch.column(3).to_numpy(), batch.column(4).to_numpy()]
-        old = 0 if kept is None else len(kept[0])
-        if old:
-            now = [np.concatenate(x) for x in zip(kept, now, strict=True)]
-        tree, label, sketch, size, ids = now
-        dense = np.zeros(len(tree), bool)
-        dense[NEIGHBOURS:] = (tree[NEIGHBOURS:] == tree[:-NEIGHBOURS]) & (label[NEIGHBOURS:] == label[:-NEIGHBOURS]).all(1)
-        a, b = [], []
-        for k in range(1, min(NEIGHBOURS, len(tree) - 1) + 1):
-            first = max(0, old - k)
-            j = np.arange(first + k, len(tree))
-            j = j if k == 1 else j[~dense[j]]
-            i = j - k
-            near = (tree[i] == tree[j]) & (label[i] == label[j]).all(1) & (100 * np.minimum(size[i], size[j]) >= PERCENT * np.maximum(size[i], size[j]))
-            i, j = i[near], j[near]
-            near = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1) <= BITS - LEAST_BITS
-            a.append(ids[i[near]])
-            b.append(ids[j[near]])
-        kept = [x[-NEIGHBOURS:] for x in now]
-        if a:
-            a, b = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+def _sign(trees: int):
+    def run(batches):
+        for batch in sliced(batches, limit=1_000_000):
+            sets = shingle_sets(batch.column(1).to_pylist())
+            full = [s for s in sets if len(s)]
+            sums, xors, labels, sketches, k = [], [], [], [], 0
+            if full:
+                rows = _signatures(full, BITS + trees * DEPTH)
+                forest = rows[:, BITS:].astype(">u4")
+                bits = np.packbits((rows[:, :BITS] >> np.uint32(7) & np.uint32(1)).astype(np.uint8), axis=1)
+            for s in sets:
+                if len(s):
+                    sums.append(int(np.sum(s, dtype=np.uint64).view(np.int64)))
+                    xors.append(int(np.bitwise_xor.reduce(mix(s)).view(np.int64)))
+                    labels.append(forest[k].tobytes())
+                    sketches.append(bits[k].tobytes())
+                    k += 1
+                else:
+                    for x in (sums, xors, labels, sketches):
+                        x.append(None)
+            sizes = pa.array(list(map(len, sets)), pa.int64())
+            columns = [pa.array(sums, pa.int64()), pa.array(xors, pa.int64()), pa.array(labels, pa.binary()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, *columns], ["doc_id", "n", "f1", "f2", "labels", "sketch"])
+
+    return run
+
+
+def _neighbours(percent: int):
+    """Pairs of each row with those of the ``NEIGHBOURS`` before it that share a prefix.
+
+    In sorted order the rows next to a row share its longest prefixes, so what two rows
+    have in common is the least of the prefixes between those in between.
+    """
+    apart = apart_bits(percent)
+
+    def run(batches):
+        kept = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = batch.num_rows
+            label = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u4").reshape(n, DEPTH).astype(np.uint32)
+            sketch = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(n, BITS // 64)
+            now = [batch.column(0).to_numpy(), label, sketch, batch.column(3).to_numpy(), batch.column(4).to_numpy()]
+            old = 0 if kept is None else len(kept[0])
+            if old:
+                now = [np.concatenate(x) for x in zip(kept, now, strict=True)]
+            tree, label, sketch, size, ids = now
+            shared = np.zeros(len(tree), np.int8)  # values in common with the row before
+            shared[1:] = np.cumprod(label[1:] == label[:-1], 1).sum(1) * (tree[1:] == tree[:-1])
+            common, a, b = shared.copy(), [], []
+            for k in range(1, min(NEIGHBOURS, len(tree) - 1) + 1):
+                if k > 1:
+                    common[k:] = np.minimum(common[k:], shared[1 : len(shared) - k + 1])
+                j = max(old, k) + np.flatnonzero(common[max(old, k) :] >= LEAST_DEPTH)
+                i = j - k
+                near = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
+                i, j = i[near], j[near]
+                near = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1) <= apart
+                a.append(ids[i[near]])
+                b.append(ids[j[near]])
+            kept = [x[-NEIGHBOURS:] for x in now]
+            if a:
+                yield _pairs(a, b)
+
+    return run
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
@@ -122,31 +147,35 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _along(batches):
+def _along(percent: int):
     """Links between rows that stand near each other, by their sets."""
-    recent: list[tuple] = []  # tree, prefix, set, id, group
-    groups: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while groups.get(x, x) != x:
-            x = groups[x]
-        return x
-
-    for batch in sliced(batches, 2):
-        a, b = [], []
-        sets = batch.column(2)
-        for tree, label, i, doc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), range(batch.num_rows), batch.column(3).to_pylist(), strict=True):
-            own = sets[i].values.to_numpy().view(np.uint64)
-            prefix = label[: 4 * LEAST_DEPTH]
-            for t, p, other, that in reversed(recent):
-                if t == tree and p == prefix and find(that) != find(doc) and similar(own, other):
-                    groups[find(doc)] = find(that)
-                    a.append(min(doc, that))
-                    b.append(max(doc, that))
-            recent = [*recent[-NEIGHBOURS + 1 :], (tree, prefix, own, doc)]
-        if len(groups) > 100_000:
-            groups.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def run(batches):
+        recent: list[tuple] = []  # tree, prefix, set, id, group
+        groups: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while groups.get(x, x) != x:
+                x = groups[x]
+            return x
+
+        for batch in sliced(batches, 2):
+            a, b = [], []
+            sets = batch.column(2)
+            for tree, label, i, doc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), range(batch.num_rows), batch.column(3).to_pylist(), strict=True):
+                own = sets[i].values.to_numpy().view(np.uint64)
+                prefix = label[: 4 * LEAST_DEPTH]
+                for t, p, other, that in reversed(recent):
+                    if t == tree and p == prefix and find(that) != find(doc) and similar(own, other, percent):
+                        groups[find(doc)] = find(that)
+                        a.append(min(doc, that))
+                        b.append(max(doc, that))
+                recent = [*recent[-NEIGHBOURS + 1 :], (tree, prefix, own, doc)]
+            if len(groups) > 100_000:
+                groups.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
 
 
 def _sets(batches):
@@ -155,46 +184,44 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
 
-def _confirm(batches):
-    for batch in sliced(batches, 2):
-        x, y = batch.column(2), batch.column(3)
-        ok = [similar(x[i].values.to_numpy().view(np.uint64), y[i].values.to_numpy().view(np.uint64)) for i in range(batch.num_rows)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
-
-
-def _cross(batches):
+def _cross(percent: int):
     """Pairs of each key's left rows with its right ones that are in different components."""
-    key, left = None, []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys, right, loose = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-        ids, group, size = (batch.column(k).to_numpy() for k in range(3, 6))
-        sketch = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, BITS // 64)
-        a, b, held = [], [], 0
-        ends = np.flatnonzero((keys[1:] != keys[:-1]) | (right[1:] != right[:-1])) + 1
-        for x, y in zip([0, *ends.tolist()], [*ends.tolist(), len(keys)], strict=True):
-            if keys[x] != key:
-                key, left = keys[x], []
-            if not right[x]:
-                left.append((ids[x:y], group[x:y], size[x:y], sketch[x:y]))
+    apart = apart_bits(percent)
+
+    def run(batches):
+        key, left = None, []
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            for own, own_group, own_size, own_sketch in left:
-                for k in range(0, len(own), 256):
-                    cut = slice(k, k + 256)
-                    i, j = np.nonzero(
-                        (own_group[cut, None] != group[None, x:y]) & ((own[cut, None] < ids[None, x:y]) | ~loose[None, x:y])
-                        & (100 * np.minimum(own_size[cut, None], size[None, x:y]) >= PERCENT * np.maximum(own_size[cut, None], size[None, x:y]))
-                    )
-                    near = np.bitwise_count(own_sketch[cut][i] ^ sketch[x:y][j]).sum(1) <= BITS - LEAST_BITS
-                    a.append(own[cut][i[near]])
-                    b.append(ids[x:y][j[near]])
-                    held += len(a[-1])
-                    if held > 1_000_000:
-                        yield _pairs(a, b)
-                        a, b, held = [], [], 0
-        if held:
-            yield _pairs(a, b)
+            keys, right, loose = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            ids, group, size = (batch.column(k).to_numpy() for k in range(3, 6))
+            sketch = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            a, b, held = [], [], 0
+            ends = np.flatnonzero((keys[1:] != keys[:-1]) | (right[1:] != right[:-1])) + 1
+            for x, y in zip([0, *ends.tolist()], [*ends.tolist(), len(keys)], strict=True):
+                if keys[x] != key:
+                    key, left = keys[x], []
+                if not right[x]:
+                    left.append((ids[x:y], group[x:y], size[x:y], sketch[x:y]))
+                    continue
+                for own, own_group, own_size, own_sketch in left:
+                    for k in range(0, len(own), 256):
+                        cut = slice(k, k + 256)
+                        i, j = np.nonzero(
+                            (own_group[cut, None] != group[None, x:y]) & ((own[cut, None] < ids[None, x:y]) | ~loose[None, x:y])
+                            & (100 * np.minimum(own_size[cut, None], size[None, x:y]) >= percent * np.maximum(own_size[cut, None], size[None, x:y]))
+                        )
+                        near = np.bitwise_count(own_sketch[cut][i] ^ sketch[x:y][j]).sum(1) <= apart
+                        a.append(own[cut][i[near]])
+                        b.append(ids[x:y][j[near]])
+                        held += len(a[-1])
+                        if held > 1_000_000:
+                            yield _pairs(a, b)
+                            a, b, held = [], [], 0
+            if held:
+                yield _pairs(a, b)
+
+    return run
 
 
 def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
@@ -202,7 +229,7 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def _meet(sets: dict[int, list[np.ndarray]], asked: dict[int, list[int]]):
+def _meet(sets: dict[int, list[np.ndarray]], asked: dict[int, list[int]], percent: int):
     """Each id with those of its partners that are similar, by counts of common elements."""
     at = {}
     flat, sizes = [], []
@@ -223,37 +250,61 @@ def _meet(sets: dict[int, list[np.ndarray]], asked: dict[int, list[int]]):
             first = np.cumsum(sizes[k]) - sizes[k]
             both = np.add.reduceat(mark[number[np.repeat(start[k] - first, sizes[k]) + np.arange(first[-1] + sizes[k[-1]])]].astype(np.int64), first)
             mark[number[start[own] : start[own] + sizes[own]]] = False
-            found.update(rows[j][1] for j in np.flatnonzero(100 * both >= PERCENT * (sizes[own] + sizes[k] - both)))
+            found.update(rows[j][1] for j in np.flatnonzero(100 * both >= percent * (sizes[own] + sizes[k] - both)))
         yield x, found
 
 
-def _confirm_blocks(batches):
+def _confirm_blocks(percent: int):
     """Links among each key's pairs, whose sets come before them and travel once for a key."""
-    key, sets, asked = None, {}, {}
-
-    def out():
-        a, b = [], []
-        for x, found in _meet(sets, asked) if sets else ():
-            a += [x] * len(found)
-            b += found
-        sets.clear()
-        asked.clear()
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    for batch in sliced(batches, 4):
-        shingles = batch.column(4)
-        for row, (k, is_pair, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
-            if k != key:
-                yield out()
-                key = k
-            if is_pair:
-                asked.setdefault(x, []).append(y)
-            elif len(own := shingles[row].values):
-                sets.setdefault(x, []).append(own.to_numpy().view(np.uint64).copy())
-    yield out()
-
-
-def _rest(df: DataFrame, reps: DataFrame, final: DataFrame, block: int) -> DataFrame:
+
+    def run(batches):
+        key, sets, asked = None, {}, {}
+
+        def out():
+            a, b = [], []
+            for x, found in _meet(sets, asked, percent) if sets else ():
+                a += [x] * len(found)
+                b += found
+            sets.clear()
+            asked.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in sliced(batches, 4):
+            shingles = batch.column(4)
+            for row, (k, is_pair, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+                if k != key:
+                    yield out()
+                    key = k
+                if is_pair:
+                    asked.setdefault(x, []).append(y)
+                elif len(own := shingles[row].values):
+                    sets.setdefault(x, []).append(own.to_numpy().view(np.uint64).copy())
+        yield out()
+
+    return run
+
+
+def _confirmed(df: DataFrame, pairs: DataFrame, percent: int, broadcast_ids: int) -> DataFrame:
+    """Those of the written ``pairs`` that are similar: a, b.
+
+    Pairs are dealt by blocks of their ends, so that a set travels once for many pairs of it.
+    """
+    need = materialise(_ends(pairs), "ids")
+    n = need.count()
+    parts = max(1, n // 256)
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
+    pairs = pairs.withColumn("key", part("a") * parts + part("b"))
+    sets = df.join(F.broadcast(need) if n <= broadcast_ids else need, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>")
+    ends = pairs.select("key", F.col("a").alias("doc_id")).unionByName(pairs.select("key", F.col("b").alias("doc_id"))).distinct()
+    travel = ends.join(sets, "doc_id").select("key", F.lit(False).alias("is_pair"), F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
+    asked = pairs.select("key", F.lit(True).alias("is_pair"), "a", "b", F.lit(None).cast("array<long>").alias("shingles"))
+    both = travel.unionByName(asked).repartition("key").sortWithinPartitions("key", "is_pair")
+    links = materialise(both.mapInArrow(_confirm_blocks(percent), "a long, b long"), "confirmed")
+    discard(need)
+    return links
+
+
+def _rest(df: DataFrame, reps: DataFrame, final: DataFrame, percent: int, block: int, broadcast_ids: int) -> DataFrame:
     """The links that are still missing between rows of one region: a, b.
 
     In each region with several components, all rows but those of the largest (the loose
@@ -262,7 +313,7 @@ def _rest(df: DataFrame, reps: DataFrame, final: DataFrame, block: int) -> DataF
     """
     placed = materialise(reps.join(final, "doc_id", "left").select("doc_id", "labels", "sketch", "n", F.coalesce("component_id", "doc_id").alias("group")), "placed")
     rows = placed.select(
-        F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring(F.col("labels"), t * LABEL + 1, F.lit(REGION)))).alias("tree", "prefix"), "sketch", "n", "doc_id", "group",
+        F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees_for(percent) - 1)), lambda t: F.substring(F.col("labels"), t * LABEL + 1, F.lit(REGION)))).alias("tree", "prefix"), "sketch", "n", "doc_id", "group",
     )
     key = ["tree", "prefix"]
     regions = rows.groupBy(*key, "group").agg(F.count("*").alias("k")).groupBy(*key).agg(F.sum("k").alias("total"), F.max(F.struct("k", "group")).alias("top"), F.count("*").alias("groups"))
@@ -275,27 +326,18 @@ def _rest(df: DataFrame, reps: DataFrame, final: DataFrame, block: int) -> DataF
     lefts = dealt.filter("loose").withColumn("i", F.pmod(F.xxhash64("doc_id"), "n_left")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_right") - 1))).withColumn("right", F.lit(False))
     rights = dealt.withColumn("j", F.pmod(F.xxhash64("doc_id"), "n_right")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_left") - 1))).withColumn("right", F.lit(True))
     met = lefts.unionByName(rights.select(*lefts.columns)).select(F.xxhash64(*key, "i", "j").alias("key"), "right", *out)
-    pairs = materialise(met.repartition("key").sortWithinPartitions("key", "right").mapInArrow(_cross, "a long, b long").distinct(), "rest")
-    need = materialise(_ends(pairs), "rest_ids")
-    n = need.count()
-    # Pairs are dealt by blocks of their ends, so that a set travels once for many pairs of it.
-    parts = max(1, n // 256)
-    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
-    pairs = pairs.withColumn("key", part("a") * parts + part("b"))
-    sets = df.join(F.broadcast(need) if n <= BROADCAST_IDS else need, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>")
-    ends = pairs.select("key", F.col("a").alias("doc_id")).unionByName(pairs.select("key", F.col("b").alias("doc_id"))).distinct()
-    travel = ends.join(sets, "doc_id").select("key", F.lit(False).alias("is_pair"), F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
-    asked = pairs.select("key", F.lit(True).alias("is_pair"), "a", "b", F.lit(None).cast("array<long>").alias("shingles"))
-    both = travel.unionByName(asked).repartition("key").sortWithinPartitions("key", "is_pair")
-    return materialise(both.mapInArrow(_confirm_blocks, "a long, b long"), "rest_links")
+    pairs = materialise(met.repartition("key").sortWithinPartitions("key", "right").mapInArrow(_cross(percent), "a long, b long").distinct(), "rest")
+    links = _confirmed(df, pairs, percent, broadcast_ids)
+    discard(placed, regions, pairs)
+    return links
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, broadcast_ids: int = BROADCAST_IDS, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row; links have ``percent`` of their union in common.
 
     A null or empty text, or one without words, has no shingles and is alone. Repeated
     rows are repeated in the result with one component; an id with several texts joins
@@ -303,16 +345,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty table gives no rows; other columns are ignored.
     """
     df = id_text(docs, id_col, text_col)
-    signed = materialise(df.mapInArrow(_sign, "doc_id long, n long, f1 long, f2 long, labels binary, sketch binary"), "signed")
+    trees = trees_for(percent)
+    signed = materialise(df.mapInArrow(_sign(trees), "doc_id long, n long, f1 long, f2 long, labels binary, sketch binary"), "signed")
     key = ["n", "f1", "f2"]
     classes = materialise(signed.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = signed.filter("n > 0").join(classes.select(*key, F.col("rep").alias("doc_id")), [*key, "doc_id"], "left_semi").dropDuplicates(["doc_id", *key])
     forest = reps.select(
-        F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring(F.col("labels"), t * LABEL + 1, F.lit(LABEL)))).alias("tree", "label"), "sketch", "n", "doc_id",
+        F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring(F.col("labels"), t * LABEL + 1, F.lit(LABEL)))).alias("tree", "label"), "sketch", "n", "doc_id",
     )
     order = ["tree", "label", "doc_id"]
     rows = forest.select("tree", "label", "sketch", "n", "doc_id").repartitionByRange(*order).sortWithinPartitions(*order)
-    pairs = materialise(rows.mapInArrow(_neighbours, "a long, b long").distinct().filter("a != b"), "pairs")
+    pairs = materialise(rows.mapInArrow(_neighbours(percent), "a long, b long").distinct().filter("a != b"), "pairs")
     ids = materialise(_ends(pairs), "ids")
     few = ids.count() <= broadcast_ids
     some = (lambda x: x.join(F.broadcast(ids), "doc_id", "left_semi")) if few else (lambda x: x.join(ids, "doc_id", "left_semi"))
@@ -321,7 +364,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wide = sets.join(placed, "doc_id")
     along = wide.select(F.posexplode(F.array(*(f"label{t}" for t in range(ORDERS)))).alias("tree", "label"), "shingles", "doc_id")
     along = along.select("tree", "label", "shingles", "doc_id").repartitionByRange(*order).sortWithinPartitions(*order)
-    links = materialise(along.mapInArrow(_along, "a long, b long"), "links")
+    links = materialise(along.mapInArrow(_along(percent), "a long, b long"), "links")
     joined = materialise(components(links), "joined")
     left = (
         pairs.join(joined.select(F.col("doc_id").alias("a"), F.col("component_id").alias("ca")), "a", "left")
@@ -329,17 +372,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .filter("coalesce(ca, a) != coalesce(cb, b)").select("a", "b")
     )
     left = materialise(left, "left")
-    need = materialise(_ends(left), "need")
-    again = df.join(F.broadcast(need) if need.count() <= broadcast_ids else need, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>")
-    checked = (
-        left.join(again.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-        .join(again.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-        .select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long")
-    )
-    checked = materialise(links.unionByName(checked), "checked")
+    checked = links.unionByName(_confirmed(df, left, percent, broadcast_ids))
     final = materialise(components(checked), "final")
-    final = components(checked.unionByName(_rest(df, reps, final, block)))
+    final = components(checked.unionByName(_rest(df, reps, final, percent, block, broadcast_ids)))
     whole = materialise(classes.join(final.withColumnRenamed("doc_id", "rep"), "rep", "left").select(*key, "copies", F.coalesce("component_id", "rep").alias("component_id")), "whole")
+    discard(classes, pairs, ids, links, joined, left)
     # The classes with a thousandth of all rows or more, 1000 at most, are broadcast, so that no large one meets in a task.
     hot = whole.filter(F.col("copies") * 1000 >= signed.count()).select(*key, F.col("component_id").alias("hot_id"))
     out = signed.select("doc_id", *key).join(F.broadcast(hot), key, "left")

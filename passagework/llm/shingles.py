@@ -49,6 +49,31 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return hashes, np.searchsorted(starts, texts_at), data, starts, ends
 
 
+def edges_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """First and last eight bytes and the length of each word of ``words_of``."""
+    wide = np.ndarray(len(data), "<u8", data.tobytes() + bytes(8), strides=(1,))
+    size = ends - starts
+    mask = _MASK[np.minimum(size, 8)]
+    return np.stack([wide[starts] & mask, wide[np.maximum(ends - 8, starts)] & mask, size.astype(np.uint64)], 1)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """np.unique, by one sort."""
+    x = np.sort(x)
+    return x[np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))] if len(x) else x
+
+
+def numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, where one of each stands, and each item's number among them."""
+    order = np.argsort(x)
+    ranked = x[order]
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(x) else np.zeros(0, bool)
+    which = np.empty(len(x), np.int64)
+    which[order] = np.cumsum(new) - 1
+    at = np.flatnonzero(new)
+    return ranked[at], order[at], which
+
+
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The first two of ``words_of``."""
     return words_of(texts)[:2]
@@ -66,7 +91,7 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         n = b - a
         if n >= WORDS:
-            out.append(np.unique(runs[a : b - WORDS + 1]))
+            out.append(distinct(runs[a : b - WORDS + 1]))
         elif n:
             out.append(mix(np.array([np.sum(mix(words[a:b] + _POSITION[:n]), dtype=np.uint64) + np.uint64(n)], np.uint64)))
         else:
