@@ -1,148 +1,202 @@
 """Cross-entropy difference of two matched n-gram models.
 
-A target model and a background model are bigram models of the same form: one
-vocabulary, one smoothing, counts of their own. The vocabulary is the corpus' most
-frequent words, and for all other words a class by their length, first and last byte. A
-document's score is the mean over its words of the background's loss less the target's:
-above 0, it looks more like the target than the corpus does.
-
-Word counts and pair counts cover all documents, the target's all of its documents. Tasks
-send sums, never texts; the driver gets the vocabulary and at most ``SIZE`` squared pair
-counts, so the broadcast table has a bound of its own, whatever the input.
+A target model and a background model are bigram models of the same form: one vocabulary,
+one smoothing, counts of their own. The vocabulary is every word of the corpus, so it and
+the n-grams grow with the input, and nothing is cut off: what occurs once has its count.
+A document's score is the mean over its words of the background's loss less the target's:
+above 0, it looks more like the target than the corpus does. A document is scored by what
+the others have: its own counts are taken off first, or each would look like the model
+that it is in. What occurs twice in the corpus still shows, as its copy stays.
+
+No table of counts is ever in one place. Texts are read in blocks of ``BLOCK_BYTES``, and
+a block's texts become numbers of its distinct words. Each block sends its distinct words,
+contexts and pairs, as sorted 64-bit hashes with their counts, to the shards that own
+these hashes. A shard adds up what all blocks sent, and answers every block with the
+corpus' counts of just those. The block then knows all counts that its documents need.
+Words that are everywhere are sent once by a block, so no shard gets more than its share
+of hashes; there is a shard for every ``SHARD_BYTES`` of text.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, sliced
-from .shingles import words_of
+from .common import id_text, materialise, sliced
+from .shingles import mix, numbered, words_of
 
-#: Entries of the vocabulary, classes of rare words included.
-SIZE = 2048
+BLOCK_BYTES = 8_000_000
+SHARD_BYTES = 16_000_000
 #: Weight of the words' own shares against the counts that follow a word.
-PRIOR = 20.0
+PRIOR = 4.0
 #: Ids of target documents are broadcast up to this many, and joined beyond.
 BROADCAST_IDS = 1_000_000
+#: What a hash counts stands in its last two bits.
+WORD, CONTEXT, PAIR = np.uint64(0), np.uint64(1), np.uint64(2)
+START = np.array([0x51A7], np.uint64)
+BLOCK = "block long, doc_ids array<long>, sizes array<long>, targets array<long>, words binary, n long, tokens binary"
 
 
-def _byte_kinds() -> np.ndarray:
-    """Lower-case letters, digits, stops, other marks, symbols, bytes of other letters."""
-    out = np.full(256, 3, np.int64)
-    for k, group in ((0, range(97, 123)), (1, range(48, 58)), (2, b".,;:"), (4, b"#*$%&|<>"), (5, range(128, 256))):
-        out[list(group)] = k
-    return out
+def _packed(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), codec="zstd", asbytes=True)
 
 
-KIND = _byte_kinds()
-LENGTHS = np.array([2, 4, 6, 8, 11, 15, 21])
-CLASSES = 6 * 6 * (len(LENGTHS) + 1)
+def _unpacked(data: bytes, n: int, kind: str) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
 
 
-def _count_words(batches):
-    kept: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+def _blocks(batches):
+    """Texts as numbers of their block's words."""
+    block = TaskContext.get().partitionId() << 32
 
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(kept[0].view(np.int64)), pa.array(kept[1])], ["word", "n"])
+    def out(rows):
+        nonlocal block
+        ids, texts, targets = zip(*rows, strict=True)
+        hashes, at = words_of(list(texts))[:2]
+        words, _, which = numbered(hashes)
+        block += 1
+        columns = [[block - 1], [list(ids)], [np.diff(at).tolist()], [list(targets)], [words.tobytes()], [len(which)], [_packed(which.astype("<u4"))]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FIELDS, strict=True)], schema=FIELDS)
 
+    rows, held = [], 0
     for batch in sliced(batches):
-        words, n = np.unique(words_of(batch.column(1).to_pylist())[0], return_counts=True)
-        every = np.concatenate([kept[0], words])
-        words, where = np.unique(every, return_inverse=True)
-        kept = words, np.bincount(where, np.concatenate([kept[1], n]), len(words)).astype(np.int64)
-        if len(words) > 1_000_000:
-            yield out()
-            kept = kept[0][:0], kept[1][:0]
-    yield out()
-
-
-def vocabulary(docs: DataFrame, size: int = SIZE) -> np.ndarray:
-    """The hashes of the most frequent words of all documents, sorted."""
-    counts = docs.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "word").limit(max(0, size - CLASSES)).toArrow()
-    return np.sort(rows.column("word").to_numpy().view(np.uint64))
-
-
-def _tokens(words: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers, the number before each (``CLASSES + len(words)`` at a start), and where texts begin."""
-    hashes, at, data, starts, ends = words_of(texts)
-    k = np.minimum(np.searchsorted(words, hashes), max(0, len(words) - 1))
-    rare = (KIND[data[starts]] * 6 + KIND[data[ends - 1]]) * (len(LENGTHS) + 1) + np.searchsorted(LENGTHS, ends - starts)
-    now = np.where(words[k] == hashes, CLASSES + k, rare) if len(words) else rare
-    before = np.concatenate([[0], now[:-1]])[: len(now)]
-    before[at[:-1][np.diff(at) > 0]] = CLASSES + len(words)
-    return now, before, at
-
-
-def _count_pairs(shared):
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held + len(row[1]) > BLOCK_BYTES:
+                yield out(rows)
+                rows, held = [], 0
+            rows.append(row)
+            held += len(row[1]) + 1
+    if rows:
+        yield out(rows)
+
+
+FIELDS = pa.schema(
+    [("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("targets", pa.list_(pa.int64())), ("words", pa.binary()), ("n", pa.int64()), ("tokens", pa.binary())]
+)
+
+
+class _Grams:
+    """A block's words, contexts and pairs: their hashes and counts, and which each token has."""
+
+    def __init__(self, row: dict):
+        self.sizes = np.array(row["sizes"], np.int64)
+        words = np.frombuffer(row["words"], np.uint64)
+        self.token = _unpacked(row["tokens"], row["n"], "<u4").astype(np.int64)
+        size = len(words)
+        first = np.cumsum(self.sizes) - self.sizes
+        self.before = np.concatenate([[size], self.token[:-1]])[: len(self.token)]
+        self.before[first[self.sizes > 0]] = size  # the start of a text
+        self.target = np.repeat(np.array(row["targets"], np.int64), self.sizes)
+        pairs, _, which = numbered(self.before * size + self.token)
+        self.parts = np.cumsum([0, size, size + 1, len(pairs)])
+        self.pair = which
+        u = np.concatenate([words, START])
+        keys = [words, mix(u + np.uint64(1)), mix(mix(u[pairs // max(1, size)] + np.uint64(3)) ^ words[pairs % max(1, size)])]
+        self.keys = np.concatenate([k & ~np.uint64(3) | kind for k, kind in zip(keys, (WORD, CONTEXT, PAIR), strict=True)])
+        held = ((self.token, size), (self.before, size + 1), (which, len(pairs)))
+        self.counts = np.stack([np.concatenate([np.bincount(at, w, n) for at, n in held]) for w in (None, self.target)]).astype(np.int64)
+
+    def own(self) -> np.ndarray:
+        """How often each token's word, context and pair occur in its text, and the text's tokens."""
+        doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        out = []
+        for at, n in zip((self.token, self.before, self.pair), np.diff(self.parts), strict=True):
+            which = numbered(doc * n + at)[2]
+            out.append(np.bincount(which)[which] if len(which) else which)
+        return np.stack([*out, self.sizes[doc]])
+
+    def losses(self, counts: np.ndarray, own: np.ndarray, vocabulary: int, prior: float) -> np.ndarray:
+        """Each token's loss under the model with these counts of the block's keys, less
+        those of its ``own`` text."""
+        a, b, c = self.parts[1:]
+        share = (counts[:a][self.token] - own[0] + 1) / (counts[-1] - own[3] + vocabulary + 1)
+        return np.log(counts[a:b][self.before] - own[1] + prior) - np.log(counts[b:c][self.pair] - own[2] + prior * share)
+
+
+def _send(shards: int):
     def run(batches):
-        words = shared.value
-        size = CLASSES + len(words)
-        keys, sums = np.zeros(0, np.int64), np.zeros((2, 0))
-        for batch in sliced(batches):
-            now, before, at = _tokens(words, batch.column(1).to_pylist())
-            target = np.repeat(np.array(batch.column(2).to_pylist(), np.float64), np.diff(at))
-            own, where = np.unique(before * size + now, return_inverse=True)
-            counts = np.stack([np.bincount(where, minlength=len(own)), np.bincount(where, target, len(own))])
-            every, where = np.unique(np.concatenate([keys, own]), return_inverse=True)
-            sums = np.stack([np.bincount(where, np.concatenate([sums[i], counts[i]]), len(every)) for i in range(2)])
-            keys = every
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64))], ["pair", "background", "target"])
+        for batch in batches:
+            for row in batch.to_pylist():
+                grams = _Grams(row)
+                order = np.argsort(grams.keys)
+                keys, counts = grams.keys[order], grams.counts[:, order].astype("<u4")
+                cut = np.searchsorted((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64))
+                some = np.flatnonzero(np.diff(cut)).tolist()
+                spans = [slice(cut[k], cut[k + 1]) for k in some]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some, pa.int64()), pa.array([row["block"]] * len(some), pa.int64()), pa.array([keys[s].tobytes() for s in spans], pa.binary()), pa.array([_packed(counts[:, s]) for s in spans], pa.binary())],
+                    ["shard", "block", "keys", "counts"],
+                )
 
     return run
 
 
-def losses(pairs: np.ndarray, counts: np.ndarray, size: int, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A model's loss of each given pair, and for others what follows from the word
-    before (``size`` + 1) and the word itself (``size``), to be added."""
-    words = np.bincount(pairs % size, counts, size)
-    share = (words + 1) / (words.sum() + size)
-    after = np.bincount(pairs // size, counts, size + 1)
-    before_part, word_part = np.log(after + prior), -np.log(prior * share)
-    return before_part[pairs // size] - np.log(counts + prior * share[pairs % size]), before_part, word_part
+def _add_up(table: pa.Table) -> pa.Table:
+    """What each block sent, with the sums over all blocks; and how many words there are."""
+    table = table.sort_by("block")
+    sent = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
+    counts = np.concatenate([_unpacked(c, 2 * len(k), "<u4").reshape(2, -1) for c, k in zip(table.column("counts").to_pylist(), sent, strict=True)], 1)
+    keys, _, which = numbered(np.concatenate(sent))
+    sums = np.stack([np.bincount(which, c, len(keys)).astype("<u8") for c in counts])
+    at = np.cumsum([0, *map(len, sent)]).tolist()
+    words = [int((keys & np.uint64(3) == WORD).sum())] + [0] * (len(sent) - 1)
+    answers = [_packed(sums[:, which[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)]
+    return pa.table([table.column("block"), table.column("shard"), pa.array(words, pa.int64()), pa.array(list(map(len, sent)), pa.int64()), pa.array(answers, pa.binary())], names=["block", "shard", "words", "n", "sums"])
 
 
-def _score(shared):
+def _score(totals: tuple[int, int], vocabulary: int, prior: float):
     def run(batches):
-        words, pairs, models = shared.value
-        for batch in sliced(batches):
-            now, before, at = _tokens(words, batch.column(1).to_pylist())
-            size = CLASSES + len(words)
-            key = before * size + now
-            k = np.minimum(np.searchsorted(pairs, key), max(0, len(pairs) - 1))
-            known = pairs[k] == key if len(pairs) else np.zeros(len(key), bool)
-            n = np.diff(at)
-            out = []
-            for seen, before_part, word_part in models:
-                loss = before_part[before] + word_part[now]
-                loss[known] = seen[k[known]]
-                total = np.concatenate([[0.0], np.cumsum(loss)])
-                out.append((total[at[1:]] - total[at[:-1]]) / np.maximum(1, n))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(out[1]), pa.array(out[0]), pa.array(out[0] - out[1])], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+        for batch in batches:
+            for row in batch.to_pylist():
+                grams = _Grams(row)
+                order = np.argsort(grams.keys)
+                sums = np.empty((2, len(order) + 1), np.float64)
+                answers = sorted(row["answers"] or (), key=lambda a: a["shard"])
+                sums[:, order] = np.concatenate([np.zeros((2, 0)), *(_unpacked(a["sums"], 2 * a["n"], "<u8").reshape(2, -1) for a in answers)], 1)
+                sums[:, -1] = totals
+                some = grams.sizes > 0
+                first = (np.cumsum(grams.sizes) - grams.sizes)[some]
+                mean = np.zeros((2, len(some)))
+                own = grams.own()
+                for out, counts, part in zip(mean, sums, (1, grams.target), strict=True):
+                    if len(first):
+                        out[some] = np.add.reduceat(grams.losses(counts, own * part, vocabulary, prior), first) / grams.sizes[some]
+                background, target = mean
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row["doc_ids"], pa.int64()), pa.array(grams.sizes), pa.array(target), pa.array(background), pa.array(background - target)],
+                    ["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
+                )
 
     return run
 
 
-def score_documents(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def score_documents(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score for every row.
 
     ``target_ids`` has the doc_id of the target's documents; the background is all of
-    ``docs``. A null or empty text has no tokens, no losses and a score of 0; repeated rows
-    count as often as they occur; a null id is no target; an empty target leaves its model
-    uniform; an empty table gives no rows. Other columns are ignored.
+    ``docs``. A model's share of a word is (its count + 1) / (all its words + the vocabulary
+    + 1), and the chance of a word after another (the pair's count + ``prior`` * that share)
+    / (the other's count as a context + ``prior``); a text's start is a context too. All
+    counts are those of the other rows: a row's own are taken off where it was counted.
+
+    A null or empty text has no tokens, no losses and a score of 0; repeated rows count as
+    often as they occur and score alike; a null id is no target; an empty target leaves its
+    model uniform; an empty table gives no rows. Other columns are ignored.
     """
     df = id_text(docs, id_col, text_col)
-    sc = docs.sparkSession.sparkContext
-    words = vocabulary(df, size)
     own = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct().withColumn("target", F.lit(1))
     own = F.broadcast(own) if own.count() <= broadcast_ids else own
-    flagged = df.join(own, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(0)).alias("target"))
-    counted = flagged.mapInArrow(_count_pairs(sc.broadcast(words)), "pair long, background long, target long")
-    rows = counted.groupBy("pair").agg(F.sum("background").alias("background"), F.sum("target").alias("target")).toArrow()
-    order = np.argsort(rows.column("pair").to_numpy())
-    pairs, background, target = (rows.column(c).to_numpy()[order] for c in ("pair", "background", "target"))
-    models = [losses(pairs, c.astype(np.float64), CLASSES + len(words)) for c in (background, target)]
-    return df.mapInArrow(_score(sc.broadcast((words, pairs, models))), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    flagged = df.join(own, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(0)).cast("long").alias("target"))
+    blocks = materialise(flagged.mapInArrow(_blocks, BLOCK), "blocks")
+    sizes = F.col("sizes")
+    add = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b)
+    both = F.zip_with(sizes, "targets", lambda n, t: n * t)
+    tokens, target, size = blocks.agg(F.coalesce(F.sum(add(sizes)), F.lit(0)), F.coalesce(F.sum(add(both)), F.lit(0)), F.coalesce(F.sum(F.octet_length("words") + F.col("n")), F.lit(0))).first()
+    sent = blocks.mapInArrow(_send(max(1, -(-2 * size // SHARD_BYTES))), "shard long, block long, keys binary, counts binary")
+    answers = materialise(sent.groupBy("shard").applyInArrow(_add_up, "block long, shard long, words long, n long, sums binary"), "answers")
+    vocabulary = answers.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    each = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "n", "sums")).alias("answers"))
+    return blocks.join(each, "block", "left").mapInArrow(_score((tokens, target), vocabulary, prior), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
