@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .common import id_text, materialise, sliced
 from .shingles import words_of
@@ -29,6 +30,7 @@ MAX_LABELLED = 6_000
 #: that fewer documents are taken, and at least one.
 MAX_PASSAGES = 100_000
 THRESHOLD = 0.7
+SCORED = (StructField("doc_id", LongType()), StructField("score", DoubleType()))
 
 
 def _classes() -> np.ndarray:
@@ -61,7 +63,7 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     same = own[1:] == own[:-1]
     pair = (own[:-1] * N_CLASSES + kind[:-1]) * N_CLASSES + kind[1:]
     out[:, 256:-1] = np.bincount(pair[same], minlength=at[-1] * N_CLASSES**2).reshape(-1, N_CLASSES**2)
-    out /= np.maximum(1, np.bincount(own, minlength=at[-1]))[:, None]
+    out[:, :-1] /= np.maximum(1, np.bincount(own, minlength=at[-1]))[:, None]
     words, first, _, where, _ = words_of(texts)
     text = np.repeat(np.arange(len(texts)), np.diff(first))
     stands = at[text] + (where - (start + np.arange(len(texts)))[text]) // PASSAGE
@@ -81,10 +83,25 @@ def _forward(m: dict, x: np.ndarray, at: np.ndarray) -> tuple:
 
 
 def score(model: dict, texts: list[str]) -> np.ndarray:
+    """Scores to six places, in double precision: equal whatever batch a text stands in."""
     if not texts:
         return np.zeros(0)
     x, at = passages(texts)
-    return _forward(model, x, at)[-1].astype(np.float64)
+    return np.round(_forward({k: v.astype(np.float64) for k, v in model.items()}, x.astype(np.float64), at)[-1], 6)
+
+
+def gradients(m: dict, x: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
+    """Of the mean weighed cross-entropy of these bags, by parameter."""
+    h, t, g, a, z, p = _forward(m, x, at)
+    sizes = np.diff(at)
+    d = (p - y).astype(np.float32) * weight / len(y)
+    dz = d[:, None] * m["c"]
+    each = np.repeat(dz, sizes, 0)
+    da = (each * h).sum(1)
+    da = a * (da - np.repeat(np.add.reduceat(da * a, at[:-1]), sizes))
+    dt, dg = da[:, None] * m["w"] * g * (1 - t * t), da[:, None] * m["w"] * t * g * (1 - g)
+    dh = (each * a[:, None] + dt @ m["V"].T + dg @ m["U"].T) * (1 - h * h)
+    return {"E": x.T @ dh, "e": dh.sum(0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ da, "c": z.T @ d, "b": d.sum(keepdims=True)}
 
 
 def fit(x: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 40, rate: float = 0.01, seed: int = 7) -> dict:
@@ -103,15 +120,7 @@ def fit(x: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 40, rate: fl
             sizes = at[bags + 1] - at[bags]
             own = np.concatenate([[0], np.cumsum(sizes)])
             xs = x[np.repeat(at[bags] - own[:-1], sizes) + np.arange(own[-1])]
-            h, t, g, a, z, p = _forward(m, xs, own)
-            d = (p - y[bags]).astype(np.float32) * weight[bags] / len(bags)
-            dz = d[:, None] * m["c"]
-            each = np.repeat(dz, sizes, 0)
-            da = (each * h).sum(1)
-            da = a * (da - np.repeat(np.add.reduceat(da * a, own[:-1]), sizes))
-            dt, dg = da[:, None] * m["w"] * g * (1 - t * t), da[:, None] * m["w"] * t * g * (1 - g)
-            dh = (each * a[:, None] + dt @ m["V"].T + dg @ m["U"].T) * (1 - h * h)
-            grads = {"E": xs.T @ dh, "e": dh.sum(0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ da, "c": z.T @ d, "b": d.sum(keepdims=True)}
+            grads = gradients(m, xs, own, y[bags], weight[bags])
             step += 1
             for name, grad in grads.items():
                 grad = grad + 1e-4 * m[name]
@@ -138,12 +147,12 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     """Fit on rows of ``labels`` (doc_id, quality) that aren't held out and have a document.
 
     Labels that are null or whose id is null are left out; of several for one id the
-    largest counts. Without any, the model scores about 0.5.
+    largest counts, and of several texts the least. Without any, the model scores about 0.5.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(~held_out(F.col("doc_id")))
     chosen = own.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     chosen = materialise(chosen, "labelled")  # at most max_labelled ids, so they may be broadcast
-    texts = materialise(docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]), "labelled_texts")
+    texts = materialise(docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "labelled_texts")
     before = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # over max_labelled rows at most, without their texts
     sized = texts.select("doc_id", F.greatest(F.lit(1), F.ceil(F.octet_length("text") / PASSAGE)).alias("n")).withColumn("total", F.sum("n").over(before))
     fits = sized.filter((F.col("total") <= max_passages) | (F.col("total") == F.col("n"))).select("doc_id")
@@ -158,19 +167,20 @@ def _score(shared):
     def run(batches):
         for batch in sliced(batches, limit=500_000):
             scores = score(shared.value, batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), *batch.columns[2:]], ["doc_id", "score", *batch.schema.names[2:]])
 
     return run
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED, max_passages: int = MAX_PASSAGES) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row.
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED, max_passages: int = MAX_PASSAGES, carry: bool = False) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row, with ``carry`` also the whole ``row``.
 
     A null or empty text is one empty passage and has a score as any other; repeated rows
-    have scores that are equal up to rounding; a null id isn't held out; an empty table gives no rows. Only texts
+    have equal scores; a null id isn't held out; an empty table gives no rows. Only texts
     are inputs of a score; other columns are ignored.
     """
-    df = id_text(docs, id_col, text_col)
-    model = docs.sparkSession.sparkContext.broadcast(train(df, labels, max_labelled, max_passages))
-    out = df.mapInArrow(_score(model), "doc_id long, score double")
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    df = id_text(docs, id_col, text_col, carry)
+    model = docs.sparkSession.sparkContext.broadcast(train(df.select("doc_id", "text"), labels, max_labelled, max_passages))
+    kinds = StructType([*SCORED, *df.schema.fields[2:]])
+    out = df.mapInArrow(_score(model), kinds)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *df.columns[2:])
