@@ -5,16 +5,21 @@ plus a little for depth and for names of articles), and the page votes for its b
 container's path of tags and classes, digits generalised. Spark counts the votes per
 host; paths with at least ``LEAST_SHARE`` of a host's votes win, at most 1/share of them.
 Every page is then extracted again by the first winning path that it has, and by its own
-best container if it has none.
+best container if it has none. So a page whose own best container is a wrong one, as a
+long list of links or a short article make it, is mended by the others of its host.
 
 Menus, forms, adverts and the like are recognised by tag or by a word of their class, id
-or role, and add neither score nor text.
+or role, and add neither score nor text. Names are weak evidence: where they would take
+away nearly all of a page, only those of reader comments count. A path is a chain of
+digests, so depth costs no memory.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -26,6 +31,8 @@ LEAST_SHARE = 0.05
 #: Winners of up to this many hosts are broadcast (20 short paths each at most).
 BROADCAST_HOSTS = 100_000
 SALTS = 64
+#: Characters that names may take whatever is left: an advert beside a short article.
+LEAST_TAKEN = 500
 
 # Names of elements.
 RAW = frozenset("script style noscript template iframe svg textarea title object canvas math select option".split())
@@ -35,9 +42,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = CONTAINERS | DROPPED | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd tr th tbody thead tfoot caption blockquote pre figure figcaption hr br address details summary html head".split())
 BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup sidebar "
-    "menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead topbar toolbar comment comments commentlist reply replies disqus respond discussion social share sharing "
+    "menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead topbar toolbar social share sharing "
     "related recommended popup modal overlay widget login search skip tags contentinfo complementary navigation".split()
 )
+DISCUSSION = frozenset("comment comments commentlist reply replies disqus respond discussion".split())
 ARTICLE = frozenset("article articlebody post entry story content main text body".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s>/]*)[^>]*>?|<([a-zA-Z][^\s>/]*)((?:[^>"']|"[^"]*"|'[^']*')*)>?""", re.S)
@@ -47,18 +55,19 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 class Page:
     """The kept blocks of a page in order, and for each container its path, the range of
-    its blocks and how deep it is."""
+    its blocks and how deep it is. What has one of ``names`` is left out."""
 
-    def __init__(self, source: str, by_name: bool = True):
+    def __init__(self, source: str, names: frozenset = BOILERPLATE | DISCUSSION):
         self.blocks: list[str] = []
         self.links: list[int] = []
         self.found: list[list] = []  # [path, first block, last block + 1, depth, bonus]
-        self._read(source or "", by_name)
+        self.unnamed = 0  # characters that only a name that isn't one of comments left out
+        self._read(source or "", names)
 
-    def _read(self, source: str, by_name: bool) -> None:
-        stack: list[tuple[str, str, bool, int]] = []  # tag, path, dropped, index in found or -1
+    def _read(self, source: str, left_out: frozenset) -> None:
+        stack: list[tuple[str, bytes, bool, int]] = []  # tag, path, dropped, index in found or -1
         parts: list[str] = []
-        linked, in_link, dropped, at, skip_to, lower = 0, False, 0, 0, "", None
+        linked, in_link, dropped, named, lower = 0, False, 0, 0, None
 
         def flush() -> None:
             nonlocal linked
@@ -70,9 +79,10 @@ class Page:
             linked = 0
 
         def close() -> None:
-            nonlocal dropped
+            nonlocal dropped, named
             _, _, drop, k = stack.pop()
             dropped -= drop
+            named = named if dropped else 0
             if k >= 0:
                 self.found[k][2] = len(self.blocks)
 
@@ -86,6 +96,8 @@ class Page:
                 parts.append(text)
                 if in_link:
                     linked += len(text)
+            elif named:
+                self.unnamed += end - position
             if not m:
                 break
             position = m.end()
@@ -118,7 +130,7 @@ class Page:
                 if tag in VOID:
                     continue
                 container = tag in CONTAINERS
-                drop, classes, bonus = tag in DROPPED, "", 0.0
+                drop, by_name, classes, bonus = tag in DROPPED, False, "", 0.0
                 if m[3]:
                     names: set[str] = set()
                     for a in ATTRIBUTE.finditer(m[3]):
@@ -129,38 +141,39 @@ class Page:
                             drop = True
                         elif key != "style":
                             names.update(w.lower() for w in WORDS.findall(value))
-                    if by_name and tag not in ("html", "body", "article", "main") or tag == "article":
-                        drop = drop or not BOILERPLATE.isdisjoint(names)
+                    found = names & left_out if tag not in ("html", "body", "main") else frozenset()
+                    by_name = bool(found) and not drop and tag != "article" and DISCUSSION.isdisjoint(found)
+                    drop = drop or bool(found)
                     bonus = 0.2 * (not ARTICLE.isdisjoint(names))
                 if not container and not drop:
                     continue
-                path = f"{stack[-1][1] if stack else ''}>{tag}{classes}"
+                path = hashlib.blake2b((stack[-1][1] if stack else b"") + f">{tag}{classes}".encode(), digest_size=8).digest()
                 k = -1
                 if container and not drop and not dropped:
                     k = len(self.found)
                     self.found.append([path, len(self.blocks), None, len(stack), bonus + (0.5 if tag in ("article", "main") else 0)])
                 if drop and not dropped:
                     flush()
+                    named = by_name
                 dropped += drop
                 stack.append((tag, path, drop, k))
         flush()
         while stack:
             close()
 
-    def best(self) -> str | None:
+    def best(self) -> bytes | None:
         """The path of the best container, or None without text."""
-        total = sum(map(len, self.blocks))
+        upto = list(accumulate(map(len, self.blocks), initial=0))
+        links = list(accumulate(self.links, initial=0))
         top, path = 0.0, None
         for where, start, end, depth, bonus in self.found:
-            own = sum(map(len, self.blocks[start:end]))
-            if own:
-                linked = sum(self.links[start:end])
-                score = (own - linked) / total + (0.01 * depth + bonus * (own / total > 0.3))
+            if own := upto[end] - upto[start]:
+                score = (own - links[end] + links[start]) / upto[-1] + (0.01 * min(depth, 20) + bonus * (own / upto[-1] > 0.3))
                 if score > top:
                     top, path = score, where
         return path
 
-    def text(self, paths: list[str]) -> str:
+    def text(self, paths: list[bytes]) -> str:
         """The blocks of the outermost containers of the first path that has any."""
         for path in paths:
             out, last = [], 0
@@ -174,15 +187,17 @@ class Page:
 
 
 def parse(source: str) -> Page:
-    """A page whose names leave no text is read again by its tags alone."""
+    """A page of which names take nearly all, and more than an advert has, is read without them."""
     page = Page(source)
-    return page if page.blocks else Page(source, by_name=False)
+    if page.unnamed > LEAST_TAKEN + 10 * sum(map(len, page.blocks)):
+        page = Page(source, DISCUSSION)
+    return page if page.blocks else Page(source, frozenset())
 
 
 def _vote(batches):
     for batch in sliced(batches):
         paths = [parse(s).best() for s in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string())], ["host", "path"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.binary())], ["host", "path"])
 
 
 def _extract(batches):
@@ -196,7 +211,7 @@ def _extract(batches):
 
 def winning_paths(pages: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
     """host, paths: most voted first. A page without text has no vote."""
-    votes = pages.select("host", "html").mapInArrow(_vote, "host string, path string").filter("path IS NOT NULL").groupBy("host", "path").agg(F.count("*").alias("votes"))
+    votes = pages.select("host", "html").mapInArrow(_vote, "host string, path binary").filter("path IS NOT NULL").groupBy("host", "path").agg(F.count("*").alias("votes"))
     share = F.col("votes") / F.sum("votes").over(Window.partitionBy("host"))
     ranked = votes.withColumn("share", share).filter(F.col("share") >= least_share)
     return ranked.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), "path"))), lambda x: x["path"]).alias("paths"))
