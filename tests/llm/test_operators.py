@@ -56,7 +56,7 @@ def shingle_set(text):
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def brute_components(rows):
+def brute_components(rows, percent=85):
     sets = [(i, shingle_set(t)) for i, t in rows]
     up = {i: i for i, _ in sets}
 
@@ -67,7 +67,7 @@ def brute_components(rows):
 
     for k, (i, a) in enumerate(sets):
         for j, b in sets[:k]:
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 x, y = sorted((find(i), find(j)))
                 up[y] = x
     return {i: find(i) for i in up}, {i: len(s) for i, s in sets}
@@ -94,8 +94,53 @@ def test_near_duplicates_against_brute_force(spark):
 
 def test_near_duplicates_on_documents(spark):
     d = documents()
-    want, _ = brute_components(list(zip(d["doc_id"], d["text"])))
-    assert {r.doc_id: r.component_id for r in entry.queries()["op1_near_dedup"](spark, SF).collect()} == want
+    rows = list(zip(d["doc_id"], d["text"]))
+    assert {r.doc_id: r.component_id for r in entry.queries()["op1_near_dedup"](spark, SF).collect()} == brute_components(rows)[0]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, percent=80).collect()} == brute_components(rows, 80)[0]
+
+
+def thue_morse(bits):
+    a, b = "a", "b"
+    for _ in range(bits):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_collide_under_polynomial_hashes(spark):
+    """Long words apart in every letter: no link between them, and each has its own ids."""
+    from tokenizers import Tokenizer
+
+    texts = [*thue_morse(10), *thue_morse(11)]
+    assert len(set(shingles.word_hashes(texts)[0].tolist())) == 4
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(r.component_id == r.doc_id for r in near_dedup.near_duplicates(df).collect())
+    check_packing(packing.pack(df, WORD_BPE).collect(), list(enumerate(texts)), Tokenizer.from_file(WORD_BPE))
+
+
+def test_candidates_among_thousands_that_are_nearly_alike():
+    """3,000 pairs of similarity 0.89 in one region whose other pairs are below 0.85: the
+    region's rest, which compares it in blocks, must find what the sorted orders don't."""
+    rng = np.random.default_rng(5)
+    base, sets = rng.integers(1 << 63, size=200, dtype=np.uint64), []
+    for _ in range(3000):
+        own = base.copy()
+        own[rng.choice(200, 18, replace=False)] = rng.integers(1 << 63, size=18, dtype=np.uint64)
+        twin = own.copy()
+        twin[rng.choice(200, 11, replace=False)] = rng.integers(1 << 63, size=11, dtype=np.uint64)
+        sets += [np.sort(own), np.sort(twin)]
+    sketch = np.packbits((near_dedup._signatures(sets, near_dedup.BITS) >> np.uint32(7) & np.uint32(1)).astype(np.uint8), axis=1)
+    n = len(sets)
+    import pyarrow as pa
+
+    rows = [pa.array(c) for c in ([1] * n, [False] * n, [True] * n, range(n), range(n), [200] * n, [x.tobytes() for x in sketch])]
+    right = [rows[0], pa.array([True] * n), *rows[2:]]
+    names = ["key", "right", "loose", "doc_id", "group", "n", "sketch"]
+    found = set()
+    for batch in near_dedup._cross(85)([pa.RecordBatch.from_arrays(rows, names), pa.RecordBatch.from_arrays(right, names)]):
+        found |= set(zip(*batch.to_pydict().values()))
+    true = [(k, k + 1) for k in range(0, n, 2) if near_dedup.similar(sets[k], sets[k + 1])]
+    assert len(true) > 2900 and sum(p in found for p in true) / len(true) > 0.999
 
 
 @pytest.mark.parametrize("block", [near_dedup.BLOCK, 300])
@@ -219,19 +264,48 @@ def test_packing(spark, odd, none):
 
 def test_bm25_index_against_formula():
     rng = np.random.default_rng(1)
-    docs = [np.unique(rng.integers(0, 60, 25), return_counts=True) for _ in range(40)]
-    idf = rng.random(packing.TERMS).astype(np.float32)
-    index, avg = packing.Index(docs, idf, 25.0), 25.0
-    weight = []
-    for ts, ns in docs:
-        weight.append({int(t): float(idf[t]) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * ns.sum() / avg)) for t, c in zip(ts, ns)})
-    for k in range(40):
-        score = np.array([sum(w.get(int(t), 0) for t in index.queries[k]) for w in weight])
-        unused = np.ones(40)
-        unused[[k, 3]] = 0
-        near = index.neighbours(k, unused)
-        want = sorted(np.flatnonzero(score * unused), key=lambda j: -score[j])
-        assert set(near) == set(want) and np.allclose(score[near], score[want], rtol=1e-5)
+    docs = [tuple(np.asarray(x) for x in np.unique(rng.integers(0, 400, 25, dtype=np.uint64), return_counts=True)) for _ in range(60)]
+    df = np.bincount(np.concatenate([w for w, _ in docs]).astype(int), minlength=packing.TERMS)
+    index = packing.Index(docs, packing.Statistics(df, 60, 60 * 25))
+    weight = [{int(t): float(np.log1p((60 - df[int(t)] + 0.5) / (df[int(t)] + 0.5))) * c * 2.2 / (c + 1.2) for t, c in zip(ts, ns)} for ts, ns in docs]
+    for k in range(60):
+        for every in (False, True):
+            asked = [t for t in weight[k] if df[t] > 1 and (every or df[t] * 16 <= 60)]
+            score = np.array([sum(w.get(t, 0) for t in asked) for w in weight])
+            unused = np.ones(60)
+            unused[[k, 3]] = 0
+            near = np.concatenate([np.zeros(0, int), *index.neighbours(k, unused, every)])
+            want = sorted(np.flatnonzero(score * unused), key=lambda j: -score[j])
+            assert len(near) == len(want) and set(near) == set(want) and np.allclose(score[near], score[want], rtol=1e-5)
+
+
+def test_windows_hold_closer_documents_than_file_order(spark):
+    """Documents on 40 subjects, shuffled: what shares a window shares its subject far more
+    often than what lies side by side in the file; with shards of 64 documents twice as often."""
+    rng = random.Random(2)
+    subjects = [[f"s{k}w{j}" for j in range(60)] for k in range(40)]
+    rows = [(k, k % 40, " ".join([rng.choice(subjects[k % 40]) if rng.random() < 0.4 else f"common{rng.randrange(200)}" for _ in range(rng.randint(20, 60))])) for k in range(2000)]
+    rng.shuffle(rows)
+    subject = {i: s for i, s, _ in rows}
+    df = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string").repartition(4)
+
+    def together(packed):
+        windows = defaultdict(list)
+        for r in packed:
+            windows[r.sequence_id].append(subject[r.doc_id])
+        same = [a == b for w in windows.values() for k, a in enumerate(w) for b in w[:k]]
+        return sum(same) / len(same)
+
+    order = together([type("Row", (), {"sequence_id": k // 8, "doc_id": i}) for k, (i, _, _) in enumerate(rows)])
+    one, many = (together(packing.pack(df, WORD_BPE, shard_docs=n).collect()) for n in (packing.SHARD_DOCS, 64))
+    assert order < 0.05 and one > 0.25 and many > 2 * order
+
+
+def test_clusters_of_copies_are_dealt_to_shards():
+    df = np.zeros(packing.TERMS, np.int64)
+    df[int(packing._bucket(shingles.word_hashes(["same"])[0])[0])] = 10 * packing.SHARD_DOCS
+    cluster, shards = packing.clusters(["same same", "", "same"], packing.Statistics(df, 30 * packing.SHARD_DOCS, 10**6))
+    assert cluster[0] == cluster[2] < packing.TERMS == cluster[1] and shards.tolist() == [10] * 3
 
 
 # token counts
@@ -279,6 +353,35 @@ def test_fit_takes_whole_texts(spark, monkeypatch):
     assert got == [[100] * 4, [100] * 2, [100]]
 
 
+def test_gradient_by_finite_differences():
+    """One step of plain gradient, recovered from Adam's first step, against differences of the loss."""
+    rng = np.random.default_rng(3)
+    x, at, y = rng.random((9, quality_mil.WIDTH)).astype(np.float32), np.array([0, 2, 3, 9]), np.array([1, 0, 1], np.float32)
+    m = {k: v.astype(np.float64) for k, v in quality_mil.fit(x, at, y, epochs=1).items()}
+    share = y.mean()
+    weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))
+
+    def loss(model):
+        p = quality_mil._forward(model, x.astype(np.float64), at)[-1]
+        return float((weight * -(y * np.log(p) + (1 - y) * np.log(1 - p))).mean())
+
+    grads = quality_mil.gradients({k: v.astype(np.float32) for k, v in m.items()}, x, at, y, weight.astype(np.float32))
+    for name in m:
+        for k in rng.choice(m[name].size, min(4, m[name].size), replace=False):
+            up, down = ({**m, name: m[name].copy()} for _ in range(2))
+            up[name].flat[k] += 1e-5
+            down[name].flat[k] -= 1e-5
+            assert abs((loss(up) - loss(down)) / 2e-5 - grads[name].flat[k]) < 1e-4, name
+
+
+def test_equal_rows_have_equal_scores_in_any_batch():
+    rng = np.random.default_rng(1)
+    model = quality_mil.fit(rng.random((4, quality_mil.WIDTH)).astype(np.float32), np.arange(5), np.array([1, 0, 1, 0], np.float32), epochs=3)
+    texts = documents()["text"][:30]
+    alone = [quality_mil.score(model, [t])[0] for t in texts]
+    assert quality_mil.score(model, texts).tolist() == alone == quality_mil.score(model, texts[::-1])[::-1].tolist()
+
+
 def test_passages_and_gradient():
     texts = ["ab c" * 700, "", "É" * 600]
     x, at = quality_mil.passages(texts)
@@ -301,41 +404,59 @@ def test_rules_edges(spark, odd, none):
 # language models
 
 
-def test_lm_scores_against_brute_force(spark, odd, none):
-    rows = [(1, "the cat sat on the mat"), (2, "the dog sat on the log"), (3, "zz9 %% the cat"), (4, ""), (5, None)]
-    got = {r.doc_id: r for r in lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1,), (1,), (None,)], "doc_id long"), size=lm_scoring.CLASSES + 3).collect()}
-    hashes = {w: int(shingles.word_hashes([w])[0].view(np.int64)[0]) for _, t in rows for w in (t or "").split()}
-    n = Counter(w for _, t in rows for w in (t or "").split())
-    vocab = sorted(n, key=lambda w: (-n[w], hashes[w]))[:3]
-    size = lm_scoring.CLASSES + 3
-
-    def name(w):
-        kind = lambda b: int(lm_scoring.KIND[b])
-        return w if w in vocab else (kind(w.encode()[0]), kind(w.encode()[-1]), int(np.searchsorted(lm_scoring.LENGTHS, len(w.encode()))))
-
-    def pairs(t):
-        own = [name(w) for w in (t or "").split()]
-        return list(zip(["<s>", *own], own))
-
-    def model(texts):
-        both = Counter(p for t in texts for p in pairs(t))
-        uni, ctx = Counter(), Counter()
-        for (a, b), c in both.items():
-            uni[b] += c
-            ctx[a] += c
-        share = lambda b: (uni[b] + 1) / (sum(uni.values()) + size)
-        return lambda a, b: -np.log((both[a, b] + 20 * share(b)) / (ctx[a] + 20))
-
-    background, target = model([t for _, t in rows]), model([rows[0][1]])
-    for i, t in rows:
-        p = pairs(t)
-        want = [sum(m(*x) for x in p) / max(1, len(p)) for m in (target, background)]
-        assert got[i].n_tokens == len(p) and np.allclose([got[i].target_loss, got[i].background_loss], want) and abs(got[i].score - (want[1] - want[0])) < 1e-9
+def brute_losses(rows, chosen):
+    """(target, background) losses by counters, each row's own counts taken off."""
+    pairs = lambda t: (lambda own: list(zip(["<s>", *own], own)))(re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower() if (t or "").isascii() else "".join(c.lower() if c.isascii() else c for c in t)))
+    of = [pairs(t) for _, t in rows]
+    vocabulary = len({b for p in of for _, b in p})
+    out = []
+    for k, own in enumerate(of):
+        losses = []
+        for texts in ([p for j, p in enumerate(of) if j != k and rows[j][0] in chosen], [p for j, p in enumerate(of) if j != k]):
+            both = Counter(x for p in texts for x in p)
+            words, context = Counter(), Counter()
+            for (a, b), c in both.items():
+                words[b] += c
+                context[a] += c
+            share = lambda b: (words[b] + 1) / (words.total() + vocabulary + 1)  # noqa: E731, B023
+            losses.append(sum(-np.log((both[x] + lm_scoring.PRIOR * share(x[1])) / (context[x[0]] + lm_scoring.PRIOR)) for x in own) / max(1, len(own)))
+        out.append((len(own), *losses))
+    return out
+
+
+@pytest.mark.parametrize("shard_bytes", [lm_scoring.SHARD_BYTES, 40])
+def test_lm_scores_against_brute_force(spark, odd, none, monkeypatch, shard_bytes):
+    monkeypatch.setattr(lm_scoring, "SHARD_BYTES", shard_bytes)
+    rows = [(1, "the cat sat on the mat"), (2, "the dog sat on the log"), (3, "zz9 %% the CAT"), (4, ""), (5, None), (1, "the cat sat on the mat"), (6, "rare words once"), (7, "rare words once")]
+    got = sorted((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame([(1,), (1,), (6,), (None,)], "doc_id long")).collect())
+    want = sorted((i, *x) for (i, _), x in zip(rows, brute_losses(rows, {1, 6})))
+    assert np.allclose(got, want)
     ids = odd.select("doc_id").limit(3)
-    assert lm_scoring.score_documents(odd, ids, broadcast_ids=0).count() == len(TEXTS) + 2
+    scored = lm_scoring.score_documents(odd, ids, broadcast_ids=0).collect()
+    assert len(scored) == len(TEXTS) + 2 and len({r.score for r in scored if r.doc_id == 0}) == 1
     assert lm_scoring.score_documents(none, ids).count() == 0 and lm_scoring.score_documents(odd, ids.limit(0)).count() == len(TEXTS) + 2
 
 
+def test_lm_query_against_brute_force(spark):
+    d = documents()
+    rows = [(i, t) for i, t in zip(d["doc_id"], d["text"])]
+    good = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1").collect()}
+    got = {r.doc_id: r for r in entry.queries()["op6_lm_scoring"](spark, SF).collect()}
+    some = [k for k in range(len(rows)) if len(rows[k][1]) < 3000][:6]
+    words = [[w for w in re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t))] for _, t in rows]
+    vocabulary = len({w for own in words for w in own})
+    for k in some:
+        both, uni, ctx = Counter(), Counter(), Counter()
+        for j, own in enumerate(words):
+            if j != k:
+                both.update(zip(["<s>", *own], own))
+                uni.update(own)
+                ctx.update(["<s>", *own[:-1]] if own else [])
+        loss = [-np.log((both[a, b] + 4 * (uni[b] + 1) / (uni.total() + vocabulary + 1)) / (ctx[a] + 4)) for a, b in zip(["<s>", *words[k]], words[k])]
+        assert abs(got[rows[k][0]].background_loss - sum(loss) / max(1, len(loss))) < 1e-9
+    assert len(got) == len(rows) and good
+
+
 # SentencePiece
 
 
@@ -347,6 +468,7 @@ def test_pieces_equal_the_library(spark, odd, none):
     rng = random.Random(5)
     texts = [x for x in TEXTS if x is not None] + documents()["text"][:40] + ["▁x ▁", "    " * 9 + "x", "aaaa" * 9, "<s> <unk> <0x41>"]
     texts += ["".join(rng.choice("the intoaer  é日1.\n") for _ in range(rng.randint(1, 50))) for _ in range(400)]
+    texts += ["a  b", " a", "a ", "   ", "▁a▁ b ", "\x00 q", "x" * 3000]
     for x in texts:
         assert t.encode(x).tolist() == sp.encode(x), x[:60]
         assert "▁" in x or t.decode(sp.encode(x)) == x
@@ -360,6 +482,33 @@ def test_pieces_equal_the_library(spark, odd, none):
         assert (got[i].n_pieces, got[i].ids_crc32, got[i].decoded_sha256) == (len(ids := sp.encode(x)), zlib.crc32(np.array(ids, "<u4").tobytes()), hashlib.sha256(x.encode()).hexdigest())
 
 
+def test_spaces_cost_little():
+    """A trailing or a double space doesn't send the known words of a text through the search."""
+    import time
+
+    t = piece_transducer.transducer(PIECES)
+    text = " ".join(documents()["text"][0].split()[:40] * 500)
+    took = []
+    for x in (text, text + " ", text.replace(" ", "  ", 1)):
+        t.encode(x)
+        runs = []
+        for _ in range(7):
+            began = time.perf_counter()
+            t.encode(x)
+            runs.append(time.perf_counter() - began)
+        took.append(min(runs))
+    assert max(took) < 3 * took[0] + 1e-3
+
+
+def test_other_models_are_refused(tmp_path):
+    data = open(PIECES, "rb").read()
+    (tmp_path / "unigram.model").write_bytes(data + b"\x12\x02\x18\x01")  # trainer_spec { model_type: UNIGRAM }
+    (tmp_path / "charsmap.model").write_bytes(data + b"\x1a\x03\x12\x01x")  # normalizer_spec { precompiled_charsmap }
+    for name in ("unigram.model", "charsmap.model"):
+        with pytest.raises(ValueError):
+            piece_transducer.Transducer(str(tmp_path / name))
+
+
 # chats
 
 
@@ -406,6 +555,32 @@ def test_pages_edges(spark):
     assert html_consensus.extract_text(df.limit(0)).count() == 0
 
 
+def test_the_vote_mends_a_page():
+    """A page whose longest container is a list that only it has gets its article by the host's path."""
+    usual = html_consensus.parse('<div class="story"><p>' + "an article of a host " * 20 + '</p></div><div class="more"><p>a few words</p></div>')
+    odd = html_consensus.parse('<div class="story"><p>short story</p></div><div class="more"><p>' + "many more words than the story has " * 20 + "</p></div>")
+    path = usual.best()
+    assert odd.text([odd.best()]).startswith("many more") and odd.text([path]) == "short story"
+
+
+def test_names_are_weak_and_depth_is_cheap():
+    board = html_consensus.parse('<div class="notice-board"><p>' + "the article itself " * 40 + "</p></div><p>by me</p>")
+    assert board.text([board.best()]).startswith("the article itself")
+    page = html_consensus.parse('<div class="column wide">' * 5000 + "<p>text</p>")
+    assert len(page.found) == 5000 and page.text([page.best()]) == "text" and all(len(f[0]) == 8 for f in page.found)
+
+
+def test_pages_vote_per_host(spark):
+    """Votes by brute force: each page's best path, counted per host."""
+    story = lambda k: f'<div class="story{k}"><p>' + f"the story of page {k} " * 12 + '</p></div><div class="more"><p>few words</p></div>'
+    wrong = '<div class="story9"><p>a short one</p></div><div class="more"><p>' + "much more than the story " * 12 + "</p></div>"
+    rows = [(k, f"https://h.org/{k}", story(k), "x", ["y"], 0) for k in range(30)] + [(30, "https://h.org/30", wrong, "x", ["y"], 0), (None, "https://o.org/", wrong, "x", ["y"], 0)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, paths array<string>, salt int")
+    for limit in (100, 0):
+        got = {r.page_id: r.text for r in html_consensus.extract_text(df, broadcast_hosts=limit).collect()}
+        assert got[30] == "a short one" and got[None].startswith("much more") and got[3] == " ".join(["the story of page 3"] * 12)
+
+
 # pipeline
 
 
@@ -419,7 +594,20 @@ def test_pipeline(spark, odd):
     left = docs.filter(docs.doc_id.isin(list(good)))
     good = {r.doc_id for r in quality_mil.score_quality(left, spark.read.parquet(f"{sf}/labels.parquet")).filter("predicted = 1").collect()}
     kept = sorted((r.doc_id, r.text) for r in docs.filter(docs.doc_id.isin(list(good))).collect())
-    of, _ = brute_components(kept)
+    of, _ = brute_components(kept, corpus_pipeline.SIMILAR)
     check_packing(rows, [(i, t) for i, t in kept if of[i] == i], Tokenizer.from_file(WORD_BPE))
-    assert corpus_pipeline.quality_rules(spark, odd, sf).columns == odd.columns
-    assert corpus_pipeline.near_dedup(spark, odd, sf).columns == odd.columns
+
+
+def test_pipeline_stages_go_by_row(spark, odd, none):
+    """Rows that share an id or have none are told apart; empty tables and odd columns pass."""
+    words = " ".join(f"plain{k} words" for k in range(40))
+    extra = ("w", 0.5, "k", 1, "f", "t", 1, "l", "h", 1)
+    rows = [(1, words, *extra), (1, "!!!! " * 20, *extra), (None, words, *extra), (None, words + " and more", *extra), (2, "another text that is apart from all of the others here, by far", *extra), (1, None, *extra)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    ruled = corpus_pipeline.quality_rules(spark, docs, SF)
+    assert ruled.columns == docs.columns and Counter((r.doc_id, r.text) for r in ruled.collect()) == Counter((r[0], r[1]) for r in (rows[0], rows[2], rows[3], rows[4]))
+    once = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert once.columns == docs.columns and Counter((r.doc_id, r.text) for r in once.collect()) == Counter((r[0], r[1]) for r in (rows[0], rows[1], rows[4], rows[5]))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, none, SF).count() == 0 and stage(spark, odd, SF).columns == odd.columns
+    assert corpus_pipeline.packing(spark, none, SF).count() == 0
