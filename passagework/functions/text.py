@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from passagework.constants import FENCE_PATTERN, SPACE_CLASS, STOP_WORDS
+from passagework.constants import FENCE_PARTS, SPACE_CLASS, STOP_WORDS
 
 
 def _col(c) -> Column:
@@ -15,8 +15,7 @@ def _col(c) -> Column:
 def tokens(text) -> Column:
     """Lower-case runs of letters and digits without the stop words, in order."""
     words = F.split(F.regexp_replace(F.lower(_col(text)), r"[^\p{L}\p{N}]+", " "), " ")
-    stop = F.array(*(F.lit(w) for w in STOP_WORDS))
-    return F.filter(words, lambda w: (w != "") & ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: ~w.isin("", *STOP_WORDS))
 
 
 def fingerprint(text) -> Column:
@@ -70,12 +69,12 @@ def safe_title(title) -> Column:
 
 
 def has_question_fence(text) -> Column:
-    return _col(text).rlike(FENCE_PATTERN)
+    return _col(text).rlike(FENCE_PARTS)
 
 
 def inert_fences(text) -> Column:
     """Opening fences of questions with the language ``text``, so that nothing runs them."""
-    return F.regexp_replace(_col(text), r"(?m)^( {0,3}(?:`{3,}|~{3,}))(?:qualitative-query|qq)([ \t\r]*)$", "$1text$2")
+    return F.regexp_replace(_col(text), FENCE_PARTS, "$1text$2")
 
 
 def excluded(path, folders: list[str]) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from passagework.constants import CONTRIBUTIONS
 
-MARK = "qualitative-query-inclusions"  # fixed value: the comment's name
+MARK = "passage-inclusions"
 COMMENT = re.compile(rf"^<!-- {MARK}: (.*?) -->$", re.M)
 #: Characters that the codec leaves as they are.
 SAFE = "!~*'()"

@@ -1,7 +1,7 @@
 """Rubric scoring: batches, an injected scorer, validation, threshold and order.
 
 A scorer is a callable (question, criteria, context, texts) -> list of answers, each a dict
-of question name to {"noul": number} or {"choice": string}. It runs in the executors, so it
+of question name to {"score": number} or {"choice": string}. It runs in the executors, so it
 must be picklable and give equal answers when a task is repeated; nothing but the driver
 writes scores down.
 """
@@ -20,7 +20,7 @@ from passagework.constants import CONTRIBUTIONS, MAX_PASSAGE_CHARS
 from passagework.functions.spec import Criteria
 from passagework.functions.text import utf16_length
 
-ANSWERS = "map<string,struct<noul:double,choice:string>>"
+ANSWERS = "map<string,struct<score:double,choice:string>>"
 NAMES = {"generic": ("relevant",), "default": ("definition", "condition", "distinction")}
 
 
@@ -32,9 +32,9 @@ def rubric(question: str, criteria: Criteria) -> dict[str, dict]:
     """The named questions to ask of a passage."""
     if criteria.mode == "generic":
         ask = criteria.instructions or f"Is there an answer to “{question}” in the passage?"
-        return {"relevant": {"type": "noul", "ask": ask, "true": criteria.true or "It gives substance on the question.", "false": criteria.false or "It names the topic at most."}}
+        return {"relevant": {"type": "score", "ask": ask, "true": criteria.true or "It gives substance on the question.", "false": criteria.false or "It names the topic at most."}}
     sides = {"definition": "say what the subject is", "condition": "state when the subject applies", "distinction": "tell the subject from something near it"}
-    out = {k: {"type": "noul", "ask": f"On “{question}”: does the passage {v}?", "true": "It does.", "false": "It does not."} for k, v in sides.items()}
+    out = {k: {"type": "score", "ask": f"On “{question}”: does the passage {v}?", "true": "It does.", "false": "It does not."} for k, v in sides.items()}
     return out | {"contribution": {"type": "choice", "ask": f"What does the passage give to “{question}”?", "choices": list(CONTRIBUTIONS)}}
 
 
@@ -59,8 +59,8 @@ def overlap_scorer(question: str, criteria: Criteria, context: str, texts: list[
     asked = set(question.lower().split())
     share = [len(asked & set(t.lower().split())) / max(1, len(asked)) for t in texts]
     if criteria.mode == "generic":
-        return [{"relevant": {"noul": round(s, 6)}} for s in share]
-    return [{**{n: {"noul": round(s, 6)} for n in NAMES["default"]}, "contribution": {"choice": "other"}} for s in share]
+        return [{"relevant": {"score": round(s, 6)}} for s in share]
+    return [{**{n: {"score": round(s, 6)} for n in NAMES["default"]}, "contribution": {"choice": "other"}} for s in share]
 
 
 def split_oversize(candidates: DataFrame, text: str = "shown_text", most: int = MAX_PASSAGE_CHARS) -> tuple[DataFrame, DataFrame]:
@@ -102,7 +102,7 @@ def validated(answers: DataFrame, mode: str) -> DataFrame:
     names = NAMES["generic" if mode == "generic" else "default"]
 
     def checked(name: str) -> Column:
-        v = F.try_element_at(F.col("answers"), F.lit(name))["noul"]
+        v = F.try_element_at(F.col("answers"), F.lit(name))["score"]
         good = v.isNotNull() & ~F.isnan(v) & v.between(0, 1)
         return F.when(good, v).otherwise(F.raise_error(F.lit(f"the scorer gave no valid score for {name}")).cast("double"))
 

@@ -6,14 +6,22 @@ them in order. Questions are rows (qid, term), so that one plan ranks many of th
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from passagework.constants import B, K1, LEXICAL_WEIGHT, RANK_OFFSET, SEMANTIC_FLOOR, SEMANTIC_WEIGHT
-from passagework.functions.text import cosine, fingerprint, tokens
+from passagework.constants import LEXICAL_WEIGHT, MAX_CANDIDATES, RANK_OFFSET, SEMANTIC_FLOOR, SEMANTIC_WEIGHT
+from passagework.functions.text import cosine, tokens
+from passagework.operators.index import Index, prepare
 
-#: Question terms are broadcast up to this many rows; more are joined by shuffle.
-BROADCAST_TERMS = 100_000
+#: Question vectors that go to the tasks at a time, and how many stay in the JVM.
+QUERY_BLOCK, FEW = 1_000, 32
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
@@ -21,29 +29,10 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return questions.select("qid", F.explode(F.array_distinct(tokens("question"))).alias("term"))
 
 
-def term_statistics(passages: DataFrame, text: str = "search_text") -> DataFrame:
-    """One row: how many passages there are, those without terms included, and the mean length."""
-    return passages.agg(F.count("*").alias("n"), F.sum(F.size(tokens(text))).alias("total")).select(
-        F.col("n").cast("double").alias("n"), F.greatest(F.lit(1.0), F.coalesce("total", F.lit(0)) / F.greatest(F.lit(1), F.col("n"))).alias("avg_len")
-    )
-
-
-def bm25(passages: DataFrame, terms: DataFrame, keys: list[str], text: str = "search_text", carry: tuple[str, ...] = (), broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
-    """qid, ``keys``, ``carry``, lexical_score of every passage that has a term.
-
-    Only occurrences of question terms are shuffled: the terms go to the passages. The
-    document frequencies have a row per question term and come back the same way.
-    """
-    small = terms.limit(broadcast_terms + 1).count() <= broadcast_terms
-    near = F.broadcast if small else (lambda x: x)
-    words = passages.select(*keys, *carry, tokens(text).alias("words")).select(*keys, *carry, F.size("words").alias("len"), F.explode("words").alias("term"))
-    found = words.join(near(terms.select("term").distinct()), "term").groupBy(*keys, *carry, "len", "term").agg(F.count("*").alias("tf"))
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = found.join(near(df), "term").crossJoin(F.broadcast(term_statistics(passages, text)))
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * ((1 - B) * 1.0 + B * F.col("len") / F.col("avg_len")))
-    scored = weighed.withColumn("weight", weight).join(near(terms), "term").groupBy("qid", *keys, *carry).agg(F.sum("weight").alias("s"), F.count("*").alias("matched"))
-    return scored.select("qid", *keys, *carry, (F.col("s") * (1 + F.log(F.col("matched").cast("double")))).alias("lexical_score"))
+def bm25(passages: DataFrame, terms: DataFrame, keys: list[str], text: str = "search_text") -> DataFrame:
+    """qid, ``keys``, fp, lexical_score of every passage that has a term, for one use; see
+    ``index.prepare`` for a snapshot that is asked more than once."""
+    return prepare(passages, keys, text).bm25(terms)
 
 
 def _ranks(score: str, keys: list[str]) -> list[Column]:
@@ -52,31 +41,70 @@ def _ranks(score: str, keys: list[str]) -> list[Column]:
 
 def demote_copies(scored: DataFrame, score: str, keys: list[str], k: int, fp: str = "fp") -> DataFrame:
     """Per question the best of each fingerprint by score, then the other copies; the first
-    ``k`` with their ``rank`` and ``is_copy``."""
+    ``k`` with their ``rank`` and ``is_copy``.
+
+    Only the first ``k`` of a fingerprint can be among these, and tasks send no more of
+    it (the plan has a WindowGroupLimit before the exchange), so a text with very many
+    copies is no hot key.
+    """
     order = _ranks(score, keys)
-    copies = scored.withColumn("is_copy", F.row_number().over(Window.partitionBy("qid", fp).orderBy(*order)) > 1)
-    ranked = copies.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("is_copy", *order)).cast("long"))
+    copies = scored.withColumn("nth", F.row_number().over(Window.partitionBy("qid", fp).orderBy(*order))).filter(F.col("nth") <= k)
+    ranked = copies.withColumn("is_copy", F.col("nth") > 1).drop("nth").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("is_copy", *order)).cast("long"))
     return ranked.filter(F.col("rank") <= k)
 
 
-def lexical(passages: DataFrame, terms: DataFrame, keys: list[str], k: int, text: str = "text", digits: int | None = None) -> DataFrame:
+def lexical(index: Index, terms: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     """BM25 with copies demoted: qid, keys, fp, lexical_score, is_copy, rank."""
-    scored = bm25(passages.withColumn("fp", fingerprint(text)), terms, keys, text, ("fp",))
+    scored = index.bm25(terms)
     if digits is not None:
         scored = scored.withColumn("lexical_score", F.round("lexical_score", digits))
-    return demote_copies(scored, "lexical_score", keys, k)
+    return demote_copies(scored, "lexical_score", list(index.keys), k)
 
 
-def vector_topk(vectors: DataFrame, query: DataFrame, k: int, key: str = "id", floor: float = SEMANTIC_FLOOR, digits: int | None = None) -> DataFrame:
+def vector_topk(vectors: DataFrame, query: DataFrame, k: int, key: str = "id", floor: float = SEMANTIC_FLOOR, digits: int | None = None, few: int = FEW) -> DataFrame:
     """qid, key, semantic_score, rank: exact, finite scores from ``floor`` on, ids in binary order.
 
-    ``query`` (qid, query_vector) is a stated set of questions and is broadcast.
+    ``query`` (qid, query_vector) is a stated set of questions. Up to ``FEW`` are broadcast
+    and stay in the JVM. More meet the vectors in blocks of ``QUERY_BLOCK``, one matrix
+    product for each batch. Either way a task sends ``k`` rows a question at most.
     """
-    score = cosine("vector", "query_vector")
-    scored = vectors.crossJoin(F.broadcast(query)).select("qid", key, (score if digits is None else F.round(score, digits)).alias("semantic_score"))
-    kept = scored.filter(~F.isnan("semantic_score") & (F.col("semantic_score") >= floor))
-    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("semantic_score"), key)).cast("long"))
-    return ranked.filter(F.col("rank") <= k)
+    best = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("semantic_score"), key)).cast("long")).filter(F.col("rank") <= k)
+    if len(query.select("qid").take(few + 1)) <= few:
+        score = cosine("vector", "query_vector")
+        scored = vectors.crossJoin(F.broadcast(query)).select("qid", key, (score if digits is None else F.round(score, digits)).alias("semantic_score"))
+        return best(scored.filter(~F.isnan("semantic_score") & (F.col("semantic_score") >= floor)))
+    field = vectors.schema[key]
+    ids = query.schema["qid"].dataType
+    schema = StructType([StructField("qid", ids), field, StructField("semantic_score", DoubleType())])
+    blocks, rest = [], query.coalesce(1).sortWithinPartitions("qid").toLocalIterator()
+    while chunk := list(islice(rest, QUERY_BLOCK)):
+        blocks.append(vectors.select(key, "vector").mapInArrow(_products([r.qid for r in chunk], np.array([r.query_vector for r in chunk], np.float64), k, floor, digits, schema), schema))
+    return best(reduce(DataFrame.unionByName, blocks))
+
+
+def _products(qids: list, queries: np.ndarray, k: int, floor: float, digits: int | None, schema: StructType):
+    names = schema.names
+
+    def run(batches):
+        kept: list[list[tuple]] = [[] for _ in qids]
+        for batch in batches:
+            ids, column = batch.column(0).to_pylist(), batch.column(1)
+            rows = [i for i in range(batch.num_rows) if column[i].is_valid]
+            if not rows:
+                continue
+            scores = np.array([column[i].values.to_numpy(zero_copy_only=False) for i in rows], np.float64) @ queries.T
+            scores = scores if digits is None else np.round(scores, digits)
+            for q, own in enumerate(scores.T):
+                good = np.flatnonzero(np.isfinite(own) & (own >= floor))
+                if len(good) > k:  # what ties with the k-th stays, ids decide
+                    good = good[own[good] >= np.partition(own[good], len(good) - k)[len(good) - k]]
+                kept[q] = sorted(kept[q] + [(-own[i], ids[rows[i]]) for i in good.tolist()])[:k]
+        out = [(qid, i, -s) for qid, best in zip(qids, kept, strict=True) for s, i in best]
+        columns = list(zip(*out, strict=True)) or [()] * 3
+        kinds = to_arrow_schema(schema)
+        yield pa.RecordBatch.from_arrays([pa.array(c, kinds.field(n).type) for c, n in zip(columns, names, strict=True)], names)
+
+    return run
 
 
 def pool_width(limit: int) -> int:
@@ -87,14 +115,14 @@ def fuse(lexical_ranked: DataFrame, semantic_ranked: DataFrame, passages: DataFr
     """Weighted reciprocal ranks of both lists, copies behind, ``limit`` rows a question.
 
     Ranks are taken before ids that have no passage are dropped, so those use theirs up.
-    ``passages`` has the key and the text.
+    ``passages`` has the key and the fingerprint's hash, as a prepared index has.
     """
     lex = lexical_ranked.select("qid", key, F.col("rank").alias("lex_rank"), "lexical_score")
     sem = semantic_ranked.select("qid", key, F.col("rank").alias("sem_rank"), "semantic_score")
     both = lex.join(sem, ["qid", key], "full_outer")
     part = lambda weight, rank: F.coalesce(F.lit(weight) / (RANK_OFFSET + F.col(rank)), F.lit(0.0))
     score = part(LEXICAL_WEIGHT, "lex_rank") + part(SEMANTIC_WEIGHT, "sem_rank")
-    fused = both.withColumn("retrieval_score", score if digits is None else F.round(score, digits)).join(passages.select(key, fingerprint("text").alias("fp")), key)
+    fused = both.withColumn("retrieval_score", score if digits is None else F.round(score, digits)).join(passages.select(key, "fp"), key)
     return demote_copies(fused, "retrieval_score", [key], limit)
 
 
@@ -104,5 +132,5 @@ def bounded(ranked: DataFrame, limit: int) -> DataFrame:
     return ranked.withColumn("truncated", more).filter(F.col("rank") <= limit)
 
 
-def clamp_candidates(n: int, most: int = 1_000) -> int:
+def clamp_candidates(n: int, most: int = MAX_CANDIDATES) -> int:
     return max(1, min(most, n))

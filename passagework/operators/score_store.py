@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagework.constants import CONTRIBUTIONS, MAX_CACHED_SCORES
@@ -32,9 +32,12 @@ def touched(store: DataFrame, read: DataFrame, clock: int) -> DataFrame:
 
 
 def upsert(store: DataFrame, rows: DataFrame, most: int = MAX_CACHED_SCORES) -> DataFrame:
-    """The latest row of each hash, and of those the ``most`` that were used last."""
-    newest = Window.partitionBy("hash").orderBy(F.desc("accessed"))
-    latest = store.unionByName(rows).withColumn("nth", F.row_number().over(newest)).filter("nth = 1").drop("nth")
+    """The latest row of each hash, and of those the ``most`` that were used last. Of rows
+    that were used at the same time the written one counts, then the larger score."""
+    both = store.withColumn("late", F.lit(0)).unionByName(rows.withColumn("late", F.lit(1)))
+    columns = [c for c in store.columns if c != "hash"]
+    newest = F.max_by(F.struct(*columns), F.struct("accessed", "late", "score", "contribution"))
+    latest = both.groupBy("hash").agg(newest.alias("row")).select("hash", "row.*").select(*store.columns)
     return latest.orderBy(F.desc("accessed"), "hash").limit(most)
 
 

@@ -12,6 +12,7 @@ from passagework.functions import text as T
 from passagework.functions.identity import score_hash
 from passagework.functions.spec import Criteria, QuerySpec
 from passagework.operators import evaluate, inclusions, judge, ranges, ranking, score_store
+from passagework.operators.index import Index, prepare
 from passagework.operators.markdown import parse_notes
 from passagework.sources.notes import difference, searchable
 from passagework.streaming import live
@@ -40,6 +41,19 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (F.col("k") + 1).cast("long").alias("line"), "text").filter(F.col("text").rlike(r"\S"))
 
 
+_INDEXES: dict[tuple, Index] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str, what: str = "lines") -> Index:
+    """The prepared index of a folder's lines or documents, built once in a session: these
+    tables don't change. Timing the build is ``bench.py``'s first entry."""
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key not in _INDEXES:
+        docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text") if what == "documents" else lines(spark, sf_dir)
+        _INDEXES[key] = prepare(docs, ["id"] if what == "documents" else ["doc_id", "line"])
+    return _INDEXES[key]
+
+
 QUESTION = "what is the erhe of on thnt and le des than thre"
 QUESTIONS = [
     "the erhe than thre", "what is on thnt", "le des les oire", "der die und schen", "que del los ado", "inea oring ation", "thor ondth entre", "eau ment tre", "ung heit keit", "ción mente osa",
@@ -91,12 +105,12 @@ def a2_corpus_stats(spark, sf_dir):
 
 @query(rf"WITH {LINES}, tok AS (SELECT DISTINCT doc_id, line, unnest({sql_tokens('text')}) AS term FROM lines) SELECT term, count(*)::BIGINT AS df FROM tok GROUP BY term")
 def a3_document_frequency(spark, sf_dir):
-    return lines(spark, sf_dir).select(F.explode(F.array_distinct(T.tokens("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return indexed(spark, sf_dir).terms
 
 
 @query(rf"WITH {LINES}, {sql_bm25('lines', 'doc_id, line', f'SELECT 0 AS qid, {chr(39)}{QUESTION}{chr(39)} AS question')} SELECT doc_id, line, s AS lexical_score FROM scored ORDER BY s DESC, doc_id, line LIMIT 100")
 def a4_bm25(spark, sf_dir):
-    scored = ranking.bm25(lines(spark, sf_dir), ranking.question_terms(one_question(spark)), ["doc_id", "line"], "text")
+    scored = indexed(spark, sf_dir).bm25(ranking.question_terms(one_question(spark)))
     return scored.select("doc_id", "line", F.round("lexical_score", 9).alias("lexical_score")).orderBy(F.desc("lexical_score"), "doc_id", "line").limit(100)
 
 
@@ -106,7 +120,7 @@ COPIES = "copies AS (SELECT *, row_number() OVER (PARTITION BY qid, fp ORDER BY
 @query(rf"WITH {LINES}, {sql_bm25('lines', 'doc_id, line', 'SELECT 0 AS qid, ' + chr(39) + 'the and inea thanedble' + chr(39) + ' AS question')}, {COPIES.format(keys='doc_id, line')} SELECT doc_id, line, s AS lexical_score, is_copy, rank FROM ranked WHERE rank <= 400")
 def d1_copy_demotion(spark, sf_dir):
     terms = ranking.question_terms(one_question(spark, "the and inea thanedble"))
-    return ranking.lexical(lines(spark, sf_dir), terms, ["doc_id", "line"], 400, digits=9).select("doc_id", "line", "lexical_score", "is_copy", "rank")
+    return ranking.lexical(indexed(spark, sf_dir), terms, 400, digits=9).select("doc_id", "line", "lexical_score", "is_copy", "rank")
 
 
 MANY = " UNION ALL ".join(f"SELECT {k} AS qid, '{q}' AS question" for k, q in enumerate(QUESTIONS))
@@ -115,7 +129,7 @@ MANY = " UNION ALL ".join(f"SELECT {k} AS qid, '{q}' AS question" for k, q in en
 @query(rf"WITH {LINES}, {sql_bm25('lines', 'doc_id, line', MANY)}, {COPIES.format(keys='doc_id, line')} SELECT qid::BIGINT AS qid, doc_id, line, s AS lexical_score, rank FROM ranked WHERE rank <= 20")
 def m_many_questions(spark, sf_dir):
     asked = spark.createDataFrame(list(enumerate(QUESTIONS)), "qid long, question string")
-    return ranking.lexical(lines(spark, sf_dir), ranking.question_terms(asked), ["doc_id", "line"], 20, digits=9).select("qid", "doc_id", "line", "lexical_score", "rank")
+    return ranking.lexical(indexed(spark, sf_dir), ranking.question_terms(asked), 20, digits=9).select("qid", "doc_id", "line", "lexical_score", "rank")
 
 
 @query(rf"SELECT fp_hash, n, first_doc FROM (SELECT sha256(fp) AS fp_hash, count(*)::BIGINT AS n, min(doc_id) AS first_doc FROM (SELECT doc_id, {sql_print('text')} AS fp FROM documents) GROUP BY fp)")
@@ -150,11 +164,11 @@ SELECT id, s AS retrieval_score, is_copy, row_number() OVER (ORDER BY is_copy, s
 
 @query(FUSED)
 def j2_rrf_fusion(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    lex = ranking.lexical(docs, ranking.question_terms(one_question(spark, "than thre conflict ation")), ["id"], 200, digits=9)
+    docs = indexed(spark, sf_dir, "documents")
+    lex = ranking.lexical(docs, ranking.question_terms(one_question(spark, "than thre conflict ation")), 200, digits=9)
     v, q = _vectors(spark, sf_dir)
     sem = ranking.vector_topk(v, q.filter("qid = 0"), 200, digits=6)
-    return ranking.fuse(lex, sem, docs, "id", 51, digits=9).select("id", "retrieval_score", "is_copy", "rank")
+    return ranking.fuse(lex, sem, docs.passages, "id", 51, digits=9).select("id", "retrieval_score", "is_copy", "rank")
 
 
 def _windows(spark, sf_dir) -> DataFrame:
@@ -275,9 +289,9 @@ def a7_stats(spark, sf_dir):
 
 @query("SELECT doc_id, greatest(quality * 0.5, toxic * 0.25, 0.125)::DOUBLE AS score, CASE WHEN quality = 1 THEN 'definition' ELSE 'other' END AS contribution FROM labels")
 def p8_validate(spark, sf_dir):
-    noul = lambda c: F.struct(c.cast("double").alias("noul"), F.lit(None).cast("string").alias("choice"))
-    choice = F.struct(F.lit(None).cast("double").alias("noul"), F.when(F.col("quality") == 1, "definition").otherwise("other").alias("choice"))
-    answers = F.create_map(F.lit("definition"), noul(F.col("quality") * 0.5), F.lit("condition"), noul(F.col("toxic") * 0.25), F.lit("distinction"), noul(F.lit(0.125)), F.lit("contribution"), choice)
+    part = lambda c: F.struct(c.cast("double").alias("score"), F.lit(None).cast("string").alias("choice"))
+    choice = F.struct(F.lit(None).cast("double").alias("score"), F.when(F.col("quality") == 1, "definition").otherwise("other").alias("choice"))
+    answers = F.create_map(F.lit("definition"), part(F.col("quality") * 0.5), F.lit("condition"), part(F.col("toxic") * 0.25), F.lit("distinction"), part(F.lit(0.125)), F.lit("contribution"), choice)
     return judge.validated(load(spark, sf_dir, "labels").select("doc_id", answers.alias("answers")), "default").select("doc_id", "score", "contribution")
 
 
@@ -294,7 +308,7 @@ def p9_score_guard(spark, sf_dir):
 def j5_split_answers(spark, sf_dir):
     """Answers of batches of ten, keyed ``id.name`` with a stray key each, back to their passages."""
     labels = load(spark, sf_dir, "labels").withColumn("id", F.col("doc_id").cast("string"))
-    answer = F.struct((F.col("quality") * 0.5).cast("double").alias("noul"), F.lit(None).cast("string").alias("choice"))
+    answer = F.struct((F.col("quality") * 0.5).cast("double").alias("score"), F.lit(None).cast("string").alias("choice"))
     batches = labels.groupBy(F.floor(F.col("doc_id") / 10)).agg(F.map_from_entries(F.collect_list(F.struct(F.concat("id", F.lit(".relevant")).alias("k"), answer.alias("v")))).alias("answers"))
     stray = F.create_map(F.concat(F.lit("relevant"), F.map_keys("answers")[0]), F.map_values("answers")[0])
     split = judge.split_answers(batches.select(F.map_concat("answers", stray).alias("answers")), labels.select("id"))
@@ -391,13 +405,13 @@ def s5_exclusion_filter(spark, sf_dir):
     return p.filter(~T.excluded("path", [" blog.tionsh.example.com/ ", "/tionble.example.org/en", "", " "]))
 
 
-FENCED = "CASE doc_id % 4 WHEN 0 THEN text || chr(10) || '```qq' || chr(10) || 'x' WHEN 1 THEN '  ~~~~qualitative-query  ' || chr(10) || text WHEN 2 THEN '```python' || chr(10) || text ELSE '    ```qq' || chr(10) || text END"
+FENCED = "CASE doc_id % 4 WHEN 0 THEN text || chr(10) || '```pq' || chr(10) || 'x' WHEN 1 THEN '  ~~~~passage-question  ' || chr(10) || text WHEN 2 THEN '```python' || chr(10) || text ELSE '    ```pq' || chr(10) || text END"
 
 
-@query(rf"SELECT doc_id, sha256(t) AS text_hash FROM (SELECT doc_id, {FENCED} AS t FROM documents) WHERE NOT regexp_matches(t, '(?m)^ {{0,3}}(?:`{{3,}}|~{{3,}})(?:qualitative-query|qq)[ \t\r]*$')")
+@query(rf"SELECT doc_id, sha256(t) AS text_hash FROM (SELECT doc_id, {FENCED} AS t FROM documents) WHERE NOT regexp_matches(t, '(?m)^ {{0,3}}(?:`{{3,}}|~{{3,}})(?:passage-question|pq)[ \t\r]*$')")
 def s7_fence_filter(spark, sf_dir):
     k = F.col("doc_id") % 4
-    t = F.when(k == 0, F.concat("text", F.lit("\n```qq\nx"))).when(k == 1, F.concat(F.lit("  ~~~~qualitative-query  \n"), "text")).when(k == 2, F.concat(F.lit("```python\n"), "text")).otherwise(F.concat(F.lit("    ```qq\n"), "text"))
+    t = F.when(k == 0, F.concat("text", F.lit("\n```pq\nx"))).when(k == 1, F.concat(F.lit("  ~~~~passage-question  \n"), "text")).when(k == 2, F.concat(F.lit("```python\n"), "text")).otherwise(F.concat(F.lit("    ```pq\n"), "text"))
     return searchable(load(spark, sf_dir, "documents").select("doc_id", t.alias("text"))).select("doc_id", F.sha2("text", 256).alias("text_hash"))
 
 

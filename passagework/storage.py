@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a temporary folder where that is unset, as in tests."""
+    """``spark.checkpoint.dir``. A local session without it gets a temporary folder; on a
+    cluster, whose executors wouldn't see one, that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='passagework-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

@@ -9,20 +9,20 @@ from passagework.operators.saving import StaleSource, plan_block_ids, save_selec
 
 def test_question_sources():
     assert parse_query("a/What is x.md", "text").question == "What is x"
-    assert parse_query("q.md", "```qq\nall of\nthis\n```").question == "all of\nthis"
-    spec = parse_query("q.md", "---\nquestion: old\nlimit: 3\n---\n```qq\nquestion: new\ncontext: [[N#^a|x]] [[M]]\n```")
+    assert parse_query("q.md", "```pq\nall of\nthis\n```").question == "all of\nthis"
+    spec = parse_query("q.md", "---\nquestion: old\nlimit: 3\n---\n```pq\nquestion: new\ncontext: [[N#^a|x]] [[M]]\n```")
     assert (spec.question, spec.limit, spec.context_paths) == ("new", 3, ("N#^a", "M"))
     assert parse_query("q.md", "---\r\nlimit: 3\r\n---\r\n") == parse_query("q.md", "---\nlimit: 3\n---\n")
 
 
-@pytest.mark.parametrize("text", ["---\na: 1", "```qq\nquestion: a\nnope: b\n```", "```qq\nquestion: a\nloose\n```", "```qq\nlimit: 0\n```", "```qq\nlimit: 1.5\n```", "```qq\nquestion: true\n```", "```qq\nmode: odd\n```"])
+@pytest.mark.parametrize("text", ["---\na: 1", "```pq\nquestion: a\nnope: b\n```", "```pq\nquestion: a\nloose\n```", "```pq\nlimit: 0\n```", "```pq\nlimit: 1.5\n```", "```pq\nquestion: true\n```", "```pq\nmode: odd\n```"])
 def test_bad_questions(text):
     with pytest.raises(SpecError):
         parse_query("q.md", text)
 
 
 def test_modes():
-    mode = lambda t: parse_query("q.md", f"```qq\n{t}\n```").criteria.mode
+    mode = lambda t: parse_query("q.md", f"```pq\n{t}\n```").criteria.mode
     assert mode("question: what is it") == "default"
     assert mode("question: what is it\ntrue: yes it is") == "generic"
     assert mode("question: why") == "generic"
@@ -65,7 +65,7 @@ def test_inclusion_codec():
     assert inclusions.update(note, "k", entry, False) == "# q\n"
     assert "--" not in note.split("inclusions: ")[1].split(" -->")[0]
     with pytest.raises(ValueError):
-        inclusions.read_records("<!-- qualitative-query-inclusions: %7B%22 -->")
+        inclusions.read_records("<!-- passage-inclusions: %7B%22 -->")
 
 
 def ids():

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from passagework.functions import embedding
 from passagework.functions.spec import Criteria
-from passagework.operators import inclusions, judge, ranges, ranking, score_store
+from passagework.operators import inclusions, index, judge, ranges, ranking, score_store
 from passagework.operators.markdown import expand_passages, parse_notes
 from passagework.sources.notes import read_notes
 from passagework.streaming.live import LiveSnapshot
@@ -44,12 +44,14 @@ def expected(rows, question):
 
 
 @pytest.mark.parametrize("question", ["conflict mediation art", "peace peace", "missing", "the and"])
-@pytest.mark.parametrize("broadcast", [100_000, 0])
-def test_bm25_against_numpy(spark, question, broadcast):
+@pytest.mark.parametrize("limits", [(1_000, 100_000), (0, 100_000), (0, 0)])
+def test_bm25_against_numpy(spark, question, limits, monkeypatch):
+    monkeypatch.setattr(index, "PUSHED_TERMS", limits[0])
+    monkeypatch.setattr(index, "BROADCAST_TERMS", limits[1])
     rows = lcg_corpus()
     df = spark.createDataFrame(rows, "id string, text string")
     terms = ranking.question_terms(spark.createDataFrame([(1, question)], "qid int, question string"))
-    got = {r.id: r.lexical_score for r in ranking.bm25(df, terms, ["id"], "text", broadcast_terms=broadcast).collect()}
+    got = {r.id: r.lexical_score for r in ranking.bm25(df, terms, ["id"], "text").collect()}
     want = expected(rows, question)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
@@ -57,14 +59,14 @@ def test_bm25_against_numpy(spark, question, broadcast):
 def test_copies_come_last(spark):
     df = spark.createDataFrame([("a", "peace  art"), ("b", "peace art"), ("c", "peace work")], "id string, text string")
     terms = ranking.question_terms(spark.createDataFrame([(1, "peace art")], "qid int, question string"))
-    ranked = lambda k: [(r.id, r.is_copy) for r in ranking.lexical(df, terms, ["id"], k).orderBy("rank").collect()]
+    ranked = lambda k: [(r.id, r.is_copy) for r in ranking.lexical(index.prepare(df, ["id"]), terms, k).orderBy("rank").collect()]
     assert ranked(5) == [("a", False), ("c", False), ("b", True)] and ranked(2) == [("a", False), ("c", False)]
 
 
 def test_fusion_keeps_ranks_of_lost_ids(spark):
     lex = spark.createDataFrame([(1, "a", 1, 2.0)], "qid int, id string, rank long, lexical_score double")
     sem = spark.createDataFrame([(1, "gone", 1, 0.9), (1, "b", 2, 0.8)], "qid int, id string, rank long, semantic_score double")
-    passages = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, text string")
+    passages = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, fp string")
     got = {r.id: r.retrieval_score for r in ranking.fuse(lex, sem, passages, "id", 9).collect()}
     assert got == {"a": 0.65 / 61, "b": 0.35 / 62}
     cut = ranking.bounded(ranking.fuse(lex, sem, passages, "id", 2), 1).collect()
@@ -74,7 +76,9 @@ def test_fusion_keeps_ranks_of_lost_ids(spark):
 def test_vector_floor(spark):
     v = spark.createDataFrame([("b", [1.0, 0.0]), ("B", [1.0, 0.0]), ("c", [0.1, 0.9]), ("n", [float("nan"), 0.0])], "id string, vector array<float>")
     q = spark.createDataFrame([(1, [1.0, 0.0])], "qid int, query_vector array<float>")
-    assert [r.id for r in ranking.vector_topk(v, q, 9).orderBy("rank").collect()] == ["B", "b"]
+    for few in (32, 0):
+        assert [r.id for r in ranking.vector_topk(v, q, 9, few=few).orderBy("rank").collect()] == ["B", "b"]
+        assert [r.id for r in ranking.vector_topk(v, q, 1, few=few).collect()] == ["B"]
 
 
 def test_overlap_folds(spark):
@@ -108,7 +112,7 @@ def test_judge(spark):
     out = {r.hash: (r.score, r.contribution) for r in judge.validated(asked, "generic").collect()}
     assert out == {"h1": (1.0, "other"), "h2": (0.0, "other")}
     with pytest.raises(PySparkException, match="valid score"):
-        judge.validated(judge.ask(rows, "q", Criteria("generic"), lambda *a: [{"relevant": {"noul": 1.5}}] * len(a[3])), "generic").collect()
+        judge.validated(judge.ask(rows, "q", Criteria("generic"), lambda *a: [{"relevant": {"score": 1.5}}] * len(a[3])), "generic").collect()
 
 
 def test_retries():
