@@ -9,14 +9,15 @@ merges, the only path left through a text is then the one that merging the whole
 give. Each arc weighs 1, and the path is the shortest in the tropical semiring.
 
 No piece has U+2581 behind another character, so a text falls into segments that begin
-with it, which are composed one by one and kept in a cache.
+with it; these fall into parts where two characters meet that are neighbours in no
+piece. What a worker has composed it keeps, segments and parts. Model type and normaliser
+are read from the model's file; others than BPE with the identity are refused.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
-import re
 import zlib
 
 import numpy as np
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import id_text, sliced
 
 SPACE = "▁"
-CACHE_SIZE = 1_200_000
+#: Entries of each of a cache's two generations, about 200 bytes each.
+CACHE_SIZE = 250_000
 LONGEST_CACHED = 48
 
 
@@ -35,6 +37,7 @@ class Transducer:
     def __init__(self, path: str):
         import sentencepiece
 
+        self.prefix = _checked(path)
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) for i in range(len(self.pieces))]
@@ -54,7 +57,9 @@ class Transducer:
                     node = node.setdefault(c, {})
                 node[""] = p
         self.fits: dict[tuple[str, str], bool] = {}
-        self.cache = _Segments(self)
+        self.pairs = {pair for p in self.ids for pair in zip(p, p[1:])}
+        self.parts_cache = _Cache(self._part)
+        self.cache = _Cache(self.compose, SPACE)
 
     def merge(self, text: str, last: dict | None = None) -> list[str]:
         """BPE of a short text: the best pair first, the leftmost of equal ones. ``last``
@@ -73,7 +78,7 @@ class Transducer:
     def beside(self, left: str, right: str) -> bool:
         key = (left, right)
         if key not in self.fits:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 500_000:
                 self.fits.clear()
             runs = SPACE * 2 in left or SPACE * 2 in right  # their scores are equal, so ranks don't tell
             self.fits[key] = self.merge(left + right) == [left, right] if runs else self._apart(left, right)
@@ -98,70 +103,143 @@ class Transducer:
                 sooner, right = b + 0.5, self.parts[right][0]
 
     def path(self, segment: str) -> list[str]:
-        """The shortest path's pieces; a character that no piece has stands for its bytes."""
-        n = len(segment)
-        reached: list[dict[str, tuple[int, int, str]]] = [{"": (0, 0, "")}, *({} for _ in range(n))]
-        fits, trie = self.fits, self.trie
-        for at, states in enumerate(reached):
-            if not states or at == n:
-                continue
-            node, k, arcs = trie, at, []
+        """The shortest path's pieces; a character that no piece has stands for its bytes.
+
+        Long arcs are tried first, and states that lead nowhere aren't entered again. All
+        arcs weigh 1 and compatible pieces leave one complete path, so it is the shortest.
+        """
+        n, fits, ids, trie = len(segment), self.fits, self.ids, self.trie
+        dead: set[tuple[int, str]] = set()
+        out: list[str] = []
+        at, last = 0, ""
+        arcs: list[list[str]] = []
+        while at < n:
+            node, k, here = trie, at, []
             while k < n and (node := node.get(segment[k])) is not None:
                 k += 1
                 if "" in node:
-                    arcs.append((k, node[""]))
-            if not arcs and segment[at] not in self.ids:
-                arcs.append((at + 1, segment[at]))
-            for last, (cost, _, _) in states.items():
-                for k, p in arcs:
-                    if last and not (fits[last, p] if (last, p) in fits else self.beside(last, p)):
-                        continue
-                    there = reached[k]
-                    if p not in there or there[p][0] > cost + 1:
-                        there[p] = (cost + 1, at, last)
-        last = min(reached[n], key=lambda p: reached[n][p][0])
-        at, out = n, []
-        while last:
-            out.append(last)
-            _, at, last = reached[at][last]
-        return out[::-1]
+                    here.append(node[""])
+            if not here and segment[at] not in ids:
+                here.append(segment[at])
+            arcs.append(here)
+            while True:
+                if not arcs[-1]:
+                    dead.add((at, last))
+                    arcs.pop()
+                    if not out:
+                        raise ValueError(f"no path through {segment!r}")
+                    at -= len(out.pop())
+                    last = out[-1] if out else ""
+                    continue
+                p = arcs[-1].pop()
+                if last and not (fits[last, p] if (last, p) in fits else self.beside(last, p)):
+                    continue
+                if dead and (at + len(p), p) in dead:
+                    continue
+                out.append(p)
+                at, last = at + len(p), p
+                break
+        return out
 
-    def compose(self, segment: str) -> bytes:
-        """The ids of one segment."""
+    def _part(self, part: str) -> bytes:
         ids: list[int] = []
-        for p in self.path(segment):
+        for p in self.path(part):
             ids += [self.ids[p]] if p in self.ids else [self.bytes[b] for b in p.encode()]
         return np.array(ids, "<u4").tobytes()
 
+    def compose(self, segment: str) -> bytes:
+        """The ids of one segment, which is cut where no piece has two neighbours side by side."""
+        pairs, cache, at, out = self.pairs, self.parts_cache, 0, []
+        if pairs.issuperset(zip(segment, segment[1:])):
+            return cache[segment]
+        for k in (*(k for k, pair in enumerate(zip(segment, segment[1:]), 1) if pair not in pairs), len(segment)):
+            out.append(cache[segment[at:k]])
+            at = k
+        return b"".join(out)
+
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        words = text.split(" ")
-        if SPACE in text or "" in words:  # segments with several spaces
-            return np.frombuffer(b"".join(map(self.compose, _segments(SPACE + text.replace(" ", SPACE)))), "<u4")
-        return np.frombuffer(b"".join(map(self.cache.__getitem__, words)), "<u4")
+        words = text.replace(SPACE, " ").split(" ")
+        if not self.prefix:
+            return np.frombuffer(self.compose(words[0]) + b"".join(map(self.cache.__getitem__, _runs(words[1:]))), "<u4")
+        return np.frombuffer(b"".join(map(self.cache.__getitem__, _runs(words))), "<u4")
 
     def decode(self, ids) -> str:
         data = b"".join(map(self.raw.__getitem__, ids))
-        return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
+        return (data[1:] if self.prefix and data[:1] == b" " else data).decode("utf-8", "replace")
 
 
-class _Segments(dict):
-    """The ids of words behind one space, kept up to ``CACHE_SIZE``."""
+class _Cache(dict):
+    """The ids of what was composed. When ``CACHE_SIZE`` entries are there, they become the
+    old ones, and those old before are forgotten unless they were asked for since."""
 
-    def __init__(self, transducer: Transducer):
-        self.compose = transducer.compose
+    def __init__(self, compose, prefix: str = ""):
+        self.compose, self.prefix, self.old = compose, prefix, {}
 
     def __missing__(self, word: str) -> bytes:
-        found = self.compose(SPACE + word)
+        found = self.old.get(word) or self.compose(self.prefix + word)
         if len(word) <= LONGEST_CACHED:
             if len(self) >= CACHE_SIZE:
+                self.old = dict(self)
                 self.clear()
             self[word] = found
         return found
 
 
-_segments = re.compile(f"{SPACE}+[^{SPACE}]*").findall
+def _runs(words: list[str]) -> list[str]:
+    """Segments without their first space: an empty word is a space of the next segment."""
+    if "" not in words:
+        return words
+    out, spaces = [], 0
+    for word in words:
+        if word:
+            out.append(SPACE * spaces + word if spaces else word)
+            spaces = 0
+        else:
+            spaces += 1
+    return [*out, SPACE * (spaces - 1)] if spaces else out
+
+
+def _fields(data: bytes) -> dict[int, list]:
+    """A protocol buffer message's fields by number: integers, or bytes."""
+    out: dict[int, list] = {}
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        key = number()
+        kind = key & 7
+        if kind == 0:
+            value = number()
+        else:
+            size = number() if kind == 2 else {1: 8, 5: 4}[kind]
+            value = data[at : at + size]
+            at += size
+        out.setdefault(key >> 3, []).append(value)
+    return out
+
+
+def _checked(path: str) -> bool:
+    """Whether the model puts a space before a text. Raises on what isn't compiled here."""
+    with open(path, "rb") as f:
+        model = _fields(f.read())
+    trainer, normaliser = (_fields(b"".join(model.get(k, []))) for k in (2, 3))
+    if trainer.get(3, [1])[-1] != 2:
+        raise ValueError("only BPE models are compiled")
+    if any(normaliser.get(2, [])) or normaliser.get(4, [1])[-1] or not normaliser.get(5, [1])[-1]:
+        raise ValueError("only the identity as a normaliser, with spaces kept and escaped, is compiled")
+    return bool(normaliser.get(3, [1])[-1])
 
 
 @functools.lru_cache(maxsize=2)
