@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import id_text, materialise, sliced
 from .shingles import mix, numbered, words_of
 
-BLOCK_BYTES = 8_000_000
-SHARD_BYTES = 16_000_000
+BLOCK_BYTES = 4_000_000
+SHARD_BYTES = 8_000_000
 #: Weight of the words' own shares against the counts that follow a word.
 PRIOR = 4.0
 #: Ids of target documents are broadcast up to this many, and joined beyond.
@@ -41,11 +41,21 @@ BLOCK = "block long, doc_ids array<long>, sizes array<long>, targets array<long>
 
 
 def _packed(x: np.ndarray) -> bytes:
-    return pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+    """Numbers by their bytes: all first ones, then all second ones, and so on, compressed."""
+    return pa.compress(np.ascontiguousarray(x.ravel().view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpacked(data: bytes, n: int, kind: str) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
+
+
+def _rows(batches):
+    """One row at a time, as a row is a whole block."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
 
 
 def _blocks(batches):
@@ -118,18 +128,17 @@ class _Grams:
 
 def _send(shards: int):
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                grams = _Grams(row)
-                order = np.argsort(grams.keys)
-                keys, counts = grams.keys[order], grams.counts[:, order].astype("<u4")
-                cut = np.searchsorted((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64))
-                some = np.flatnonzero(np.diff(cut)).tolist()
-                spans = [slice(cut[k], cut[k + 1]) for k in some]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(some, pa.int64()), pa.array([row["block"]] * len(some), pa.int64()), pa.array([keys[s].tobytes() for s in spans], pa.binary()), pa.array([_packed(counts[:, s]) for s in spans], pa.binary())],
-                    ["shard", "block", "keys", "counts"],
-                )
+        for row in _rows(batches):
+            grams = _Grams(row)
+            order = np.argsort(grams.keys)
+            keys, counts = grams.keys[order], grams.counts[:, order].astype("<u4")
+            cut = np.searchsorted((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64))
+            some = np.flatnonzero(np.diff(cut)).tolist()
+            spans = [slice(cut[k], cut[k + 1]) for k in some]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some, pa.int64()), pa.array([row["block"]] * len(some), pa.int64()), pa.array([s.stop - s.start for s in spans], pa.int64()), pa.array([_packed(np.diff(keys[s], prepend=np.uint64(0))) for s in spans], pa.binary()), pa.array([_packed(counts[:, s]) for s in spans], pa.binary())],
+                ["shard", "block", "n", "keys", "counts"],
+            )
 
     return run
 
@@ -137,38 +146,38 @@ def _send(shards: int):
 def _add_up(table: pa.Table) -> pa.Table:
     """What each block sent, with the sums over all blocks; and how many words there are."""
     table = table.sort_by("block")
-    sent = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
+    sizes = table.column("n").to_pylist()
+    sent = [np.cumsum(_unpacked(k, n, "<u8"), dtype=np.uint64) for k, n in zip(table.column("keys").to_pylist(), sizes, strict=True)]
     counts = np.concatenate([_unpacked(c, 2 * len(k), "<u4").reshape(2, -1) for c, k in zip(table.column("counts").to_pylist(), sent, strict=True)], 1)
     keys, _, which = numbered(np.concatenate(sent))
     sums = np.stack([np.bincount(which, c, len(keys)).astype("<u8") for c in counts])
-    at = np.cumsum([0, *map(len, sent)]).tolist()
-    words = [int((keys & np.uint64(3) == WORD).sum())] + [0] * (len(sent) - 1)
+    at = np.cumsum([0, *sizes]).tolist()
+    words = [int((keys & np.uint64(3) == WORD).sum())] + [0] * (len(sizes) - 1)
     answers = [_packed(sums[:, which[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)]
-    return pa.table([table.column("block"), table.column("shard"), pa.array(words, pa.int64()), pa.array(list(map(len, sent)), pa.int64()), pa.array(answers, pa.binary())], names=["block", "shard", "words", "n", "sums"])
+    return pa.table([table.column("block"), table.column("shard"), pa.array(words, pa.int64()), table.column("n"), pa.array(answers, pa.binary())], names=["block", "shard", "words", "n", "sums"])
 
 
 def _score(totals: tuple[int, int], vocabulary: int, prior: float):
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                grams = _Grams(row)
-                order = np.argsort(grams.keys)
-                sums = np.empty((2, len(order) + 1), np.float64)
-                answers = sorted(row["answers"] or (), key=lambda a: a["shard"])
-                sums[:, order] = np.concatenate([np.zeros((2, 0)), *(_unpacked(a["sums"], 2 * a["n"], "<u8").reshape(2, -1) for a in answers)], 1)
-                sums[:, -1] = totals
-                some = grams.sizes > 0
-                first = (np.cumsum(grams.sizes) - grams.sizes)[some]
-                mean = np.zeros((2, len(some)))
-                own = grams.own()
-                for out, counts, part in zip(mean, sums, (1, grams.target), strict=True):
-                    if len(first):
-                        out[some] = np.add.reduceat(grams.losses(counts, own * part, vocabulary, prior), first) / grams.sizes[some]
-                background, target = mean
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(grams.sizes), pa.array(target), pa.array(background), pa.array(background - target)],
-                    ["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
-                )
+        for row in _rows(batches):
+            grams = _Grams(row)
+            order = np.argsort(grams.keys)
+            sums = np.empty((2, len(order) + 1), np.float64)
+            answers = sorted(row["answers"] or (), key=lambda a: a["shard"])
+            sums[:, order] = np.concatenate([np.zeros((2, 0)), *(_unpacked(a["sums"], 2 * a["n"], "<u8").reshape(2, -1) for a in answers)], 1)
+            sums[:, -1] = totals
+            some = grams.sizes > 0
+            first = (np.cumsum(grams.sizes) - grams.sizes)[some]
+            mean = np.zeros((2, len(some)))
+            own = grams.own()
+            for out, counts, part in zip(mean, sums, (1, grams.target), strict=True):
+                if len(first):
+                    out[some] = np.add.reduceat(grams.losses(counts, own * part, vocabulary, prior), first) / grams.sizes[some]
+            background, target = mean
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row["doc_ids"], pa.int64()), pa.array(grams.sizes), pa.array(target), pa.array(background), pa.array(background - target)],
+                ["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
+            )
 
     return run
 
@@ -195,7 +204,7 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_i
     add = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b)
     both = F.zip_with(sizes, "targets", lambda n, t: n * t)
     tokens, target, size = blocks.agg(F.coalesce(F.sum(add(sizes)), F.lit(0)), F.coalesce(F.sum(add(both)), F.lit(0)), F.coalesce(F.sum(F.octet_length("words") + F.col("n")), F.lit(0))).first()
-    sent = blocks.mapInArrow(_send(max(1, -(-2 * size // SHARD_BYTES))), "shard long, block long, keys binary, counts binary")
+    sent = blocks.mapInArrow(_send(max(1, -(-2 * size // SHARD_BYTES))), "shard long, block long, n long, keys binary, counts binary")
     answers = materialise(sent.groupBy("shard").applyInArrow(_add_up, "block long, shard long, words long, n long, sums binary"), "answers")
     vocabulary = answers.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     each = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "n", "sums")).alias("answers"))
