@@ -12,6 +12,7 @@ from passagework.functions import text as T
 from passagework.functions.identity import score_hash
 from passagework.functions.spec import Criteria, QuerySpec
 from passagework.operators import evaluate, inclusions, judge, ranges, ranking, score_store
+from passagework.operators.answer import answer, retrieve
 from passagework.operators.index import Index, prepare
 from passagework.operators.markdown import parse_notes
 from passagework.sources.notes import difference, searchable
@@ -450,3 +451,116 @@ SPEC = QuerySpec("what is it", criteria=Criteria("generic", "look"))
 @query("""SELECT doc_id, sha256('{"context":"","criteria":{"instructions":"look","mode":"generic"},"keyVersion":2,"namespace":"n:1","passage":' || to_json(text)::VARCHAR || ',"question":"what is it"}') AS hash FROM documents""")
 def f7_score_hash(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", score_hash(SPEC, F.col("text"), "n:1").alias("hash"))
+
+
+ASKED = "the and inea thanedble of"
+
+
+def _passages(spark, sf_dir) -> DataFrame:
+    """The lines as passages of one line each."""
+    rows = lines(spark, sf_dir).withColumns({"line_start": F.col("line"), "line_end": F.col("line"), "path": F.col("doc_id").cast("string")})
+    return rows.withColumn("id", F.concat("path", F.lit(":"), "line")).withColumns({"render_text": F.lit(None).cast("string"), "heading_path": F.array().cast("array<string>")})
+
+
+def _answer(spark, sf_dir, **more):
+    """One question with the offline scorer; texts of labelled documents' lines were scored before."""
+    spec = QuerySpec(ASKED, criteria=Criteria("generic"))
+    known = _passages(spark, sf_dir).filter("doc_id % 3 = 0").select(score_hash(spec, F.col("text"), "offline").alias("hash")).distinct()
+    store = known.select("hash", F.lit(0.75).alias("score"), F.lit("other").alias("contribution"), F.create_map(F.lit("relevant"), F.lit(0.75)).alias("scores"), F.lit(0).cast("long").alias("accessed"))
+    return answer(_passages(spark, sf_dir), indexed(spark, sf_dir), spec, judge.overlap_scorer, store, candidates=60, threshold=0.45, limit=25, clock=7, **more)
+
+
+RETRIEVED = rf"""WITH {LINES}, {sql_bm25('lines', 'doc_id, line', f"SELECT 0 AS qid, '{ASKED}' AS question")}, {COPIES.format(keys='doc_id, line')}, cand AS (SELECT doc_id, line, s, rank, (SELECT max(rank) FROM ranked) > 60 AS truncated FROM ranked WHERE rank <= 60)"""
+ASKED_WORDS = "[" + ", ".join(f"'{w}'" for w in ASKED.split()) + "]"
+SCORED = rf"""{RETRIEVED}, known AS (SELECT DISTINCT text FROM lines WHERE doc_id % 3 = 0),
+sc AS (SELECT c.doc_id, c.line, l.text, l.text IN (SELECT text FROM known) AS cached, CASE WHEN l.text IN (SELECT text FROM known) THEN 0.75::DOUBLE ELSE round(len(list_intersect(list_distinct(regexp_split_to_array(lower(l.text), '\s+')), {ASKED_WORDS}))::DOUBLE / 5, 6) END AS score FROM cand c JOIN lines l USING (doc_id, line))"""
+
+
+@query(rf"{SCORED}, p AS (SELECT doc_id::VARCHAR || ':' || line::VARCHAR AS id, score FROM sc WHERE score >= 0.45) SELECT id, score, (row_number() OVER (ORDER BY score DESC, id) - 1)::BIGINT AS position FROM p QUALIFY position < 25")
+def e1_answer(spark, sf_dir):
+    """Retrieval, cache, scorer, threshold, order and limit, composed."""
+    return _answer(spark, sf_dir).shown.select("id", "score", "position")
+
+
+@query(rf"{SCORED} SELECT count(*)::BIGINT AS retrieved, bool_or(truncated) AS truncated, count(*)::BIGINT AS shortlisted, 0::BIGINT AS overlap_removed, count(*)::BIGINT AS checked, count(*) FILTER (cached)::BIGINT AS cached, count(*) FILTER (NOT cached)::BIGINT AS requested, count(DISTINCT text)::BIGINT AS hashes, count(*) FILTER (score >= 0.45)::BIGINT AS passed FROM sc JOIN cand USING (doc_id, line)")
+def e2_answer_statistics(spark, sf_dir):
+    return _answer(spark, sf_dir).statistics.select("retrieved", "truncated", "shortlisted", "overlap_removed", "checked", "cached", "requested", "hashes", "passed")
+
+
+@query(rf"{SCORED} SELECT doc_id::VARCHAR || ':' || line::VARCHAR AS id, score FROM sc WHERE score < 0.45")
+def u1_judged_below(spark, sf_dir):
+    """What was judged and didn't pass."""
+    return _answer(spark, sf_dir).below.select("id", "score")
+
+
+@query(rf"{SCORED} SELECT score, count(DISTINCT text)::BIGINT AS n FROM sc WHERE NOT cached GROUP BY score")
+def u5_store_after_a_run(spark, sf_dir):
+    """Equal texts are asked once; the store has what was asked and counts it as used now."""
+    spec = QuerySpec(ASKED, criteria=Criteria("generic"))
+    known = _passages(spark, sf_dir).filter("doc_id % 3 = 0").select(score_hash(spec, F.col("text"), "offline").alias("hash")).distinct()
+    return _answer(spark, sf_dir).store.filter("accessed = 7").join(known, "hash", "left_anti").groupBy("score").agg(F.count("*").alias("n"))
+
+
+@query(rf"{RETRIEVED} SELECT doc_id, line, s AS lexical_score, rank, truncated FROM cand")
+def t6_keyword_only(spark, sf_dir):
+    """No vectors: keyword ranks alone, as wide as asked, and whether there was more."""
+    return retrieve(indexed(spark, sf_dir), one_question(spark, ASKED), 60, digits=9).select("doc_id", "line", "lexical_score", "rank", "truncated")
+
+
+@query(FUSED.replace("rank <= 200", "rank <= 204").replace("sr <= 200", "sr <= 204").replace("SELECT id, s AS retrieval_score, is_copy, row_number()", "SELECT id, s AS retrieval_score, (SELECT count(*) FROM h) > 51 AS truncated, row_number()"))
+def t5_truncated(spark, sf_dir):
+    """Both lists as wide as the pool (4 x 51), fused, cut at 51, and whether there was more."""
+    v, q = _vectors(spark, sf_dir)
+    found = retrieve(indexed(spark, sf_dir, "documents"), one_question(spark, "than thre conflict ation"), 51, v, q.filter("qid = 0"), digits=9)
+    return found.select("id", "retrieval_score", "rank", "truncated")
+
+
+@query(f"""WITH {JUDGED}, sel AS (SELECT doc_id FROM judged WHERE score >= 0.45 ORDER BY score DESC, doc_id LIMIT 50) SELECT doc_id AS id, score FROM judged WHERE doc_id NOT IN (SELECT doc_id FROM sel) AND doc_id % 97 <> 0""")
+def o6_below_without_included(spark, sf_dir):
+    """What isn't shown, without what a reader included."""
+    judged = _judged(spark, sf_dir).select(F.col("doc_id").alias("id"), "score", "contribution", F.create_map(F.lit("relevant"), "score").alias("scores"))
+    top = judged.filter("score >= 0.45").orderBy(F.desc("score"), "id").limit(50)
+    selected = top.withColumn("position", F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("long"))
+    entries = judged.filter("id % 97 = 0").withColumn("nth", F.col("id"))
+    return inclusions.apply(selected, judged.join(selected.select("id"), "id", "left_anti"), entries)[1].select("id", "score")
+
+
+@query("SELECT DISTINCT sha256(text || '!') AS hash, 0.5::DOUBLE * max(quality) OVER (PARTITION BY text) AS score FROM documents JOIN labels USING (doc_id)")
+def j4_promote(spark, sf_dir):
+    """Scores under an older key of a text become rows under its new key."""
+    docs = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels"), "doc_id")
+    store = docs.groupBy(F.sha2("text", 256).alias("hash")).agg((F.max("quality") * 0.5).cast("double").alias("score")).select("hash", "score", F.lit("other").alias("contribution"), F.create_map(F.lit("relevant"), "score").alias("scores"), F.lit(0).cast("long").alias("accessed"))
+    missing = docs.select(F.sha2(F.concat("text", F.lit("!")), 256).alias("hash"), F.sha2("text", 256).alias("old_hash")).distinct()
+    return score_store.promote(missing, store).select("hash", "score")
+
+
+@query("SELECT sha256(doc_id::VARCHAR) AS hash, CASE WHEN doc_id % 5 = 0 THEN 0.125 ELSE quality * 0.5 END::DOUBLE AS score FROM labels WHERE doc_id % 5 = 0 OR doc_id % 7 <> 0")
+def s11_import_records(spark, sf_dir):
+    """Old records, one JSON text each, some of another version; those that the store has stay as they are."""
+    labels = load(spark, sf_dir, "labels").withColumn("hash", F.sha2(F.col("doc_id").cast("string"), 256))
+    store = labels.filter("doc_id % 5 = 0").select("hash", F.lit(0.125).alias("score"), F.lit("other").alias("contribution"), F.create_map(F.lit("relevant"), F.lit(0.125)).alias("scores"), F.lit(1).cast("long").alias("accessed"))
+    score = (F.col("quality") * 0.5).cast("double")
+    value = F.struct(score.alias("score"), F.lit("other").alias("contribution"), F.create_map(F.lit("relevant"), score).alias("scores"))
+    record = F.struct(F.when(F.col("doc_id") % 7 == 0, 2).otherwise(1).alias("version"), F.array(F.struct("hash", value.alias("value"))).alias("entries"))
+    return score_store.import_records(labels.select(F.to_json(record).alias("value")), store).select("hash", "score")
+
+
+@query(rf"SELECT doc_id, sha256(regexp_replace({FENCED}, '(?m)^( {{0,3}}(?:`{{3,}}|~{{3,}}))(?:passage-question|pq)([ \t\r]*)$', '\1text\2', 'g')) AS text_hash FROM documents")
+def p11_inert_fences(spark, sf_dir):
+    k = F.col("doc_id") % 4
+    t = F.when(k == 0, F.concat("text", F.lit("\n```pq\nx"))).when(k == 1, F.concat(F.lit("  ~~~~passage-question  \n"), "text")).when(k == 2, F.concat(F.lit("```python\n"), "text")).otherwise(F.concat(F.lit("    ```pq\n"), "text"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.sha2(T.inert_fences(t), 256).alias("text_hash"))
+
+
+@query("""WITH t AS (SELECT conv_id, role, 'Said ' || replace(text, chr(10), ' ') || '.' AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS k FROM conversations)
+SELECT 'conv' || conv_id::VARCHAR || '.md:' || (5 + 4 * k) || '-' || (5 + 4 * k) AS id, 'paragraph' AS kind, (5 + 4 * k)::INTEGER AS line_start, sha256(said) AS text_hash, 'Conv ' || conv_id::VARCHAR || ' > ' || role || ' ' || k AS headings, 'conv' || conv_id::VARCHAR || '.md:' || (3 + 4 * k) AS section_id FROM t""")
+def p1_conversation_blocks(spark, sf_dir):
+    """A note for each conversation: its number as the title, a section with a paragraph for each turn."""
+    c = load(spark, sf_dir, "conversations")
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    part = lambda x, k: F.concat(F.lit("## "), x["role"], F.lit(" "), k.cast("string"), F.lit("\n\nSaid "), F.replace(x["text"], F.lit("\n"), F.lit(" ")), F.lit(".\n\n"))
+    notes = c.groupBy("conv_id").agg(turns.alias("turns")).select(
+        F.concat(F.lit("conv"), F.col("conv_id").cast("string"), F.lit(".md")).alias("path"),
+        F.concat(F.lit("# Conv "), F.col("conv_id").cast("string"), F.lit("\n\n"), F.array_join(F.transform("turns", part), "")).alias("text"),
+    )
+    return parse_notes(notes).select("id", "kind", "line_start", F.sha2("text", 256).alias("text_hash"), F.array_join("heading_path", " > ").alias("headings"), "section_id")
