@@ -7,8 +7,8 @@ share its longest prefixes, of ``LEAST_DEPTH`` values at least: where few rows d
 all down to the least depth, and in a dense region the depth descends until no more than
 these are left. This links most of what belongs together, but not all: the last step
 compares the rest of every region (the rows that share ``LEAST_DEPTH`` values), whatever
-its size, in blocks of ``BLOCK`` rows. Only pairs of one component are left out there, as
-their links can't change anything.
+its size, in blocks of ``BLOCK`` rows, and confirms on full sets where the blocks meet.
+Only pairs of one component are left out there, as their links can't change anything.
 
 Documents with equal sets are one from the start (a 128-bit fingerprint and the size).
 Candidates are confirmed on full sets: first along the order of ``ORDERS`` trees, where
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, id_text, materialise, sliced
 from .components import components
-from .shingles import mix, shingle_sets
+from .shingles import mix, numbered, shingle_sets
 
 MAX_TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS, ORDERS = 48, 8, 3, 8, 2
 MISSED = 2e-5
@@ -184,42 +184,95 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
 
-def _cross(percent: int):
-    """Pairs of each key's left rows with its right ones that are in different components."""
+def _by_key(batches):
+    """The rows of each key, which stand together, as one table."""
+    key, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy()
+        ends = [*(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for x, y in zip([0, *ends[:-1]], ends, strict=True):
+            if keys[x] != key and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            key = keys[x]
+            held.append(batch.slice(x, y - x))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _met(rows: pa.Table, percent: int):
+    """Pairs i, j of left rows with right ones that may be linked, 256 left rows at a time.
+
+    They are in different components, neither size nor sketch rules them out, and this
+    tree is the first in which they share a prefix, so that no pair is met twice.
+    """
     apart = apart_bits(percent)
+    tree, right, loose, ids, group, size = (rows.column(c).to_numpy() for c in ("tree", "right", "loose", "doc_id", "group", "n"))
+    sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
+    prefix = np.frombuffer(b"".join(rows.column("prefixes").to_pylist()), np.uint32).reshape(len(ids), -1, LEAST_DEPTH)
+    left, right = np.flatnonzero(~right), np.flatnonzero(right)
+    for k in range(0, len(left), 256):
+        i, j = left[k : k + 256, None], right[None]
+        x, y = np.nonzero(
+            (group[i] != group[j]) & ((ids[i] < ids[j]) | ~loose[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
+        )
+        i, j = left[k + x], right[y]
+        near = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1) <= apart
+        i, j = i[near], j[near]
+        new = np.ones(len(i), bool)
+        for t in range(int(tree.max())):
+            new &= (tree[i] <= t) | (prefix[i, t] != prefix[j, t]).any(1)
+        yield i[new], j[new]
+
+
+def _asked(percent: int):
+    """Those rows of each key that have a pair there: only their sets need to travel."""
 
     def run(batches):
-        key, left = None, []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, right, loose = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            ids, group, size = (batch.column(k).to_numpy() for k in range(3, 6))
-            sketch = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            a, b, held = [], [], 0
-            ends = np.flatnonzero((keys[1:] != keys[:-1]) | (right[1:] != right[:-1])) + 1
-            for x, y in zip([0, *ends.tolist()], [*ends.tolist(), len(keys)], strict=True):
-                if keys[x] != key:
-                    key, left = keys[x], []
-                if not right[x]:
-                    left.append((ids[x:y], group[x:y], size[x:y], sketch[x:y]))
-                    continue
-                for own, own_group, own_size, own_sketch in left:
-                    for k in range(0, len(own), 256):
-                        cut = slice(k, k + 256)
-                        i, j = np.nonzero(
-                            (own_group[cut, None] != group[None, x:y]) & ((own[cut, None] < ids[None, x:y]) | ~loose[None, x:y])
-                            & (100 * np.minimum(own_size[cut, None], size[None, x:y]) >= percent * np.maximum(own_size[cut, None], size[None, x:y]))
-                        )
-                        near = np.bitwise_count(own_sketch[cut][i] ^ sketch[x:y][j]).sum(1) <= apart
-                        a.append(own[cut][i[near]])
-                        b.append(ids[x:y][j[near]])
-                        held += len(a[-1])
-                        if held > 1_000_000:
-                            yield _pairs(a, b)
-                            a, b, held = [], [], 0
-            if held:
-                yield _pairs(a, b)
+        for rows in _by_key(batches):
+            keep = np.zeros(rows.num_rows, bool)
+            for i, j in _met(rows, percent):
+                keep[i] = keep[j] = True
+            if keep.any():
+                yield from rows.filter(pa.array(keep)).to_batches()
+
+    return run
+
+
+def _joined(percent: int):
+    """Links of each key's rows by their full sets; those between rows that are joined already are left out."""
+
+    def run(batches):
+        for rows in _by_key(batches):
+            ids, group = rows.column("doc_id").to_numpy(), rows.column("group").to_numpy().copy()
+            shingles = rows.column("shingles").combine_chunks()
+            sizes = shingles.value_lengths().to_numpy()
+            start = np.cumsum(sizes) - sizes
+            number = numbered(shingles.flatten().to_numpy())[2]
+            mark, a, b = np.zeros(len(number), bool), [], []
+            for i, j in _met(rows, percent):
+                ends = np.flatnonzero(np.diff(i, append=-1)) + 1
+                for x, y in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    if x == y:
+                        continue
+                    own, others = i[x], j[x:y]
+                    others = others[(group[others] != group[own]) & (sizes[others] > 0)]
+                    mine = number[start[own] : start[own] + sizes[own]]
+                    mark[mine] = True
+                    for k in range(0, len(others), 256):  # so many sets at a time
+                        some = others[k : k + 256]
+                        first = np.cumsum(sizes[some]) - sizes[some]
+                        both = np.add.reduceat(mark[number[np.repeat(start[some] - first, sizes[some]) + np.arange(first[-1] + sizes[some[-1]])]].astype(np.int64), first)
+                        for other in some[100 * both >= percent * (sizes[own] + sizes[some] - both)].tolist():
+                            if group[other] != group[own]:
+                                a.append(min(ids[own], ids[other]))
+                                b.append(max(ids[own], ids[other]))
+                                group[group == group[other]] = group[own]
+                    mark[mine] = False
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -309,26 +362,37 @@ def _rest(df: DataFrame, reps: DataFrame, final: DataFrame, percent: int, block:
 
     In each region with several components, all rows but those of the largest (the loose
     ones) meet all rows, in a task for every two blocks. So a group that is joined already
-    costs little, and no region meets in one task.
+    costs little, and no region meets in one task. They meet twice: first by sketches,
+    which leaves the rows that may be linked there, then these by their full sets. Only
+    links leave a task, no more than it has rows; pairs are never rows.
     """
-    placed = materialise(reps.join(final, "doc_id", "left").select("doc_id", "labels", "sketch", "n", F.coalesce("component_id", "doc_id").alias("group")), "placed")
-    rows = placed.select(
-        F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees_for(percent) - 1)), lambda t: F.substring(F.col("labels"), t * LABEL + 1, F.lit(REGION)))).alias("tree", "prefix"), "sketch", "n", "doc_id", "group",
-    )
+    trees = trees_for(percent)
+    cut = lambda t: F.substring("labels", t * LABEL + 1, REGION)
+    placed = reps.join(final, "doc_id", "left").select("doc_id", F.concat(*map(cut, range(trees))).alias("prefixes"), "sketch", "n", F.coalesce("component_id", "doc_id").alias("group"))
+    placed = materialise(placed, "placed")
+    prefixes = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring(F.col("prefixes"), t * REGION + 1, F.lit(REGION)))
+    rows = placed.select(F.posexplode(prefixes).alias("tree", "prefix"), "prefixes", "sketch", "n", "doc_id", "group")
     key = ["tree", "prefix"]
-    regions = rows.groupBy(*key, "group").agg(F.count("*").alias("k")).groupBy(*key).agg(F.sum("k").alias("total"), F.max(F.struct("k", "group")).alias("top"), F.count("*").alias("groups"))
-    regions = regions.filter("groups > 1").select(*key, F.ceil((F.col("total") - F.col("top.k")) / block).alias("n_left"), F.ceil(F.col("total") / block).alias("n_right"), F.col("top.group").alias("most"))
+    # A block has so many rows, or fewer if their sets are large.
+    regions = rows.groupBy(*key, "group").agg(F.sum(1 + F.col("n") / 1024).alias("k")).groupBy(*key).agg(F.sum("k").alias("total"), F.max(F.struct("k", "group")).alias("top"), F.count("*").alias("groups"))
+    regions = regions.filter("groups > 1").select(
+        *key, F.ceil(F.greatest(F.col("total") - F.col("top.k"), F.lit(1.0)) / block).alias("n_left"), F.ceil(F.col("total") / block).alias("n_right"), F.col("top.group").alias("most"),
+    )
     regions = materialise(regions, "regions")
     large = rows.join(F.broadcast(regions.filter("n_right > 1")), key, "left")
     small = large.filter("most IS NULL").select(*rows.columns).join(regions.filter("n_right = 1"), key)
     dealt = large.filter("most IS NOT NULL").select(*small.columns).unionByName(small).withColumn("loose", F.col("group") != F.col("most"))
-    out = ["loose", "doc_id", "group", "n", "sketch"]
+    out = ["tree", "loose", "doc_id", "group", "n", "sketch", "prefixes"]
     lefts = dealt.filter("loose").withColumn("i", F.pmod(F.xxhash64("doc_id"), "n_left")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_right") - 1))).withColumn("right", F.lit(False))
     rights = dealt.withColumn("j", F.pmod(F.xxhash64("doc_id"), "n_right")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_left") - 1))).withColumn("right", F.lit(True))
     met = lefts.unionByName(rights.select(*lefts.columns)).select(F.xxhash64(*key, "i", "j").alias("key"), "right", *out)
-    pairs = materialise(met.repartition("key").sortWithinPartitions("key", "right").mapInArrow(_cross(percent), "a long, b long").distinct(), "rest")
-    links = _confirmed(df, pairs, percent, broadcast_ids)
-    discard(placed, regions, pairs)
+    met = met.repartition("key").sortWithinPartitions("key")
+    asked = materialise(met.mapInArrow(_asked(percent), met.schema), "asked")
+    need = materialise(asked.select("doc_id").distinct(), "ids")
+    some = df.join(F.broadcast(need) if need.count() <= broadcast_ids else need, "doc_id", "left_semi")
+    wide = asked.join(some.mapInArrow(_sets, "doc_id long, shingles array<long>"), "doc_id").select(*asked.columns, "shingles")
+    links = materialise(wide.repartition("key").sortWithinPartitions("key").mapInArrow(_joined(percent), "a long, b long"), "rest")
+    discard(placed, regions, asked, need)
     return links
 
 

@@ -133,14 +133,29 @@ def test_candidates_among_thousands_that_are_nearly_alike():
     n = len(sets)
     import pyarrow as pa
 
-    rows = [pa.array(c) for c in ([1] * n, [False] * n, [True] * n, range(n), range(n), [200] * n, [x.tobytes() for x in sketch])]
-    right = [rows[0], pa.array([True] * n), *rows[2:]]
-    names = ["key", "right", "loose", "doc_id", "group", "n", "sketch"]
+    sketches, sets_of = [x.tobytes() for x in sketch], pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
+    names = ["key", "right", "tree", "loose", "doc_id", "group", "n", "sketch", "prefixes", "shingles"]
+    sides = []
+    for right in (False, True):
+        columns = ([1] * n, [right] * n, [0] * n, [True] * n, range(n), range(n), [200] * n, sketches, [bytes(12)] * n)
+        sides.append(pa.RecordBatch.from_arrays([*map(pa.array, columns), sets_of], names))
+    asked = list(near_dedup._asked(85)(iter(sides)))
     found = set()
-    for batch in near_dedup._cross(85)([pa.RecordBatch.from_arrays(rows, names), pa.RecordBatch.from_arrays(right, names)]):
+    for batch in near_dedup._joined(85)(iter(asked)):
         found |= set(zip(*batch.to_pydict().values()))
     true = [(k, k + 1) for k in range(0, n, 2) if near_dedup.similar(sets[k], sets[k + 1])]
     assert len(true) > 2900 and sum(p in found for p in true) / len(true) > 0.999
+    assert all(near_dedup.similar(sets[x], sets[y]) for x, y in found)
+
+
+def test_pairs_are_met_in_the_first_tree_they_share():
+    import pyarrow as pa
+
+    first, other = b"a" * 12, b"b" * 12
+    for tree, prefixes, want in ((0, [first + first] * 2, 1), (1, [first + first] * 2, 0), (1, [first + other, other + other], 1)):
+        columns = ([1, 1], [False, True], [tree] * 2, [True] * 2, [1, 2], [1, 2], [3, 3], [bytes(16)] * 2, prefixes)
+        rows = pa.table(list(map(pa.array, columns)), ["key", "right", "tree", "loose", "doc_id", "group", "n", "sketch", "prefixes"])
+        assert sum(len(i) for i, _ in near_dedup._met(rows, 85)) == want
 
 
 @pytest.mark.parametrize("block", [near_dedup.BLOCK, 300])
