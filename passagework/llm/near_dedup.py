@@ -370,29 +370,31 @@ def _rest(df: DataFrame, reps: DataFrame, final: DataFrame, percent: int, block:
     cut = lambda t: F.substring("labels", t * LABEL + 1, REGION)
     placed = reps.join(final, "doc_id", "left").select("doc_id", F.concat(*map(cut, range(trees))).alias("prefixes"), "sketch", "n", F.coalesce("component_id", "doc_id").alias("group"))
     placed = materialise(placed, "placed")
-    prefixes = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring(F.col("prefixes"), t * REGION + 1, F.lit(REGION)))
-    rows = placed.select(F.posexplode(prefixes).alias("tree", "prefix"), "prefixes", "sketch", "n", "doc_id", "group")
-    key = ["tree", "prefix"]
+    prefixes = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.substring(F.col("prefixes"), t * REGION + 1, F.lit(REGION))))
+    rows = placed.select(F.posexplode(prefixes).alias("tree", "region"), "doc_id", "group", "n")
     # A block has so many rows, or fewer if their sets are large.
-    regions = rows.groupBy(*key, "group").agg(F.sum(1 + F.col("n") / 1024).alias("k")).groupBy(*key).agg(F.sum("k").alias("total"), F.max(F.struct("k", "group")).alias("top"), F.count("*").alias("groups"))
+    regions = rows.groupBy("region", "group").agg(F.sum(1 + F.col("n") / 1024).alias("k")).groupBy("region").agg(F.sum("k").alias("total"), F.max(F.struct("k", "group")).alias("top"), F.count("*").alias("groups"))
     regions = regions.filter("groups > 1").select(
-        *key, F.ceil(F.greatest(F.col("total") - F.col("top.k"), F.lit(1.0)) / block).alias("n_left"), F.ceil(F.col("total") / block).alias("n_right"), F.col("top.group").alias("most"),
+        "region", F.ceil(F.greatest(F.col("total") - F.col("top.k"), F.lit(1.0)) / block).alias("n_left"), F.ceil(F.col("total") / block).alias("n_right"), F.col("top.group").alias("most"),
     )
     regions = materialise(regions, "regions")
-    large = rows.join(F.broadcast(regions.filter("n_right > 1")), key, "left")
-    small = large.filter("most IS NULL").select(*rows.columns).join(regions.filter("n_right = 1"), key)
-    dealt = large.filter("most IS NOT NULL").select(*small.columns).unionByName(small).withColumn("loose", F.col("group") != F.col("most"))
+    # Rows of every tree go through this join, so they are no more than numbers; the rest is added to those that stay.
+    slim, wide_regions = rows.select("tree", "region", "doc_id"), regions.filter("n_right > 1")
+    large = slim.join(F.broadcast(wide_regions) if wide_regions.count() <= broadcast_ids else wide_regions, "region", "left")
+    small = large.filter("most IS NULL").select(*slim.columns).join(regions.filter("n_right = 1").hint("merge"), "region")
+    dealt = large.filter("most IS NOT NULL").select(*small.columns).unionByName(small).distinct()
+    dealt = materialise(dealt.join(placed.hint("merge"), "doc_id").withColumn("loose", F.col("group") != F.col("most")), "dealt")
     out = ["tree", "loose", "doc_id", "group", "n", "sketch", "prefixes"]
     lefts = dealt.filter("loose").withColumn("i", F.pmod(F.xxhash64("doc_id"), "n_left")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_right") - 1))).withColumn("right", F.lit(False))
     rights = dealt.withColumn("j", F.pmod(F.xxhash64("doc_id"), "n_right")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_left") - 1))).withColumn("right", F.lit(True))
-    met = lefts.unionByName(rights.select(*lefts.columns)).select(F.xxhash64(*key, "i", "j").alias("key"), "right", *out)
+    met = lefts.unionByName(rights.select(*lefts.columns)).select(F.xxhash64("region", "i", "j").alias("key"), "right", *out)
     met = met.repartition("key").sortWithinPartitions("key")
     asked = materialise(met.mapInArrow(_asked(percent), met.schema), "asked")
     need = materialise(asked.select("doc_id").distinct(), "ids")
     some = df.join(F.broadcast(need) if need.count() <= broadcast_ids else need, "doc_id", "left_semi")
     wide = asked.join(some.mapInArrow(_sets, "doc_id long, shingles array<long>"), "doc_id").select(*asked.columns, "shingles")
     links = materialise(wide.repartition("key").sortWithinPartitions("key").mapInArrow(_joined(percent), "a long, b long"), "rest")
-    discard(placed, regions, asked, need)
+    discard(placed, regions, dealt, asked, need)
     return links
 
 
