@@ -1,15 +1,16 @@
 """A media column of MPEG audio: payloads stored as frames, and a resynchronising reader.
 
-``store`` puts bytes into MPEG-1 layer III frames of 80 kbit/s at 48 kHz, mono and
-with checksums: each frame of 240 bytes has its header, its CRC-16, side information
-that claims no coded samples, ``UNIT`` payload bytes as ancillary data, and zeros. In
-front stand an ID3v2 tag with the payload's unpadded length and a frame with the Xing
-table (frames, bytes, 100 seek points).
+``store`` puts bytes into MPEG-1 layer III frames at 48 kHz, mono and with checksums,
+whose bitrate changes: every other frame has 80 and 96 kbit/s (240 and 288 bytes). Each
+has its header, its CRC-16, side information that claims no coded samples, ``UNIT``
+payload bytes as ancillary data, and zeros. In front stand an ID3v2 tag with the
+payload's unpadded length and a frame with the Xing table (frames, bytes, 100 seek points).
 
 ``read`` makes no use of that layout beyond the public format: it skips tags, looks for
 frame headers that chain, goes on at the next such header after damage, reads Xing, Info
-and VBRI tables, checks the CRC of layer I and III frames that have one, and gives exact
-durations (samples over the rate, as a fraction) and the byte offset of every frame.
+and VBRI tables, checks the CRC of all frames that have one, and gives exact durations
+(samples over the rate, as a fraction) and the byte offset of every frame. Its time grows
+with the bytes, however often the bitrate changes.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import struct
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -51,25 +53,50 @@ def _crc_table() -> np.ndarray:
 CRC = _crc_table()
 
 
-def crc16(rows: np.ndarray) -> np.ndarray:
-    """The CRC-16 of each row of bytes."""
-    crc = np.full(len(rows), 0xFFFF, np.uint32)
-    for k in range(rows.shape[1]):
-        crc = (crc << 8 ^ CRC[(crc >> 8 ^ rows[:, k]) & 0xFF]) & 0xFFFF
-    return crc
-
-
 _CRC = CRC.tolist()
 
 
 @functools.lru_cache(maxsize=4096)
-def crc16_of(data: bytes) -> int:
+def crc16_of(data: bytes, bits: int | None = None) -> int:
+    """The CRC-16 of the first ``bits`` bits (all)."""
+    bits = 8 * len(data) if bits is None else bits
     crc = 0xFFFF
-    for b in data:
+    for b in data[: bits // 8]:
         crc = (crc << 8 ^ _CRC[crc >> 8 ^ b]) & 0xFFFF
+    for k in range(bits % 8):
+        out = crc >> 15 ^ data[bits // 8] >> 7 - k & 1
+        crc = (crc << 1 ^ POLYNOMIAL * out) & 0xFFFF
     return crc
 
 
+def _widths(version: int, kbits: int, hertz: int) -> list[int]:
+    """Allocation bits of each subband of layer II, by version, bitrate of a channel and rate."""
+    if version != 3:
+        return [4] * 4 + [3] * 7 + [2] * 19
+    if kbits <= 48:
+        return [4] * 2 + [3] * (10 if hertz == 32000 else 6)
+    return [4] * 11 + [3] * 12 + [2] * (4 if kbits <= 80 or hertz == 48000 else 7)
+
+
+def checksum_holds(frame: bytes, info: dict) -> bool:
+    """Whether a guarded frame's CRC is right: it covers half the header, and of layer I
+    the allocations, of layer II these and the scale factors' selectors, of layer III the
+    side information. A frame too short for its own fields is wrong."""
+    bits = info["guarded"]
+    body = frame[6:]
+    if info["layer"] == 2:
+        word, at, used = int.from_bytes(body[:48].ljust(48, b"\0")), 0, 0
+        for k, width in enumerate(info["widths"]):
+            own = 1 if k >= info["bound"] else info["channels"]
+            for _ in range(own):
+                used += (word >> 384 - at - width & (1 << width) - 1 > 0) * (info["channels"] // own)
+                at += width
+        bits = at + 2 * used
+    if 8 * len(body) < bits:
+        return False
+    return int.from_bytes(frame[4:6]) == crc16_of(frame[2:4] + body[: -(-bits // 8)], 16 + bits)
+
+
 @functools.lru_cache(maxsize=4096)
 def header(word: bytes) -> dict | None:
     """What four header bytes say, or None if they can't be a frame's."""
@@ -85,12 +112,14 @@ def header(word: bytes) -> dict | None:
     samples = 384 if layer == 1 else 1152 if layer == 2 or version == 3 else 576
     length = (12000 * kbits // hertz + padding) * 4 if layer == 1 else samples // 8 * 1000 * kbits // hertz + padding
     side = ((17 if mono else 32) if version == 3 else (9 if mono else 17)) if layer == 3 else 0
-    guarded = (16 if mono else 32) if layer == 1 else side
-    return {"version": version, "layer": layer, "hertz": hertz, "kbits": kbits, "samples": samples, "length": length, "channels": 1 if mono else 2, "crc": not word[1] & 1, "side": side, "guarded": guarded, "kind": (version, layer, hertz)}
+    channels, bound = 1 if mono else 2, 4 * (word[3] >> 4 & 3) + 4 if word[3] >> 6 == 1 else 32
+    guarded = 4 * (32 + (0 if mono else bound)) if layer == 1 else 8 * side
+    widths = _widths(version, kbits // channels, hertz) if layer == 2 else []
+    return {"version": version, "layer": layer, "hertz": hertz, "kbits": kbits, "samples": samples, "length": length, "channels": channels, "bound": bound, "widths": widths, "crc": not word[1] & 1, "side": side, "guarded": guarded, "kind": (version, layer, hertz)}
 
 
-#: MPEG-1 layer III, 48 kHz, mono: a guarded frame of 80 kbit/s, a plain one of 64.
-FRAME, TABLE = b"\xff\xfa\x64\xc0", b"\xff\xfb\x54\xc0"
+#: MPEG-1 layer III, 48 kHz, mono: guarded frames of 80 and 96 kbit/s, a plain one of 64.
+FRAMES, TABLE = (b"\xff\xfa\x64\xc0", b"\xff\xfa\x74\xc0"), b"\xff\xfb\x54\xc0"
 HEAD = 6 + 17
 
 
@@ -101,18 +130,23 @@ def _syncsafe(n: int) -> bytes:
 def store(data: bytes) -> bytes:
     """The media bytes of a payload, which is padded by spaces to a positive multiple of ``UNIT``."""
     n = max(1, -(-len(data) // UNIT))
-    payload = data.ljust(n * UNIT, b" ")
-    side = bytes(header(FRAME)["side"])
-    start = FRAME + crc16_of(FRAME[2:] + side).to_bytes(2) + side
-    frames = np.zeros((n, header(FRAME)["length"]), np.uint8)
-    frames[:, :HEAD] = np.frombuffer(start, np.uint8)
-    frames[:, HEAD : HEAD + UNIT] = np.frombuffer(payload, np.uint8).reshape(n, UNIT)
-    size = header(TABLE)["length"] + frames.size
-    toc = bytes(min(255, k * 256 // 100) for k in range(100))
-    table = (TABLE + bytes(17) + b"Xing" + struct.pack(">III", 7, n, size) + toc).ljust(header(TABLE)["length"], b"\0")
+    payload = data.ljust(n * UNIT, b" ").ljust((n + n % 2) * UNIT, b"\0")
+    units = np.frombuffer(payload, np.uint8).reshape(-1, len(FRAMES), UNIT)
+    lengths = [header(f)["length"] for f in FRAMES]
+    pairs, at = np.zeros((len(units), sum(lengths)), np.uint8), 0
+    for k, frame in enumerate(FRAMES):
+        side = bytes(header(frame)["side"])
+        pairs[:, at : at + HEAD] = np.frombuffer(frame + crc16_of(frame[2:] + side).to_bytes(2) + side, np.uint8)
+        pairs[:, at + HEAD : at + HEAD + UNIT] = units[:, k]
+        at += lengths[k]
+    front = header(TABLE)["length"]
+    start = [front + k // 2 * at + k % 2 * lengths[0] for k in (*(n * p // 100 for p in range(100)), n)]
+    size = start.pop()
+    toc = bytes(256 * x // size for x in start)
+    table = (TABLE + bytes(17) + b"Xing" + struct.pack(">III", 7, n, size) + toc).ljust(front, b"\0")
     text = b"\x03n_bytes\0" + str(len(data)).encode()
     tag = b"TXXX" + _syncsafe(len(text)) + b"\0\0" + text
-    return b"ID3\x04\0\0" + _syncsafe(len(tag)) + tag + table + frames.tobytes()
+    return b"ID3\x04\0\0" + _syncsafe(len(tag)) + tag + table + pairs.tobytes()[: size - front]
 
 
 def _tags(buf: bytes) -> tuple[dict, int, int]:
@@ -161,52 +195,42 @@ def _table(frame: bytes, info: dict) -> dict | None:
 def read(buf: bytes) -> dict:
     """Everything that ``buf`` says of itself; no bytes, or none that chain, give no frames."""
     tags, at, end = _tags(buf)
-    all_bytes = np.frombuffer(buf, np.uint8)
     out = {"tags": tags, "table": None, "resyncs": 0, "skipped": 0, "crc_ok": 0, "crc_bad": 0, "kbits": set(), "rates": set(), "samples": 0}
-    duration, runs, parts, locked, lost = Fraction(0), [], [], None, False
+    duration, offsets, parts, locked, lost, first = Counter(), [], [], None, False, True
+    info = header(buf[at : at + 4])
     while at + 4 <= end:
-        info = header(buf[at : at + 4])
-        follows = header(buf[at + info["length"] : at + info["length"] + 4]) if info else None
-        if not info or at + info["length"] > end or not (locked == info["kind"] or at + info["length"] == end or follows and follows["kind"] == info["kind"]):
+        stop = at + info["length"] if info else at
+        follows = header(buf[stop : stop + 4]) if info else None
+        if not info or stop > end or not (locked == info["kind"] or stop == end or follows and follows["kind"] == info["kind"]):
             out["resyncs"] += not lost
             lost, locked = True, None
             step = buf.find(b"\xff", at + 1, end)
             step = end if step < 0 else step
             out["skipped"] += step - at
             at = step
+            info = header(buf[at : at + 4])
             continue
-        lost, locked, length = False, info["kind"], info["length"]
-        rows = all_bytes[at : at + (end - at) // length * length].reshape(-1, length)
-        same = (rows[:, :4] == rows[0, :4]).all(1)
-        n = len(same) if same.all() else int(same.argmin())
-        if not runs and out["table"] is None and (table := _table(buf[at : at + length], info)):
+        lost, locked = False, info["kind"]
+        frame = buf[at:stop]
+        table = _table(frame, info) if first else None
+        first = False
+        if table:
             out["table"] = table
-            at += length
-            continue
-        rows = rows[:n]
-        head = 4
-        if info["crc"]:
-            head = 6
-            if info["guarded"]:
-                g = info["guarded"]
-                if (rows[:, 4 : 6 + g] == rows[0, 4 : 6 + g]).all():  # as the first, so good or bad as it is
-                    first = rows[0, : 6 + g].tobytes()
-                    ok = n * (int.from_bytes(first[4:6]) == crc16_of(first[2:4] + first[6:]))
-                else:
-                    guarded = np.concatenate([rows[:, 2:4], rows[:, 6 : 6 + g]], 1)
-                    ok = int(((rows[:, 4].astype(np.uint32) << 8 | rows[:, 5]) == crc16(guarded)).sum())
-                out["crc_ok"], out["crc_bad"] = out["crc_ok"] + ok, out["crc_bad"] + n - ok
-        out["kbits"].add(info["kbits"])
-        out["rates"].add(info["hertz"])
-        out["samples"] += n * info["samples"]
-        duration += Fraction(n * info["samples"], info["hertz"])
-        runs.append(np.arange(n, dtype=np.int64) * length + at)
-        parts.append(rows[:, head + info["side"] : head + info["side"] + UNIT].tobytes())
-        out["layer"], out["version"], out["channels"] = info["layer"], info["version"], info["channels"]
-        at += n * length
+        else:
+            head = 4
+            if info["crc"]:
+                head = 6
+                out["crc_ok" if checksum_holds(frame, info) else "crc_bad"] += 1
+            out["kbits"].add(info["kbits"])
+            duration[info["hertz"]] += info["samples"]
+            offsets.append(at)
+            parts.append(frame[head + info["side"] : head + info["side"] + UNIT])
+            out["layer"], out["version"], out["channels"] = info["layer"], info["version"], info["channels"]
+        at, info = stop, follows
     out["skipped"] += end - at if at < end else 0
-    out["offsets"] = np.concatenate(runs) if runs else np.zeros(0, np.int64)
-    out["ancillary"], out["duration"] = b"".join(parts), duration
+    out["samples"], out["rates"] = sum(duration.values()), set(duration)
+    out["offsets"], out["ancillary"] = np.array(offsets, np.int64), b"".join(parts)
+    out["duration"] = sum((Fraction(n, hertz) for hertz, n in duration.items()), Fraction(0))
     return out
 
 

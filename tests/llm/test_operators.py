@@ -5,6 +5,8 @@ import hashlib
 import html
 import random
 import re
+import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -247,6 +249,67 @@ def test_audio_damage():
     assert mpeg_audio.header(b"\xff\xfb\x90\x00")["length"] == 417 and mpeg_audio.header(b"\xff\xff\xff\xff") is None
 
 
+def slow_crc16(bits):
+    crc = 0xFFFF
+    for b in bits:
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if (crc >> 15) ^ b else 0)
+    return crc
+
+
+def test_audio_seek_points_and_changing_bitrates():
+    data = random.Random(5).randbytes(192 * 12_001 - 7)
+    media = mpeg_audio.store(data)
+    got = mpeg_audio.read(media)
+    at, n = got["offsets"], len(got["offsets"])
+    assert got["ancillary"] == data.ljust(192 * 12_001, b" ") and got["kbits"] == {80, 96} and n == got["table"]["frames"] == got["crc_ok"] == 12_001
+    assert set(np.diff(at).tolist()) == {240, 288} and got["duration"] * 48000 == n * 1152
+    size = got["table"]["bytes"]
+    front = len(media) - size
+    assert got["table"]["toc"] == [256 * (int(at[n * k // 100]) - front) // size for k in range(100)]
+    walked = {k: _time(lambda: mpeg_audio.read(mpeg_audio.store(data[: 192 * k]))) for k in (3_000, 12_000)}
+    assert walked[12_000] < 12 * walked[3_000] + 0.2
+
+
+def _time(work):
+    start = time.perf_counter()
+    work()
+    return time.perf_counter() - start
+
+
+@pytest.mark.parametrize("word,bound,widths", [
+    (b"\xff\xfc\x84\x00", 32, [4] * 11 + [3] * 12 + [2] * 4),  # layer II, stereo, 128 kbit/s at 48 kHz
+    (b"\xff\xfc\x84\x50", 8, [4] * 11 + [3] * 12 + [2] * 4),  # joint from subband 8
+    (b"\xff\xfc\x28\xc0", 32, [4] * 2 + [3] * 10),  # mono, 48 kbit/s at 32 kHz
+    (b"\xff\xfe\x84\x60", 12, None),  # layer I, joint from subband 12
+])
+def test_audio_checksums_of_layers_1_and_2(word, bound, widths):
+    rng = random.Random(bound)
+    info = mpeg_audio.header(word)
+    body = [rng.getrandbits(1) for _ in range(8 * (info["length"] - 6))]
+    channels, at, used = info["channels"], 0, 0
+    for k, width in enumerate(widths or [4] * 32):
+        for _ in range(channels if k < bound else 1):
+            used += any(body[at : at + width]) * (1 if k < bound else channels)
+            at += width
+    covered = at + (2 * used if widths else 0)
+    head = [b >> 7 - k & 1 for b in word[2:] for k in range(8)]
+    frame = word + slow_crc16(head + body[:covered]).to_bytes(2) + bytes(int("".join(map(str, body[k : k + 8])), 2) for k in range(0, len(body), 8))
+    got = mpeg_audio.read(frame * 3)
+    assert (got["crc_ok"], got["crc_bad"], len(got["offsets"])) == (3, 0, 3)
+    hurt = bytearray(frame)
+    hurt[6 + (covered - 1) // 8] ^= 1 << 7 - (covered - 1) % 8
+    assert mpeg_audio.read(bytes(hurt) + frame)["crc_bad"] == 1
+
+
+def test_audio_vbri_and_utf16_tags():
+    title = b"\x01" + "Größe".encode("utf-16")
+    tag = b"TIT2" + len(title).to_bytes(4) + b"\0\0" + title
+    first = b"\xff\xfb\x90\xc0".ljust(36, b"\0") + b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 4170, 9, 3, 1, 2, 3) + struct.pack(">HHH", 1251, 1251, 1251)
+    got = mpeg_audio.read(b"ID3\x03\0\0" + bytes([0, 0, len(tag) >> 7, len(tag) & 127]) + tag + first.ljust(417, b"\0") + b"\xff\xfb\x90\xc0".ljust(417, b"\0") * 9)
+    assert got["tags"] == {"TIT2": "Größe"} and len(got["offsets"]) == 9
+    assert got["table"] == {"table": "VBRI", "frames": 9, "bytes": 4170, "toc": [1251] * 3}
+
+
 # packing
 
 
