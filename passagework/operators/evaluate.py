@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.storage import fresh_path
-
-
-def _ranked(rows: DataFrame, by: list[str], name: str) -> DataFrame:
-    """``name``: the row's place in order of ``by``, without one task that has all rows:
-    rows are dealt by ranges, numbered within, and moved by how many come before."""
-    dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id())
-    path = fresh_path(rows.sparkSession, "ranked")
-    dealt.write.parquet(path)
-    dealt = rows.sparkSession.read.parquet(path)
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*by))
-    return dealt.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + nth).cast("double")).drop("_part", "_before")
+from passagework.operators.numbering import numbered
 
 
 def spearman(pairs: DataFrame, a: str, b: str, order: str) -> DataFrame:
     """rho from ordinal ranks; equal values rank in the order of ``order``."""
-    ranked = _ranked(_ranked(pairs.select(a, b, order), [a, order], "ra"), [b, order], "rb")
+    ranked = numbered(numbered(pairs.select(a, b, order), [], [a, order], "ra"), [], [b, order], "rb")
     n = F.count("*").cast("double")
-    return ranked.agg((1 - 6 * F.sum((F.col("ra") - F.col("rb")) * (F.col("ra") - F.col("rb"))) / (n * (n * n - 1))).alias("rho"))
+    d = (F.col("ra") - F.col("rb")).cast("double")
+    return ranked.agg((1 - 6 * F.sum(d * d) / (n * (n * n - 1))).alias("rho"))
 
 
 def drift(pairs: DataFrame, base: str, other: str, key: str, threshold: float, k: int) -> DataFrame:

@@ -13,12 +13,13 @@ import random
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagework.constants import CONTRIBUTIONS, MAX_PASSAGE_CHARS
 from passagework.functions.spec import Criteria
 from passagework.functions.text import utf16_length
+from passagework.operators.numbering import numbered
 
 ANSWERS = "map<string,struct<score:double,choice:string>>"
 NAMES = {"generic": ("relevant",), "default": ("definition", "condition", "distinction")}
@@ -70,9 +71,8 @@ def split_oversize(candidates: DataFrame, text: str = "shown_text", most: int =
 
 
 def batched(pending: DataFrame, size: int, bucket: list[str], order: list[str]) -> DataFrame:
-    """``batch_id`` and ``slot`` within each bucket."""
-    nth = F.row_number().over(Window.partitionBy(*bucket).orderBy(*order)) - 1
-    return pending.withColumn("nth", nth).withColumn("batch_id", F.floor(F.col("nth") / size).cast("long")).withColumn("slot", (F.col("nth") % size).cast("long")).drop("nth")
+    """``batch_id`` and ``slot`` within each bucket, whatever the buckets' sizes."""
+    return numbered(pending, bucket, order, "nth").withColumn("batch_id", F.floor(F.col("nth") / size).cast("long")).withColumn("slot", (F.col("nth") % size).cast("long")).drop("nth")
 
 
 def ask(pending: DataFrame, question: str, criteria: Criteria, scorer: Callable, context: str = "", size: int = 10, parallel: int = 16) -> DataFrame:

@@ -361,7 +361,7 @@ def r4_latest_version(spark, sf_dir):
     """A snapshot of users by their last event, those deleted by it left out, kept from a stream."""
     snapshot = live.LiveSnapshot(spark, "user_id", ["event_id"])
     op = F.when(F.col("event_id") % 4 == 0, "delete").otherwise("upsert").alias("op")
-    live.run_to_end(live.event_stream(spark, f"{sf_dir}/events.parquet").select("user_id", "event_id", "value", op), snapshot.merge)
+    snapshot.follow(live.event_stream(spark, f"{sf_dir}/events.parquet").select("user_id", "event_id", "value", op))
     return snapshot.rows()
 
 

@@ -24,16 +24,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-class VersionedTable:
-    """A table whose versions are folders; a reader keeps the version it opened."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base, self.version = spark, fresh_path(spark, name), 0
-
-    def read(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.base}/v{self.version}") if self.version else None
-
-    def write(self, df: DataFrame) -> DataFrame:
-        df.write.parquet(f"{self.base}/v{self.version + 1}")
-        self.version += 1
-        return self.read()
+def complete_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path`` whose write has ended."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(hadoop):
+        return []
+    done = lambda at: files.exists(spark._jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS"))
+    return [x.getPath().getName() for x in files.listStatus(hadoop) if x.isDirectory() and done(x.getPath())]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

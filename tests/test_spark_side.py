@@ -165,6 +165,35 @@ def test_live_snapshot(spark):
     assert seen == [[("a", "new"), ("b", "b")], [("a", "new")], [("a", "new")]]
 
 
+def test_live_snapshot_goes_on_after_a_restart(spark, tmp_path):
+    source, path = str(tmp_path / "changes"), f"file://{tmp_path}/snapshot"
+    truth = {}
+    for k in range(7):
+        rows = [(f"p{(k * 5 + j) % 9}", k * 10 + j if j % 3 else k, "delete" if (k + j) % 4 == 0 else "upsert", f"{k}-{j}") for j in range(6)]
+        for r in rows:
+            truth[r[0]] = max(truth.get(r[0], r), r, key=lambda x: x[1:])
+        spark.createDataFrame(rows, "path string, version long, op string, text string").write.mode("append").parquet(source)
+        live = LiveSnapshot(spark, "path", ["version"], path=path, compact=3)  # nothing but the folder is left of the one before
+        live.follow(spark.readStream.schema("path string, version long, op string, text string").parquet(source))
+        assert sorted((r.path, r.text) for r in live.rows().collect()) == sorted((p, r[3]) for p, r in truth.items() if r[2] != "delete")
+    bases, deltas = live._parts()
+    assert len(bases) <= 2 and len(deltas) <= 6
+    before = sorted(live.rows().collect())
+    for batch in (0, 6):  # one that is folded already, and the last
+        live.merge(spark.createDataFrame(rows if batch else [("p0", -1, "upsert", "old")], "path string, version long, op string, text string"), batch)
+        assert sorted(live.rows().collect()) == before
+
+
+def test_places_within_buckets(spark):
+    rows = [(None if k % 11 == 0 else "hot" if k % 3 else f"b{k % 7}", (k * 7919) % 1009) for k in range(1000)]
+    df = spark.createDataFrame(rows, "bucket string, at int").repartition(5)
+    got = {(r.bucket, r.at): (r.batch_id, r.slot) for r in judge.batched(df, 10, ["bucket"], ["at"]).collect()}
+    for bucket in {b for b, _ in rows}:
+        for n, at in enumerate(sorted(a for b, a in rows if b == bucket)):
+            assert got[bucket, at] == (n // 10, n % 10)
+    assert len(got) == 1000
+
+
 def test_embedding(spark):
     w = np.arange(12, dtype=np.float32).reshape(4, 3)
     assert not embedding.encode([1, 9], w).any()
