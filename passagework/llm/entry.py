@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_consensus, mpeg_audio, piece_transducer, quality_rules
+from . import chat_format, embedding_whitening, html_consensus, merkle_manifest, mpeg_audio, piece_transducer, quality_rules, source_mixing
 from .common import table
 from .lm_scoring import score_documents
 from .near_dedup import near_duplicates
@@ -77,6 +77,21 @@ def op10_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_consensus.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = source_mixing.planned(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation that a long can't hold is null here."""
+    return embedding_whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"), tampered)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": op1_near_dedup,
@@ -89,9 +104,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": op8_chat_format,
         "op9_quality_rules": op9_quality_rules,
         "op10_html_consensus": op10_html_consensus,
+        "op11_source_mixing": op11_source_mixing,
+        "op12_embedding_whitening": op12_embedding_whitening,
+        "op13_merkle_manifest": op13_merkle_manifest,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_format": chat_format.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op8_chat_format": chat_format.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL, "op11_source_mixing": source_mixing.ORACLE_SQL, "op13_merkle_manifest": merkle_manifest.ORACLE_SQL}
