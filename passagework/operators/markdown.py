@@ -1,12 +1,14 @@
-"""Markdown notes to source-located passages, and widening them to their neighbours."""
+"""Markdown notes to source-located passages."""
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, replace
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 ATX = re.compile(r" {0,3}(#{1,6})[ \t]+(.+?)[ \t]*#*[ \t]*$")
 UNDERLINE = re.compile(r" {0,3}(=+|-+)[ \t]*$")
@@ -17,6 +19,9 @@ QUOTE = re.compile(r"\s*>")
 CELL = re.compile(r"\s*:?-{3,}:?\s*")
 ANY_FENCE = re.compile(r"\s*(`{3,}|~{3,})")
 SCHEMA = "id string, path string, line_start int, line_end int, text string, search_text string, render_text string, kind string, heading_path array<string>, parent_id string, section_id string"
+OUTLINE = "id string, path string, line_start int, line_end int, own_after int, kind string, heading_path array<string>, parent_id string, section_id string"
+#: Characters of texts that a task builds before it hands them on.
+CHUNK = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -32,11 +37,6 @@ class Passage:
     parent_id: str | None = None
     render_text: str | None = None
 
-    @property
-    def shown(self) -> str:
-        return self.text if self.render_text is None else self.render_text
-
-
 def _blank(line: str) -> bool:
     return not line.strip()
 
@@ -59,21 +59,56 @@ def _delimiter(line: str) -> bool:
     return len(cells) > 1 and all(CELL.fullmatch(c) for c in cells)
 
 
+@dataclass(frozen=True)
+class Unit:
+    """A passage as an interval of its note's lines: ``first`` counts from 0, ``after`` is one
+    past the last. Nested items are nested intervals, so a note's units are as small as its
+    lines; their texts are cut from the lines when asked."""
+
+    first: int
+    after: int
+    kind: str
+    heading_path: tuple[str, ...]
+    section: str
+    parent: Unit | None = None
+
+
 class _Note:
     """One pass over the lines; each ``_try`` method says where the element that starts at
     a line ends, or None. They are tried in order of precedence."""
 
     def __init__(self, path: str, source: str):
         self.path, self.lines = path, re.sub(r"\r\n?", "\n", source).split("\n")
-        self.out: list[Passage] = []
+        self.out: list[Unit] = []
         self.titles: dict[int, str] = {}
         self.section = f"{path}:0"
 
-    def emit(self, first: int, after: int, kind: str, **more) -> None:
-        text = "\n".join(self.lines[first:after])
-        if text.strip():
-            path = tuple(t for _, t in sorted(self.titles.items()) if t)
-            self.out.append(Passage(f"{self.path}:{first + 1}-{after}", self.path, first + 1, after, text, kind, path, self.section, **more))
+    def emit(self, first: int, after: int, kind: str, parent: Unit | None = None) -> Unit | None:
+        if all(_blank(self.lines[k]) for k in range(first, after)):
+            return None
+        path = tuple(t for _, t in sorted(self.titles.items()) if t)
+        unit = Unit(first, after, kind, path, self.section, parent)
+        self.out.append(unit)
+        return unit
+
+    def id_of(self, u: Unit | None) -> str | None:
+        return f"{self.path}:{u.first + 1}-{u.after}" if u else None
+
+    def text(self, u: Unit) -> str:
+        return "\n".join(self.lines[u.first : u.after])
+
+    def shown(self, u: Unit) -> str | None:
+        """Of a list item, its text below the first lines of the items that it is in."""
+        if u.kind != "list":
+            return None
+        above, p = [], u.parent
+        while p:
+            above.append(self.lines[p.first])
+            p = p.parent
+        return "\n".join([*above[::-1], *self.lines[u.first : u.after]])
+
+    def passage(self, u: Unit) -> Passage:
+        return Passage(self.id_of(u), self.path, u.first + 1, u.after, self.text(u), u.kind, u.heading_path, u.section, self.id_of(u.parent), self.shown(u))
 
     def _heading(self, level: int, title: str, line: int) -> None:
         self.titles = {k: v for k, v in self.titles.items() if k < level} | {level: title.strip()}
@@ -157,27 +192,25 @@ class _Note:
                 items.append((i, _indent(m[1])))
             opened = ANY_FENCE.match(m[2] if m else self.lines[i])
             fence = opened[1] if opened else None
-        ends = []
-        for n, (_, depth) in enumerate(items):
-            end = next((at for at, d in items[n + 1 :] if d <= depth), after) if n + 1 < len(items) and items[n + 1][1] > depth else items[n + 1][0] if n + 1 < len(items) else after
-            while end > items[n][0] + 1 and _blank(self.lines[end - 1]):
-                end -= 1
-            ends.append(end)
-        open_items: list[int] = []
+        ends, waiting = [after] * len(items), []  # an item ends where the next that isn't below it starts
         for n, (at, depth) in enumerate(items):
-            while open_items and items[open_items[-1]][1] >= depth:
+            while waiting and items[waiting[-1]][1] >= depth:
+                ends[waiting.pop()] = at
+            waiting.append(n)
+        open_items: list[tuple[int, Unit | None]] = []
+        for (at, depth), end in zip(items, ends, strict=True):
+            while end > at + 1 and _blank(self.lines[end - 1]):
+                end -= 1
+            while open_items and open_items[-1][0] >= depth:
                 open_items.pop()
-            above = [self.lines[items[a][0]] for a in open_items]
-            parent = f"{self.path}:{items[open_items[-1]][0] + 1}-{ends[open_items[-1]]}" if open_items else None
-            self.emit(at, ends[n], "list", parent_id=parent, render_text="\n".join([*above, *self.lines[at : ends[n]]]))
-            open_items.append(n)
+            open_items.append((depth, self.emit(at, end, "list", open_items[-1][1] if open_items else None)))
 
     def _try_quote(self, k: int) -> int | None:
         return self._quoted(k, "blockquote") if QUOTE.match(self.lines[k]) else None
 
     ORDER = (_try_front_matter, _try_atx, _try_setext, _try_fence, _try_callout, _try_table, _try_list, _try_quote)
 
-    def read(self) -> list[Passage]:
+    def read(self) -> list[Unit]:
         k, paragraph = 0, None
         starts = (ATX, FENCE, ITEM, QUOTE)
         while k < len(self.lines):
@@ -211,72 +244,69 @@ class _Note:
 
 
 def parse_markdown(path: str, source: str) -> list[Passage]:
-    return _Note(path, source).read()
+    """The passages of one note with their texts; nested items repeat what is in them."""
+    note = _Note(path, source)
+    return [note.passage(u) for u in note.read()]
+
+
+def _frames(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows in frames of some ``CHUNK`` characters, so that nested texts never stand side by side."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 64 + sum(len(x) for x in row if isinstance(x, str))
+        if size > CHUNK:
+            yield pd.DataFrame(held, columns=columns)
+            held, size = [], 0
+    yield pd.DataFrame(held, columns=columns)
+
+
+def _columns(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def outline_notes(notes: DataFrame) -> DataFrame:
+    """All passages of notes (path, text) as intervals, without texts: as large as the notes'
+    lines however deep their lists. ``own_after`` is the line before which what is an item's
+    own ends (its first child, or its end); ``cut_texts`` gives the texts of those that are wanted."""
 
+    def run(frames):
+        for f in frames:
+            for path, text in zip(f.path, f.text, strict=True):
+                note = _Note(path, text or "")
+                units = note.read()
+                child = {id(u.parent): u.first for u in reversed(units) if u.parent}
+                yield from _frames(((note.id_of(u), path, u.first + 1, u.after, child.get(id(u), u.after), u.kind, list(u.heading_path), note.id_of(u.parent), u.section) for u in units), _columns(OUTLINE))
 
-def _frame(passages: list[Passage]) -> pd.DataFrame:
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
-    return pd.DataFrame([[list(p.heading_path) if n == "heading_path" else p.text if n == "search_text" else getattr(p, n) for n in names] for p in passages], columns=names)
+    return notes.select("path", "text").mapInPandas(run, OUTLINE)
 
 
 def parse_notes(notes: DataFrame) -> DataFrame:
-    """All passages of notes (path, text)."""
+    """All passages of notes (path, text) with their texts, some megabytes at a time."""
 
     def run(frames):
         for f in frames:
-            yield _frame([x for path, text in zip(f.path, f.text, strict=True) for x in parse_markdown(path, text or "")])
+            for path, text in zip(f.path, f.text, strict=True):
+                note = _Note(path, text or "")
+                made = map(note.passage, note.read())
+                yield from _frames(((p.id, p.path, p.line_start, p.line_end, p.text, p.text, p.render_text, p.kind, list(p.heading_path), p.parent_id, p.section_id) for p in made), _columns(SCHEMA))
 
     return notes.select("path", "text").mapInPandas(run, SCHEMA)
 
 
-def expand(target: Passage, passages: list[Passage], n: int) -> Passage:
-    """``target`` with up to ``n`` neighbours on each side within its section: siblings of a
-    list item, and other passages as wholes, nested items standing for their outermost one."""
-    by_id = {p.id: k for k, p in enumerate(passages)}
-    if n <= 0 or target.id not in by_id:
-        return target
-
-    def outermost(p: Passage) -> Passage:
-        while p.parent_id in by_id:
-            p = passages[by_id[p.parent_id]]
-        return p
-
-    chosen = [target]
-    if target.kind == "list":
-        siblings = sorted((p for p in passages if p.kind == "list" and (p.section_id, p.parent_id) == (target.section_id, target.parent_id)), key=lambda p: p.line_start)
-        at = [p.id for p in siblings].index(target.id)
-        chosen = siblings[max(0, at - n) : at + n + 1]
-    else:
-        for side in (-1, 1):
-            k, left = by_id[target.id] + side, n
-            while left and 0 <= k < len(passages):
-                p = passages[k]
-                apart = p.line_end < target.line_start if side < 0 else p.line_start > target.line_end
-                if p.section_id != target.section_id or not apart:
-                    k += side
-                    continue
-                unit = outermost(p)
-                chosen.append(unit)
-                left -= 1
-                k = by_id[unit.id] + side
-                while side > 0 and k < len(passages) and passages[k].line_start <= unit.line_end:
-                    k += 1
-    chosen.sort(key=lambda p: (p.line_start, p.line_end))
-    head = chosen[0]
-    same = lambda p: p is not head and p.kind == head.kind == "list" and p.parent_id == head.parent_id
-    text = "\n\n".join(p.text if same(p) else p.shown for p in chosen)
-    return replace(target, line_start=min(p.line_start for p in chosen), line_end=max(p.line_end for p in chosen), text=text, render_text=text)
-
-
-def expand_passages(passages: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """The wanted passages (path, id), widened; a note's passages meet in one task."""
-
-    def run(key, left, right):
-        own = [Passage(r.id, r.path, int(r.line_start), int(r.line_end), r.text, r.kind, tuple(r.heading_path), r.section_id, r.parent_id if isinstance(r.parent_id, str) else None, r.render_text if isinstance(r.render_text, str) else None) for r in left.itertuples()]
-        ids = set(right.id)
-        return _frame([expand(p, own, n) for p in own if p.id in ids])
-
-    return passages.groupBy("path").cogroup(wanted.groupBy("path")).applyInPandas(run, SCHEMA)
+def cut_texts(notes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, text, render_text of the wanted passages (path, id), cut from their notes
+    (path, text). A path or an id that there isn't gives no row; a repeated one gives one."""
+    asked = wanted.groupBy("path").agg(F.collect_set("id").alias("ids"))
+
+    def run(frames):
+        for f in frames:
+            for path, text, ids in zip(f.path, f.text, f.ids, strict=True):
+                note, asked_for = _Note(path, text or ""), set(ids)
+                units = (u for u in note.read() if note.id_of(u) in asked_for)
+                yield from _frames(((note.id_of(u), note.text(u), note.shown(u)) for u in units), ["id", "text", "render_text"])
+
+    return notes.select("path", "text").join(asked, "path").mapInPandas(run, "id string, text string, render_text string")
 
 
 def context_lines(text: str, fragment: str) -> tuple[int, int]:

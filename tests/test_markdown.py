@@ -1,6 +1,6 @@
 import pytest
 
-from passagework.operators.markdown import context_lines, expand, parse_markdown
+from passagework.operators.markdown import context_lines, parse_markdown
 
 
 def rows(text):
@@ -51,19 +51,6 @@ def test_many_paragraphs():
     assert len(ps) == 20_000 and ps[-1].line_start == 39_999
 
 
-def test_expansion():
-    ps = parse_markdown("n.md", "# A\none\n\ntwo\n\n- x\n  - y\n\nthree\n\n# B\nfour")
-    by = {p.text: p for p in ps}
-    assert expand(by["two"], ps, 0) is by["two"]
-    wide = expand(by["two"], ps, 1)
-    assert (wide.line_start, wide.line_end) == (2, 7) and wide.text == "one\n\ntwo\n\n- x\n  - y"
-    assert expand(by["three"], ps, 5).line_start == 2
-    assert "four" not in expand(by["three"], ps, 5).text
-    assert expand(by["four"], ps, 3).text == "four"
-    items = parse_markdown("n", "- a\n  - b\n  - c\n  - d")
-    assert expand(items[2], items, 1).text == "- a\n  - b\n\n  - c\n\n  - d"
-
-
 def test_context():
     text = "# First\nx ^anchor\n## Child\ny\n# Second\nz"
     assert context_lines(text, "") == (1, 6)

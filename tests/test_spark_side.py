@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from passagework.functions import embedding
 from passagework.functions.spec import Criteria
 from passagework.operators import inclusions, index, judge, ranges, ranking, score_store
-from passagework.operators.markdown import expand_passages, parse_notes
+from passagework.operators.markdown import parse_notes
 from passagework.sources.notes import read_notes
 from passagework.streaming.live import LiveSnapshot
 
@@ -143,16 +143,14 @@ def test_inclusion_match(spark):
     assert [r.id for r in ok.collect()] == ["1"] and sorted(r.fingerprint for r in missing.collect()) == ["g", "h"]
 
 
-def test_notes_and_expansion(spark, tmp_path):
+def test_notes(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a b.md").write_text("# H\none\n\ntwo")
     (tmp_path / "sub" / "c.md").write_text("x")
     (tmp_path / "d.txt").write_text("no")
     notes = read_notes(spark, str(tmp_path), ["/sub/"])
     assert [r.path for r in notes.collect()] == ["a b.md"]
-    passages = parse_notes(notes)
-    wide = expand_passages(passages, passages.filter("text = 'one'").select("path", "id"), 1).collect()
-    assert [r.text for r in wide] == ["one\n\ntwo"]
+    assert sorted(r.text for r in parse_notes(notes).collect()) == ["one", "two"]
 
 
 def test_live_snapshot(spark):
