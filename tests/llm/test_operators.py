@@ -648,6 +648,66 @@ def test_names_are_weak_and_depth_is_cheap():
     assert len(page.found) == 5000 and page.text([page.best()]) == "text" and all(len(f[0]) == 8 for f in page.found)
 
 
+@pytest.mark.parametrize("size", [300, 460, 700, 3000])
+def test_articles_under_names_that_say_more_stay(spark, size):
+    article = ("an article of some length " * 200)[:size].strip()
+    names = ["notice-board", "related-work", "social-history", "login-guide", "tags-explained", "discussion-paper"]
+    rows = [(k, f"https://h{k}.org", f'<div class="{name}"><p>{article}</p></div><div><p>Contact us here at the office.</p></div>') for k, name in enumerate(names)]
+    got = html_consensus.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(names) and all(r.text.startswith(article) for r in got)
+
+
+def test_names_of_boilerplate_and_nothing_else():
+    for name in ("site-header", "relatedPosts", "related-articles", "cookie_banner", "main-nav", "comment-list", "ad", "footer-content", "user-comments"):
+        page = html_consensus.parse(f'<div class="{name}"><p>{"away with this " * 300}</p></div><div><p>short article</p></div>')
+        assert page.blocks == ["short article"], name
+
+
+def test_the_vote_changes_a_result(spark):
+    """Most pages of a host have their text in one container; of the page whose other
+    container is larger the query gives that one, too, and alone it gives the other."""
+    page = lambda a, b: f'<div class="story"><p>{a}</p></div><div class="more"><p>{b}</p></div>'
+    rows = [(k, "https://h.org", page(f"story {k} " * 40, f"more {k}")) for k in range(9)] + [(9, "https://h.org", page("short story", "much more of it " * 40))]
+    run = lambda rows: {r.page_id: r.text for r in html_consensus.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert run(rows)[9] == "short story" and run(rows[9:])[9].startswith("much more of it")
+
+
+def test_what_a_host_repeats_goes(spark):
+    """Blocks on half of a host's pages are no text: nothing names them, and they are longer than the articles."""
+    legal = "The same notice on every page of this host, which is longer than most of its articles are. " * 4
+    page = lambda k: f'<body><div class="x"><h2>Legal</h2><p>{legal}</p></div><div class="y"><h2>Summary</h2><p>Article {k} says this: {k * k}.</p><p>Call us.</p></div></body>'
+    rows = [(k, "https://h.org", page(k)) for k in range(8)]
+    run = lambda rows: {r.page_id: r.text for r in html_consensus.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert run(rows) == {k: f"Summary Article {k} says this: {k * k}." for k in range(8)}
+    assert "Legal" in run(rows[:3])[0]  # three pages prove nothing
+    copies = run([(k, "https://h.org", page(1)) for k in range(9)])  # one page many times neither
+    assert all("Article 1 says" in t and "Call us." in t for t in copies.values())
+
+
+def test_repeated_blocks_against_brute_force(spark):
+    """Which blocks of which host: counted by hand over its distinct pages."""
+    rng = random.Random(5)
+    rows = [(k, f"h{k % 3}", "".join(f"<div class=c{j}><p>part {rng.randint(0, 3 + 40 * (j % 2))}</p></div>" for j in range(5))) for k in range(90)]
+    got = {r.host: list(r.repeated) for r in html_consensus.repeated_blocks(spark.createDataFrame(rows, "page_id long, host string, html string")).collect()}
+    want = {}
+    for host in {h for _, h, _ in rows}:
+        pages = {}
+        for _, h, source in rows:
+            if h == host:
+                page = html_consensus.parse(source)
+                pages[tuple(sorted(zip(map(len, page.blocks), page.keys), reverse=True)[:3])] = set(page.keys)
+        counts = Counter(k for keys in pages.values() for k in keys)
+        if found := sorted(k for k, n in counts.items() if n >= 4 and n >= 0.5 * len(pages)):
+            want[host] = found
+    assert got == want
+
+
+def test_unmatched_end_tags_take_constant_time():
+    began = time.perf_counter()
+    page = html_consensus.parse("<div>" * 100_000 + "</section>" * 100_000 + "<p>text</p>")
+    assert page.blocks == ["text"] and time.perf_counter() - began < 4
+
+
 def test_pages_vote_per_host(spark):
     """Votes by brute force: each page's best path, counted per host."""
     story = lambda k: f'<div class="story{k}"><p>' + f"the story of page {k} " * 12 + '</p></div><div class="more"><p>few words</p></div>'
