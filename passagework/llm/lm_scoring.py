@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, materialise, sliced
-from .shingles import mix, numbered, words_of
+from .shingles import mix, numbered, secret_key, words_of
 
 BLOCK_BYTES = 4_000_000
 SHARD_BYTES = 8_000_000
@@ -58,29 +58,33 @@ def _rows(batches):
             yield batch.slice(k, 1).to_pylist()[0]
 
 
-def _blocks(batches):
-    """Texts as numbers of their block's words."""
-    block = TaskContext.get().partitionId() << 32
+def _blocks(key: int):
+    """Texts as numbers of their block's words, which are hashed under the run's key."""
 
-    def out(rows):
-        nonlocal block
-        ids, texts, targets = zip(*rows, strict=True)
-        hashes, at = words_of(list(texts))[:2]
-        words, _, which = numbered(hashes)
-        block += 1
-        columns = [[block - 1], [list(ids)], [np.diff(at).tolist()], [list(targets)], [words.tobytes()], [len(which)], [_packed(which.astype("<u4"))]]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FIELDS, strict=True)], schema=FIELDS)
+    def run(batches):
+        block = TaskContext.get().partitionId() << 32
+
+        def out(rows):
+            nonlocal block
+            ids, texts, targets = zip(*rows, strict=True)
+            hashes, at = words_of(list(texts), key)[:2]
+            words, _, which = numbered(hashes)
+            block += 1
+            columns = [[block - 1], [list(ids)], [np.diff(at).tolist()], [list(targets)], [words.tobytes()], [len(which)], [_packed(which.astype("<u4"))]]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FIELDS, strict=True)], schema=FIELDS)
+
+        rows, held = [], 0
+        for batch in sliced(batches):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held + len(row[1]) > BLOCK_BYTES:
+                    yield out(rows)
+                    rows, held = [], 0
+                rows.append(row)
+                held += len(row[1]) + 1
+        if rows:
+            yield out(rows)
 
-    rows, held = [], 0
-    for batch in sliced(batches):
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and held + len(row[1]) > BLOCK_BYTES:
-                yield out(rows)
-                rows, held = [], 0
-            rows.append(row)
-            held += len(row[1]) + 1
-    if rows:
-        yield out(rows)
+    return run
 
 
 FIELDS = pa.schema(
@@ -199,7 +203,7 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_i
     own = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct().withColumn("target", F.lit(1))
     own = F.broadcast(own) if own.count() <= broadcast_ids else own
     flagged = df.join(own, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(0)).cast("long").alias("target"))
-    blocks = materialise(flagged.mapInArrow(_blocks, BLOCK), "blocks")
+    blocks = materialise(flagged.mapInArrow(_blocks(secret_key()), BLOCK), "blocks")
     sizes = F.col("sizes")
     add = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b)
     both = F.zip_with(sizes, "targets", lambda n, t: n * t)

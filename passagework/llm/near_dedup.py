@@ -17,6 +17,9 @@ that are left between different components, and then the regions' rest. There ar
 many trees as it takes for two sets of the least similarity to share a prefix in none of
 them with a chance of 2e-5: 12 for 0.85, 16 for 0.8. A sketch rules a pair out if it is
 4.8 deviations below what the least similarity gives.
+
+Shingles are 64-bit hashes under a key that is drawn for each run, so no texts can be made
+whose shingles collide; two different shingles have one hash with a chance of 2^-64.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, id_text, materialise, sliced
 from .components import components
-from .shingles import mix, numbered, shingle_sets
+from .shingles import mix, numbered, secret_key, shingle_sets
 
 MAX_TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS, ORDERS = 48, 8, 3, 8, 2
 MISSED = 2e-5
@@ -51,7 +54,10 @@ LABEL, REGION = DEPTH * 4, LEAST_DEPTH * 4
 
 
 def trees_for(percent: int) -> int:
-    return min(MAX_TREES, math.ceil(math.log(MISSED) / math.log(1 - min(0.99, percent / 100) ** LEAST_DEPTH)))
+    trees = math.ceil(math.log(MISSED) / math.log(1 - min(0.99, percent / 100) ** LEAST_DEPTH))
+    if trees > MAX_TREES:
+        raise ValueError(f"{percent} percent need {trees} trees; there are {MAX_TREES}")
+    return trees
 
 
 def apart_bits(percent: int) -> int:
@@ -71,10 +77,10 @@ def _signatures(sets: list[np.ndarray], count: int) -> np.ndarray:
     return out.T
 
 
-def _sign(trees: int):
+def _sign(trees: int, key: int):
     def run(batches):
         for batch in sliced(batches, limit=1_000_000):
-            sets = shingle_sets(batch.column(1).to_pylist())
+            sets = shingle_sets(batch.column(1).to_pylist(), key)
             full = [s for s in sets if len(s)]
             sums, xors, labels, sketches, k = [], [], [], [], 0
             if full:
@@ -178,10 +184,13 @@ def _along(percent: int):
     return run
 
 
-def _sets(batches):
-    for batch in sliced(batches):
-        sets = shingle_sets(batch.column(1).to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "shingles"])
+def _sets(key: int):
+    def run(batches):
+        for batch in sliced(batches):
+            sets = shingle_sets(batch.column(1).to_pylist(), key)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "shingles"])
+
+    return run
 
 
 def _by_key(batches):
@@ -337,7 +346,7 @@ def _confirm_blocks(percent: int):
     return run
 
 
-def _confirmed(df: DataFrame, pairs: DataFrame, percent: int, broadcast_ids: int) -> DataFrame:
+def _confirmed(df: DataFrame, pairs: DataFrame, percent: int, broadcast_ids: int, secret: int) -> DataFrame:
     """Those of the written ``pairs`` that are similar: a, b.
 
     Pairs are dealt by blocks of their ends, so that a set travels once for many pairs of it.
@@ -347,7 +356,7 @@ def _confirmed(df: DataFrame, pairs: DataFrame, percent: int, broadcast_ids: int
     parts = max(1, n // 256)
     part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
     pairs = pairs.withColumn("key", part("a") * parts + part("b"))
-    sets = df.join(F.broadcast(need) if n <= broadcast_ids else need, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>")
+    sets = df.join(F.broadcast(need) if n <= broadcast_ids else need, "doc_id", "left_semi").mapInArrow(_sets(secret), "doc_id long, shingles array<long>")
     ends = pairs.select("key", F.col("a").alias("doc_id")).unionByName(pairs.select("key", F.col("b").alias("doc_id"))).distinct()
     travel = ends.join(sets, "doc_id").select("key", F.lit(False).alias("is_pair"), F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
     asked = pairs.select("key", F.lit(True).alias("is_pair"), "a", "b", F.lit(None).cast("array<long>").alias("shingles"))
@@ -357,7 +366,7 @@ def _confirmed(df: DataFrame, pairs: DataFrame, percent: int, broadcast_ids: int
     return links
 
 
-def _rest(df: DataFrame, reps: DataFrame, final: DataFrame, percent: int, block: int, broadcast_ids: int) -> DataFrame:
+def _rest(df: DataFrame, reps: DataFrame, final: DataFrame, percent: int, block: int, broadcast_ids: int, secret: int) -> DataFrame:
     """The links that are still missing between rows of one region: a, b.
 
     In each region with several components, all rows but those of the largest (the loose
@@ -392,7 +401,7 @@ def _rest(df: DataFrame, reps: DataFrame, final: DataFrame, percent: int, block:
     asked = materialise(met.mapInArrow(_asked(percent), met.schema), "asked")
     need = materialise(asked.select("doc_id").distinct(), "ids")
     some = df.join(F.broadcast(need) if need.count() <= broadcast_ids else need, "doc_id", "left_semi")
-    wide = asked.join(some.mapInArrow(_sets, "doc_id long, shingles array<long>"), "doc_id").select(*asked.columns, "shingles")
+    wide = asked.join(some.mapInArrow(_sets(secret), "doc_id long, shingles array<long>"), "doc_id").select(*asked.columns, "shingles")
     links = materialise(wide.repartition("key").sortWithinPartitions("key").mapInArrow(_joined(percent), "a long, b long"), "rest")
     discard(placed, regions, dealt, asked, need)
     return links
@@ -411,8 +420,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty table gives no rows; other columns are ignored.
     """
     df = id_text(docs, id_col, text_col)
-    trees = trees_for(percent)
-    signed = materialise(df.mapInArrow(_sign(trees), "doc_id long, n long, f1 long, f2 long, labels binary, sketch binary"), "signed")
+    trees, secret = trees_for(percent), secret_key()
+    signed = materialise(df.mapInArrow(_sign(trees, secret), "doc_id long, n long, f1 long, f2 long, labels binary, sketch binary"), "signed")
     key = ["n", "f1", "f2"]
     classes = materialise(signed.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = signed.filter("n > 0").join(classes.select(*key, F.col("rep").alias("doc_id")), [*key, "doc_id"], "left_semi").dropDuplicates(["doc_id", *key])
@@ -425,7 +434,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = materialise(_ends(pairs), "ids")
     few = ids.count() <= broadcast_ids
     some = (lambda x: x.join(F.broadcast(ids), "doc_id", "left_semi")) if few else (lambda x: x.join(ids, "doc_id", "left_semi"))
-    sets = some(df).mapInArrow(_sets, "doc_id long, shingles array<long>")
+    sets = some(df).mapInArrow(_sets(secret), "doc_id long, shingles array<long>")
     placed = some(signed.filter("n > 0")).select("doc_id", *(F.substring("labels", t * LABEL + 1, LABEL).alias(f"label{t}") for t in range(ORDERS))).dropDuplicates(["doc_id"])
     wide = sets.join(placed, "doc_id")
     along = wide.select(F.posexplode(F.array(*(f"label{t}" for t in range(ORDERS)))).alias("tree", "label"), "shingles", "doc_id")
@@ -438,9 +447,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .filter("coalesce(ca, a) != coalesce(cb, b)").select("a", "b")
     )
     left = materialise(left, "left")
-    checked = links.unionByName(_confirmed(df, left, percent, broadcast_ids))
+    checked = links.unionByName(_confirmed(df, left, percent, broadcast_ids, secret))
     final = materialise(components(checked), "final")
-    final = components(checked.unionByName(_rest(df, reps, final, percent, block, broadcast_ids)))
+    final = components(checked.unionByName(_rest(df, reps, final, percent, block, broadcast_ids, secret)))
     whole = materialise(classes.join(final.withColumnRenamed("doc_id", "rep"), "rep", "left").select(*key, "copies", F.coalesce("component_id", "rep").alias("component_id")), "whole")
     discard(classes, pairs, ids, links, joined, left)
     # The classes with a thousandth of all rows or more, 1000 at most, are broadcast, so that no large one meets in a task.

@@ -60,8 +60,9 @@ class WordIds:
     """Token ids of whole batches of texts. White space parts what the tokenizer parts, so
     a text's ids are its words' one after the other. Words are looked up by 64-bit hash in
     a sorted table that the worker keeps; new ones go through the tokenizer's model. What
-    is found must have the word's length and its first and last eight bytes; a text with a
-    word that hasn't goes to the tokenizer whole."""
+    is found must be the same word: its length and first and last eight bytes, and of words
+    over 16 bytes all bytes, are compared. A text with a word that isn't goes to the
+    tokenizer whole, so ids don't depend on hashes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -79,6 +80,7 @@ class WordIds:
         self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
         self.edges = np.zeros((0, 3), np.uint64)
+        self.long: dict[int, bytes] = {}  # the words over 16 bytes by their hash
 
     def _word(self, word: bytes) -> list[int]:
         text = word.decode("utf-8", "replace").lower()
@@ -88,6 +90,7 @@ class WordIds:
     def _learn(self, hashes: np.ndarray, edges: np.ndarray, words: list[bytes]) -> None:
         if len(self.hashes) + len(hashes) > TABLE_SIZE:
             self._reset()
+        self.long.update((h, w) for h, w in zip(hashes.tolist(), words, strict=True) if len(w) > 16)
         ids = list(map(self._word, words))
         length = np.fromiter(map(len, ids), np.int64, len(ids))
         start = len(self.flat) + np.concatenate([[0], np.cumsum(length)[:-1]]).astype(np.int64)
@@ -118,7 +121,11 @@ class WordIds:
         bounds = np.concatenate([[0], np.cumsum(length)])
         ids = self.flat[np.repeat(self.start[k][which] - bounds[:-1], length) + np.arange(bounds[-1])] if len(known) else self.flat[:0]
         cut = bounds[at].tolist()
-        other = set(np.searchsorted(at, np.flatnonzero((self.edges[k][which] != edges).any(1)), "right") - 1) if len(known) else set()
+        differ = (self.edges[k][which] != edges).any(1) if len(known) else np.zeros(0, bool)
+        raw = data.tobytes()
+        for i in np.flatnonzero((ends - starts > 16) & ~differ).tolist():
+            differ[i] = self.long[int(hashes[i])] != raw[starts[i] : ends[i]]
+        other = set((np.searchsorted(at, np.flatnonzero(differ), "right") - 1).tolist())
         out = []
         for row, (text, x, y) in enumerate(zip(texts, cut[:-1], cut[1:], strict=True)):
             if row in other or not self.plain(text) or any(s in text for s in self.added):

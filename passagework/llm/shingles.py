@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import secrets
 
 import numpy as np
 
@@ -23,14 +25,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(32)
 
 
-def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def secret_key() -> int:
+    """A key that nobody can make colliding words for beforehand; one for all tasks of a run."""
+    return secrets.randbits(63)
+
+
+@functools.lru_cache(maxsize=8)
+def _secrets(key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each eight bytes of a word a mask and an odd factor, and a mask for each length."""
+    rng = np.random.default_rng(key)
+    draw = lambda n: rng.integers(1 << 64, size=n, dtype=np.uint64)
+    return draw(LONG // 8), draw(LONG // 8) | np.uint64(1), draw(LONG + 1)
+
+
+def words_of(texts: list[str], key: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The hashes of all words, A-Z in lower case, where each text's words begin (one
     entry more than there are texts), the bytes, and where words start and end there.
 
-    Eight bytes of every word are taken at a time and mixed into its hash, which starts
-    with the length; of words over ``LONG`` bytes it is a part of their BLAKE2 digest. No
-    step is linear in the bytes, so words don't collide by their structure.
+    Every eight bytes of a word are masked, multiplied and mixed by numbers that ``key``
+    gives, and added up; the length masks the first. Of words over ``LONG`` bytes the hash is a
+    part of their BLAKE2 digest under the key. Two words have one hash with a chance of
+    about 2^-64 over keys; so where equality decides a result, the key is a ``secret_key``.
     """
+    masks, factors, of_length = _secrets(key)
     coded = [t.encode() for t in texts]
     raw = b"\n".join([*coded, b""]).translate(LOWER)
     data = np.frombuffer(raw, np.uint8)
@@ -38,13 +55,13 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     starts, ends = edge[::2], edge[1::2]
     wide = np.ndarray(len(data), "<u8", raw + bytes(8), strides=(1,))
     left = ends - starts
-    hashes = mix((wide[starts] & _MASK[np.minimum(left, 8)]) ^ left.astype(np.uint64) * _POSITION[0])
+    hashes = mix(((wide[starts] & _MASK[np.minimum(left, 8)]) ^ of_length[np.minimum(left, LONG)]) * factors[0])
     rest = np.flatnonzero((left > 8) & (left <= LONG))
     for k in range(8, LONG, 8):
         rest = rest[left[rest] > k]
-        hashes[rest] = mix(hashes[rest] * _POSITION[1] ^ (wide[starts[rest] + k] & _MASK[np.minimum(left[rest] - k, 8)]))
+        hashes[rest] += mix(((wide[starts[rest] + k] & _MASK[np.minimum(left[rest] - k, 8)]) ^ masks[k // 8]) * factors[k // 8])
     for k in np.flatnonzero(left > LONG).tolist():
-        hashes[k] = int.from_bytes(hashlib.blake2b(raw[starts[k] : ends[k]], digest_size=8).digest(), "little")
+        hashes[k] = int.from_bytes(hashlib.blake2b(raw[starts[k] : ends[k]], digest_size=8, key=key.to_bytes(8, "little")).digest(), "little")
     texts_at = np.cumsum([0, *(len(c) + 1 for c in coded)])
     return hashes, np.searchsorted(starts, texts_at), data, starts, ends
 
@@ -74,15 +91,15 @@ def numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ranked[at], order[at], which
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str], key: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The first two of ``words_of``."""
-    return words_of(texts)[:2]
+    return words_of(texts, key)[:2]
 
 
-def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+def shingle_sets(texts: list[str], key: int = 0) -> list[np.ndarray]:
     """Each text's distinct shingles, sorted; with fewer than ``WORDS`` words the whole
     sequence as one, without words none."""
-    words, at = word_hashes(texts)
+    words, at = word_hashes(texts, key)
     runs = np.zeros(max(0, len(words) - WORDS + 1), np.uint64)
     for k in range(WORDS):
         runs += mix(words[k : k + len(runs)] + _POSITION[k])

@@ -204,6 +204,35 @@ def test_near_duplicates_edges(spark, odd, none, limit):
     assert near_dedup.near_duplicates(none, broadcast_ids=limit).count() == 0
 
 
+def test_words_that_collided_once(spark):
+    """Words made to collide under a fixed hash: no link, and ids of their own."""
+    from tokenizers import Tokenizer
+
+    texts = ["ijsygfwkdaadaaaa", "llralillynsxvqrk", "aaaaaaaaagotgenjaaaaaaadzzzzzzzz", "aaaaaaaazziepdpiqdrezbgzzzzzzzzz"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(r.component_id == r.doc_id for r in near_dedup.near_duplicates(df).collect())
+    check_packing(packing.pack(df, WORD_BPE).collect(), list(enumerate(texts)), Tokenizer.from_file(WORD_BPE))
+
+
+def test_ids_do_not_depend_on_hashes(monkeypatch):
+    """With a hash of four bits nearly every word has another's, and ids are still right."""
+    from tokenizers import Tokenizer
+
+    weak = lambda texts, key=0: ((found := shingles.words_of(texts, key))[0] & np.uint64(15), *found[1:])
+    monkeypatch.setattr(packing, "words_of", weak)
+    tok, words = Tokenizer.from_file(WORD_BPE), packing.WordIds(WORD_BPE)
+    texts = [f"{'a' * k}bcdefgh{'ij' * (k % 13)}x{'z' * 9} and word {k}" for k in range(60)]
+    for part in (texts[:30], texts[30:], texts):
+        assert words.encode(part)[0] == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() + packing.END for t in part]
+
+
+def test_word_hashes_depend_on_their_key():
+    texts = ["one two", "b a\0 " + "long" * 30]
+    a, b = (shingles.word_hashes(texts, k)[0] for k in (1, 2))
+    assert not set(a.tolist()) & set(b.tolist()) and len(set(a.tolist())) == 5
+    assert [s.tolist() for s in shingles.shingle_sets(texts, 7)] == [s.tolist() for s in shingles.shingle_sets(texts, 7)] != [s.tolist() for s in shingles.shingle_sets(texts, 8)]
+
+
 @pytest.mark.parametrize("task_links", [10_000, 7])
 def test_components(spark, task_links):
     links = [(k, k + 1) for k in range(40)] + [(100, 90), (90, 95), (95, 100), (200, 200)]
