@@ -1,7 +1,9 @@
-"""A prepared keyword index of one snapshot of passages, as written tables.
+"""A prepared keyword index of passages, as written tables.
 
-Tokenising is paid once for a snapshot, not for each question. Postings are sorted by
-term, so a question reads the row groups of its own terms only.
+Tokenising is paid once, not for each question. Postings are sorted by term, so a question
+reads the row groups of its own terms only; how many passages have a term stands in a
+table of its own, sorted by term, too. ``prepare`` makes an index of one snapshot;
+``segments.SegmentedIndex`` follows edits.
 """
 
 from __future__ import annotations
@@ -15,15 +17,18 @@ from passagework.constants import B, K1
 from passagework.functions.text import fingerprint, tokens
 from passagework.storage import fresh_path
 
-#: Question terms are pushed to the scan as literals up to this many, broadcast up to
-#: ``BROADCAST_TERMS`` rows, and joined by shuffle beyond.
+#: Question terms are pushed to the scan as literals up to this many; their rows are
+#: broadcast up to ``BROADCAST_TERMS``, and joined by shuffle beyond.
 PUSHED_TERMS, BROADCAST_TERMS = 1_000, 100_000
+#: Weights are added up as whole numbers of this many parts, so that a sum doesn't depend on
+#: the order in which tasks send them: 4e-15 apart, and room for hundreds of terms.
+PARTS = 1 << 48
 
 
 @dataclass(frozen=True)
 class Index:
     keys: tuple[str, ...]
-    postings: DataFrame  # term, df, keys, len, tf, fp
+    postings: DataFrame  # term, keys, len, tf, fp
     passages: DataFrame  # keys, fp
     terms: DataFrame  # term, df
     n: int
@@ -35,36 +40,64 @@ class Index:
 
     def bm25(self, terms: DataFrame) -> DataFrame:
         """qid, keys, fp, lexical_score of every passage that has a term of (qid, term)."""
-        asked = terms.select("term").distinct().limit(PUSHED_TERMS + 1).collect()
+        asked = [r.term for r in terms.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+        small = F.broadcast if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else lambda df: df
         if len(asked) <= PUSHED_TERMS:
-            found = self.postings.filter(F.col("term").isin([r.term for r in asked])).join(F.broadcast(terms), "term")
+            own = F.col("term").isin(asked)
+            weighed = terms.join(F.broadcast(self.terms.filter(own)), "term")  # a row for each term asked
+            found = self.postings.filter(own).join(small(weighed), "term")
         else:
-            small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-            found = self.postings.join(F.broadcast(terms) if small else terms, "term")
+            found = self.postings.join(small(terms.join(self.terms, "term")), "term")
         idf = F.log1p((F.lit(float(self.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weight = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * ((1 - B) * 1.0 + B * F.col("len") / F.lit(self.avg_len)))
-        scored = found.withColumn("weight", weight).groupBy("qid", *self.keys).agg(F.first("fp").alias("fp"), F.sum("weight").alias("s"), F.count("*").alias("matched"))
+        parts = F.round(weight * float(PARTS)).cast("long")
+        scored = found.withColumn("parts", parts).groupBy("qid", *self.keys).agg(F.first("fp").alias("fp"), (F.sum("parts") / float(PARTS)).alias("s"), F.count("*").alias("matched"))
         return scored.select("qid", *self.keys, "fp", (F.col("s") * (1 + F.log(F.col("matched").cast("double")))).alias("lexical_score"))
 
 
-def prepare(passages: DataFrame, keys: list[str], text: str = "text") -> Index:
-    """Index of (keys, text) as they are now. Keys tell passages apart; rows with a null
-    text have no terms but count. Each term's frequency is joined in while building, so
-    scoring is one pass over the postings that a question asks for."""
+def postings_of(tokenised: DataFrame, keys: list[str]) -> DataFrame:
+    """term, keys, len, tf, fp from (keys, fp, words, len). Words are counted as runs of the
+    sorted array, so they are not shuffled to be counted."""
+    sorted_rows = tokenised.filter("len > 0").select(*keys, "fp", "len", F.array_sort("words").alias("w"))
+    new = lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1))
+    starts = sorted_rows.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("w") - 1), new))
+    run = lambda i, k: F.struct(F.get("w", i).alias("term"), (F.coalesce(F.get("starts", k + 1), F.size("w")) - i).cast("long").alias("tf"))
+    each = starts.select(*keys, "fp", "len", F.explode(F.transform("starts", run)).alias("run"))
+    return each.select("run.term", *keys, "len", "run.tf", "fp")
+
+
+def write_tokens(passages: DataFrame, keys: list[str], text: str, path: str) -> DataFrame:
+    """keys, fp, words, len of every passage, written."""
     spark = passages.sparkSession
     cores = spark.sparkContext.defaultParallelism
     narrow = passages.select(*keys, F.col(text).alias("text"))
     if narrow.rdd.getNumPartitions() < cores:  # few splits would leave tokenising to few tasks
         narrow = narrow.repartition(cores)
-    print_hash = F.unhex(F.md5(fingerprint("text")))
-    path = fresh_path(spark, "index")
-    narrow.select(*keys, print_hash.alias("fp"), F.coalesce(tokens("text"), F.array().cast("array<string>")).alias("words")).withColumn("len", F.size("words")).write.parquet(f"{path}/tokens")
-    tokenised = spark.read.parquet(f"{path}/tokens")
+    words = F.coalesce(tokens("text"), F.array().cast("array<string>"))
+    narrow.select(*keys, F.unhex(F.md5(fingerprint("text"))).alias("fp"), words.alias("words")).withColumn("len", F.size("words")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def write_postings(postings: DataFrame, keys: list[str], path: str) -> tuple[DataFrame, DataFrame]:
+    """Postings sorted by term, and how many there are of each. A frequent term is dealt to
+    several ranges by its keys, so it is in no single task."""
+    spark = postings.sparkSession
+    postings.repartitionByRange("term", *keys).sortWithinPartitions("term", *keys).write.parquet(f"{path}/postings")
+    done = spark.read.parquet(f"{path}/postings")
+    done.groupBy("term").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+    return done, spark.read.parquet(f"{path}/terms")
+
+
+def counts_of(tokenised: DataFrame) -> tuple[int, int]:
+    """How many passages there are, and how many words they have."""
     n, total = tokenised.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
-    counted = tokenised.select(*keys, "fp", "len", F.explode("words").alias("term")).groupBy("term", *keys).agg(F.first("fp").alias("fp"), F.first("len").alias("len"), F.count("*").alias("tf"))
-    counted.write.parquet(f"{path}/counted")
-    counted = spark.read.parquet(f"{path}/counted")
-    counted.groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/terms")
-    terms = spark.read.parquet(f"{path}/terms")
-    counted.join(terms, "term").select("term", "df", *keys, "len", "tf", "fp").repartitionByRange("term", *keys).sortWithinPartitions("term", *keys).write.parquet(f"{path}/postings")
-    return Index(tuple(keys), spark.read.parquet(f"{path}/postings"), tokenised.select(*keys, "fp"), terms, n, total)
+    return int(n), int(total)
+
+
+def prepare(passages: DataFrame, keys: list[str], text: str = "text") -> Index:
+    """Index of (keys, text) as they are now. Keys tell passages apart; rows with a null
+    text have no terms but count."""
+    path = fresh_path(passages.sparkSession, "index")
+    tokenised = write_tokens(passages, keys, text, f"{path}/tokens")
+    postings, terms = write_postings(postings_of(tokenised, keys), keys, path)
+    return Index(tuple(keys), postings, tokenised.select(*keys, "fp"), terms, *counts_of(tokenised))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.operators import widening
+from passagework.operators import ranking, widening
 from passagework.operators.markdown import outline_notes, parse_notes
-from passagework.plans.queries import load, query
+from passagework.operators.segments import SegmentedIndex
+from passagework.plans.queries import load, one_question, query, sql_bm25
+from passagework.storage import fresh_path
 
 DEPTHS = (0, 1, 1, 2, 0, 1, 2)
 
@@ -60,3 +62,28 @@ def j7_expand(spark, sf_dir):
     outline = outline_notes(notes)
     wide = widening.expand(outline, outline, 2, notes)
     return wide.select("id", "path", "line_start", "line_end", F.sha2("text", 256).alias("text_hash"))
+
+
+EDITED = "than thre conflict ation peace"
+#: Three versions of the documents: a part, edits with deletes and additions, more edits.
+FINAL = """final AS (SELECT * FROM (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'than ' || text WHEN doc_id % 33 = 0 THEN text WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN text || ' erhe than peace' WHEN doc_id % 5 <> 0 OR doc_id % 2 = 0 THEN text END AS text FROM documents) WHERE text IS NOT NULL)"""
+
+
+def versions(spark, sf_dir) -> list[DataFrame]:
+    """Batches of (id, version, op, text) that end in ``FINAL``."""
+    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    i = F.col("id")
+    first = d.filter(i % 5 != 0).withColumn("op", F.lit("upsert"))
+    edited = F.when(i % 7 == 0, F.concat("text", F.lit(" erhe than peace"))).otherwise(F.col("text"))
+    second = d.filter((i % 7 == 0) | (i % 11 == 0) | (i % 10 == 0)).select("id", edited.alias("text"), F.when(i % 11 == 0, "delete").otherwise("upsert").alias("op"))
+    third = d.filter((i % 13 == 0) | (i % 33 == 0)).select("id", F.when(i % 13 == 0, F.concat(F.lit("than "), "text")).otherwise(F.col("text")).alias("text"), F.lit("upsert").alias("op"))
+    return [df.withColumn("version", F.lit(k)).select("id", "version", "op", "text") for k, df in enumerate((first, second, third))]
+
+
+@query(f"WITH {FINAL}, {sql_bm25('final', 'doc_id', f'SELECT 0 AS qid, {chr(39)}{EDITED}{chr(39)} AS question')} SELECT doc_id AS id, s AS lexical_score FROM scored")
+def r8_index_after_edits(spark, sf_dir):
+    """Scores after three batches of edits, from segments and tombstones."""
+    index = SegmentedIndex(spark, fresh_path(spark, "segments"), ["id"], ["version"])
+    for batch in versions(spark, sf_dir):
+        index.apply(batch)
+    return index.index().bm25(ranking.question_terms(one_question(spark, EDITED))).select("id", F.round("lexical_score", 9).alias("lexical_score"))

@@ -33,14 +33,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def complete_folders(spark: SparkSession, path: str) -> list[str]:
-    """Names of the folders in ``path`` whose write has ended."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(hadoop):
+def folders(spark: SparkSession, path: str, complete: bool = False) -> list[str]:
+    """Names of the folders in ``path``; or just of those whose write has ended."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    files = make(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(make(path)):
         return []
-    done = lambda at: files.exists(spark._jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS"))
-    return [x.getPath().getName() for x in files.listStatus(hadoop) if x.isDirectory() and done(x.getPath())]
+    done = lambda at: not complete or files.exists(make(at, "_SUCCESS"))
+    return [x.getPath().getName() for x in files.listStatus(make(path)) if x.isDirectory() and done(x.getPath())]
+
+
+def complete_folders(spark: SparkSession, path: str) -> list[str]:
+    return folders(spark, path, complete=True)
 
 
 def remove(spark: SparkSession, path: str) -> None:

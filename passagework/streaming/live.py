@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from passagework.storage import complete_folders, fresh_path, remove
 
@@ -26,10 +27,11 @@ def debounced(events: DataFrame, key: str, at: str, quiet: str) -> DataFrame:
     return bursts.drop("w")
 
 
-def latest(changes: DataFrame, key: str, order: list[str]) -> DataFrame:
+def latest(changes: DataFrame, key: str | list[str], order: list[str]) -> DataFrame:
     """The last change of each key; a stale one never replaces a later one."""
-    rows = F.struct(*order, *(c for c in changes.columns if c not in (key, *order)))
-    return changes.groupBy(key).agg(F.max(rows).alias("row")).select(key, "row.*").select(changes.columns)
+    keys = [key] if isinstance(key, str) else list(key)
+    rows = F.struct(*order, *(c for c in changes.columns if c not in (*keys, *order)))
+    return changes.groupBy(*keys).agg(F.max(rows).alias("row")).select(*keys, "row.*").select(changes.columns)
 
 
 def run_to_end(stream: DataFrame, batch: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None) -> None:
@@ -67,8 +69,8 @@ class LiveSnapshot:
     A fold removes what the base before last held, so a reader may go on during one fold.
     """
 
-    def __init__(self, spark: SparkSession, key: str, order: list[str], on_change: Callable[[DataFrame], None] | None = None, path: str | None = None, compact: int = 16):
-        self.spark, self.key, self.order, self.on_change, self.compact = spark, key, order, on_change, compact
+    def __init__(self, spark: SparkSession, key: str, order: list[str], on_change: Callable[[DataFrame], None] | None = None, path: str | None = None, compact: int = 16, schema: StructType | str | None = None):
+        self.spark, self.key, self.order, self.on_change, self.compact, self.schema = spark, key, order, on_change, compact, schema
         self.path = path or fresh_path(spark, "snapshot")
 
     def _parts(self) -> tuple[dict[int, str], dict[int, str]]:
@@ -106,10 +108,15 @@ class LiveSnapshot:
 
     def follow(self, stream: DataFrame) -> None:
         """Take in all that the stream has and this snapshot hasn't."""
+        self.schema = self.schema or stream.schema
         run_to_end(stream, self.merge, checkpoint=f"{self.path}/_stream")
 
     def rows(self) -> DataFrame:
-        return self._read().filter("op <> 'delete'").drop("op")
+        """What is there now; before the first batch nothing, with ``schema``'s columns."""
+        found = self._read()
+        if found is None:
+            return self.spark.createDataFrame([], self.schema or f"{self.key} string").drop("op")
+        return found.filter("op <> 'delete'").drop("op")
 
 
 def gaps(at: str, key: str, quiet: Column) -> Column:
