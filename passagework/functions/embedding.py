@@ -23,12 +23,13 @@ def read_weights(data: bytes, shape: tuple[int, int]) -> np.ndarray:
 
 
 def encode(ids: list[int], weights: np.ndarray) -> np.ndarray:
-    """Zero where no id counts: unknown ids and those beyond the table don't."""
+    """Zero where no id counts: unknown ids and those beyond the table don't. In the
+    weights' own precision."""
     known = [i for i in ids if i != UNKNOWN and 0 <= i < len(weights)]
     if not known:
-        return np.zeros(weights.shape[1], np.float32)
-    mean = weights[known].mean(0, dtype=np.float32)
-    length = np.sqrt((mean * mean).sum(dtype=np.float32))
+        return np.zeros(weights.shape[1], weights.dtype)
+    mean = weights[known].mean(0, dtype=weights.dtype)
+    length = np.sqrt((mean * mean).sum(dtype=weights.dtype))
     return mean / length if length else mean
 
 
@@ -40,4 +41,5 @@ def encode_texts(df: DataFrame, tokenize: Callable[[str], list[int]], weights: n
         for f in frames:
             yield pd.DataFrame({key: f[key], "vector": [encode(tokenize(t), shared.value).tolist() for t in f[text]]})
 
-    return df.select(key, text).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, vector array<float>")
+    number = "double" if weights.dtype == np.float64 else "float"
+    return df.select(key, text).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, vector array<{number}>")

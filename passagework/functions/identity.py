@@ -34,6 +34,15 @@ def selection_key(spec: QuerySpec) -> str:
     return json.dumps([spec.question, _criteria(spec), list(spec.context_paths)], separators=(",", ":"), ensure_ascii=False)
 
 
+def old_score_hash(spec: QuerySpec, passage: dict[str, Column], space: str, context: str = "") -> Column:
+    """The key that scores had before: by a passage's place (``id``, ``path``, ``line_start``,
+    ``line_end``, ``headings``) beside its text. What is kept under it is read once."""
+    head = {"context": context, "criteria": _criteria(spec), "namespace": space, "question": spec.question}
+    fields = {"headingPath": "headings", "id": "id", "lineEnd": "line_end", "lineStart": "line_start", "path": "path", "text": "text"}
+    own = F.to_json(F.struct(*(passage[c].alias(name) for name, c in fields.items())), {"ignoreNullFields": "false"})
+    return F.sha2(F.concat(F.lit('{"candidate":'), own, F.lit("," + stable(head)[1:])), 256)
+
+
 def score_hash(spec: QuerySpec, model_text: Column, space: str, context: str = "") -> Column:
     """SHA-256 of the canonical JSON; only the passage's text varies by row, so the rest is
     made once. Place, limit and threshold are no part of it."""

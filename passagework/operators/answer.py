@@ -8,20 +8,20 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagework.constants import MAX_CONTEXT_CHARS
-from passagework.functions.identity import score_hash
-from passagework.functions.spec import QuerySpec
-from passagework.functions.text import inclusion_fingerprint, model_text, span
-from passagework.operators import inclusions, judge, ranges, ranking, score_store
+from passagework.functions.identity import old_score_hash, score_hash
+from passagework.functions.spec import QuerySpec, Settings
+from passagework.functions.text import display_text, inclusion_fingerprint, model_text, span
+from passagework.operators import context as contexts
+from passagework.operators import inclusions, judge, ranges, ranking, score_store, widening
 from passagework.operators.index import Index
-from passagework.storage import fresh_path
+from passagework.storage import written
 
-PASSAGE = ("id", "path", "line_start", "line_end")
+SCORES = "map<string,double>"
 
 
 @dataclass(frozen=True)
 class Answer:
-    shown: DataFrame  # id, position, score, contribution, scores, manual
+    shown: DataFrame  # id, position, score, contribution, scores, manual, path, line_start, line_end, text
     below: DataFrame  # judged, but under the threshold
     skipped: DataFrame  # too long to be judged
     missing: DataFrame | None  # inclusions without their one passage
@@ -45,63 +45,99 @@ def retrieve(index: Index, questions: DataFrame, candidates: int, vectors: DataF
     return ranking.bounded(ranked.filter(F.col("rank") <= limit + 1), limit)
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """A small result that several others are made of: computed once, and by one run."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def read_context(spec: QuerySpec, notes: DataFrame, source: str = "") -> str:
+    """The text of what the question's links name; raises if one leads nowhere or all are too long."""
+    if not spec.context_paths:
+        return ""
+    links = notes.sparkSession.createDataFrame([(source, k, p) for k, p in enumerate(spec.context_paths)], "source string, nth int, link string")
+    row = contexts.contexts(links, notes).first()
+    if row.status != contexts.OK:
+        raise ValueError(f"the context of this question can't be used: {row.status}")
+    return row.context
+
+
+def _fetched(passages: DataFrame, found: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The passages that were found, 1,000 at most, by their keys as literals: a scan reads
+    only what may have them."""
+    rows = found.select(keys[0]).distinct().limit(ranking.MAX_CANDIDATES + 1).collect()
+    return passages.filter(F.col(keys[0]).isin([r[0] for r in rows])).join(F.broadcast(found), list(keys))
+
+
+def _included(passages: DataFrame, entries: DataFrame) -> DataFrame:
+    """Fingerprints of the passages of those notes that have an inclusion."""
+    own = passages.join(entries.select("path").distinct(), "path", "left_semi")
+    return own.select("id", "path", inclusion_fingerprint("text").alias("fingerprint"))
 
 
 def answer(
-    passages: DataFrame, index: Index, spec: QuerySpec, scorer: Callable | None, store: DataFrame, *, candidates: int = 100, threshold: float = 0.45, limit: int = 40,
-    namespace: str = "offline", context: str = "", entries: DataFrame | None = None, vectors: DataFrame | None = None, queries: DataFrame | None = None, clock: int = 0,
+    passages: DataFrame, index: Index, spec: QuerySpec, scorer: Callable | None, store: DataFrame, *, candidates: int = 100, threshold: float = Settings.threshold, limit: int = Settings.result_limit,
+    namespace: str = "offline", notes: DataFrame | None = None, source: str = "", entries: DataFrame | None = None, vectors: DataFrame | None = None, queries: DataFrame | None = None, clock: int = 0,
 ) -> Answer:
     """The answer to one saved question over ``passages`` (id, path, line_start, line_end,
-    text, render_text, heading_path) and their index.
+    text, render_text, heading_path, and for widening kind, parent_id, section_id) and their index.
 
+    The question's own limit, threshold, neighbours and context count before the caller's.
     At most ``candidates`` passages go on, 1,000 at most, so what follows is small whatever
-    the collection. Of overlapping ones the better stays. Scores that the store has are
-    read, the others are asked for once per hash and come back in ``store``. Without a
-    scorer passages are in retrieval order. A context that is too long raises. ``entries``
-    are inclusions by hand (path, fingerprint, score, contribution, scores, nth).
+    the collection. Of overlapping ones the better stays. Passages whose display is too long
+    aren't judged. Scores that the store has are read, under their older key if need be,
+    the others are asked for once per hash, and all come back in ``store``. Without a scorer
+    passages are in retrieval order, and nothing counts as checked. ``entries`` are
+    inclusions by hand (path, fingerprint, score, contribution, scores, nth). What is shown is
+    widened by the question's neighbours, and a passage that an earlier one contains then is
+    left out, unless it was included by hand.
     """
-    if len(context.encode("utf-16-le")) // 2 > MAX_CONTEXT_CHARS:
-        raise ValueError(f"the context has over {MAX_CONTEXT_CHARS} characters")
+    limit = limit if spec.limit is None else spec.limit
+    threshold = threshold if spec.threshold is None else spec.threshold
+    context = read_context(spec, notes, source) if spec.context_paths and notes is not None else ""
     spark = passages.sparkSession
     question = spark.createDataFrame([(0, spec.question)], "qid long, question string")
-    found = retrieve(index, question, candidates, vectors, queries).drop("qid", "fp")
-    rows = passages.join(F.broadcast(found), list(index.keys))  # 1,000 rows at most
-    rows = rows.withColumn("model_text", model_text("heading_path")).withColumn("hash", score_hash(spec, F.col("model_text"), namespace, context))
-    found = _written(rows, "candidates")
-    order = [-F.coalesce("retrieval_score", "lexical_score"), span(), F.col("line_start")]
-    apart = _written(ranges.drop_overlaps(found, order, ["path"]), "apart")
+    found = written(retrieve(index, question, candidates, vectors, queries).drop("qid", "fp"), "retrieved")
+    rows = _fetched(passages, found, index.keys).withColumns({"model_text": model_text("heading_path"), "display": display_text()})
+    places = {**{c: F.col(c) for c in ("id", "path", "line_start", "line_end")}, "headings": F.col("heading_path"), "text": F.col("model_text")}
+    rows = rows.withColumns({"hash": score_hash(spec, F.col("model_text"), namespace, context), "old_hash": old_score_hash(spec, places, namespace, context)})
+    found = written(rows, "candidates")
+    order = [-F.coalesce("retrieval_score", "lexical_score"), span(), F.col("id")]
+    apart = written(ranges.drop_overlaps(found, order, ["path"]), "apart")
+    blank = {"score": F.lit(None).cast("double"), "contribution": F.lit(None).cast("string"), "scores": F.lit(None).cast(SCORES)}
     if scorer is None:
-        shown = judge.unjudged(apart, ["id"], limit).withColumn("scores", F.create_map().cast("map<string,double>"))
-        judged, skipped, kept_store = shown, apart.limit(0), store
-        passed, below = shown, judged.limit(0)
-        judged = judged.withColumn("cached", F.lit(False)).withColumn("skipped", F.lit(False))
-        threshold = float("-inf")
+        passed = judge.unjudged(apart, ["id"], limit).withColumn("scores", F.create_map().cast(SCORES))
+        below, skipped, kept_store = passed.limit(0), apart.limit(0), store
+        counted = apart.withColumns(blank).withColumns({"cached": F.lit(False), "skipped": F.lit(False), "checked": F.lit(False)})
     else:
-        short, skipped = judge.split_oversize(apart, "model_text")
-        hits, pending = score_store.lookup(short, store)
+        short, skipped = judge.split_oversize(apart, "display")
+        hits, rest = score_store.lookup(short, store)
+        promoted = written(score_store.promote(rest.select("hash", "old_hash").distinct(), store), "promoted")
+        known, pending = score_store.lookup(rest, promoted)
         asked = judge.validated(judge.ask(pending, spec.question, spec.criteria, scorer, context), spec.criteria.mode)
-        fresh = _written(asked.select("hash", "score", "contribution", "scores"), "scores")
+        fresh = written(asked.select("hash", "score", "contribution", "scores"), "scores")
+        hits = hits.unionByName(known)
         judged = hits.withColumn("cached", F.lit(True)).unionByName(pending.join(fresh, "hash").withColumn("cached", F.lit(False)))
-        judged = _written(judged, "judged")
+        judged = written(judged, "judged")
         passed, below = judge.select(judged, threshold, spec.criteria.mode, ["id"], limit)
-        new = fresh.withColumn("accessed", F.lit(clock).cast("long"))
+        new = fresh.withColumn("accessed", F.lit(clock).cast("long")).unionByName(promoted.withColumn("accessed", F.lit(clock).cast("long")))
         kept_store = score_store.upsert(score_store.touched(store, hits, clock), new)
-        blank = {"score": "double", "contribution": "string", "scores": "map<string,double>"}
-        left_out = skipped.withColumns({c: F.lit(None).cast(t) for c, t in blank.items()}).withColumn("cached", F.lit(False)).withColumn("skipped", F.lit(True))
-        judged = judged.withColumn("skipped", F.lit(False)).unionByName(left_out.select(*judged.columns, "skipped"))
+        left_out = skipped.withColumns(blank).withColumns({"cached": F.lit(False), "skipped": F.lit(True), "checked": F.lit(False)})
+        counted = judged.withColumns({"skipped": F.lit(False), "checked": F.lit(True)}).unionByName(left_out)
     place = Window.orderBy(*(judge.selection_order(spec.criteria.mode, ["id"]) if scorer else [F.desc("score"), F.col("id")]))  # ``limit`` rows at most
-    shown = passed.withColumn("position", (F.row_number().over(place) - 1).cast("long")).withColumn("manual", F.lit(False))
+    selected = passed.withColumn("position", (F.row_number().over(place) - 1).cast("long")).withColumn("manual", F.lit(False))
     missing = None
     if entries is not None:
-        own = passages.select("id", "path", inclusion_fingerprint("text").alias("fingerprint"))
-        matched, missing = inclusions.match(entries, own)
-        shown, below = inclusions.apply(shown, below, matched)
-    counts = judge.run_statistics(judged, threshold)
+        matched, missing = inclusions.match(entries, _included(passages, entries))
+        selected, below = inclusions.apply(selected, below, matched)
+    shown = _shown(passages, selected.select("id", "position", "score", "contribution", "scores", "manual"), spec.adjacent)
+    counts = judge.run_statistics(counted, threshold)
     more = found.agg(F.count("*").alias("retrieved"), F.coalesce(F.max("truncated"), F.lit(False)).alias("truncated"), F.countDistinct("hash").alias("hashes"))
-    statistics = counts.crossJoin(more).withColumn("overlap_removed", F.col("retrieved") - F.col("shortlisted"))  # a row each
-    return Answer(shown.select("id", "position", "score", "contribution", "scores", "manual"), below, skipped, missing, kept_store, statistics)
+    extra = {"overlap_removed": F.col("retrieved") - F.col("shortlisted"), "searchable": F.lit(index.n).cast("long"), "window_limit": F.lit(ranking.clamp_candidates(candidates)).cast("long"), "context_chars": F.lit(len(context.encode("utf-16-le")) // 2).cast("long"), "threshold": F.lit(float(threshold))}
+    return Answer(shown, below, skipped, missing, kept_store, counts.crossJoin(more).withColumns(extra))  # a row each
+
+
+def _shown(passages: DataFrame, selected: DataFrame, adjacent: int) -> DataFrame:
+    """The selection as a reader sees it: widened, and without what is inside an earlier passage."""
+    chosen = written(selected, "selected")
+    ids = F.broadcast(chosen.select("id").distinct())  # what a reader is shown: a page of them, and inclusions
+    own = passages.join(ids, "id", "left_semi")
+    if adjacent:
+        places = widening.expand(passages, own.select("path", "id"), adjacent)
+    else:
+        places = own.select("id", "path", F.col("line_start").cast("int").alias("line_start"), F.col("line_end").cast("int").alias("line_end"), display_text().alias("text"))
+    return ranges.drop_covered(chosen.join(places, "id"), ["path"])

@@ -55,7 +55,7 @@ def match(entries: DataFrame, passages: DataFrame) -> tuple[DataFrame, DataFrame
     """(entries with their one passage, entries with none or several). ``passages`` has
     path, fingerprint and id; only its rows that an entry asks for are counted."""
     keys = ["path", "fingerprint"]
-    asked = passages.join(F.broadcast(entries.select(*keys).distinct()), keys, "left_semi")
+    asked = passages.join(entries.select(*keys).distinct(), keys, "left_semi")
     counted = asked.groupBy(*keys).agg(F.count("*").alias("n"), F.min("id").alias("id"))
     joined = entries.join(counted, keys, "left")
     return joined.filter("n = 1").drop("n"), joined.filter("n IS NULL OR n <> 1").select(*entries.columns)

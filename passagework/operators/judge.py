@@ -147,10 +147,11 @@ def unjudged(candidates: DataFrame, keys: list[str], limit: int) -> DataFrame:
 
 
 def run_statistics(judged: DataFrame, threshold: float) -> DataFrame:
-    """One row of counts over judged rows (score, cached, skipped)."""
-    judgeable = ~F.col("skipped")
+    """One row of counts over a run's rows (score, cached, skipped, and ``checked`` where
+    not all others were judged)."""
+    seen = F.col("checked") if "checked" in judged.columns else ~F.col("skipped")
     return judged.agg(
-        F.count("*").alias("shortlisted"), F.count_if(F.col("skipped")).alias("skipped"), F.count_if(judgeable).alias("checked"),
-        F.count_if(judgeable & F.col("cached")).alias("cached"), F.count_if(judgeable & ~F.col("cached")).alias("requested"),
-        F.count_if(judgeable & (F.col("score") >= threshold)).alias("passed"),
+        F.count("*").alias("shortlisted"), F.count_if(F.col("skipped")).alias("skipped"), F.count_if(seen).alias("checked"),
+        F.count_if(seen & F.col("cached")).alias("cached"), F.count_if(seen & ~F.col("cached")).alias("requested"),
+        F.count_if(seen & (F.col("score") >= threshold)).alias("passed"),
     )

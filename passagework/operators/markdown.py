@@ -17,6 +17,7 @@ ITEM = re.compile(r"(\s*)(?:[-*+] |\d+[.)] )(.*)$")
 CALLOUT = re.compile(r"\s*>\s*\[![^\]]+\]")
 QUOTE = re.compile(r"\s*>")
 CELL = re.compile(r"\s*:?-{3,}:?\s*")
+ANCHOR = re.compile(r"(?:^|\s)\^([A-Za-z0-9-]+)\s*$")
 ANY_FENCE = re.compile(r"\s*(`{3,}|~{3,})")
 SCHEMA = "id string, path string, line_start int, line_end int, text string, search_text string, render_text string, kind string, heading_path array<string>, parent_id string, section_id string"
 OUTLINE = "id string, path string, line_start int, line_end int, own_after int, kind string, heading_path array<string>, parent_id string, section_id string"
@@ -81,6 +82,7 @@ class _Note:
         self.path, self.lines = path, re.sub(r"\r\n?", "\n", source).split("\n")
         self.out: list[Unit] = []
         self.titles: dict[int, str] = {}
+        self.headings: list[tuple[int, int, str]] = []  # line from 1, level, title
         self.section = f"{path}:0"
 
     def emit(self, first: int, after: int, kind: str, parent: Unit | None = None) -> Unit | None:
@@ -112,6 +114,7 @@ class _Note:
 
     def _heading(self, level: int, title: str, line: int) -> None:
         self.titles = {k: v for k, v in self.titles.items() if k < level} | {level: title.strip()}
+        self.headings.append((line + 1, level, title.strip()))
         self.section = f"{self.path}:{line + 1}"
 
     def _try_front_matter(self, k: int) -> int | None:
@@ -309,20 +312,33 @@ def cut_texts(notes: DataFrame, wanted: DataFrame) -> DataFrame:
     return notes.select("path", "text").join(asked, "path").mapInPandas(run, "id string, text string, render_text string")
 
 
-def context_lines(text: str, fragment: str) -> tuple[int, int]:
-    """The 1-based lines that ``#`` and a fragment point to: all, a section, or a block by its id."""
-    lines = re.split(r"\r?\n", text)
-    if not fragment:
-        return 1, len(lines)
-    if fragment.startswith("^"):
-        anchor = re.compile(rf"(?:^|\s)\^{re.escape(fragment[1:])}\s*$")
-        for p in parse_markdown("", text):
-            rows = range(p.line_start, p.line_end + 1)
-            if p.kind != "list" and any(anchor.search(lines[k - 1]) for k in rows) or p.kind == "list" and anchor.search(lines[p.line_start - 1]):
-                return p.line_start, p.line_end
-        raise LookupError(f"no such block: {fragment}")
-    heads = [(k, len(m[1]), m[2].strip()) for k, line in enumerate(lines, 1) if (m := ATX.match(line))]
-    for k, level, title in heads:
-        if title == fragment:
-            return k, next((j - 1 for j, depth, _ in heads if j > k and depth <= level), len(lines))
-    raise LookupError(f"no such section: {fragment}")
+def _places(note: _Note, units: list[Unit]) -> Iterator[tuple[str, int, int]]:
+    """What a link's fragment can point to, with its lines: headings with all below them, and
+    block ids as ``^name``. A section ends where the next of its level or a higher one begins."""
+    ends, waiting = [len(note.lines)] * len(note.headings), []
+    for k, (line, level, _) in enumerate(note.headings):
+        while waiting and note.headings[waiting[-1]][1] >= level:
+            ends[waiting.pop()] = line - 1
+        waiting.append(k)
+    for (line, _, title), end in zip(note.headings, ends, strict=True):
+        yield title, line, end
+    for u in units:
+        for k in range(u.first, u.first + 1 if u.kind == "list" else u.after):
+            if m := ANCHOR.search(note.lines[k]):
+                yield f"^{m[1]}", u.first + 1, u.after
+
+
+def note_places(notes: DataFrame) -> DataFrame:
+    """path, fragment, line_start, line_end of every heading and block id of notes (path,
+    text); the first of several equal ones counts."""
+
+    def run(frames):
+        for f in frames:
+            for path, text in zip(f.path, f.text, strict=True):
+                note = _Note(path, text or "")
+                first: dict[str, tuple] = {}
+                for fragment, start, end in _places(note, note.read()):
+                    first.setdefault(fragment, (path, fragment, start, end))
+                yield from _frames(iter(first.values()), ["path", "fragment", "line_start", "line_end"])
+
+    return notes.select("path", "text").mapInPandas(run, "path string, fragment string, line_start int, line_end int")

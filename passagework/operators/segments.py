@@ -79,6 +79,11 @@ class SegmentedIndex:
         postings = self._alive(names, "postings", dead).drop("segment")
         return Index(tuple(self.keys), postings, self._alive(names, "tokens", dead).select(*self.keys, "fp"), terms, n, total)
 
+    def killed(self, batch: int) -> DataFrame | None:
+        """segment and keys of the passages that a batch replaced or deleted, while its
+        commit is one of the last two; None if there was nothing before."""
+        return self.spark.read.parquet(f"{self.path}/tomb-{batch}/dead") if "dead" in complete_folders(self.spark, f"{self.path}/tomb-{batch}") else None
+
     # Changes.
 
     def _touched(self, keys: DataFrame) -> Column | None:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.operators import ranking, widening
+from passagework.operators import context, ranking, widening
 from passagework.operators.markdown import outline_notes, parse_notes
 from passagework.operators.segments import SegmentedIndex
-from passagework.plans.queries import load, one_question, query, sql_bm25
+from passagework.operators.vector_store import VectorStore
+from passagework.plans.queries import MANY, QUESTIONS, load, one_question, query, sql_bm25, sql_tokens
 from passagework.storage import fresh_path
+from passagework.streaming.standing import StandingQuestions
 
 DEPTHS = (0, 1, 1, 2, 0, 1, 2)
 
@@ -64,6 +69,21 @@ def j7_expand(spark, sf_dir):
     return wide.select("id", "path", "line_start", "line_end", F.sha2("text", 256).alias("text_hash"))
 
 
+LINKS = ("lists{c}#More", "#Conv {c}", "lists{c}.md", "lists{c}#Gone", "nowhere{c}")
+
+
+@query(f"""WITH {LISTS}, whole AS (SELECT conv_id, path, any_value(n) AS n, '# Conv ' || conv_id::VARCHAR || chr(10) || chr(10) || 'Intro of ' || conv_id::VARCHAR || '.' || chr(10) || chr(10) || string_agg(own, chr(10) ORDER BY k) || chr(10) || chr(10) || 'End of ' || conv_id::VARCHAR || '.' || chr(10) || chr(10) || '## More' || chr(10) || chr(10) || 'Last of ' || conv_id::VARCHAR || '.' || chr(10) AS text FROM it GROUP BY conv_id, path)
+SELECT path AS source, nth::INTEGER AS nth, replace({list(LINKS)}[nth + 1], '{{c}}', conv_id::VARCHAR) AS link, CASE nth WHEN 0 THEN 8 + n WHEN 1 THEN 1 WHEN 2 THEN 1 END::INTEGER AS line_start, CASE WHEN nth < 3 THEN 11 + n END::INTEGER AS line_end,
+CASE nth WHEN 0 THEN sha256('## More' || chr(10) || chr(10) || 'Last of ' || conv_id::VARCHAR || '.' || chr(10)) WHEN 1 THEN sha256(text) WHEN 2 THEN sha256(text) END AS text_hash, ['ok', 'ok', 'ok', 'no such section or block', 'no such note'][nth + 1] AS status FROM whole, range(5) r(nth)""")
+def s8_context(spark, sf_dir):
+    """What five links of every note name: sections, a note, one that is stale and one that leads nowhere."""
+    notes = list_notes(spark, sf_dir)
+    asked = F.array(*(F.lit(x) for x in LINKS))
+    links = notes.select(F.col("path").alias("source"), F.posexplode(asked).alias("nth", "link"))
+    links = links.withColumn("link", F.replace("link", F.lit("{c}"), F.regexp_extract("source", r"^lists(-?\d+)\.md$", 1)))
+    return context.read(links, notes).select("source", "nth", "link", "line_start", "line_end", F.sha2("text", 256).alias("text_hash"), "status")
+
+
 EDITED = "than thre conflict ation peace"
 #: Three versions of the documents: a part, edits with deletes and additions, more edits.
 FINAL = """final AS (SELECT * FROM (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'than ' || text WHEN doc_id % 33 = 0 THEN text WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN text || ' erhe than peace' WHEN doc_id % 5 <> 0 OR doc_id % 2 = 0 THEN text END AS text FROM documents) WHERE text IS NOT NULL)"""
@@ -87,3 +107,55 @@ def r8_index_after_edits(spark, sf_dir):
     for batch in versions(spark, sf_dir):
         index.apply(batch)
     return index.index().bm25(ranking.question_terms(one_question(spark, EDITED))).select("id", F.round("lexical_score", 9).alias("lexical_score"))
+
+
+def version_stream(spark, sf_dir) -> DataFrame:
+    """The versions as a stream, one batch each."""
+    path = fresh_path(spark, "versions")
+    for batch in versions(spark, sf_dir):
+        batch.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+#: Statistics of the first version, scores of the last.
+STANDING = sql_bm25("final", "doc_id", MANY).replace(
+    "st AS (SELECT count(*)::DOUBLE AS n, greatest(1.0::DOUBLE, coalesce(sum(len(words)), 0)::DOUBLE / greatest(1, count(*))) AS avg_len FROM tok)",
+    "tok0 AS (SELECT {w} AS words FROM documents WHERE doc_id % 5 <> 0), st AS (SELECT count(*)::DOUBLE AS n, greatest(1.0::DOUBLE, coalesce(sum(len(words)), 0)::DOUBLE / greatest(1, count(*))) AS avg_len FROM tok0), df0 AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(words)) AS term FROM tok0) GROUP BY term)",
+).replace("df AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY term)", "df AS (SELECT term, coalesce(any_value(df0.df), 0)::DOUBLE AS df FROM terms LEFT JOIN df0 USING (term) GROUP BY term)")
+
+
+@query(f"WITH {FINAL}, {STANDING.replace('{w}', sql_tokens('text'))} SELECT qid::BIGINT AS qid, doc_id AS id, s AS lexical_score, row_number() OVER (PARTITION BY qid ORDER BY s DESC, doc_id)::BIGINT AS rank FROM scored QUALIFY rank <= 10")
+def r5_standing_questions(spark, sf_dir):
+    """The first ten documents of twenty questions, kept over a stream of three versions."""
+    asked = spark.createDataFrame(list(enumerate(QUESTIONS)), "qid long, question string")
+    standing = StandingQuestions(spark, fresh_path(spark, "standing"), asked, 10, ["id"], ["version"])
+    standing.follow(version_stream(spark, sf_dir))
+    return standing.results().select("qid", "id", F.round("lexical_score", 9).alias("lexical_score"), "rank")
+
+
+WIDTH = 4
+
+
+def word_lengths(text: str) -> list[int]:
+    return [2 + len(w) % 61 for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+
+
+def made_weights() -> np.ndarray:
+    """Rows by a rule, so that SQL has them, too."""
+    i, j = np.mgrid[0:63, 0:WIDTH]
+    return ((i * 31 + j * 17) % 101 - 50) / 100.0
+
+
+MEANS = ", ".join(f"avg(((id * 31 + {17 * j}) % 101 - 50) / 100.0::DOUBLE) AS m{j}" for j in range(WIDTH))
+LENGTH = "sqrt(" + " + ".join(f"m{j} * m{j}" for j in range(WIDTH)) + ")"
+
+
+@query(rf"""WITH {FINAL}, sent AS (SELECT text FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT CASE WHEN doc_id % 7 = 0 THEN text || ' erhe than peace' ELSE text END FROM documents WHERE doc_id % 11 <> 0 AND (doc_id % 7 = 0 OR doc_id % 10 = 0) UNION ALL SELECT CASE WHEN doc_id % 13 = 0 THEN 'than ' || text ELSE text END FROM documents WHERE doc_id % 13 = 0 OR doc_id % 33 = 0),
+w AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '[^ 	-]+'), lambda x: 2 + len(x) % 61)) AS id FROM final), m AS (SELECT doc_id, {MEANS} FROM w GROUP BY doc_id)
+SELECT f.doc_id AS id, {", ".join(f"round(coalesce(CASE WHEN {LENGTH} > 0 THEN m{j} / {LENGTH} ELSE m{j} END, 0), 9) AS v{j}" for j in range(WIDTH))}, (SELECT count(DISTINCT text) FROM sent)::BIGINT AS encoded FROM final f LEFT JOIN m ON m.doc_id = f.doc_id""")
+def r7_delta_vectors(spark, sf_dir):
+    """Vectors after three versions, and how many texts were encoded for them: each once."""
+    store = VectorStore(spark, fresh_path(spark, "vectors"), "id", ["version"], word_lengths, made_weights())
+    store.follow(version_stream(spark, sf_dir))
+    encoded = sum(store.encoded(k) for k in range(3))
+    return store.rows().select("id", *(F.round(F.get("vector", F.lit(j)) + 0.0, 9).alias(f"v{j}") for j in range(WIDTH)), F.lit(encoded).cast("long").alias("encoded"))

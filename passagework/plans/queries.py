@@ -457,17 +457,17 @@ ASKED = "the and inea thanedble of"
 
 
 def _passages(spark, sf_dir) -> DataFrame:
-    """The lines as passages of one line each."""
+    """The lines as passages of one line each, all in one section."""
     rows = lines(spark, sf_dir).withColumns({"line_start": F.col("line"), "line_end": F.col("line"), "path": F.col("doc_id").cast("string")})
-    return rows.withColumn("id", F.concat("path", F.lit(":"), "line")).withColumns({"render_text": F.lit(None).cast("string"), "heading_path": F.array().cast("array<string>")})
+    return rows.withColumn("id", F.concat("path", F.lit(":"), "line")).withColumns({"render_text": F.lit(None).cast("string"), "heading_path": F.array().cast("array<string>"), "kind": F.lit("paragraph"), "parent_id": F.lit(None).cast("string"), "section_id": F.lit("")})
 
 
-def _answer(spark, sf_dir, **more):
-    """One question with the offline scorer; texts of labelled documents' lines were scored before."""
-    spec = QuerySpec(ASKED, criteria=Criteria("generic"))
+def _answer(spark, sf_dir, scorer=judge.overlap_scorer, limit=25, **fields):
+    """One question with the offline scorer; texts of every third document's lines were scored before."""
+    spec = QuerySpec(ASKED, criteria=Criteria("generic"), limit=limit, **fields)
     known = _passages(spark, sf_dir).filter("doc_id % 3 = 0").select(score_hash(spec, F.col("text"), "offline").alias("hash")).distinct()
     store = known.select("hash", F.lit(0.75).alias("score"), F.lit("other").alias("contribution"), F.create_map(F.lit("relevant"), F.lit(0.75)).alias("scores"), F.lit(0).cast("long").alias("accessed"))
-    return answer(_passages(spark, sf_dir), indexed(spark, sf_dir), spec, judge.overlap_scorer, store, candidates=60, threshold=0.45, limit=25, clock=7, **more)
+    return answer(_passages(spark, sf_dir), indexed(spark, sf_dir), spec, scorer, store, candidates=60, clock=7)
 
 
 RETRIEVED = rf"""WITH {LINES}, {sql_bm25('lines', 'doc_id, line', f"SELECT 0 AS qid, '{ASKED}' AS question")}, {COPIES.format(keys='doc_id, line')}, cand AS (SELECT doc_id, line, s, rank, (SELECT max(rank) FROM ranked) > 60 AS truncated FROM ranked WHERE rank <= 60)"""
@@ -487,6 +487,24 @@ def e2_answer_statistics(spark, sf_dir):
     return _answer(spark, sf_dir).statistics.select("retrieved", "truncated", "shortlisted", "overlap_removed", "checked", "cached", "requested", "hashes", "passed")
 
 
+@query(rf"{RETRIEVED}, p AS (SELECT doc_id::VARCHAR || ':' || line::VARCHAR AS id, s FROM cand) SELECT id, s AS score, (row_number() OVER (ORDER BY s DESC, id) - 1)::BIGINT AS position, 60::BIGINT AS shortlisted, 0::BIGINT AS checked FROM p QUALIFY position < 8")
+def e3_answer_unjudged(spark, sf_dir):
+    """Without a scorer: retrieval order, as many as the question says, nothing checked."""
+    found = _answer(spark, sf_dir, None, 8)
+    shown = found.shown.select("id", F.round("score", 9).alias("score"), "position")
+    return shown.crossJoin(found.statistics.select("shortlisted", "checked"))  # a row
+
+
+@query(rf"""{SCORED}, p AS (SELECT doc_id, line, score, row_number() OVER (ORDER BY score DESC, doc_id::VARCHAR || ':' || line::VARCHAR) - 1 AS position FROM sc WHERE score >= 0.45 QUALIFY position < 25),
+n AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS k, text FROM lines),
+w AS (SELECT p.doc_id, p.line, position, min(b.line) AS a, max(b.line) AS z, string_agg(b.text, chr(10) || chr(10) ORDER BY b.line) AS text FROM p JOIN n x ON x.doc_id = p.doc_id AND x.line = p.line JOIN n b ON b.doc_id = p.doc_id AND b.k BETWEEN x.k - 2 AND x.k + 2 GROUP BY p.doc_id, p.line, position)
+SELECT doc_id::VARCHAR || ':' || line::VARCHAR AS id, position::BIGINT AS position, a::INTEGER AS line_start, z::INTEGER AS line_end, sha256(text) AS text_hash FROM w WHERE NOT EXISTS (SELECT 1 FROM w e WHERE e.doc_id = w.doc_id AND e.position < w.position AND e.a <= w.a AND e.z >= w.z)""")
+def e4_answer_widened(spark, sf_dir):
+    """Each shown passage with two neighbours on each side, without what an earlier one has."""
+    shown = _answer(spark, sf_dir, adjacent=2).shown
+    return shown.select("id", "position", "line_start", "line_end", F.sha2("text", 256).alias("text_hash"))
+
+
 @query(rf"{SCORED} SELECT doc_id::VARCHAR || ':' || line::VARCHAR AS id, score FROM sc WHERE score < 0.45")
 def u1_judged_below(spark, sf_dir):
     """What was judged and didn't pass."""

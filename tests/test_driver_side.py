@@ -1,7 +1,7 @@
 import pytest
 
 from passagework.functions.identity import bucket_key, namespace, selection_key, stable
-from passagework.functions.spec import PRESETS, Criteria, QuerySpec, Settings, SpecError, parse_query, query_markdown, resolve_context, scalar
+from passagework.functions.spec import PRESETS, Criteria, QuerySpec, Settings, SpecError, parse_query, query_markdown, scalar
 from passagework.operators import inclusions
 from passagework.operators.markdown import parse_markdown
 from passagework.operators.saving import StaleSource, plan_block_ids, save_selection, unique_note
@@ -44,12 +44,6 @@ def test_settings():
     assert (s.threshold, s.candidate_limit, s.result_limit, s.model) == (1.0, 1000, 1, Settings().model)
 
 
-def test_context_links():
-    assert resolve_context(("b#^x", "#Own", "b#^x"), ["a/b.md"], "q.md") == ["a/b.md#^x", "q.md#Own"]
-    with pytest.raises(SpecError, match="c, d"):
-        resolve_context(("c", "d"), [], "q.md")
-
-
 def test_identity():
     a, b = QuerySpec("q", criteria=Criteria("generic", "i"), limit=1), QuerySpec("q", criteria=Criteria("generic", "i"), limit=9)
     assert selection_key(a) == selection_key(b) and bucket_key(a, "c") == bucket_key(b, "c")
