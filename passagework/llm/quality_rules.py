@@ -111,47 +111,58 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def cascade(rejects: list[list[bool]], costs: list[float]) -> list[int]:
+    """The order of rules by rejection per cost, each among the rows that those before it
+    leave: ``rejects`` has a row for each document with what every rule says of it. Ties go
+    to the rule that comes first."""
+    left, order = [row for row in rejects if any(row)], []
+    rest = list(range(len(costs)))
+    while rest:
+        best = max(rest, key=lambda k: (sum(row[k] for row in left) / costs[k], -k))
+        order.append(best)
+        rest.remove(best)
+        left = [row for row in left if not row[best]]
+    return order
+
+
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejection per cost, both measured on at most ``sample_rows`` rows with
-    texts of at most ``SAMPLE_CHARS``. They are taken from the first partitions that have
-    them, so that measuring reads no more of a large table than of a small one."""
+    """The rules in the order of ``cascade``, both sides measured on at most ``sample_rows``
+    rows with texts of at most ``SAMPLE_CHARS``: what all rules say in one pass, and each
+    rule's seconds. They are taken from the first partitions that have them, so that
+    measuring reads no more of a large table than of a small one."""
     rows = docs.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS).take(sample_rows)
     sample = base_counts(docs.sparkSession.createDataFrame(rows, "doc_id long, text string").repartition(1)).persist()
     try:
-        total = max(1, sample.count())
         tried = sample.filter(~F.col("base_failed"))
+        said = tried.select(F.array(*(F.coalesce(rule.rejects(), F.lit(False)) for rule in rules)).alias("x")).collect() if rules else []
 
-        def measured(condition: Column) -> tuple[int, float]:
-            """Rows, and seconds of the second run, when the query is compiled."""
+        def seconds(condition: Column) -> float:
+            """Of the second run, when the query is compiled."""
             for _ in range(2):
                 began = time.perf_counter()
-                rows = tried.agg(F.count_if(condition)).first()[0]
-            return rows, time.perf_counter() - began
-
-        idle = measured(F.lit(False))[1]
-        rated = []
-        for rule in rules:
-            rejected, took = measured(rule.rejects())
-            rated.append((-(rejected / total) / max(1e-3, took - idle), rule.name, rule))
+                tried.agg(F.count_if(condition)).first()
+            return time.perf_counter() - began
+
+        idle = seconds(F.lit(False))
+        costs = [max(1e-3, seconds(rule.rejects()) - idle) for rule in rules]
     finally:
         sample.unpersist()
-    return [rule for *_, rule in sorted(rated, key=lambda r: r[:2])]
+    return [rules[k] for k in cascade([r.x for r in said], costs)]
 
 
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, carry: bool = False) -> DataFrame:
-    """The base counts, ``rejected_by`` (null if kept, ``base`` before any rule) and ``kept``,
-    with ``carry`` also the whole ``row``. Which of several rules that reject a row is named
-    depends on the measured order, so on the clock; ``kept`` doesn't.
+    """The base counts and ``kept``, with ``carry`` also the whole ``row``. A row is kept if
+    neither the base rule nor another rejects it; the first that does ends the cascade.
 
     A null or empty text has no words and fails the base rule; a null id stays null;
     repeated rows are judged one by one; an empty table gives no rows; other columns
     are ignored.
     """
     counts = base_counts(docs, id_col, text_col, carry)
-    verdict = F.when(F.col("base_failed"), F.lit("base"))
+    verdict = F.when(F.col("base_failed"), F.lit(False))
     for rule in order_rules(id_text(docs, id_col, text_col), rules, sample_rows):
-        verdict = verdict.when(rule.rejects(), F.lit(rule.name))
-    return counts.withColumn("rejected_by", verdict).drop("text").withColumn("kept", F.col("rejected_by").isNull())
+        verdict = verdict.when(rule.rejects(), F.lit(False))
+    return counts.withColumn("kept", verdict.otherwise(F.lit(True))).drop("text")
 
 
 #: The same over DuckDB's views, for the rules above.

@@ -49,6 +49,24 @@ def test_query_equals_its_sql(spark, name):
     assert got == oracle_rows(connect(SF), entry.oracle_sql()[name], names)
 
 
+def test_a_cascade_counts_what_is_left():
+    """The rule that rejects most is useless behind another that rejects the same rows."""
+    rows = [[True, True, False]] * 50 + [[True, False, False]] * 10 + [[False, False, True]] * 5 + [[False] * 3] * 9
+    assert quality_rules.cascade(rows, [1.0, 1.0, 1.0]) == [0, 2, 1]
+    assert quality_rules.cascade(rows, [9.0, 1.0, 1.0]) == [1, 2, 0]
+    rng = random.Random(2)
+    for _ in range(20):
+        rows = [[rng.random() < p for p in (0.1, 0.5, 0.5, 0.02)] for _ in range(60)]
+        costs = [rng.choice((0.5, 1, 3)) for _ in range(4)]
+        left, rest = rows, [0, 1, 2, 3]
+        for k in quality_rules.cascade(rows, costs):
+            rates = {j: sum(r[j] for r in left) / costs[j] for j in rest}
+            assert rates[k] == max(rates.values())
+            rest.remove(k)
+            left = [r for r in left if not r[k]]
+    assert quality_rules.cascade([], [1.0, 1.0]) == [0, 1]
+
+
 # near-duplicates
 
 
@@ -502,7 +520,7 @@ def test_passages_and_gradient():
 def test_rules_edges(spark, odd, none):
     got = quality_rules.apply_rules(odd).collect()
     by = {r.doc_id: r for r in got}
-    assert len(got) == len(TEXTS) + 2 and by[2].rejected_by == by[1].rejected_by == "base" and by[0].kept and by[5].n_words == 60_000
+    assert len(got) == len(TEXTS) + 2 and by[2].base_failed and by[1].base_failed and not by[2].kept and by[0].kept and by[5].n_words == 60_000
     assert quality_rules.apply_rules(none).count() == 0
     junk = spark.createDataFrame([(1, "WORD!! " * 3 + "UNE!! DEUX!! TROIS!! QUATRE!! CINQ!! SIX!! SEPT!! HUIT!!"), (2, "a b c d e f g h i j k l\n" * 4)], "doc_id long, text string")
     assert {r.doc_id: (r.kept, r.n_repeat_words, r.n_dup_lines) for r in quality_rules.apply_rules(junk).collect()} == {1: (False, 0, 0), 2: (False, 48, 3)}
