@@ -102,15 +102,20 @@ def answer(
     if scorer is None:
         passed = judge.unjudged(apart, ["id"], limit).withColumn("scores", F.create_map().cast(SCORES))
         below, skipped, kept_store = passed.limit(0), apart.limit(0), store
+        cost = spark.range(1).select(*(F.lit(0).cast("long").alias(c) for c in ("requests", "retries", "input_tokens")), F.lit(0.0).alias("request_ms"))
+        shared = spark.range(1).select(F.lit(0).cast("long").alias("shared"))
         counted = apart.withColumns(blank).withColumns({"cached": F.lit(False), "skipped": F.lit(False), "checked": F.lit(False)})
     else:
         short, skipped = judge.split_oversize(apart, "display")
         hits, rest = score_store.lookup(short, store)
         promoted = written(score_store.promote(rest.select("hash", "old_hash").distinct(), store), "promoted")
         known, pending = score_store.lookup(rest, promoted)
-        asked = judge.validated(judge.ask(pending, spec.question, spec.criteria, scorer, context), spec.criteria.mode)
-        fresh = written(asked.select("hash", "score", "contribution", "scores"), "scores")
-        hits = hits.unionByName(known)
+        asked = written(judge.ask(pending, spec.question, spec.criteria, scorer, context), "asked")
+        too_large = pending.join(asked.filter("answers IS NULL").select("hash"), "hash", "left_semi")
+        fresh = written(judge.validated(asked.filter("answers IS NOT NULL"), spec.criteria.mode).select("hash", "score", "contribution", "scores"), "scores")
+        hits, skipped = hits.unionByName(known), skipped.unionByName(too_large.select(skipped.columns))
+        cost = judge.costs(asked)
+        shared = pending.agg((F.count("*") - F.countDistinct("hash")).alias("shared"))
         judged = hits.withColumn("cached", F.lit(True)).unionByName(pending.join(fresh, "hash").withColumn("cached", F.lit(False)))
         judged = written(judged, "judged")
         passed, below = judge.select(judged, threshold, spec.criteria.mode, ["id"], limit)
@@ -128,7 +133,7 @@ def answer(
     counts = judge.run_statistics(counted, threshold)
     more = found.agg(F.count("*").alias("retrieved"), F.coalesce(F.max("truncated"), F.lit(False)).alias("truncated"), F.countDistinct("hash").alias("hashes"))
     extra = {"overlap_removed": F.col("retrieved") - F.col("shortlisted"), "searchable": F.lit(index.n).cast("long"), "window_limit": F.lit(ranking.clamp_candidates(candidates)).cast("long"), "context_chars": F.lit(len(context.encode("utf-16-le")) // 2).cast("long"), "threshold": F.lit(float(threshold))}
-    return Answer(shown, below, skipped, missing, kept_store, counts.crossJoin(more).withColumns(extra))  # a row each
+    return Answer(shown, below, skipped, missing, kept_store, counts.crossJoin(more).crossJoin(cost).crossJoin(shared).withColumns(extra))  # a row each
 
 
 def _shown(passages: DataFrame, selected: DataFrame, adjacent: int) -> DataFrame:

@@ -13,7 +13,9 @@ from passagework.operators.markdown import outline_notes, parse_notes
 from passagework.operators.segments import SegmentedIndex
 from passagework.operators.vector_store import VectorStore
 from passagework.plans.queries import MANY, QUESTIONS, load, one_question, query, sql_bm25, sql_tokens
-from passagework.storage import fresh_path
+from passagework.sources.notes import NoteFolder
+from passagework.storage import folders, fresh_path, remove
+from passagework.streaming.live import LiveSnapshot
 from passagework.streaming.standing import StandingQuestions
 
 DEPTHS = (0, 1, 1, 2, 0, 1, 2)
@@ -151,7 +153,8 @@ LENGTH = "sqrt(" + " + ".join(f"m{j} * m{j}" for j in range(WIDTH)) + ")"
 
 
 @query(rf"""WITH {FINAL}, sent AS (SELECT text FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT CASE WHEN doc_id % 7 = 0 THEN text || ' erhe than peace' ELSE text END FROM documents WHERE doc_id % 11 <> 0 AND (doc_id % 7 = 0 OR doc_id % 10 = 0) UNION ALL SELECT CASE WHEN doc_id % 13 = 0 THEN 'than ' || text ELSE text END FROM documents WHERE doc_id % 13 = 0 OR doc_id % 33 = 0),
-w AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '[^ 	-]+'), lambda x: 2 + len(x) % 61)) AS id FROM final), m AS (SELECT doc_id, {MEANS} FROM w GROUP BY doc_id)
+w AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '[^ 	-
+]+'), lambda x: 2 + len(x) % 61)) AS id FROM final), m AS (SELECT doc_id, {MEANS} FROM w GROUP BY doc_id)
 SELECT f.doc_id AS id, {", ".join(f"round(coalesce(CASE WHEN {LENGTH} > 0 THEN m{j} / {LENGTH} ELSE m{j} END, 0), 9) AS v{j}" for j in range(WIDTH))}, (SELECT count(DISTINCT text) FROM sent)::BIGINT AS encoded FROM final f LEFT JOIN m ON m.doc_id = f.doc_id""")
 def r7_delta_vectors(spark, sf_dir):
     """Vectors after three versions, and how many texts were encoded for them: each once."""
@@ -159,3 +162,28 @@ def r7_delta_vectors(spark, sf_dir):
     store.follow(version_stream(spark, sf_dir))
     encoded = sum(store.encoded(k) for k in range(3))
     return store.rows().select("id", *(F.round(F.get("vector", F.lit(j)) + 0.0, 9).alias(f"v{j}") for j in range(WIDTH)), F.lit(encoded).cast("long").alias("encoded"))
+
+
+@query("SELECT CASE WHEN doc_id % 101 = 0 THEN 'r' ELSE 'n' END || doc_id::VARCHAR || '.md' AS path, sha256(replace(CASE WHEN doc_id % 7 = 0 THEN 'edited ' || text ELSE text END, chr(13), '') || chr(10)) AS text_hash, CASE WHEN doc_id % 101 = 0 OR doc_id % 7 = 0 THEN 1 ELSE 0 END::BIGINT AS version FROM documents WHERE doc_id % 97 <> 0 OR doc_id % 101 = 0")
+def s1_note_changes(spark, sf_dir):
+    """Documents as notes in a folder: some edited, some renamed, some gone before a second look."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\r"), F.lit("")).alias("value"))
+    root, i = fresh_path(spark, "notes"), F.col("doc_id")
+    put = lambda rows, letter: rows.select(F.concat(F.lit(letter), i.cast("string"), F.lit(".md")).alias("note"), "value").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("note").text(root)
+    put(docs, "n")
+    name = lambda below: F.regexp_extract(below, "note=([^/]+)/", 1)
+    folder = NoteFolder(spark, root, fresh_path(spark, "note-state"), pattern="*.txt", name=name)
+    live = LiveSnapshot(spark, "path", ["version"])
+    folder.poll(live.merge)
+    put(docs.filter(i % 7 == 0).withColumn("value", F.concat(F.lit("edited "), "value")), "n")
+    put(docs.filter(i % 101 == 0).withColumn("value", F.when(i % 7 == 0, F.concat(F.lit("edited "), "value")).otherwise(F.col("value"))), "r")
+    remove_matching(spark, root, r"note=n(?:\d+)\.md", lambda n: n % 97 == 0 or n % 101 == 0)
+    folder.poll(live.merge)
+    return live.rows().select("path", F.sha2("text", 256).alias("text_hash"), "version")
+
+
+def remove_matching(spark, root: str, pattern: str, wanted) -> None:
+    """Remove the folders of some notes, as a user would."""
+    for name in folders(spark, root):
+        if re.fullmatch(pattern, name) and wanted(int(re.search(r"\d+", name)[0])):
+            remove(spark, f"{root}/{name}")

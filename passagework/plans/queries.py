@@ -505,6 +505,19 @@ def e4_answer_widened(spark, sf_dir):
     return shown.select("id", "position", "line_start", "line_end", F.sha2("text", 256).alias("text_hash"))
 
 
+def counting_scorer(question: str, criteria: Criteria, context: str, texts: list[str]) -> judge.Reply:
+    """The offline scorer; a character is a token."""
+    return judge.Reply(judge.overlap_scorer(question, criteria, context, texts), len(question) + sum(map(len, texts)))
+
+
+@query(rf"{SCORED}, once AS (SELECT DISTINCT text FROM sc WHERE NOT cached) SELECT (SELECT count(*) FROM lines)::BIGINT AS searchable, count(*)::BIGINT AS shortlisted, 0::BIGINT AS overlap_removed, 60::BIGINT AS window_limit, bool_or(truncated) AS truncated, count(*)::BIGINT AS checked, count(*) FILTER (cached)::BIGINT AS cached, (count(*) FILTER (NOT cached) - (SELECT count(*) FROM once))::BIGINT AS shared, (SELECT count(*) FROM once)::BIGINT AS requested, (SELECT ceil(count(*) / 10.0) FROM once)::BIGINT AS requests, (SELECT sum(length(text)) + ceil(count(*) / 10.0) * {len(ASKED)} FROM once)::BIGINT AS input_tokens, true AS took_time, 0::BIGINT AS retries, 0::BIGINT AS skipped, count(*) FILTER (score >= 0.45)::BIGINT AS passed, 0::BIGINT AS context_chars, 0.45::DOUBLE AS threshold FROM sc JOIN cand USING (doc_id, line)")
+def a7_run(spark, sf_dir):
+    """All that a run tells of itself; what several passages share was requested once."""
+    s = _answer(spark, sf_dir, counting_scorer).statistics
+    names = ("searchable", "shortlisted", "overlap_removed", "window_limit", "truncated", "checked", "cached", "shared", "requests", "input_tokens", "retries", "skipped", "passed", "context_chars", "threshold")
+    return s.select(*names, (F.col("requested") - F.col("shared")).alias("requested"), (F.col("request_ms") > 0).alias("took_time"))
+
+
 @query(rf"{SCORED} SELECT doc_id::VARCHAR || ':' || line::VARCHAR AS id, score FROM sc WHERE score < 0.45")
 def u1_judged_below(spark, sf_dir):
     """What was judged and didn't pass."""

@@ -8,6 +8,7 @@ from passagework.functions.spec import Criteria
 from passagework.operators import inclusions, index, judge, ranges, ranking, score_store
 from passagework.operators.markdown import parse_notes
 from passagework.sources.notes import read_notes
+from passagework.storage import written
 from passagework.streaming.live import LiveSnapshot
 
 
@@ -129,6 +130,54 @@ def test_retries():
         judge.with_retries(lambda: (_ for _ in ()).throw(judge.Throttled), sleep=waits.append)()
 
 
+def test_gate_halves_and_grows():
+    now = [0.0]
+    gate = judge.Gate(16, clock=lambda: now[0])
+    gate.throttle()
+    gate.throttle()  # within a second: once
+    assert gate.limit == 8
+    now[0] = 1.5
+    gate.throttle()
+    assert gate.limit == 4
+    for _ in range(9):
+        with gate:
+            pass
+    assert gate.limit == 4  # not calm yet
+    now[0] = 7.0
+    for _ in range(4 + 5):
+        with gate:
+            pass
+    assert gate.limit == 6
+    for _ in range(9):
+        now[0] += 2
+        gate.throttle()
+    assert gate.limit == 1
+
+
+def throttling(question, criteria, context, texts):
+    """Each batch's first two calls in a worker are throttled; one text is too large."""
+    seen = throttling.__dict__.setdefault("seen", {})
+    key = tuple(texts)
+    seen[key] = seen.get(key, 0) + 1
+    if seen[key] < 3:
+        raise judge.Throttled
+    if any("large" in t for t in texts):
+        raise judge.TooLarge
+    return judge.Reply(judge.overlap_scorer(question, criteria, context, texts), 7)
+
+
+def test_a_throttling_scorer_is_asked_again_and_counted(spark):
+    rows = [(f"h{k:02}", "too large" if k == 24 else f"peace {k}") for k in range(25)] * 2
+    df = spark.createDataFrame(rows, "hash string, model_text string")
+    asked = written(judge.ask(df, "peace", Criteria("generic"), throttling, size=4, in_flight=8, parallel=2), "asked")
+    got = {r.hash: r.answers for r in asked.collect()}
+    assert len(got) == 25 and asked.count() == 25 and [h for h, a in got.items() if a is None] == ["h24"]
+    c = judge.costs(asked).first()
+    assert (c.requests, c.retries, c.input_tokens) == (7, 14, 6 * 7) and c.request_ms > 0
+    empty = judge.costs(judge.ask(df.limit(0), "q", Criteria("generic"), throttling)).first()
+    assert (empty.requests, empty.retries, empty.input_tokens) == (0, 0, 0)
+
+
 def test_order(spark):
     rows = spark.createDataFrame([("a", 0.9, "definition"), ("b", 0.99, "condition"), ("c", 0.2, "other")], "id string, score double, contribution string")
     passed, below = judge.select(rows, 0.5, "default", ["id"], 9)
