@@ -18,6 +18,7 @@ CALLOUT = re.compile(r"\s*>\s*\[![^\]]+\]")
 QUOTE = re.compile(r"\s*>")
 CELL = re.compile(r"\s*:?-{3,}:?\s*")
 ANCHOR = re.compile(r"(?:^|\s)\^([A-Za-z0-9-]+)\s*$")
+ALONE = re.compile(r"\^([A-Za-z0-9-]+)\s*")
 ANY_FENCE = re.compile(r"\s*(`{3,}|~{3,})")
 SCHEMA = "id string, path string, line_start int, line_end int, text string, search_text string, render_text string, kind string, heading_path array<string>, parent_id string, section_id string"
 OUTLINE = "id string, path string, line_start int, line_end int, own_after int, kind string, heading_path array<string>, parent_id string, section_id string"
@@ -322,10 +323,16 @@ def _places(note: _Note, units: list[Unit]) -> Iterator[tuple[str, int, int]]:
         waiting.append(k)
     for (line, _, title), end in zip(note.headings, ends, strict=True):
         yield title, line, end
+    before: Unit | None = None
     for u in units:
-        for k in range(u.first, u.first + 1 if u.kind == "list" else u.after):
-            if m := ANCHOR.search(note.lines[k]):
-                yield f"^{m[1]}", u.first + 1, u.after
+        alone = u.kind == "paragraph" and u.after == u.first + 1 and ALONE.fullmatch(note.lines[u.first])
+        if alone and before:  # an id on a line of its own is that of what is above
+            yield f"^{alone[1]}", before.first + 1, before.after
+        else:
+            before = u
+            for k in range(u.first, u.first + 1 if u.kind == "list" else u.after):
+                if m := ANCHOR.search(note.lines[k]):
+                    yield f"^{m[1]}", u.first + 1, u.after
 
 
 def note_places(notes: DataFrame) -> DataFrame:

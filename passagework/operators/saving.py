@@ -1,101 +1,159 @@
-"""Saving a selection: block ids in its sources, and a note that embeds them in order."""
+"""Saving a selection: block ids in its sources, and a note that embeds them in order.
+
+What is to be done is planned as a table first: a row for each passage, with its block id,
+the edit that it takes, and what is wrong with it. Nothing is written unless every row is
+right. The plan and the edited notes then become a manifest in the shared folder, so that a
+run that was cut off goes on with it: each note is changed only if it still is as planned
+(one that is edited already counts as done), a check then finds every id where it belongs,
+and the note that embeds them comes last.
+"""
 
 from __future__ import annotations
 
-import os
+import hashlib
 import re
-import uuid
-from collections.abc import Callable
 from datetime import UTC, datetime
 from urllib.parse import quote
 
-from passagework.operators.markdown import Passage
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from passagework.operators import context
+from passagework.operators.markdown import note_places
+from passagework.storage import complete_folders, create_text, read_text, replace_text
 
-BLOCK_ID = re.compile(r"[A-Za-z0-9-]+")
+OK, NO_NOTE, NO_KIND, OVERLAP, CHANGED = "ok", "no such note", "can't be embedded", "overlaps another", "has changed"
+INLINE = ("paragraph", "list")
+#: Other names for a new id, should the note have one already.
+TRIES = 8
 
 
 class StaleSource(RuntimeError):
     """The source is no longer what the passages were taken from."""
 
 
-def new_id() -> str:
-    return f"pw-{uuid.uuid4()}"
-
-
-def plan_block_ids(source: str, passages: list[Passage], make_id: Callable[[], str] = new_id) -> tuple[str, dict[str, str]]:
-    """The edited source and an id for each passage. All is checked before anything is
-    edited; ids that are there are used again, and line ends stay as they are."""
-    end_of_line = "\r\n" if "\r\n" in source else "\n"
-    lines = re.split(r"\r?\n", source)
-    unique = list({p.id: p for p in passages}.values())
-    for k, p in enumerate(unique):
-        if p.kind in ("heading", "yaml"):
-            raise ValueError(f"{p.kind} lines can't be embedded")
-        if any(q.line_start <= p.line_end and p.line_start <= q.line_end for q in unique[:k]):
-            raise ValueError(f"passages overlap in {p.path}")
-        if p.line_start < 1 or p.line_end > len(lines) or "\n".join(lines[p.line_start - 1 : p.line_end]) != p.text.replace("\r\n", "\n"):
-            raise StaleSource(f"{p.path} has changed")
-    taken = set(re.findall(r"\^([A-Za-z0-9-]+)\b", source))
-    ids, appended, inserted = {}, {}, {}
-    for p in unique:
-        inline = p.kind in ("paragraph", "list")
-        own = p.line_start if p.kind == "list" else p.line_end
-        found = re.search(r"\s\^([A-Za-z0-9-]+)\s*$", lines[own - 1]) if inline else None
-        if not found and p.kind != "list":
-            following = next((line for line in lines[p.line_end :] if line.strip()), "")
-            found = re.match(r"\^([A-Za-z0-9-]+)\s*$", following)
-        name = found[1] if found else make_id()
-        if not found:
-            if not BLOCK_ID.fullmatch(name) or name in taken:
-                raise ValueError(f"not a new block id: {name}")
-            taken.add(name)
-            if inline:
-                appended[own] = f" ^{name}"
-            else:
-                inserted[p.line_end] = ["", f"^{name}", ""]
-        ids[p.id] = name
-    out = []
-    for k, line in enumerate(lines, 1):
-        out += [line + appended.get(k, ""), *inserted.get(k, ())]
-    return end_of_line.join(out), ids
-
-
-def unique_note(folder: str, title: str, text: str) -> str:
-    """Write a note under a name that isn't taken: the title, or the title and 2, 3, ..."""
-    os.makedirs(folder, exist_ok=True)
-    base = re.sub(r"\s+", " ", re.sub(r"[\x00-\x1f\\/:*?\"<>|#\[\]^]", " ", title)).strip()[:100].strip() or "Query"
+def _lines(text: str = "source"):
+    return F.split(F.col(text), "\r?\n")
+
+
+def plan_block_ids(passages: DataFrame, notes: DataFrame) -> DataFrame:
+    """id, path, block_id, line, op, status of passages (id, path, kind, line_start,
+    line_end, text) in notes (path, text).
+
+    ``keep``: the passage has an id already. ``append``: a new one goes behind line ``line``,
+    the first of a list item and the last of a paragraph. ``insert``: it gets a line of its
+    own below. A new id is made of the passage's place and text, so a plan that is made
+    again is the same. A repeated passage has one row.
+    """
+    own = passages.select("id", "path", "kind", "line_start", "line_end", "text").dropDuplicates(["id"])
+    sources = notes.join(own.select("path").distinct(), "path", "left_semi").select("path", F.col("text").alias("source"))
+    before = Window.partitionBy("path").orderBy("line_start", "line_end", "id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = own.withColumn("reached", F.max("line_end").over(before)).join(sources, "path", "left").withColumn("lines", _lines())
+    there = F.array_join(F.slice("lines", F.col("line_start"), F.col("line_end") - F.col("line_start") + 1), "\n")
+    same = (F.col("line_start") >= 1) & (F.col("line_end") <= F.size("lines")) & (there == F.replace("text", F.lit("\r\n"), F.lit("\n")))
+    status = (
+        F.when(F.col("source").isNull(), NO_NOTE).when(F.col("kind").isin("heading", "yaml"), NO_KIND).when(F.col("line_start") <= F.col("reached"), OVERLAP)
+        .when(~F.coalesce(same, F.lit(False)), CHANGED).otherwise(OK)
+    )
+    good = F.col("status") == OK
+    inline, at = F.col("kind").isin(*INLINE), F.when(F.col("kind") == "list", F.col("line_start")).otherwise(F.col("line_end"))
+    inside = F.when(inline, F.regexp_extract(F.get("lines", at - 1), r"\s\^([A-Za-z0-9-]+)\s*$", 1))
+    following = F.get(F.filter(F.slice("lines", F.col("line_end") + 1, F.size("lines")), lambda x: x.rlike(r"\S")), F.lit(0))
+    below = F.when(F.col("kind") != "list", F.regexp_extract(F.coalesce(following, F.lit("")), r"^\^([A-Za-z0-9-]+)\s*$", 1))
+    found = F.coalesce(F.nullif(inside, F.lit("")), F.nullif(below, F.lit("")))
+    made = F.transform(F.sequence(F.lit(0), F.lit(TRIES - 1)), lambda k: F.concat(F.lit("pw-"), F.substring(F.sha2(F.concat_ws("\n", k, "path", "line_start", "text"), 256), 1, 16)))
+    free = F.get(F.filter(made, lambda x: F.instr(F.col("source"), F.concat(F.lit("^"), x)) == 0), F.lit(0))
+    checked = rows.withColumn("status", status).withColumn("found", F.when(good, found))
+    op = F.when(F.col("found").isNotNull(), "keep").when(inline, "append").otherwise("insert")
+    return checked.select("id", "path", F.when(good, F.coalesce("found", free)).alias("block_id"), F.when(good, at).alias("line"), F.when(good, op).alias("op"), "status")
+
+
+def edited(notes: DataFrame, plan: DataFrame) -> DataFrame:
+    """path, before, after of the notes that the plan changes; line ends stay as they are."""
+    edits = plan.filter("op IN ('append', 'insert')").groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("line", F.struct("op", "block_id")))).alias("edits"))
+    rows = notes.select("path", F.col("text").alias("source")).join(edits, "path")
+
+    def line(text, k):
+        edit = F.try_element_at("edits", k + 1)
+        name = F.concat(F.lit("^"), edit["block_id"])
+        return F.when(edit.isNull(), F.array(text)).when(edit["op"] == "append", F.array(F.concat(text, F.lit(" "), name))).otherwise(F.array(text, F.lit(""), name, F.lit("")))
+
+    end = F.when(F.instr("source", "\r\n") > 0, "\r\n").otherwise("\n")
+    after = F.array_join(F.flatten(F.transform(_lines(), line)), "\1")
+    return rows.select("path", F.col("source").alias("before"), F.replace(after, F.lit("\1"), end).alias("after"))
+
+
+def unfound(notes: DataFrame, plan: DataFrame) -> DataFrame:
+    """The rows of a plan whose id isn't in their note as it is now."""
+    places = note_places(notes.join(plan.select("path").distinct(), "path", "left_semi"))
+    return plan.join(places.select("path", F.expr("substring(fragment, 2)").alias("block_id")), ["path", "block_id"], "left_anti")
+
+
+def note_name(title: str) -> str:
+    """A title as a file's name."""
+    return re.sub(r"\s+", " ", re.sub(r"[\x00-\x1f\\/:*?\"<>|#\[\]^]", " ", title)).strip()[:100].strip() or "Query"
+
+
+def unique_note(spark: SparkSession, folder: str, title: str, text: str) -> str:
+    """Write a note under a name that isn't taken: the title, or the title and 2, 3, ...; a
+    note with the very text is the one that an earlier run has written."""
     k = 1
     while True:
-        path = os.path.join(folder, f"{base}{'' if k == 1 else f' {k}'}.md")
-        try:
-            with open(path, "x", encoding="utf-8", newline="") as f:
-                f.write(text)
+        path = f"{folder.rstrip('/')}/{note_name(title)}{'' if k == 1 else f' {k}'}.md"
+        if create_text(spark, path, text) or read_text(spark, path) == text:
             return path
-        except FileExistsError:
-            k += 1
+        k += 1
 
 
-def save_selection(root: str, selection: list[Passage], question: str, query_path: str, folder: str = "Saved", make_id: Callable[[], str] = new_id, now: datetime | None = None) -> str:
-    """Give every passage an id in its source under ``root`` and write the note that embeds
-    them. The selection is what a reader was shown, so it is here on the driver."""
-    if not selection:
-        raise ValueError("nothing is selected")
-    plans = {}
-    for path in dict.fromkeys(p.path for p in selection):
-        with open(os.path.join(root, path), encoding="utf-8", newline="") as f:
-            before = f.read()
-        plans[path] = (before, *plan_block_ids(before, [p for p in selection if p.path == path], make_id))
-    for path, (before, after, _) in plans.items():
-        full = os.path.join(root, path)
-        with open(full, encoding="utf-8", newline="") as f:
-            if f.read() != before:
-                raise StaleSource(f"{path} has changed")
-        if after != before:
-            with open(f"{full}.new", "w", encoding="utf-8", newline="") as f:
-                f.write(after)
-            os.replace(f"{full}.new", full)
-    embeds = [f"![[{p.path.removesuffix('.md')}#^{plans[p.path][2][p.id]}]]" for p in selection]
-    when = (now or datetime.now(UTC)).isoformat()
+def selection_note(question: str, query_path: str, embeds: list[str], when: str) -> str:
     head = re.sub(r"\r?\n", " ", question)
-    text = f"# {head}\n\nFrom [Saved question]({quote(query_path)}) · {when}\n\nThe sources' own passages, in the order of the answer.\n\n" + "\n\n".join(embeds) + "\n"
-    return unique_note(os.path.join(root, folder), question, text)
+    return f"# {head}\n\nFrom [Saved question]({quote(query_path)}) · {when}\n\nThe sources' own passages, in the order of the answer.\n\n" + "\n\n".join(embeds) + "\n"
+
+
+def save_selection(root: str, notes: DataFrame, shown: DataFrame, question: str, query_path: str, state: str, folder: str = "Saved", now: datetime | None = None) -> str:
+    """Give what a reader was shown (id, path, kind, line_start, line_end, text, position)
+    block ids in its sources under ``root``, and write the note that embeds it in order.
+    ``notes`` (path, text) are the sources as they are. Returns the note's path; the same
+    call after a crash goes on with the manifest in ``state``.
+    """
+    spark = shown.sparkSession
+    order = [(r.id, r.path) for r in shown.orderBy("position").select("id", "path").collect()]  # what was on a reader's page
+    if not order:
+        raise ValueError("nothing is selected")
+    key = hashlib.sha256(repr((question, query_path, order)).encode()).hexdigest()[:24]
+    at = f"{state.rstrip('/')}/{key}"
+    done = complete_folders(spark, at)
+    if "manifest" not in done:
+        plan = plan_block_ids(shown, notes)
+        wrong = plan.filter(F.col("status") != OK).select("path", "status").first()
+        if wrong:
+            raise StaleSource(f"{wrong.path} {wrong.status}") if wrong.status in (CHANGED, NO_NOTE) else ValueError(f"a passage of {wrong.path} {wrong.status}")
+        plan.write.mode("overwrite").parquet(f"{at}/plan")
+        edited(notes, spark.read.parquet(f"{at}/plan")).write.mode("overwrite").parquet(f"{at}/edits")
+        when = (now or datetime.now(UTC)).isoformat()
+        spark.createDataFrame([(when,)], "made string").write.mode("overwrite").parquet(f"{at}/manifest")
+    plan, made = spark.read.parquet(f"{at}/plan"), spark.read.parquet(f"{at}/manifest").first().made
+    for r in spark.read.parquet(f"{at}/edits").toLocalIterator():  # no more notes than a reader's page has passages
+        path = f"{root.rstrip('/')}/{r.path}"
+        current = read_text(spark, path)
+        if current == r.after:
+            continue
+        if current != r.before:
+            raise StaleSource(f"{r.path} {CHANGED}")
+        replace_text(spark, path, r.after)
+    names = {r.id: r.block_id for r in plan.collect()}
+    after = spark.createDataFrame([(p, read_text(spark, f"{root.rstrip('/')}/{p}")) for p in {p for _, p in order}], "path string, text string")
+    if lost := unfound(after, plan).first():
+        raise StaleSource(f"{lost.path} has no block {lost.block_id}")
+    embeds = [f"![[{path.removesuffix('.md')}#^{names[i]}]]" for i, path in order]
+    return unique_note(spark, f"{root.rstrip('/')}/{folder}", question, selection_note(question, query_path, embeds, made))
+
+
+def saved_embeds(saved: DataFrame, notes: DataFrame, passages: DataFrame) -> DataFrame:
+    """source, nth, link, path, line_start, line_end, id, status of what saved notes (path,
+    text) embed: each embed with the passage (id, path, line_start, line_end) that stands
+    there now, or a null id."""
+    found = F.regexp_extract_all("text", F.lit(r"!\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"), 1)
+    links = saved.select(F.col("path").alias("source"), F.posexplode(found).alias("nth", "link"))
+    places = context.read(links, notes).drop("text")
+    return places.join(passages.select("id", "path", "line_start", "line_end"), ["path", "line_start", "line_end"], "left")

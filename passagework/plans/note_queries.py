@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.operators import context, ranking, widening
+from passagework.operators import context, ranking, saving, widening
 from passagework.operators.markdown import outline_notes, parse_notes
 from passagework.operators.segments import SegmentedIndex
 from passagework.operators.vector_store import VectorStore
@@ -86,6 +86,39 @@ def s8_context(spark, sf_dir):
     return context.read(links, notes).select("source", "nth", "link", "line_start", "line_end", F.sha2("text", 256).alias("text_hash"), "status")
 
 
+def _apart(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Notes, and those passages of theirs that are in no other: paragraphs and outermost items."""
+    notes = list_notes(spark, sf_dir)
+    return notes, parse_notes(notes).filter("parent_id IS NULL")
+
+
+MADE = "'pw-' || substr(sha256('0' || chr(10) || path || chr(10) || a::VARCHAR || chr(10) || text), 1, 16)"
+CHOSEN = f"{LISTS}, chosen AS (SELECT id, path, conv_id, a, a AS z, text, a AS spot FROM paras UNION ALL SELECT id, path, conv_id, line, 5 + last, text, line FROM items WHERE up IS NULL), named AS (SELECT *, {MADE} AS block_id FROM chosen)"
+NEW_LINES = "lines_of AS (SELECT conv_id, path, 5 + k AS line, own AS l FROM it UNION ALL SELECT conv_id, path, a, text FROM paras UNION ALL SELECT conv_id, path, unnest([1, 2, 4, 5 + n, 7 + n, 8 + n, 9 + n, 11 + n]), unnest(['# Conv ' || conv_id::VARCHAR, '', '', '', '', '## More', '', '']) FROM it WHERE k = 0)"
+
+
+@query(f"WITH {CHOSEN}, {NEW_LINES}, whole AS (SELECT l.path, sha256(string_agg(l || coalesce(' ^' || block_id, ''), chr(10) ORDER BY line)) AS after_hash FROM lines_of l LEFT JOIN named ON named.path = l.path AND spot = line GROUP BY l.path) SELECT id, path, block_id, spot::INTEGER AS line, 'append' AS op, 'ok' AS status, after_hash FROM named JOIN whole USING (path)")
+def k2_block_ids(spark, sf_dir):
+    """The plan of ids for all passages that stand apart, and what its notes become."""
+    notes, chosen = _apart(spark, sf_dir)
+    plan = saving.plan_block_ids(chosen, notes)
+    after = saving.edited(notes, plan).select("path", F.sha2("after", 256).alias("after_hash"))
+    return plan.join(after, "path").select("id", "path", "block_id", "line", "op", "status", "after_hash")
+
+
+@query(f"WITH {CHOSEN} SELECT 'saved of ' || path AS source, (row_number() OVER (PARTITION BY path ORDER BY id) - 1)::INTEGER AS nth, id, a::INTEGER AS line_start, z::INTEGER AS line_end, 'ok' AS status FROM named UNION ALL SELECT 'saved of ' || path, count(*)::INTEGER, NULL, NULL, NULL, 'no such section or block' FROM named GROUP BY path")
+def j11_saved_embeds(spark, sf_dir):
+    """Saved notes with an embed for each planned id, and a stale one, joined to the passages of the edited notes."""
+    notes, chosen = _apart(spark, sf_dir)
+    plan = saving.plan_block_ids(chosen, notes)
+    after = saving.edited(notes, plan).select("path", F.col("after").alias("text"))
+    saved = plan.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("id", "block_id"))).alias("rows"))
+    text = F.concat(F.array_join(F.transform("rows", lambda x: F.concat(F.lit("![["), F.col("path"), F.lit("#^"), x["block_id"], F.lit("]]"))), "\n\n"), F.lit("\n\n![["), F.col("path"), F.lit("#^gone]]\n"))
+    saved = saved.withColumn("text", text).select(F.concat(F.lit("saved of "), "path").alias("path"), "text")
+    joined = saving.saved_embeds(saved, after, parse_notes(after))
+    return joined.select("source", "nth", "id", "line_start", "line_end", "status")
+
+
 EDITED = "than thre conflict ation peace"
 #: Three versions of the documents: a part, edits with deletes and additions, more edits.
 FINAL = """final AS (SELECT * FROM (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'than ' || text WHEN doc_id % 33 = 0 THEN text WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN text || ' erhe than peace' WHEN doc_id % 5 <> 0 OR doc_id % 2 = 0 THEN text END AS text FROM documents) WHERE text IS NOT NULL)"""

@@ -6,6 +6,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +73,13 @@ class NoteFolder:
         few = [r.file for r in wanted.select("file").limit(NAMED_FILES + 1).collect()]
         named = 0 < len(few) <= NAMED_FILES and not any(re.search(r"[*?\[\]{}\\]", f) for f in few)  # these would be patterns
         reader = self.spark.read.option("ignoreMissingFiles", "true")
-        read = reader.text(few, wholetext=True) if named else reader.text(self.root, wholetext=True, pathGlobFilter=self.pattern, recursiveFileLookup=True)
+        folder = lambda: reader.text(self.root, wholetext=True, pathGlobFilter=self.pattern, recursiveFileLookup=True)
+        try:
+            read = reader.text(few, wholetext=True) if named else folder()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            read = folder()  # one of them is gone since the listing
         seen = read.select(F.col("_metadata.file_path").alias("at"), F.col("_metadata.file_modification_time").alias("read_mtime"), F.col("_metadata.file_size").alias("read_size"), F.col("value").alias("text"))
         return wanted.join(seen, "at").filter("mtime = read_mtime AND size = read_size").select("path", "text")
 

@@ -3,8 +3,6 @@ import pytest
 from passagework.functions.identity import bucket_key, namespace, selection_key, stable
 from passagework.functions.spec import PRESETS, Criteria, QuerySpec, Settings, SpecError, parse_query, query_markdown, scalar
 from passagework.operators import inclusions
-from passagework.operators.markdown import parse_markdown
-from passagework.operators.saving import StaleSource, plan_block_ids, save_selection, unique_note
 
 
 def test_question_sources():
@@ -60,34 +58,3 @@ def test_inclusion_codec():
     assert "--" not in note.split("inclusions: ")[1].split(" -->")[0]
     with pytest.raises(ValueError):
         inclusions.read_records("<!-- passage-inclusions: %7B%22 -->")
-
-
-def ids():
-    n = iter(range(100))
-    return lambda: f"id-{next(n)}"
-
-
-def test_block_ids():
-    source = "para\r\n\r\n> quote\r\n\r\n- a\r\n  - b ^old\r\n"
-    ps = parse_markdown("n.md", source)
-    text, names = plan_block_ids(source, [p for p in ps if p.text != "- a\n  - b ^old"], ids())
-    assert text == "para ^id-0\r\n\r\n> quote\r\n\r\n^id-1\r\n\r\n\r\n- a\r\n  - b ^old\r\n"
-    assert names[ps[-1].id] == "old"
-    again, same = plan_block_ids(text, [p for p in parse_markdown("n.md", text) if p.kind == "paragraph" and p.text.startswith("para")], ids())
-    assert again == text and list(same.values()) == ["id-0"]
-    with pytest.raises(ValueError, match="overlap"):
-        plan_block_ids(source, ps, ids())
-    with pytest.raises(StaleSource):
-        plan_block_ids(source.replace("para", "other"), ps[:1], ids())
-    with pytest.raises(ValueError, match="new block id"):
-        plan_block_ids("a ^x\n\nb", parse_markdown("n", "a ^x\n\nb")[1:], lambda: "x")
-
-
-def test_saving(tmp_path):
-    (tmp_path / "n.md").write_text("one\n\ntwo")
-    ps = parse_markdown("n.md", "one\n\ntwo")
-    path = save_selection(str(tmp_path), ps[::-1], "a/b: c?", "q x.md", make_id=ids())
-    assert (tmp_path / "n.md").read_text() == "one ^id-1\n\ntwo ^id-0"
-    body = open(path).read()
-    assert path.endswith("Saved/a b c.md") and body.index("id-0") < body.index("id-1") and "q%20x.md" in body
-    assert unique_note(str(tmp_path / "Saved"), "a/b: c?", "x").endswith("a b c 2.md")
