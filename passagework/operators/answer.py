@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from passagework.functions.identity import old_score_hash, score_hash
@@ -14,7 +15,8 @@ from passagework.functions.text import display_text, inclusion_fingerprint, mode
 from passagework.operators import context as contexts
 from passagework.operators import inclusions, judge, ranges, ranking, score_store, widening
 from passagework.operators.index import Index
-from passagework.storage import written
+from passagework.operators.partial import PartialSelection
+from passagework.storage import fresh_path, written
 
 SCORES = "map<string,double>"
 
@@ -72,6 +74,7 @@ def _included(passages: DataFrame, entries: DataFrame) -> DataFrame:
 def answer(
     passages: DataFrame, index: Index, spec: QuerySpec, scorer: Callable | None, store: DataFrame, *, candidates: int = 100, threshold: float = Settings.threshold, limit: int = Settings.result_limit,
     namespace: str = "offline", notes: DataFrame | None = None, source: str = "", entries: DataFrame | None = None, vectors: DataFrame | None = None, queries: DataFrame | None = None, clock: int = 0,
+    on_partial: Callable[[DataFrame, int, int], None] | None = None, rounds: int = 4,
 ) -> Answer:
     """The answer to one saved question over ``passages`` (id, path, line_start, line_end,
     text, render_text, heading_path, and for widening kind, parent_id, section_id) and their index.
@@ -85,6 +88,10 @@ def answer(
     inclusions by hand (path, fingerprint, score, contribution, scores, nth). What is shown is
     widened by the question's neighbours, and a passage that an earlier one contains then is
     left out, unless it was included by hand.
+
+    With ``on_partial`` the scorer is asked in ``rounds``, and after the known scores and
+    after each round it hears what would be shown by then (id, score, contribution, position)
+    and how many passages were judged and passed.
     """
     limit = limit if spec.limit is None else spec.limit
     threshold = threshold if spec.threshold is None else spec.threshold
@@ -110,7 +117,7 @@ def answer(
         hits, rest = score_store.lookup(short, store)
         promoted = written(score_store.promote(rest.select("hash", "old_hash").distinct(), store), "promoted")
         known, pending = score_store.lookup(rest, promoted)
-        asked = written(judge.ask(pending, spec.question, spec.criteria, scorer, context), "asked")
+        asked = _asked(spark, spec, context, scorer, hits.unionByName(known), pending, threshold, limit, on_partial, rounds)
         too_large = pending.join(asked.filter("answers IS NULL").select("hash"), "hash", "left_semi")
         fresh = written(judge.validated(asked.filter("answers IS NOT NULL"), spec.criteria.mode).select("hash", "score", "contribution", "scores"), "scores")
         hits, skipped = hits.unionByName(known), skipped.unionByName(too_large.select(skipped.columns))
@@ -136,6 +143,22 @@ def answer(
     return Answer(shown, below, skipped, missing, kept_store, counts.crossJoin(more).crossJoin(cost).crossJoin(shared).withColumns(extra))  # a row each
 
 
+def _asked(spark: SparkSession, spec: QuerySpec, context: str, scorer: Callable, known: DataFrame, pending: DataFrame, threshold: float, limit: int, on_partial: Callable | None, rounds: int) -> DataFrame:
+    """What the scorer says of the pending passages, written; in rounds, if someone listens."""
+    if on_partial is None:
+        return written(judge.ask(pending, spec.question, spec.criteria, scorer, context), "asked")
+    so_far = PartialSelection(spark, fresh_path(spark, "partial"), ["id"], threshold, spec.criteria.mode, limit, on_partial)
+    so_far.merge(known, 0)
+    parts = []
+    for k in range(rounds):
+        some = pending.filter(F.pmod(F.xxhash64("hash"), F.lit(rounds)) == k)
+        part = written(judge.ask(some, spec.question, spec.criteria, scorer, context), "asked")
+        said = judge.validated(part.filter("answers IS NOT NULL"), spec.criteria.mode).select("hash", "score", "contribution")
+        so_far.merge(some.join(said, "hash"), k + 1)
+        parts.append(part.withColumn("request", F.col("request") * rounds + k))  # each round numbers its own
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _shown(passages: DataFrame, selected: DataFrame, adjacent: int) -> DataFrame:
     """The selection as a reader sees it: widened, and without what is inside an earlier passage."""
     chosen = written(selected, "selected")

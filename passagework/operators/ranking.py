@@ -21,7 +21,7 @@ from passagework.functions.text import cosine, tokens
 from passagework.operators.index import Index, prepare
 
 #: Question vectors that go to the tasks at a time, and how many stay in the JVM.
-QUERY_BLOCK, FEW = 1_000, 32
+QUERY_BLOCK, FEW = 8_192, 32
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
@@ -78,14 +78,16 @@ def vector_topk(vectors: DataFrame, query: DataFrame, k: int, key: str = "id", f
     schema = StructType([StructField("qid", ids), field, StructField("semantic_score", DoubleType())])
     blocks, rest = [], query.coalesce(1).sortWithinPartitions("qid").toLocalIterator()
     while chunk := list(islice(rest, QUERY_BLOCK)):
-        blocks.append(vectors.select(key, "vector").mapInArrow(_products([r.qid for r in chunk], np.array([r.query_vector for r in chunk], np.float64), k, floor, digits, schema), schema))
+        shared = vectors.sparkSession.sparkContext.broadcast(([r.qid for r in chunk], np.array([r.query_vector for r in chunk], np.float64)))
+        blocks.append(vectors.select(key, "vector").mapInArrow(_products(shared, k, floor, digits, schema), schema))
     return best(reduce(DataFrame.unionByName, blocks))
 
 
-def _products(qids: list, queries: np.ndarray, k: int, floor: float, digits: int | None, schema: StructType):
+def _products(shared, k: int, floor: float, digits: int | None, schema: StructType):
     names = schema.names
 
     def run(batches):
+        qids, queries = shared.value
         kept: list[list[tuple]] = [[] for _ in qids]
         for batch in batches:
             ids, column = batch.column(0).to_pylist(), batch.column(1)

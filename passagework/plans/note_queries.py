@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -10,11 +11,12 @@ from pyspark.sql import functions as F
 
 from passagework.operators import context, ranking, saving, widening
 from passagework.operators.markdown import outline_notes, parse_notes
+from passagework.operators.partial import PartialSelection
 from passagework.operators.segments import SegmentedIndex
 from passagework.operators.vector_store import VectorStore
-from passagework.plans.queries import MANY, QUESTIONS, load, one_question, query, sql_bm25, sql_tokens
+from passagework.plans.queries import JUDGED, MANY, QUESTIONS, _judged, load, one_question, query, sql_bm25, sql_tokens
 from passagework.sources.notes import NoteFolder
-from passagework.storage import folders, fresh_path, remove
+from passagework.storage import folders, fresh_path, remove, written
 from passagework.streaming.live import LiveSnapshot
 from passagework.streaming.standing import StandingQuestions
 
@@ -220,3 +222,17 @@ def remove_matching(spark, root: str, pattern: str, wanted) -> None:
     for name in folders(spark, root):
         if re.fullmatch(pattern, name) and wanted(int(re.search(r"\d+", name)[0])):
             remove(spark, f"{root}/{name}")
+
+
+ORDERED = "list_position(['definition', 'condition', 'distinction', 'other'], contribution), score DESC, doc_id"
+
+
+@query(f"WITH {JUDGED}, upto AS (SELECT judged.*, b, sum(1) OVER (PARTITION BY b) AS seen, count(*) FILTER (score >= 0.45) OVER (PARTITION BY b) AS good FROM judged, range(4) r(b) WHERE doc_id % 4 <= b) SELECT b::BIGINT AS batch, doc_id, (row_number() OVER (PARTITION BY b ORDER BY {ORDERED}) - 1)::BIGINT AS position, seen::BIGINT AS judged, good::BIGINT AS passed FROM upto WHERE score >= 0.45 QUALIFY position < 20")
+def r6_partial_results(spark, sf_dir):
+    """What is first after each of four batches of scores, of all that were there by then."""
+    judged, states = _judged(spark, sf_dir), []
+    told = lambda rows, seen, good: states.append(written(rows.select(F.lit(len(states)).cast("long").alias("batch"), "doc_id", "position", F.lit(seen).alias("judged"), F.lit(good).alias("passed")), "state"))
+    selection = PartialSelection(spark, fresh_path(spark, "partial"), ["doc_id"], 0.45, "default", 20, told)
+    for k in range(4):
+        selection.merge(judged.filter(F.col("doc_id") % 4 == k), k)
+    return reduce(DataFrame.unionByName, states)
