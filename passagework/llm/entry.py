@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_whitening, html_consensus, merkle_manifest, mpeg_audio, piece_transducer, quality_rules, source_mixing
+from . import chat_format, embedding_whitening, html_consensus, merkle_manifest, mpeg_audio, piece_transducer, pipeline, quality_rules, source_mixing
 from .common import table
 from .lm_scoring import score_documents
 from .near_dedup import near_duplicates
@@ -107,7 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op11_source_mixing": op11_source_mixing,
         "op12_embedding_whitening": op12_embedding_whitening,
         "op13_merkle_manifest": op13_merkle_manifest,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 
