@@ -10,16 +10,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: White space as in ``constants.SPACE_CLASS``: Python's own differs.
+SPACES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+S = f"[{SPACES}]"
 ATX = re.compile(r" {0,3}(#{1,6})[ \t]+(.+?)[ \t]*#*[ \t]*$")
 UNDERLINE = re.compile(r" {0,3}(=+|-+)[ \t]*$")
 FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
-ITEM = re.compile(r"(\s*)(?:[-*+] |\d+[.)] )(.*)$")
-CALLOUT = re.compile(r"\s*>\s*\[![^\]]+\]")
-QUOTE = re.compile(r"\s*>")
-CELL = re.compile(r"\s*:?-{3,}:?\s*")
+ITEM = re.compile(rf"({S}*)(?:[-*+] |[0-9]+[.)] )(.*)$")
+CALLOUT = re.compile(rf"{S}*>{S}*\[![^\]]+\]")
+QUOTE = re.compile(rf"{S}*>")
+CELL = re.compile(rf"{S}*:?-{{3,}}:?{S}*")
 ANCHOR = re.compile(r"(?:^|\s)\^([A-Za-z0-9-]+)\s*$")
 ALONE = re.compile(r"\^([A-Za-z0-9-]+)\s*")
-ANY_FENCE = re.compile(r"\s*(`{3,}|~{3,})")
+ANY_FENCE = re.compile(rf"{S}*(`{{3,}}|~{{3,}})")
 SCHEMA = "id string, path string, line_start int, line_end int, text string, search_text string, render_text string, kind string, heading_path array<string>, parent_id string, section_id string"
 OUTLINE = "id string, path string, line_start int, line_end int, own_after int, kind string, heading_path array<string>, parent_id string, section_id string"
 #: Characters of texts that a task builds before it hands them on.
@@ -40,7 +43,7 @@ class Passage:
     render_text: str | None = None
 
 def _blank(line: str) -> bool:
-    return not line.strip()
+    return not line.strip(SPACES)
 
 
 def _indent(space: str) -> int:
@@ -48,7 +51,7 @@ def _indent(space: str) -> int:
 
 
 def _closes(line: str, opener: str, anywhere: bool) -> bool:
-    m = re.fullmatch(rf"{r'\s*' if anywhere else ' {0,3}'}({re.escape(opener[0])}+)[ \t]*", line)
+    m = re.fullmatch(rf"{S + '*' if anywhere else ' {0,3}'}({re.escape(opener[0])}+)[ \t]*", line)
     return bool(m) and len(m[1]) >= len(opener)
 
 
@@ -57,7 +60,7 @@ def _pipe(line: str) -> bool:
 
 
 def _delimiter(line: str) -> bool:
-    cells = line.strip().removeprefix("|").removesuffix("|").split("|")
+    cells = line.strip(SPACES).removeprefix("|").removesuffix("|").split("|")
     return len(cells) > 1 and all(CELL.fullmatch(c) for c in cells)
 
 
@@ -114,8 +117,8 @@ class _Note:
         return Passage(self.id_of(u), self.path, u.first + 1, u.after, self.text(u), u.kind, u.heading_path, u.section, self.id_of(u.parent), self.shown(u))
 
     def _heading(self, level: int, title: str, line: int) -> None:
-        self.titles = {k: v for k, v in self.titles.items() if k < level} | {level: title.strip()}
-        self.headings.append((line + 1, level, title.strip()))
+        self.titles = {k: v for k, v in self.titles.items() if k < level} | {level: title.strip(SPACES)}
+        self.headings.append((line + 1, level, title.strip(SPACES)))
         self.section = f"{self.path}:{line + 1}"
 
     def _try_front_matter(self, k: int) -> int | None:
@@ -174,7 +177,7 @@ class _Note:
         while i < len(self.lines):
             line = self.lines[i]
             item = ITEM.match(line)
-            depth = _indent(re.match(r"\s*", line)[0])
+            depth = _indent(re.match(rf"{S}*", line)[0])
             if not (_blank(line) or (_indent(item[1]) >= root if item else depth > root)):
                 break
             i += 1

@@ -47,3 +47,9 @@ def test_fenced_items_are_no_items():
 def test_many_paragraphs():
     ps = parse_markdown("n", "\n\n".join(["w"] * 20_000))
     assert len(ps) == 20_000 and ps[-1].line_start == 39_999
+
+
+def test_white_space_is_that_of_passages():
+    assert rows("a\n\ufeff\nb") == [("paragraph", 1, 1), ("paragraph", 3, 3)]
+    assert rows("a\n\x1c\nb") == [("paragraph", 1, 3)]  # a separator that only Python takes for space
+    assert rows("\u00a0- a\n\u00a0\u00a0- b")[1] == ("list", 2, 2)
