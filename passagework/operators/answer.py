@@ -29,6 +29,7 @@ class Answer:
     missing: DataFrame | None  # inclusions without their one passage
     store: DataFrame  # scores to keep: those read, now used last, and the new ones
     statistics: DataFrame  # one row
+    candidates: DataFrame  # what retrieval found, with its ranks and scores
 
 
 def retrieve(index: Index, questions: DataFrame, candidates: int, vectors: DataFrame | None = None, queries: DataFrame | None = None, digits: int | None = None) -> DataFrame:
@@ -140,7 +141,7 @@ def answer(
     counts = judge.run_statistics(counted, threshold)
     more = found.agg(F.count("*").alias("retrieved"), F.coalesce(F.max("truncated"), F.lit(False)).alias("truncated"), F.countDistinct("hash").alias("hashes"))
     extra = {"overlap_removed": F.col("retrieved") - F.col("shortlisted"), "searchable": F.lit(index.n).cast("long"), "window_limit": F.lit(ranking.clamp_candidates(candidates)).cast("long"), "context_chars": F.lit(len(context.encode("utf-16-le")) // 2).cast("long"), "threshold": F.lit(float(threshold))}
-    return Answer(shown, below, skipped, missing, kept_store, counts.crossJoin(more).crossJoin(cost).crossJoin(shared).withColumns(extra))  # a row each
+    return Answer(shown, below, skipped, missing, kept_store, counts.crossJoin(more).crossJoin(cost).crossJoin(shared).withColumns(extra), found)  # a row each
 
 
 def _asked(spark: SparkSession, spec: QuerySpec, context: str, scorer: Callable, known: DataFrame, pending: DataFrame, threshold: float, limit: int, on_partial: Callable | None, rounds: int) -> DataFrame:

@@ -11,7 +11,7 @@ from passagework.constants import MAX_PASSAGE_CHARS, STOP_WORDS
 from passagework.functions import text as T
 from passagework.functions.identity import score_hash
 from passagework.functions.spec import Criteria, QuerySpec
-from passagework.operators import evaluate, inclusions, judge, ranges, ranking, score_store
+from passagework.operators import evaluate, inclusions, judge, ranges, ranking, report, score_store
 from passagework.operators.answer import answer, retrieve
 from passagework.operators.index import Index, prepare
 from passagework.operators.markdown import parse_notes
@@ -519,6 +519,26 @@ def a7_run(spark, sf_dir):
     return s.select(*names, (F.col("requested") - F.col("shared")).alias("requested"), (F.col("request_ms") > 0).alias("took_time"))
 
 
+@query(rf"""{SCORED}, p AS (SELECT doc_id::VARCHAR || ':' || line::VARCHAR AS id, doc_id, line, text, score FROM sc WHERE score >= 0.45), f AS (SELECT *, row_number() OVER (ORDER BY score DESC, id)::BIGINT AS k FROM p QUALIFY k <= 25)
+SELECT 'passage' AS part, k - 1 AS nth, sha256(k::VARCHAR || '. ' || doc_id::VARCHAR || ':' || line::VARCHAR || '-' || line::VARCHAR || ' · ' || printf('%.3f', score) || chr(10) || '    ' || text) AS line_hash FROM f
+UNION ALL SELECT 'statistics', 0, sha256(count(*)::VARCHAR || ' passages of ' || (SELECT count(*) FROM lines)::VARCHAR || ' after 0 overlaps' || CASE WHEN bool_or(truncated) THEN ' at the limit of 60, there were more' ELSE '' END) FROM cand""")
+def k9_report(spark, sf_dir):
+    """The lines of a run's report: what was found, and each passage that is shown."""
+    found = _answer(spark, sf_dir)
+    shown = report.passage_lines(found.shown).select(F.lit("passage").alias("part"), F.col("position").alias("nth"), F.sha2("line", 256).alias("line_hash"))
+    told = report.statistics_lines(found.statistics).filter("nth = 0").select(F.lit("statistics").alias("part"), F.col("nth").cast("long").alias("nth"), F.sha2("line", 256).alias("line_hash"))
+    return shown.unionByName(told)
+
+
+@query(rf"""{SCORED}, p AS (SELECT doc_id::VARCHAR || ':' || line::VARCHAR AS id, score FROM sc) SELECT 'candidate' AS kind, rank AS nth, doc_id::VARCHAR || ':' || line::VARCHAR AS id, NULL::DOUBLE AS score FROM cand
+UNION ALL SELECT 'shown', (row_number() OVER (ORDER BY score DESC, id) - 1)::BIGINT AS k, id, score FROM p WHERE score >= 0.45 QUALIFY k < 25
+UNION ALL SELECT 'below', cand.rank, p.id, score FROM p JOIN cand ON p.id = cand.doc_id::VARCHAR || ':' || cand.line::VARCHAR WHERE score < 0.45""")
+def k8_capture(spark, sf_dir):
+    """All that a run looked at, read back from its JSON records."""
+    records = report.capture(_answer(spark, sf_dir), QuerySpec(ASKED, criteria=Criteria("generic")))
+    return records.filter("kind IN ('candidate', 'shown', 'below')").select("kind", "nth", F.get_json_object("record", "$.id").alias("id"), F.get_json_object("record", "$.score").cast("double").alias("score"))
+
+
 @query(rf"{SCORED} SELECT doc_id::VARCHAR || ':' || line::VARCHAR AS id, score FROM sc WHERE score < 0.45")
 def u1_judged_below(spark, sf_dir):
     """What was judged and didn't pass."""
