@@ -101,7 +101,8 @@ def format_chat(messages: DataFrame, parts_col: str = "parts", loss_roles: tuple
 def read_chat(formatted: DataFrame) -> DataFrame:
     """conv_id, turns (role, text) and loss_text, from ``formatted`` and ``loss_spans`` alone.
 
-    Placeholders are no text and are left out of a turn's.
+    Placeholders are no text and are left out of a turn's; a conversation without turns or
+    without a loss has none, and an empty table gives no rows.
     """
     turns = F.filter(F.split("formatted", CLOSE), lambda t: t != "")
     role = lambda t: unescape(F.regexp_extract(t, r"^<turn:([^<>]*)>", 1))

@@ -44,7 +44,8 @@ def _star_round(links: DataFrame) -> DataFrame:
 def components(links: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
     """doc_id, component_id for each id in a link; ``links`` has a and b.
 
-    The component's id is its least. Ids without a link to another are left out.
+    The component's id is its least. Ids without a link to another are left out, as are
+    links with a null end; repeated links count once; no links give no rows.
     """
     df = links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u != v")
     while True:

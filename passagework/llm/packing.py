@@ -176,7 +176,8 @@ class Statistics:
 
 
 def corpus_statistics(docs: DataFrame) -> Statistics:
-    """Document frequencies and the average length over all rows; nulls are empty texts.
+    """Document frequencies and the average length over all rows; nulls are empty texts,
+    repeated rows count each, and an empty table gives frequencies of 0 and a length of 1.
 
     A task sends a count per bucket, ``TERMS`` at most, and so does Spark to the driver.
     """

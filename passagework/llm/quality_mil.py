@@ -105,7 +105,8 @@ def gradients(m: dict, x: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np.
 
 
 def fit(x: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 40, rate: float = 0.01, seed: int = 7) -> dict:
-    """Adam on the mean cross-entropy, classes weighed alike, in bags of 64."""
+    """Adam on the mean cross-entropy, classes weighed alike, in bags of 64. Without a bag the
+    model stays as it was drawn; with one class only it learns that one."""
     rng = np.random.default_rng(seed)
     shape = {"E": (WIDTH, HIDDEN), "e": HIDDEN, "V": (HIDDEN, ATTENTION), "U": (HIDDEN, ATTENTION), "w": ATTENTION, "c": HIDDEN, "b": 1}
     m = {k: (rng.normal(0, 0.2, s) if k not in "eb" else np.zeros(s)).astype(np.float32) for k, s in shape.items()}

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, sliced
 
 TABLE_SIZE = 65_536
 SUMMARY_SIZE = 4_096
@@ -64,7 +64,7 @@ def _tools(path: str):
 def _summaries(size: int):
     def run(batches):
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in sliced(batches, 0):
             for text in batch.column(0).to_pylist():
                 seen.update(text.split(" ")[1::STRIDE])
                 if len(seen) > 50 * size:
@@ -122,7 +122,7 @@ def _counts(path: str, packed):
     def run(batches):
         tok, odd, split = _tools(path)
         lengths = _tier(path, packed)
-        for batch in batches:
+        for batch in sliced(batches):
             n_bytes, n_tokens = [], []
             for text in batch.column(1).to_pylist():
                 n_bytes.append(len(text.encode()))
