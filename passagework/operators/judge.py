@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagework.constants import CONTRIBUTIONS, MAX_PASSAGE_CHARS, MAX_REQUESTS
+from passagework.constants import CONTRIBUTIONS, MAX_PASSAGE_CHARS, MAX_REQUESTS, PAGE_ROWS
 from passagework.functions.spec import Criteria
 from passagework.functions.text import utf16_length
 from passagework.operators.numbering import numbered
@@ -244,7 +244,7 @@ def select(judged: DataFrame, threshold: float, mode: str, keys: list[str], limi
     return passed.orderBy(*selection_order(mode, keys)).limit(limit), below.orderBy(F.desc("score"), *keys)
 
 
-def page(below: DataFrame, keys: list[str], offset: int, rows: int = 25) -> DataFrame:
+def page(below: DataFrame, keys: list[str], offset: int, rows: int = PAGE_ROWS) -> DataFrame:
     return below.orderBy(F.desc("score"), *keys).offset(offset).limit(rows)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from passagework.constants import MAX_PASSAGE_CHARS, STOP_WORDS
+from passagework.constants import MAX_PASSAGE_CHARS, SPACE_CLASS_RE2, STOP_WORDS
 from passagework.functions import text as T
 from passagework.functions.identity import score_hash
 from passagework.functions.spec import Criteria, QuerySpec
@@ -61,7 +61,7 @@ QUESTIONS = [
     "the erhe than thre", "what is on thnt", "le des les oire", "der die und schen", "que del los ado", "inea oring ation", "thor ondth entre", "eau ment tre", "ung heit keit", "ción mente osa",
     "erst and here", "reed ones ting", "aux elle pour", "nicht auf sich", "con una las", "hath ness stou", "edor ions with", "vi ch par", "ver ge be", "the and of",
 ]
-WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+WS = SPACE_CLASS_RE2
 STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
