@@ -488,7 +488,7 @@ def e2_answer_statistics(spark, sf_dir):
     return _answer(spark, sf_dir).statistics.select("retrieved", "truncated", "shortlisted", "overlap_removed", "checked", "cached", "requested", "hashes", "passed")
 
 
-@query(rf"{RETRIEVED}, p AS (SELECT doc_id::VARCHAR || ':' || line::VARCHAR AS id, s FROM cand) SELECT id, s AS score, (row_number() OVER (ORDER BY s DESC, id) - 1)::BIGINT AS position, 60::BIGINT AS shortlisted, 0::BIGINT AS checked FROM p QUALIFY position < 8")
+@query(rf"{RETRIEVED}, p AS (SELECT doc_id::VARCHAR || ':' || line::VARCHAR AS id, s FROM cand) SELECT id, s AS score, (row_number() OVER (ORDER BY s DESC, id) - 1)::BIGINT AS position, (SELECT count(*) FROM cand)::BIGINT AS shortlisted, 0::BIGINT AS checked FROM p QUALIFY position < 8")
 def e3_answer_unjudged(spark, sf_dir):
     """Without a scorer: retrieval order, as many as the question says, nothing checked."""
     found = _answer(spark, sf_dir, None, 8)
