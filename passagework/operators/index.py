@@ -40,10 +40,14 @@ class Index:
 
     def bm25(self, terms: DataFrame) -> DataFrame:
         """qid, keys, fp, lexical_score of every passage that has a term of (qid, term)."""
-        asked = [r.term for r in terms.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
-        small = F.broadcast if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else lambda df: df
+        asked = [r.term for r in terms.select("term").limit(PUSHED_TERMS + 1).collect()]
+        few = len(asked) <= PUSHED_TERMS  # rows, so terms are few, too
+        if not few:
+            asked = [r.term for r in terms.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+            few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+        small = F.broadcast if few else lambda df: df
         if len(asked) <= PUSHED_TERMS:
-            own = F.col("term").isin(asked)
+            own = F.col("term").isin(sorted(set(asked)))
             weighed = terms.join(F.broadcast(self.terms.filter(own)), "term")  # a row for each term asked
             found = self.postings.filter(own).join(small(weighed), "term")
         else:

@@ -48,8 +48,11 @@ _INDEXES: dict[tuple, Index] = {}
 def indexed(spark: SparkSession, sf_dir: str, what: str = "lines") -> Index:
     """The prepared index of a folder's lines or documents, built once for a state of its
     files. Timing the build is ``bench.py``'s first entry."""
-    files = load(spark, sf_dir, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().collect()  # a row a file
-    key = (spark.sparkContext.applicationId, sf_dir, what, tuple(sorted(map(tuple, files))))
+    make, state = spark._jvm.org.apache.hadoop.fs.Path, []
+    for name in load(spark, sf_dir, "documents").inputFiles():
+        status = make(name).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(make(name))
+        state.append((name, status.getLen(), status.getModificationTime()))
+    key = (spark.sparkContext.applicationId, sf_dir, what, tuple(sorted(state)))
     if key not in _INDEXES:
         docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text") if what == "documents" else lines(spark, sf_dir)
         _INDEXES[key] = prepare(docs, ["id"] if what == "documents" else ["doc_id", "line"])
