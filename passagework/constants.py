@@ -19,6 +19,8 @@ CONTRIBUTIONS = ("definition", "condition", "distinction", "other")
 
 #: The white space of passages: that of ECMAScript, in Java's and in RE2's notation.
 SPACE_CLASS = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+#: The same characters, one by one.
+SPACES = "\t\n\x0B\f\r \u00A0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202F\u205F\u3000\uFEFF"
 SPACE_CLASS_RE2 = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 #: An opening fence of a saved question, in parts: the fence, its language, the rest.
 FENCE_LANGUAGES = ("passage-question", "pq")

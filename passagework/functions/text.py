@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from passagework.constants import FENCE_PARTS, SPACE_CLASS, STOP_WORDS
+from passagework.constants import FENCE_PARTS, SPACE_CLASS, SPACES, STOP_WORDS
 
 
 def _col(c) -> Column:
@@ -20,7 +20,7 @@ def tokens(text) -> Column:
 
 def fingerprint(text) -> Column:
     """White space runs as one space, trimmed; case counts."""
-    return F.trim(F.regexp_replace(_col(text), f"{SPACE_CLASS}+", " "))
+    return F.trim(F.regexp_replace(F.translate(_col(text), SPACES, " " * len(SPACES)), " {2,}", " "))
 
 
 def inclusion_fingerprint(text) -> Column:

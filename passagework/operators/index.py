@@ -28,7 +28,7 @@ PARTS = 1 << 48
 @dataclass(frozen=True)
 class Index:
     keys: tuple[str, ...]
-    postings: DataFrame  # term, keys, len, tf, fp
+    postings: DataFrame  # term, keys, len, tf
     passages: DataFrame  # keys, fp
     terms: DataFrame  # term, df
     n: int
@@ -39,7 +39,7 @@ class Index:
         return max(1.0, self.total / max(1, self.n))
 
     def bm25(self, terms: DataFrame) -> DataFrame:
-        """qid, keys, fp, lexical_score of every passage that has a term of (qid, term)."""
+        """qid, keys, lexical_score of every passage that has a term of (qid, term)."""
         asked = [r.term for r in terms.select("term").limit(PUSHED_TERMS + 1).collect()]
         few = len(asked) <= PUSHED_TERMS  # rows, so terms are few, too
         if not few:
@@ -55,30 +55,29 @@ class Index:
         idf = F.log1p((F.lit(float(self.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weight = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * ((1 - B) * 1.0 + B * F.col("len") / F.lit(self.avg_len)))
         parts = F.round(weight * float(PARTS)).cast("long")
-        scored = found.withColumn("parts", parts).groupBy("qid", *self.keys).agg(F.first("fp").alias("fp"), (F.sum("parts") / float(PARTS)).alias("s"), F.count("*").alias("matched"))
-        return scored.select("qid", *self.keys, "fp", (F.col("s") * (1 + F.log(F.col("matched").cast("double")))).alias("lexical_score"))
+        scored = found.withColumn("parts", parts).groupBy("qid", *self.keys).agg((F.sum("parts") / float(PARTS)).alias("s"), F.count("*").alias("matched"))
+        return scored.select("qid", *self.keys, (F.col("s") * (1 + F.log(F.col("matched").cast("double")))).alias("lexical_score"))
 
 
 def postings_of(tokenised: DataFrame, keys: list[str]) -> DataFrame:
-    """term, keys, len, tf, fp from (keys, fp, words, len). Words are counted as runs of the
-    sorted array, so they are not shuffled to be counted."""
-    sorted_rows = tokenised.filter("len > 0").select(*keys, "fp", "len", F.array_sort("words").alias("w"))
-    new = lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1))
-    starts = sorted_rows.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("w") - 1), new))
-    run = lambda i, k: F.struct(F.get("w", i).alias("term"), (F.coalesce(F.get("starts", k + 1), F.size("w")) - i).cast("long").alias("tf"))
-    each = starts.select(*keys, "fp", "len", F.explode(F.transform("starts", run)).alias("run"))
-    return each.select("run.term", *keys, "len", "run.tf", "fp")
+    """term, keys, len, tf from (keys, runs, len). What else a passage has is not repeated for
+    each of its words."""
+    return tokenised.select(*keys, "len", F.explode("runs").alias("run")).select("run.term", *keys, "len", "run.tf")
 
 
 def write_tokens(passages: DataFrame, keys: list[str], text: str, path: str) -> DataFrame:
-    """keys, fp, words, len of every passage, written."""
+    """keys, fp, len, runs of every passage, written. ``runs`` has each word once with how
+    often it is there, as runs of the sorted words, so none is shuffled to be counted."""
     spark = passages.sparkSession
     cores = spark.sparkContext.defaultParallelism
     narrow = passages.select(*keys, F.col(text).alias("text"))
     if narrow.rdd.getNumPartitions() < cores:  # few splits would leave tokenising to few tasks
         narrow = narrow.repartition(cores)
-    words = F.coalesce(tokens("text"), F.array().cast("array<string>"))
-    narrow.select(*keys, F.unhex(F.md5(fingerprint("text"))).alias("fp"), words.alias("words")).withColumn("len", F.size("words")).write.parquet(path)
+    words = F.sort_array(F.coalesce(tokens("text"), F.array().cast("array<string>")))
+    rows = narrow.select(*keys, F.unhex(F.md5(fingerprint("text"))).alias("fp"), words.alias("w")).withColumn("len", F.size("w"))
+    last = F.filter(F.transform("w", lambda x, i: F.struct(x.alias("term"), i.alias("at"), x.eqNullSafe(F.get("w", i + 1)).alias("again"))), lambda r: ~r["again"])
+    run = lambda r, k: F.struct(r["term"].alias("term"), (r["at"] - F.coalesce(F.get("ends", k - 1)["at"], F.lit(-1))).cast("long").alias("tf"))
+    rows.withColumn("ends", last).select(*keys, "fp", "len", F.transform("ends", run).alias("runs")).write.parquet(path)
     return spark.read.parquet(path)
 
 

@@ -108,9 +108,9 @@ class SegmentedIndex:
             old = self._alive(list(after), "tokens", self._tombstones(before, "dead"))
             where = self._touched(keys)
             found = (old.filter(where) if where is not None else old).join(keys, list(self.keys), "left_semi")
-            killed = written(found.select("segment", *self.keys, "len", "words"), "killed")
+            killed = written(found.select("segment", *self.keys, "len", "runs"), "killed")
             killed.select("segment", *self.keys).write.parquet(f"{self.path}/tomb-{batch}/dead")
-            each = killed.select("segment", F.explode(F.array_distinct("words")).alias("term"))
+            each = killed.select("segment", F.explode("runs.term").alias("term"))
             each.groupBy("segment", "term").agg(F.count("*").alias("df")).write.parquet(f"{self.path}/tomb-{batch}/dead_terms")
             for r in killed.groupBy("segment").agg(F.count("*").alias("n"), F.sum("len").alias("total")).collect():
                 s = after[r.segment]
