@@ -24,11 +24,12 @@ def fingerprint(text) -> Column:
 
 
 def inclusion_fingerprint(text) -> Column:
-    """SHA-256 of a passage without the block ids that saving adds."""
+    """SHA-256 of a passage without the block ids that saving adds; only a text with a ``^``
+    is searched for them."""
     t = F.replace(_col(text), F.lit("\r\n"), F.lit("\n"))
-    t = F.regexp_replace(t, r"(?m)[ \t]+\^[A-Za-z0-9-]+[ \t]*$", "")
-    t = F.regexp_replace(t, r"(?m)^\^[A-Za-z0-9-]+[ \t]*$", "")
-    return F.sha2(F.regexp_replace(t, f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", ""), 256)
+    bare = F.regexp_replace(t, r"(?m)[ \t]+\^[A-Za-z0-9-]+[ \t]*$", "")
+    bare = F.regexp_replace(bare, r"(?m)^\^[A-Za-z0-9-]+[ \t]*$", "")
+    return F.sha2(F.btrim(F.when(F.instr(t, "^") > 0, bare).otherwise(t), F.lit(SPACES)), 256)
 
 
 def utf16_length(text) -> Column:

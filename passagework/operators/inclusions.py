@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagework.constants import CONTRIBUTIONS
+from passagework.storage import written
 
 MARK = "passage-inclusions"
 COMMENT = re.compile(rf"^<!-- {MARK}: (.*?) -->$", re.M)
@@ -53,11 +54,12 @@ def update(note: str, key: str, entry: dict, include: bool) -> str:
 
 def match(entries: DataFrame, passages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entries with their one passage, entries with none or several). ``passages`` has
-    path, fingerprint and id; only its rows that an entry asks for are counted."""
+    path, fingerprint and id; only its rows that an entry asks for are counted. Entries with
+    what was found for them are written, so both results read the passages once."""
     keys = ["path", "fingerprint"]
     asked = passages.join(entries.select(*keys).distinct(), keys, "left_semi")
     counted = asked.groupBy(*keys).agg(F.count("*").alias("n"), F.min("id").alias("id"))
-    joined = entries.join(counted, keys, "left")
+    joined = written(entries.join(counted, keys, "left"), "matched")
     return joined.filter("n = 1").drop("n"), joined.filter("n IS NULL OR n <> 1").select(*entries.columns)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from passagework.constants import SPACE_CLASS, SPACES
 from passagework.functions import text as T
-from passagework.operators import ranking
+from passagework.operators import inclusions, ranking
 from passagework.operators.index import prepare
 
 
@@ -33,3 +33,27 @@ def test_white_space_of_fingerprints(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     old = F.trim(F.regexp_replace("text", f"{SPACE_CLASS}+", " "))
     assert df.select(T.fingerprint("text").alias("new"), old.alias("old")).filter("new <> old").count() == 0
+
+
+def test_inclusion_fingerprints_as_before(spark):
+    texts = ["a ^b1", "a\n^b1\nc", "  a^b ", "a \x85", "x\r\ny ^z-1 \r\n", "^only", "  q 　\n", "a ^b c ^d  ", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    t = F.replace("text", F.lit("\r\n"), F.lit("\n"))
+    t = F.regexp_replace(F.regexp_replace(t, r"(?m)[ \t]+\^[A-Za-z0-9-]+[ \t]*$", ""), r"(?m)^\^[A-Za-z0-9-]+[ \t]*$", "")
+    old = F.sha2(F.regexp_replace(t, rf"\A{SPACE_CLASS}+|{SPACE_CLASS}+\z", ""), 256)
+    assert df.select(T.inclusion_fingerprint("text").alias("new"), old.alias("old")).filter("new <> old").count() == 0
+
+
+def test_matching_inclusions_reads_the_passages_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(k, "p", f"f{k // 2 if k < 4 else k}") for k in range(8)], "id long, path string, fingerprint string")
+    entries = spark.createDataFrame([("p", "f0"), ("p", "f5"), ("p", "no")], "path string, fingerprint string")
+    matched, missing = inclusions.match(entries, rows.mapInArrow(count, rows.schema))
+    assert [r.id for r in matched.unionByName(missing.withColumn("id", F.lit(None).cast("long"))).collect() if r.id is not None] == [5]
+    assert seen.value == 8
