@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -146,12 +147,13 @@ def r8_index_after_edits(spark, sf_dir):
     return index.index().bm25(ranking.question_terms(one_question(spark, EDITED))).select("id", F.round("lexical_score", 9).alias("lexical_score"))
 
 
-def version_stream(spark, sf_dir) -> DataFrame:
-    """The versions as a stream, one batch each."""
+def follow_versions(spark, sf_dir, follow: Callable[[DataFrame], None]) -> None:
+    """Hand ``follow`` the versions as a stream, a batch each, in as many files as Spark makes
+    of a version: the stream has no more than one new version whenever it is followed."""
     path = fresh_path(spark, "versions")
     for batch in versions(spark, sf_dir):
-        batch.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        batch.write.mode("append").parquet(path)
+        follow(spark.readStream.schema(batch.schema).parquet(path))
 
 
 #: Statistics of the first version, scores of the last.
@@ -166,7 +168,7 @@ def r5_standing_questions(spark, sf_dir):
     """The first ten documents of twenty questions, kept over a stream of three versions."""
     asked = spark.createDataFrame(list(enumerate(QUESTIONS)), "qid long, question string")
     standing = StandingQuestions(spark, fresh_path(spark, "standing"), asked, 10, ["id"], ["version"])
-    standing.follow(version_stream(spark, sf_dir))
+    follow_versions(spark, sf_dir, standing.follow)
     return standing.results().select("qid", "id", F.round("lexical_score", 9).alias("lexical_score"), "rank")
 
 
@@ -194,7 +196,7 @@ SELECT f.doc_id AS id, {", ".join(f"round(coalesce(CASE WHEN {LENGTH} > 0 THEN m
 def r7_delta_vectors(spark, sf_dir):
     """Vectors after three versions, and how many texts were encoded for them: each once."""
     store = VectorStore(spark, fresh_path(spark, "vectors"), "id", ["version"], word_lengths, made_weights())
-    store.follow(version_stream(spark, sf_dir))
+    follow_versions(spark, sf_dir, store.follow)
     encoded = sum(store.encoded(k) for k in range(3))
     return store.rows().select("id", *(F.round(F.get("vector", F.lit(j)) + 0.0, 9).alias(f"v{j}") for j in range(WIDTH)), F.lit(encoded).cast("long").alias("encoded"))
 
