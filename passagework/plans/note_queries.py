@@ -17,7 +17,7 @@ from passagework.operators.segments import SegmentedIndex
 from passagework.operators.vector_store import VectorStore
 from passagework.plans.queries import JUDGED, MANY, QUESTIONS, _judged, load, one_question, query, sql_bm25, sql_tokens
 from passagework.sources.notes import NoteFolder
-from passagework.storage import folders, fresh_path, remove, written
+from passagework.storage import fresh_path, remove, written
 from passagework.streaming.live import LiveSnapshot
 from passagework.streaming.standing import StandingQuestions
 
@@ -206,26 +206,22 @@ def s1_note_changes(spark, sf_dir):
     """Documents as notes in a folder: some edited, some renamed, some gone before a second look."""
     docs = load(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\r"), F.lit("")).alias("value"))
     root, i = fresh_path(spark, "notes"), F.col("doc_id")
-    put = lambda rows, letter: rows.select(F.concat(F.lit(letter), i.cast("string"), F.lit(".md")).alias("note"), "value").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("note").text(root)
-    put(docs, "n")
+    tasks = 4 * spark.sparkContext.defaultParallelism  # a note costs a file whatever its size, so notes are dealt by number
+    named = lambda rows, letter: rows.select(F.concat(F.lit(letter), i.cast("string"), F.lit(".md")).alias("note"), "value").repartition(tasks, "note").write.partitionBy("note")
+    add = lambda rows, letter: named(rows, letter).mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(root)  # noqa: E731  tasks move new notes, not the driver
+    add(docs, "n")
     name = lambda below: F.regexp_extract(below, "note=([^/]+)/", 1)
     folder = NoteFolder(spark, root, fresh_path(spark, "note-state"), pattern="*.txt", name=name)
     live = LiveSnapshot(spark, "path", ["version"])
     folder.poll(live.merge)
-    put(docs.filter(i % 7 == 0).withColumn("value", F.concat(F.lit("edited "), "value")), "n")
-    put(docs.filter(i % 101 == 0).withColumn("value", F.when(i % 7 == 0, F.concat(F.lit("edited "), "value")).otherwise(F.col("value"))), "r")
-    remove_matching(spark, root, r"note=n(?:\d+)\.md", lambda n: n % 97 == 0 or n % 101 == 0)
+    named(docs.filter(i % 7 == 0).withColumn("value", F.concat(F.lit("edited "), "value")), "n").mode("overwrite").option("partitionOverwriteMode", "dynamic").text(root)
+    add(docs.filter(i % 101 == 0).withColumn("value", F.when(i % 7 == 0, F.concat(F.lit("edited "), "value")).otherwise(F.col("value"))), "r")
+    for r in docs.filter((i % 97 == 0) | (i % 101 == 0)).select("doc_id").toLocalIterator():  # as a user would, without a look at all others
+        remove(spark, f"{root}/note=n{r.doc_id}.md")
     folder.poll(live.merge)
     return live.rows().select("path", F.sha2("text", 256).alias("text_hash"), "version")
 
 
-def remove_matching(spark, root: str, pattern: str, wanted) -> None:
-    """Remove the folders of some notes, as a user would."""
-    for name in folders(spark, root):
-        if re.fullmatch(pattern, name) and wanted(int(re.search(r"\d+", name)[0])):
-            remove(spark, f"{root}/{name}")
-
-
 ORDERED = "list_position(['definition', 'condition', 'distinction', 'other'], contribution), score DESC, doc_id"
 
 

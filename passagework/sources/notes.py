@@ -69,11 +69,13 @@ class NoteFolder:
         rows.filter(~excluded("path", self.exclude())).write.mode("overwrite").parquet(to)
 
     def _texts(self, wanted: DataFrame) -> DataFrame:
-        """path, text of the wanted files, if they are still as listed."""
+        """path, text of the wanted files, if they are still as listed. A scan of the folder
+        opens no file that is older than all of these."""
         few = [r.file for r in wanted.select("file").limit(NAMED_FILES + 1).collect()]
         named = 0 < len(few) <= NAMED_FILES and not any(re.search(r"[*?\[\]{}\\]", f) for f in few)  # these would be patterns
         reader = self.spark.read.option("ignoreMissingFiles", "true")
-        folder = lambda: reader.text(self.root, wholetext=True, pathGlobFilter=self.pattern, recursiveFileLookup=True)
+        whole = lambda: reader.text(self.root, wholetext=True, pathGlobFilter=self.pattern, recursiveFileLookup=True)
+        folder = lambda: whole().filter(F.col("_metadata.file_modification_time") >= F.lit(wanted.agg(F.min("mtime")).first()[0]))
         try:
             read = reader.text(few, wholetext=True) if named else folder()
         except AnalysisException as e:

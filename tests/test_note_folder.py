@@ -1,6 +1,7 @@
 """A folder of notes as changes: edits, renames, vanished and excluded notes, crashes."""
 
 import os
+import re
 
 import pytest
 
@@ -78,3 +79,25 @@ def test_what_changes_after_the_listing_waits(spark, tmp_path):
     folder.poll(lambda rows, n: got.append(sorted((r.path, r.op) for r in rows.collect())))
     folder.poll(lambda rows, n: got.append(sorted((r.path, r.op) for r in rows.collect())))
     assert got == [[("c.md", "upsert")], [("a.md", "upsert"), ("b.md", "delete")]]
+
+
+def test_many_changes_open_no_older_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(notes, "NAMED_FILES", 1)
+    root, got = tmp_path / "many", []
+    root.mkdir()
+    for k in range(6):
+        (root / f"{k}.md").write_text(f"note {k}")
+        os.utime(root / f"{k}.md", (1_000_000 + k, 1_000_000 + k))
+    folder = notes.NoteFolder(spark, str(root), str(tmp_path / "state"))
+    folder.poll(lambda rows, n: None)
+    for k in (1, 4):
+        (root / f"{k}.md").write_text(f"edited {k}")
+    opened = []
+
+    def keep(rows, n):
+        got.extend(sorted((r.path, r.op, r.text) for r in rows.collect()))
+        opened.append(rows._jdf.queryExecution().executedPlan().toString())
+
+    folder.poll(keep)
+    assert got == [("1.md", "upsert", "edited 1"), ("4.md", "upsert", "edited 4")]
+    assert re.search(r"\(file_modification_time#\d+ >= ", opened[0]) or re.search(r"_metadata#\d+\.file_modification_time >= ", opened[0])
