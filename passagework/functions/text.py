@@ -12,10 +12,14 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def spaced(text) -> Column:
+    """Lower-case runs of letters and digits with one space between, perhaps one at each end."""
+    return F.regexp_replace(F.lower(_col(text)), r"[^\p{L}\p{N}]+", " ")
+
+
 def tokens(text) -> Column:
     """Lower-case runs of letters and digits without the stop words, in order."""
-    words = F.split(F.regexp_replace(F.lower(_col(text)), r"[^\p{L}\p{N}]+", " "), " ")
-    return F.filter(words, lambda w: ~w.isin("", *STOP_WORDS))
+    return F.filter(F.split(spaced(text), " "), lambda w: ~w.isin("", *STOP_WORDS))
 
 
 def fingerprint(text) -> Column:

@@ -1,20 +1,23 @@
 """A prepared keyword index of passages, as written tables.
 
-Tokenising is paid once, not for each question. Postings are sorted by term, so a question
-reads the row groups of its own terms only; how many passages have a term stands in a
-table of its own, sorted by term, too. ``prepare`` makes an index of one snapshot;
+Tokenising is paid once, not for each question. Each file of postings is sorted by term, so
+a question reads the pages of its own terms only, a few of every file; how many passages have
+a term stands in a table of its own, sorted likewise. ``prepare`` makes an index of one snapshot;
 ``segments.SegmentedIndex`` follows edits.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.constants import B, K1
-from passagework.functions.text import fingerprint, tokens
+from passagework.constants import B, K1, STOP_WORDS
+from passagework.functions.text import fingerprint, spaced
 from passagework.storage import fresh_path
 
 #: Question terms are pushed to the scan as literals up to this many; their rows are
@@ -23,6 +26,8 @@ PUSHED_TERMS, BROADCAST_TERMS = 1_000, 100_000
 #: Weights are added up as whole numbers of this many parts, so that a sum doesn't depend on
 #: the order in which tasks send them: 4e-15 apart, and room for hundreds of terms.
 PARTS = 1 << 48
+#: Counted words that a task gathers before it hands them on.
+CHUNK = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -65,29 +70,47 @@ def postings_of(tokenised: DataFrame, keys: list[str]) -> DataFrame:
     return tokenised.select(*keys, "len", F.explode("runs").alias("run")).select("run.term", *keys, "len", "run.tf")
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """keys, fp, len, runs of (keys, fp, spaced text): words of a text counted, stop words left out."""
+    left_out = ("", *STOP_WORDS)
+    for batch in batches:
+        start, lens, ends, terms, counts = 0, [], [0], [], []
+        for k, text in enumerate(batch.columns[-1], 1):
+            found = Counter((text.as_py() or "").split(" "))
+            for word in left_out:
+                found.pop(word, None)
+            terms += found.keys()
+            counts += found.values()
+            lens.append(found.total())
+            ends.append(len(terms))
+            if len(terms) > CHUNK or k == batch.num_rows:
+                pairs = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int64())], ["term", "tf"])
+                runs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+                yield pa.RecordBatch.from_arrays([*batch.slice(start, k - start).columns[:-1], pa.array(lens, pa.int32()), runs], [*batch.schema.names[:-1], "len", "runs"])
+                start, lens, ends, terms, counts = k, [], [0], [], []
+
+
 def write_tokens(passages: DataFrame, keys: list[str], text: str, path: str) -> DataFrame:
     """keys, fp, len, runs of every passage, written. ``runs`` has each word once with how
-    often it is there, as runs of the sorted words, so none is shuffled to be counted."""
+    often it is there; words are made in the JVM and counted in their task, none is shuffled."""
     spark = passages.sparkSession
     cores = spark.sparkContext.defaultParallelism
     narrow = passages.select(*keys, F.col(text).alias("text"))
     if narrow.rdd.getNumPartitions() < cores:  # few splits would leave tokenising to few tasks
         narrow = narrow.repartition(cores)
-    words = F.sort_array(F.coalesce(tokens("text"), F.array().cast("array<string>")))
-    rows = narrow.select(*keys, F.unhex(F.md5(fingerprint("text"))).alias("fp"), words.alias("w")).withColumn("len", F.size("w"))
-    last = F.filter(F.transform("w", lambda x, i: F.struct(x.alias("term"), i.alias("at"), x.eqNullSafe(F.get("w", i + 1)).alias("again"))), lambda r: ~r["again"])
-    run = lambda r, k: F.struct(r["term"].alias("term"), (r["at"] - F.coalesce(F.get("ends", k - 1)["at"], F.lit(-1))).cast("long").alias("tf"))
-    rows.withColumn("ends", last).select(*keys, "fp", "len", F.transform("ends", run).alias("runs")).write.parquet(path)
+    rows = narrow.select(*keys, F.unhex(F.md5(fingerprint("text"))).alias("fp"), spaced("text").alias("w"))
+    schema = rows.drop("w").selectExpr("*", "0 AS len", "array(struct('' AS term, 0L AS tf)) AS runs").schema
+    rows.mapInArrow(_counted, schema).write.parquet(path)
     return spark.read.parquet(path)
 
 
-def write_postings(postings: DataFrame, keys: list[str], path: str) -> tuple[DataFrame, DataFrame]:
-    """Postings sorted by term, and how many there are of each. A frequent term is dealt to
-    several ranges by its keys, so it is in no single task."""
+def write_postings(postings: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Postings, those of each task sorted by term, and how many there are of each. They stay
+    in the task that has their passages, so a frequent term is in no single one."""
     spark = postings.sparkSession
-    postings.repartitionByRange("term", *keys).sortWithinPartitions("term", *keys).write.parquet(f"{path}/postings")
+    postings.sortWithinPartitions("term").write.parquet(f"{path}/postings")
     done = spark.read.parquet(f"{path}/postings")
-    done.groupBy("term").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+    done.groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.parquet(f"{path}/terms")
     return done, spark.read.parquet(f"{path}/terms")
 
 
@@ -102,5 +125,5 @@ def prepare(passages: DataFrame, keys: list[str], text: str = "text") -> Index:
     text have no terms but count."""
     path = fresh_path(passages.sparkSession, "index")
     tokenised = write_tokens(passages, keys, text, f"{path}/tokens")
-    postings, terms = write_postings(postings_of(tokenised, keys), keys, path)
+    postings, terms = write_postings(postings_of(tokenised, keys), path)
     return Index(tuple(keys), postings, tokenised.select(*keys, "fp"), terms, *counts_of(tokenised))

@@ -26,6 +26,8 @@ from passagework.storage import complete_folders, folders, remove, written
 from passagework.streaming.live import latest
 
 FANOUT = 4
+#: A batch of more passages finds what it replaces by a shuffle of the older ones' words.
+BROADCAST_KEYS = 1_000_000
 COMMIT = "segment string, n long, total long, dead_n long, dead_total long, tombs array<long>"
 
 
@@ -107,6 +109,8 @@ class SegmentedIndex:
         if before:
             old = self._alive(list(after), "tokens", self._tombstones(before, "dead"))
             where = self._touched(keys)
+            if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:  # else all that is there would be shuffled with its words
+                keys = F.broadcast(keys)
             found = (old.filter(where) if where is not None else old).join(keys, list(self.keys), "left_semi")
             killed = written(found.select("segment", *self.keys, "len", "runs"), "killed")
             killed.select("segment", *self.keys).write.parquet(f"{self.path}/tomb-{batch}/dead")
@@ -118,7 +122,7 @@ class SegmentedIndex:
         tokenised = write_tokens(rows.filter("op <> 'delete'"), self.keys, self.text, f"{self.path}/seg-{batch}/tokens")
         n, total = counts_of(tokenised)
         if n:
-            write_postings(postings_of(tokenised, self.keys), self.keys, f"{self.path}/seg-{batch}")
+            write_postings(postings_of(tokenised, self.keys), f"{self.path}/seg-{batch}")
             after[f"seg-{batch}"] = self._row(f"seg-{batch}", n, total)
         self._commit(batch, 0, after)
         self._merge(batch)
@@ -164,6 +168,6 @@ class SegmentedIndex:
             n, total = counts_of(self.spark.read.parquet(f"{self.path}/{name}/tokens"))
             kept = {s.segment: s.asDict() for s in segments if s.segment not in names}
             if n:
-                write_postings(self._alive(names, "postings", dead).drop("segment"), self.keys, f"{self.path}/{name}")
+                write_postings(self._alive(names, "postings", dead).drop("segment"), f"{self.path}/{name}")
                 kept[name] = self._row(name, n, total)
             self._commit(batch, merges, kept)

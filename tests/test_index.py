@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from passagework.constants import SPACE_CLASS, SPACES
 from passagework.functions import text as T
-from passagework.operators import inclusions, ranking
+from passagework.operators import inclusions, index, ranking
 from passagework.operators.index import prepare
 
 
@@ -18,6 +18,24 @@ def test_postings_hold_words_once_and_no_fingerprint(spark):
     assert (made.n, made.total) == (5, 305)
 
 
+def test_postings_stay_in_their_tasks_and_each_file_is_sorted(spark, tmp_path):
+    rows = spark.range(40).repartition(4).select("id", F.explode(F.array(*map(F.lit, ("peace", "art", "work")))).alias("term"))
+    done, terms = index.write_postings(rows, str(tmp_path))
+    files = done.select("term", F.input_file_name().alias("file")).groupBy("file").agg(F.collect_list("term").alias("all"), F.collect_set("term").alias("own")).collect()
+    assert len(files) == 4 and all(r["all"] == sorted(r["all"]) and len(r.own) == 3 for r in files)
+    assert sorted(map(tuple, terms.collect())) == [("art", 40), ("peace", 40), ("work", 40)]
+
+
+def test_words_are_handed_on_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(index, "CHUNK", 2)
+    rows = [(k, text) for k, text in enumerate(["b a b", None, "", "the of", "İx c ÉA", "d e f g", "a\x85z"])]
+    df = spark.createDataFrame(rows, "id int, text string").coalesce(1)
+    parts = list(index._counted(df.select("id", F.lit(b"f").alias("fp"), T.spaced("text").alias("w")).toArrow().to_batches()))
+    got = {r["id"]: (r["len"], {x["term"]: x["tf"] for x in r["runs"]}) for p in parts for r in p.to_pylist()}
+    want = {r.id: [*r.w] for r in df.select("id", F.coalesce(T.tokens("text"), F.array().cast("array<string>")).alias("w")).collect()}
+    assert len(parts) > 1 and got == {k: (len(w), {x: w.count(x) for x in w}) for k, w in want.items()}
+
+
 def test_copies_keep_their_fingerprints(spark):
     rows = [(k, "red  fox" if k % 2 else "red fox") for k in range(6)] + [(9, "a red hen")]
     made = prepare(spark.createDataFrame(rows, "id int, text string"), ["id"])
