@@ -7,7 +7,7 @@ not an exception, and a caller decides.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagework.constants import MAX_CONTEXT_CHARS
@@ -42,20 +42,27 @@ def resolve(links: DataFrame, notes: DataFrame) -> DataFrame:
     return first.select("source", "row.*")
 
 
+def _lines() -> Column:
+    return F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n"), "\n")
+
+
+def locate(links: DataFrame, notes: DataFrame) -> DataFrame:
+    """source, nth, link, path, fragment, line_start, line_end, status of each target, without
+    its text: no link takes a note's text along."""
+    found = resolve(links, notes)
+    wanted = notes.join(found.select("path").distinct(), "path", "left_semi").select("path", "text")
+    places = note_places(wanted).filter("fragment <> ''").unionByName(wanted.select("path", F.lit("").alias("fragment"), F.lit(1).alias("line_start"), F.size(_lines()).alias("line_end")))
+    placed = found.join(places, ["path", "fragment"], "left")
+    status = F.when(F.col("path").isNull(), NO_NOTE).when(F.col("line_start").isNull(), NO_PLACE).otherwise(OK)
+    return placed.select("source", "nth", "link", "path", "fragment", "line_start", "line_end", status.alias("status"))
+
+
 def read(links: DataFrame, notes: DataFrame) -> DataFrame:
     """source, nth, link, path, line_start, line_end, text, status of each target: a whole
     note, a section with all below it, or a block by its id; without a place no text."""
-    found = resolve(links, notes)
-    wanted = notes.join(found.select("path").distinct(), "path", "left_semi").select("path", "text")
-    placed = found.join(note_places(wanted), ["path", "fragment"], "left").join(wanted, "path", "left")
-    lines = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n"), "\n")
-    whole = F.col("fragment") == ""
-    status = F.when(F.col("path").isNull(), NO_NOTE).when(~whole & F.col("line_start").isNull(), NO_PLACE).otherwise(OK)
-    start = F.when(whole, 1).otherwise(F.col("line_start"))
-    end = F.when(whole, F.size(lines)).otherwise(F.col("line_end"))
-    known = placed.withColumns({"status": status, "lines": lines}).withColumns({"line_start": F.when(F.col("status") == OK, start), "line_end": F.when(F.col("status") == OK, end)})
+    placed = locate(links, notes).join(notes.select("path", "text"), "path", "left").withColumn("lines", _lines())
     text = F.array_join(F.slice("lines", F.col("line_start"), F.col("line_end") - F.col("line_start") + 1), "\n")
-    return known.select("source", "nth", "link", "path", "line_start", "line_end", F.when(F.col("status") == OK, text).alias("text"), "status")
+    return placed.select("source", "nth", "link", "path", "line_start", "line_end", F.when(F.col("status") == OK, text).alias("text"), "status")
 
 
 def contexts(links: DataFrame, notes: DataFrame, most: int = MAX_CONTEXT_CHARS) -> DataFrame:

@@ -45,41 +45,53 @@ def plan_block_ids(passages: DataFrame, notes: DataFrame) -> DataFrame:
     own below. A new id is made of the passage's place and text, so a plan that is made
     again is the same. A repeated passage has one row.
     """
-    own = passages.select("id", "path", "kind", "line_start", "line_end", "text").dropDuplicates(["id"])
-    sources = notes.join(own.select("path").distinct(), "path", "left_semi").select("path", F.col("text").alias("source"))
+    made = F.transform(F.sequence(F.lit(0), F.lit(TRIES - 1)), lambda k: F.concat(F.lit("pw-"), F.substring(F.sha2(F.concat_ws("\n", k, "path", "line_start", "text"), 256), 1, 16)))
+    digest = F.sha2(F.replace("text", F.lit("\r\n"), F.lit("\n")), 256)
+    own = passages.dropDuplicates(["id"]).select("id", "path", "kind", "line_start", "line_end", digest.alias("digest"), made.alias("made"))
     before = Window.partitionBy("path").orderBy("line_start", "line_end", "id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = own.withColumn("reached", F.max("line_end").over(before)).join(sources, "path", "left").withColumn("lines", _lines())
-    there = F.array_join(F.slice("lines", F.col("line_start"), F.col("line_end") - F.col("line_start") + 1), "\n")
-    same = (F.col("line_start") >= 1) & (F.col("line_end") <= F.size("lines")) & (there == F.replace("text", F.lit("\r\n"), F.lit("\n")))
+    asked = own.withColumn("reached", F.max("line_end").over(before)).groupBy("path").agg(F.collect_list(F.struct("id", "kind", "line_start", "line_end", "digest", "made", "reached")).alias("asked"))
+    # A row for each note, its lines split once; a passage takes along what it needs of them.
+    whole = asked.join(notes.select("path", F.col("text").alias("source")), "path", "left").withColumn("lines", _lines())
+    filled = F.filter(F.transform("lines", lambda x, k: F.when(x.rlike(r"\S"), F.struct(k.alias("at"), x.alias("line")))), lambda x: x.isNotNull())
+    whole = whole.withColumns({"filled": filled, "taken": F.regexp_extract_all("source", F.lit(r"\^(pw-[0-9a-f]{16})"), 1)})
+
+    def row(x):
+        start, end = x["line_start"], x["line_end"]
+        there = F.array_join(F.slice("lines", start, end - start + 1), "\n")
+        same = F.when((start >= 1) & (end <= F.size("lines")), F.sha2(there, 256) == x["digest"])
+        inline, at = x["kind"].isin(*INLINE), F.when(x["kind"] == "list", start).otherwise(end)
+        following = F.get(F.filter("filled", lambda y: y["at"] >= end), F.lit(0))["line"]
+        free = F.get(F.filter(x["made"], lambda y: ~F.array_contains("taken", y)), F.lit(0))
+        return x.withField("same", same).withField("inline", inline).withField("at", at).withField("own", F.get("lines", at - 1)).withField("following", F.when(x["kind"] != "list", following)).withField("free", free)
+
+    rows = whole.select("path", F.col("source").isNull().alias("gone"), F.explode(F.transform("asked", row)).alias("row")).select("path", "gone", "row.*")
     status = (
-        F.when(F.col("source").isNull(), NO_NOTE).when(F.col("kind").isin("heading", "yaml"), NO_KIND).when(F.col("line_start") <= F.col("reached"), OVERLAP)
-        .when(~F.coalesce(same, F.lit(False)), CHANGED).otherwise(OK)
+        F.when(F.col("gone"), NO_NOTE).when(F.col("kind").isin("heading", "yaml"), NO_KIND).when(F.col("line_start") <= F.col("reached"), OVERLAP)
+        .when(~F.coalesce("same", F.lit(False)), CHANGED).otherwise(OK)
     )
     good = F.col("status") == OK
-    inline, at = F.col("kind").isin(*INLINE), F.when(F.col("kind") == "list", F.col("line_start")).otherwise(F.col("line_end"))
-    inside = F.when(inline, F.regexp_extract(F.get("lines", at - 1), r"\s\^([A-Za-z0-9-]+)\s*$", 1))
-    following = F.get(F.filter(F.slice("lines", F.col("line_end") + 1, F.size("lines")), lambda x: x.rlike(r"\S")), F.lit(0))
-    below = F.when(F.col("kind") != "list", F.regexp_extract(F.coalesce(following, F.lit("")), r"^\^([A-Za-z0-9-]+)\s*$", 1))
+    inside = F.when(F.col("inline"), F.regexp_extract("own", r"\s\^([A-Za-z0-9-]+)\s*$", 1))
+    below = F.regexp_extract("following", r"^\^([A-Za-z0-9-]+)\s*$", 1)
     found = F.coalesce(F.nullif(inside, F.lit("")), F.nullif(below, F.lit("")))
-    made = F.transform(F.sequence(F.lit(0), F.lit(TRIES - 1)), lambda k: F.concat(F.lit("pw-"), F.substring(F.sha2(F.concat_ws("\n", k, "path", "line_start", "text"), 256), 1, 16)))
-    free = F.get(F.filter(made, lambda x: F.instr(F.col("source"), F.concat(F.lit("^"), x)) == 0), F.lit(0))
     checked = rows.withColumn("status", status).withColumn("found", F.when(good, found))
-    op = F.when(F.col("found").isNotNull(), "keep").when(inline, "append").otherwise("insert")
-    return checked.select("id", "path", F.when(good, F.coalesce("found", free)).alias("block_id"), F.when(good, at).alias("line"), F.when(good, op).alias("op"), "status")
+    op = F.when(F.col("found").isNotNull(), "keep").when(F.col("inline"), "append").otherwise("insert")
+    return checked.select("id", "path", F.when(good, F.coalesce("found", "free")).alias("block_id"), F.when(good, F.col("at")).alias("line"), F.when(good, op).alias("op"), "status")
 
 
 def edited(notes: DataFrame, plan: DataFrame) -> DataFrame:
     """path, before, after of the notes that the plan changes; line ends stay as they are."""
-    edits = plan.filter("op IN ('append', 'insert')").groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("line", F.struct("op", "block_id")))).alias("edits"))
-    rows = notes.select("path", F.col("text").alias("source")).join(edits, "path")
+    edits = plan.filter("op IN ('append', 'insert')").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "op", "block_id"))).alias("edits"))
+    rows = notes.select("path", F.col("text").alias("source")).join(edits, "path").withColumn("lines", _lines())
 
-    def line(text, k):
-        edit = F.try_element_at("edits", k + 1)
+    def piece(edit, k):
+        """The lines up to an edit's, with its id."""
+        done = F.coalesce(F.get("edits", k - 1)["line"], F.lit(0))
         name = F.concat(F.lit("^"), edit["block_id"])
-        return F.when(edit.isNull(), F.array(text)).when(edit["op"] == "append", F.array(F.concat(text, F.lit(" "), name))).otherwise(F.array(text, F.lit(""), name, F.lit("")))
+        return F.concat(F.array_join(F.slice("lines", done + 1, edit["line"] - done), "\1"), F.when(edit["op"] == "append", F.concat(F.lit(" "), name)).otherwise(F.concat(F.lit("\1\1"), name, F.lit("\1"))))
 
     end = F.when(F.instr("source", "\r\n") > 0, "\r\n").otherwise("\n")
-    after = F.array_join(F.flatten(F.transform(_lines(), line)), "\1")
+    last = F.element_at("edits", -1)["line"]
+    after = F.array_join(F.concat(F.transform("edits", piece), F.slice("lines", last + 1, F.size("lines") - last)), "\1")
     return rows.select("path", F.col("source").alias("before"), F.replace(after, F.lit("\1"), end).alias("after"))
 
 
@@ -155,5 +167,5 @@ def saved_embeds(saved: DataFrame, notes: DataFrame, passages: DataFrame) -> Dat
     there now, or a null id."""
     found = F.regexp_extract_all("text", F.lit(r"!\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"), 1)
     links = saved.select(F.col("path").alias("source"), F.posexplode(found).alias("nth", "link"))
-    places = context.read(links, notes).drop("text")
+    places = context.locate(links, notes).drop("fragment")
     return places.join(passages.select("id", "path", "line_start", "line_end"), ["path", "line_start", "line_end"], "left")

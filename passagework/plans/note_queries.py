@@ -91,7 +91,7 @@ def s8_context(spark, sf_dir):
 
 def _apart(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Notes, and those passages of theirs that are in no other: paragraphs and outermost items."""
-    notes = list_notes(spark, sf_dir)
+    notes = written(list_notes(spark, sf_dir), "notes")
     return notes, parse_notes(notes).filter("parent_id IS NULL")
 
 
@@ -113,12 +113,12 @@ def k2_block_ids(spark, sf_dir):
 def j11_saved_embeds(spark, sf_dir):
     """Saved notes with an embed for each planned id, and a stale one, joined to the passages of the edited notes."""
     notes, chosen = _apart(spark, sf_dir)
-    plan = saving.plan_block_ids(chosen, notes)
-    after = saving.edited(notes, plan).select("path", F.col("after").alias("text"))
+    plan = written(saving.plan_block_ids(chosen, notes), "plan")
+    after = written(saving.edited(notes, plan).select("path", F.col("after").alias("text")), "after")
     saved = plan.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("id", "block_id"))).alias("rows"))
     text = F.concat(F.array_join(F.transform("rows", lambda x: F.concat(F.lit("![["), F.col("path"), F.lit("#^"), x["block_id"], F.lit("]]"))), "\n\n"), F.lit("\n\n![["), F.col("path"), F.lit("#^gone]]\n"))
     saved = saved.withColumn("text", text).select(F.concat(F.lit("saved of "), "path").alias("path"), "text")
-    joined = saving.saved_embeds(saved, after, parse_notes(after))
+    joined = saving.saved_embeds(saved, after, outline_notes(after))
     return joined.select("source", "nth", "id", "line_start", "line_end", "status")
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from passagework.operators import saving
-from passagework.operators.markdown import parse_notes
+from passagework.operators.markdown import outline_notes, parse_notes
+from passagework.plans import note_queries
 
 NOW = datetime(2024, 1, 2, tzinfo=UTC)
 SOURCE = "para\r\n\r\n> quote\r\n\r\n- a\r\n  - b ^old\r\n- c\r\n"
@@ -33,6 +34,32 @@ def test_plan_and_edits(spark):
     assert saving.unfound(later, saving.plan_block_ids(chosen, notes)).count() == 0 and saving.unfound(notes, saving.plan_block_ids(chosen, notes)).count() == 3
 
 
+def test_a_note_of_many_passages(spark):
+    rows = [f"p{k}" + (" ^own" if k == 7 else "") for k in range(200)]
+    notes, passages = frames(spark, n="\n\n".join(rows), m="# \u00a0\nx")
+    plan = saving.plan_block_ids(passages, notes)
+    names = {(r.path, r.line): (r.op, r.block_id) for r in plan.collect()}
+    assert len(names) == 201 and names["n.md", 15] == ("keep", "own")
+    after = {r.path: r.after for r in saving.edited(notes, plan).collect()}
+    assert after["n.md"] == "\n\n".join(x if k == 7 else f"{x} ^{names['n.md', 2 * k + 1][1]}" for k, x in enumerate(rows))
+    saved = spark.createDataFrame([("s.md", "![[n#^own]] ![[m]] ![[gone]]")], "path string, text string")
+    got = saving.saved_embeds(saved, notes, outline_notes(notes)).orderBy("nth").collect()
+    assert [(r.id, r.line_start, r.line_end, r.status) for r in got] == [("n.md:15-15", 15, 15, "ok"), (None, 1, 2, "ok"), (None, None, None, "no such note")]
+
+
+def test_saved_embeds_parses_the_notes_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(note_queries, "parse_notes", lambda notes: parse_notes(notes.mapInArrow(count, notes.schema)))
+    note_queries.j11_saved_embeds(spark, "/root/testdata/sf0.001").collect()
+    assert seen.value == note_queries.list_notes(spark, "/root/testdata/sf0.001").count()
+
+
 def test_what_is_wrong_is_said_for_each_passage(spark):
     notes, passages = frames(spark, n=SOURCE, m="one\n\ntwo")
     moved = passages.withColumn("text", F.when(F.col("text") == "two", "other").otherwise(F.col("text")))
