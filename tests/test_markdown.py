@@ -1,4 +1,7 @@
-from passagework.operators.markdown import parse_markdown
+import pandas as pd
+import pytest
+
+from passagework.operators.markdown import note_places, outline_notes, parse_markdown, parse_notes
 
 
 def rows(text):
@@ -53,3 +56,13 @@ def test_white_space_is_that_of_passages():
     assert rows("a\n\ufeff\nb") == [("paragraph", 1, 1), ("paragraph", 3, 3)]
     assert rows("a\n\x1c\nb") == [("paragraph", 1, 3)]  # a separator that only Python takes for space
     assert rows("\u00a0- a\n\u00a0\u00a0- b")[1] == ("list", 2, 2)
+
+
+@pytest.mark.parametrize("make", [outline_notes, parse_notes, note_places])
+def test_small_notes_share_a_frame(spark, make, monkeypatch):
+    notes, made = spark.createDataFrame([], "path string, text string"), []
+    monkeypatch.setattr(type(notes), "mapInPandas", lambda self, run, schema: made.append(run))
+    make(notes)
+    frame = pd.DataFrame({"path": [f"{k}.md" for k in range(20)], "text": ["# H\n\none ^a\n"] * 20})
+    (got,) = made[0](iter([frame, frame]))
+    assert len(got) == 40 * (2 if make is note_places else 1)
