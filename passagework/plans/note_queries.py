@@ -16,8 +16,8 @@ from passagework.operators.partial import PartialSelection
 from passagework.operators.segments import SegmentedIndex
 from passagework.operators.vector_store import VectorStore
 from passagework.plans.queries import JUDGED, MANY, QUESTIONS, _judged, load, one_question, query, sql_bm25, sql_tokens
-from passagework.sources.notes import NoteFolder
-from passagework.storage import fresh_path, remove, written
+from passagework.sources.notes import NoteFolder, remove_notes, write_notes
+from passagework.storage import fresh_path, written
 from passagework.streaming.live import LiveSnapshot
 from passagework.streaming.standing import StandingQuestions
 
@@ -201,23 +201,26 @@ def r7_delta_vectors(spark, sf_dir):
     return store.rows().select("id", *(F.round(F.get("vector", F.lit(j)) + 0.0, 9).alias(f"v{j}") for j in range(WIDTH)), F.lit(encoded).cast("long").alias("encoded"))
 
 
+#: Notes are dealt out to folders, so that tasks can list them.
+FOLDERS = 256
+
+
 @query("SELECT CASE WHEN doc_id % 101 = 0 THEN 'r' ELSE 'n' END || doc_id::VARCHAR || '.md' AS path, sha256(replace(CASE WHEN doc_id % 7 = 0 THEN 'edited ' || text ELSE text END, chr(13), '') || chr(10)) AS text_hash, CASE WHEN doc_id % 101 = 0 OR doc_id % 7 = 0 THEN 1 ELSE 0 END::BIGINT AS version FROM documents WHERE doc_id % 97 <> 0 OR doc_id % 101 = 0")
 def s1_note_changes(spark, sf_dir):
     """Documents as notes in a folder: some edited, some renamed, some gone before a second look."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\r"), F.lit("")).alias("value"))
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\r"), F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
     root, i = fresh_path(spark, "notes"), F.col("doc_id")
     tasks = 4 * spark.sparkContext.defaultParallelism  # a note costs a file whatever its size, so notes are dealt by number
-    named = lambda rows, letter: rows.select(F.concat(F.lit(letter), i.cast("string"), F.lit(".md")).alias("note"), "value").repartition(tasks, "note").write.partitionBy("note")
-    add = lambda rows, letter: named(rows, letter).mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(root)  # noqa: E731  tasks move new notes, not the driver
-    add(docs, "n")
-    name = lambda below: F.regexp_extract(below, "note=([^/]+)/", 1)
-    folder = NoteFolder(spark, root, fresh_path(spark, "note-state"), pattern="*.txt", name=name)
+    at = lambda letter: F.concat(F.pmod(i, F.lit(FOLDERS)), F.lit(f"/{letter}"), i, F.lit(".md")).alias("path")
+    text = F.concat(F.when(i % 7 == 0, "edited ").otherwise(""), "text")
+    put = lambda rows, letter, text: write_notes(rows.select(at(letter), F.concat(F.coalesce(text, F.lit("")), F.lit("\n")).alias("text")).repartition(tasks, "path"), root)
+    put(docs, "n", F.col("text"))
+    folder = NoteFolder(spark, root, fresh_path(spark, "note-state"), name=lambda below: F.substring_index(below, "/", -1))
     live = LiveSnapshot(spark, "path", ["version"])
     folder.poll(live.merge)
-    named(docs.filter(i % 7 == 0).withColumn("value", F.concat(F.lit("edited "), "value")), "n").mode("overwrite").option("partitionOverwriteMode", "dynamic").text(root)
-    add(docs.filter(i % 101 == 0).withColumn("value", F.when(i % 7 == 0, F.concat(F.lit("edited "), "value")).otherwise(F.col("value"))), "r")
-    for r in docs.filter((i % 97 == 0) | (i % 101 == 0)).select("doc_id").toLocalIterator():  # as a user would, without a look at all others
-        remove(spark, f"{root}/note=n{r.doc_id}.md")
+    put(docs.filter(i % 7 == 0), "n", text)
+    put(docs.filter(i % 101 == 0), "r", text)
+    remove_notes(docs.filter((i % 97 == 0) | (i % 101 == 0)).select(at("n")).repartition(tasks, "path"), root)
     folder.poll(live.merge)
     return live.rows().select("path", F.sha2("text", 256).alias("text_hash"), "version")
 

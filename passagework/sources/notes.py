@@ -4,17 +4,21 @@ as a source of changes."""
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterable
 
+from pyarrow.fs import FileType
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, Row, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.functions.text import excluded, has_question_fence
-from passagework.storage import complete_folders, remove, written
+from passagework.storage import complete_folders, remove, store_of, written
 
 #: Up to this many changed files are read by their names; more by a scan of the folder.
 NAMED_FILES = 10_000
+#: What opening a note costs, in bytes read meanwhile: Spark's own 4 MB would give a task few notes.
+NOTE_COST = "32k"
 
 
 def _below(file_path: Column, root: str) -> Column:
@@ -31,6 +35,39 @@ def read_notes(spark: SparkSession, root: str, exclude: list[str] | None = None)
     return rows.filter(~excluded("path", exclude or []))
 
 
+def write_notes(notes: DataFrame, root: str) -> None:
+    """A file below ``root`` for each (path, text), without a text an empty one. The tasks that
+    hold the rows write them; a note gets its new text in one step, so a task may run again."""
+
+    def put(rows: Iterable[Row]) -> None:
+        files, base = store_of(root)
+        made = set()
+        for r in rows:
+            at = f"{base}/{r.path}"
+            folder = at.rpartition("/")[0]
+            if folder not in made:
+                files.create_dir(folder)
+                made.add(folder)
+            new = f"{at}.{uuid.uuid4().hex}.new"
+            with files.open_output_stream(new) as out:
+                out.write(r.data or b"")
+            files.move(new, at)
+
+    notes.select("path", F.col("text").cast("binary").alias("data")).foreachPartition(put)
+
+
+def remove_notes(notes: DataFrame, root: str) -> None:
+    """Delete the files of these (path) below ``root``, by the tasks that hold the rows."""
+
+    def drop(rows: Iterable[Row]) -> None:
+        files, base = store_of(root)
+        for r in rows:
+            if files.get_file_info(f"{base}/{r.path}").type == FileType.File:
+                files.delete_file(f"{base}/{r.path}")
+
+    notes.select("path").foreachPartition(drop)
+
+
 def searchable(passages: DataFrame) -> DataFrame:
     """Passages without an opening fence of a question."""
     return passages.filter(~has_question_fence("text"))
@@ -53,7 +90,8 @@ class NoteFolder:
     ``delete``; a renamed note is both. The consumer gets these rows with the listing's
     number and must take a number twice; only then the listing is marked as done. So a
     crash at any point gives the same batch again. A file that changed or vanished between the
-    listing and the read is left out: the next listing has it as a change.
+    listing and the read is left out: the next listing has it as a change. Folders are listed
+    and notes read many to a task, whatever files cost elsewhere in the session.
     """
 
     def __init__(self, spark: SparkSession, root: str, path: str, exclude: Callable[[], list[str]] = list, pattern: str = "*.md", name: Callable[[Column], Column] | None = None):
@@ -63,8 +101,15 @@ class NoteFolder:
     def _number(self, kind: str) -> int:
         return max((int(n.rpartition("-")[2]) for n in complete_folders(self.spark, self.path) if n.startswith(f"{kind}-")), default=-1)
 
+    def _reader(self) -> DataFrameReader:
+        """A reader of a session of its own, as these settings are no options of a read."""
+        session = self.spark.newSession()
+        session.conf.set("spark.sql.files.openCostInBytes", NOTE_COST)
+        session.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", 4 * self.spark.sparkContext.defaultParallelism)
+        return session.read
+
     def _list(self, to: str) -> None:
-        files = self.spark.read.format("binaryFile").option("pathGlobFilter", self.pattern).option("recursiveFileLookup", "true").load(self.root)
+        files = self._reader().format("binaryFile").option("pathGlobFilter", self.pattern).option("recursiveFileLookup", "true").load(self.root)
         rows = files.select(F.col("path").alias("file"), F.col("_metadata.file_path").alias("at"), self.name(_below(F.col("_metadata.file_path"), self.root)).alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
         rows.filter(~excluded("path", self.exclude())).write.mode("overwrite").parquet(to)
 
@@ -73,7 +118,7 @@ class NoteFolder:
         opens no file that is older than all of these."""
         few = [r.file for r in wanted.select("file").limit(NAMED_FILES + 1).collect()]
         named = 0 < len(few) <= NAMED_FILES and not any(re.search(r"[*?\[\]{}\\]", f) for f in few)  # these would be patterns
-        reader = self.spark.read.option("ignoreMissingFiles", "true")
+        reader = self._reader().option("ignoreMissingFiles", "true")
         whole = lambda: reader.text(self.root, wholetext=True, pathGlobFilter=self.pattern, recursiveFileLookup=True)
         folder = lambda: whole().filter(F.col("_metadata.file_modification_time") >= F.lit(wanted.agg(F.min("mtime")).first()[0]))
         try:

@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -59,6 +60,12 @@ def _local(path: str) -> str | None:
     return path.removeprefix("file:") if not mark else rest if scheme == "file" else None
 
 
+def store_of(path: str) -> tuple[FileSystem, str]:
+    """The store that a path is in, and its path there, as a task reaches it without the JVM."""
+    own = _local(path)
+    return FileSystem.from_uri(path) if own is None else (LocalFileSystem(), own)
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """A small file's text, line ends as they are; None without the file."""
     if (own := _local(path)) is not None:

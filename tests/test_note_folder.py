@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+import __spark_entry__
 from passagework.sources import notes
 from passagework.sources.notes import NoteFolder
 from passagework.streaming.live import LiveSnapshot
@@ -101,3 +102,40 @@ def test_many_changes_open_no_older_file(spark, tmp_path, monkeypatch):
     folder.poll(keep)
     assert got == [("1.md", "upsert", "edited 1"), ("4.md", "upsert", "edited 4")]
     assert re.search(r"\(file_modification_time#\d+ >= ", opened[0]) or re.search(r"_metadata#\d+\.file_modification_time >= ", opened[0])
+
+
+def test_notes_are_written_and_removed_by_tasks(spark, tmp_path):
+    root = tmp_path / "its notes"
+    here = lambda: {str(p.relative_to(root)): p.read_bytes() for p in root.rglob("*") if p.is_file()}
+    rows = [("a.md", "one\n"), ("sub/deep/b c%20é.md", "zwei ü"), ("none.md", None), ("empty.md", "")]
+    notes.write_notes(spark.createDataFrame(rows, "path string, text string"), f"file://{root}")
+    assert here() == {p: (t or "").encode() for p, t in rows}
+    notes.write_notes(spark.createDataFrame([("a.md", "edited")], "path string, text string"), f"file://{root}")
+    notes.remove_notes(spark.createDataFrame([("none.md",), ("gone.md",), ("sub",)], "path string"), f"file://{root}")
+    assert here() == {"a.md": b"edited", "sub/deep/b c%20é.md": "zwei ü".encode(), "empty.md": b""}
+
+
+def test_a_task_lists_many_folders_and_reads_many_notes(spark, tmp_path):
+    for k in range(800):
+        write(tmp_path / "notes", f"{k % 200}/{k}.md", f"note {k}", 1000)
+    group, counts = "many small notes", []
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        NoteFolder(spark, str(tmp_path / "notes"), f"file://{tmp_path}/state").poll(lambda rows, n: counts.append(rows.count()))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    told = spark.sparkContext.statusTracker()
+    tasks = [told.getStageInfo(s).numTasks for j in told.getJobIdsForGroup(group) for s in told.getJobInfo(j).stageIds if told.getStageInfo(s)]
+    assert counts == [800] and max(tasks) <= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_note_changes_need_no_task_for_each_note(spark):
+    group = "note changes"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        rows = __spark_entry__.queries()["s1_note_changes"](spark, "/root/testdata/sf0.001").count()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    told = spark.sparkContext.statusTracker()
+    tasks = [told.getStageInfo(s).numTasks for j in told.getJobIdsForGroup(group) for s in told.getJobInfo(j).stageIds if told.getStageInfo(s)]
+    assert rows == 198 and max(tasks) <= 4 * spark.sparkContext.defaultParallelism
