@@ -118,16 +118,16 @@ class NoteFolder:
         opens no file that is older than all of these."""
         few = [r.file for r in wanted.select("file").limit(NAMED_FILES + 1).collect()]
         named = 0 < len(few) <= NAMED_FILES and not any(re.search(r"[*?\[\]{}\\]", f) for f in few)  # these would be patterns
-        reader = self._reader().option("ignoreMissingFiles", "true")
-        whole = lambda: reader.text(self.root, wholetext=True, pathGlobFilter=self.pattern, recursiveFileLookup=True)
+        reader = self._reader().format("binaryFile").option("ignoreMissingFiles", "true")  # whole text is read under a lock of its worker
+        whole = lambda: reader.load(self.root, pathGlobFilter=self.pattern, recursiveFileLookup=True)
         folder = lambda: whole().filter(F.col("_metadata.file_modification_time") >= F.lit(wanted.agg(F.min("mtime")).first()[0]))
         try:
-            read = reader.text(few, wholetext=True) if named else folder()
+            read = reader.load(few) if named else folder()
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             read = folder()  # one of them is gone since the listing
-        seen = read.select(F.col("_metadata.file_path").alias("at"), F.col("_metadata.file_modification_time").alias("read_mtime"), F.col("_metadata.file_size").alias("read_size"), F.col("value").alias("text"))
+        seen = read.select(F.col("_metadata.file_path").alias("at"), F.col("modificationTime").alias("read_mtime"), F.col("length").alias("read_size"), F.col("content").cast("string").alias("text"))
         return wanted.join(seen, "at").filter("mtime = read_mtime AND size = read_size").select("path", "text")
 
     def poll(self, merge: Callable[[DataFrame, int], None]) -> int:
