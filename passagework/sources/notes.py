@@ -3,13 +3,15 @@ as a source of changes."""
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 from pyarrow.fs import FileType
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, DataFrameReader, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.functions.text import excluded, has_question_fence
@@ -91,7 +93,7 @@ class NoteFolder:
     number and must take a number twice; only then the listing is marked as done. So a
     crash at any point gives the same batch again. A file that changed or vanished between the
     listing and the read is left out: the next listing has it as a change. Folders are listed
-    and notes read many to a task, whatever files cost elsewhere in the session.
+    and notes read many to a task, also by what the consumer reads meanwhile in this session.
     """
 
     def __init__(self, spark: SparkSession, root: str, path: str, exclude: Callable[[], list[str]] = list, pattern: str = "*.md", name: Callable[[Column], Column] | None = None):
@@ -101,15 +103,23 @@ class NoteFolder:
     def _number(self, kind: str) -> int:
         return max((int(n.rpartition("-")[2]) for n in complete_folders(self.spark, self.path) if n.startswith(f"{kind}-")), default=-1)
 
-    def _reader(self) -> DataFrameReader:
-        """A reader of a session of its own, as these settings are no options of a read."""
-        session = self.spark.newSession()
-        session.conf.set("spark.sql.files.openCostInBytes", NOTE_COST)
-        session.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", 4 * self.spark.sparkContext.defaultParallelism)
-        return session.read
+    @contextmanager
+    def _small_files(self) -> Iterator[None]:
+        """For a poll the session's reads take many small files to a task, list many folders in
+        one and keep no listing for later; these are no options of a read."""
+        conf = self.spark.conf
+        ours = {"spark.sql.files.openCostInBytes": NOTE_COST, "spark.sql.sources.parallelPartitionDiscovery.parallelism": str(4 * self.spark.sparkContext.defaultParallelism), "spark.sql.hive.filesourcePartitionFileCacheSize": "0"}
+        before = {k: conf.get(k) for k in ours}
+        try:
+            for k, v in ours.items():
+                conf.set(k, v)
+            yield
+        finally:
+            for k, v in before.items():
+                conf.set(k, v)
 
     def _list(self, to: str) -> None:
-        files = self._reader().format("binaryFile").option("pathGlobFilter", self.pattern).option("recursiveFileLookup", "true").load(self.root)
+        files = self.spark.read.format("binaryFile").option("pathGlobFilter", self.pattern).option("recursiveFileLookup", "true").load(self.root)
         rows = files.select(F.col("path").alias("file"), F.col("_metadata.file_path").alias("at"), self.name(_below(F.col("_metadata.file_path"), self.root)).alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
         rows.filter(~excluded("path", self.exclude())).write.mode("overwrite").parquet(to)
 
@@ -118,7 +128,7 @@ class NoteFolder:
         opens no file that is older than all of these."""
         few = [r.file for r in wanted.select("file").limit(NAMED_FILES + 1).collect()]
         named = 0 < len(few) <= NAMED_FILES and not any(re.search(r"[*?\[\]{}\\]", f) for f in few)  # these would be patterns
-        reader = self._reader().format("binaryFile").option("ignoreMissingFiles", "true")  # whole text is read under a lock of its worker
+        reader = self.spark.read.format("binaryFile").option("ignoreMissingFiles", "true")  # whole text is read under a lock of its worker
         whole = lambda: reader.load(self.root, pathGlobFilter=self.pattern, recursiveFileLookup=True)
         folder = lambda: whole().filter(F.col("_metadata.file_modification_time") >= F.lit(wanted.agg(F.min("mtime")).first()[0]))
         try:
@@ -133,11 +143,18 @@ class NoteFolder:
     def poll(self, merge: Callable[[DataFrame, int], None]) -> int:
         """List, compare and hand over (path, version, op, text) with the listing's number;
         returns it. Rows of one poll have one version, which grows."""
+        with self._small_files():
+            number = self._poll(merge)
+        gc.collect()  # what py4j held in cycles: the driver would keep this poll's listings through the next
+        return number
+
+    def _poll(self, merge: Callable[[DataFrame, int], None]) -> int:
         done, listed = self._number("done"), self._number("listing")
         number = done + 1
         at = lambda kind, n: f"{self.path}/{kind}-{n}"
         if listed < number:
             self._list(at("listing", number))
+            gc.collect()
         now = self.spark.read.parquet(at("listing", number))
         before = self.spark.read.parquet(at("listing", done)) if done >= 0 else now.filter("false")
         both = now.join(before.select("path", F.col("mtime").alias("was"), F.col("size").alias("was_size")), "path", "full_outer")

@@ -139,3 +139,21 @@ def test_note_changes_need_no_task_for_each_note(spark):
     told = spark.sparkContext.statusTracker()
     tasks = [told.getStageInfo(s).numTasks for j in told.getJobIdsForGroup(group) for s in told.getJobInfo(j).stageIds if told.getStageInfo(s)]
     assert rows == 198 and max(tasks) <= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_a_poll_leaves_the_session_as_it_was(spark, tmp_path):
+    write(tmp_path / "notes", "a.md", "one", 1000)
+    folder, key, seen = NoteFolder(spark, str(tmp_path / "notes"), f"file://{tmp_path}/state"), "spark.sql.files.openCostInBytes", []
+    before = spark.conf.get(key)
+    spark.conf.set(key, "123456")
+    try:
+
+        def crash(rows, number):
+            seen.append(spark.conf.get(key))
+            raise RuntimeError("lost")
+
+        with pytest.raises(RuntimeError):
+            folder.poll(crash)
+        assert seen == [notes.NOTE_COST] and spark.conf.get(key) == "123456"
+    finally:
+        spark.conf.set(key, before)
